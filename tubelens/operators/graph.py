@@ -5,14 +5,14 @@ import itertools
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tubelens import config as C
 from tubelens.functions import boxes as B
 from tubelens.operators import spatial as S
+from tubelens.operators.grouped import per_group, split_by_size
 from tubelens.operators.prefix import union_all
-from tubelens.session import materialize, split_by_size
+from tubelens.session import materialize
 
 POINT_LIMIT = 20_000
 MAX_ROUNDS = 200
@@ -66,27 +66,23 @@ def _distance(cols, a: str = "a_", b: str = "b_") -> Column:
 
 
 def _linkage_grouped(df: DataFrame, by, row_id, cols, radius) -> DataFrame:
-    kinds = df.select(*by, row_id).schema
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kinds) + ", cluster long"
-
-    def flood(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(row_id)
-        xyz = pdf[list(cols)].to_numpy(dtype=float)
-        ids = pdf[row_id].to_numpy()
+    def flood(g):
+        xyz = np.stack([g[c].astype(float) for c in cols], axis=1)
+        ids = g[row_id]
         label = np.full(len(ids), -1, dtype=np.int64)
+        done = np.zeros(len(ids), dtype=bool)
         for start in range(len(ids)):
-            if label[start] >= 0:
-                continue
-            label[start] = ids[start]
-            todo = [start]
+            todo = [] if done[start] else [start]
             while todo:
-                free = np.flatnonzero(label < 0)
-                near = free[np.sqrt(((xyz[free] - xyz[todo.pop()]) ** 2).sum(axis=1)) <= radius]
-                label[near] = ids[start]
+                at = todo.pop()
+                done[at], label[at] = True, ids[start]
+                free = np.flatnonzero(~done)
+                near = free[np.sqrt(((xyz[free] - xyz[at]) ** 2).sum(axis=1)) <= radius]
+                done[near], label[near] = True, ids[start]
                 todo.extend(near.tolist())
-        return pdf[[*by, row_id]].assign(cluster=label)
+        return np.ones(len(ids), dtype=bool), label
 
-    return df.select(*by, row_id, *cols).groupBy(*by).applyInPandas(flood, schema)
+    return per_group(df, by, [row_id], [row_id, *cols], flood, [*by, row_id], "cluster")
 
 
 def _linkage_grid(df: DataFrame, by, row_id, cols, radius) -> DataFrame:
@@ -248,7 +244,7 @@ def slice_labels(vox: DataFrame, merge_gap: float = C.MERGE_GAP, min_area: int =
     pad = (merge_gap + 1.0) / 2.0
     grown = comp.withColumns({
         "x1": F.col("c0") - pad, "x2": F.col("c1") + pad, "y1": F.col("r0") - pad, "y2": F.col("r1") + pad})
-    edges = (S.slice_pairs(grown, grown, keys)
+    edges = (S.overlap_pairs(grown, grown, keys, S.AXES_2D, S.CELL_2D)
              .where((F.col("a_comp") < F.col("b_comp")) & (B.box_gap() <= merge_gap))
              .select(*keys, F.col("a_comp").alias("u"), F.col("b_comp").alias("v")))
     merged = (label_nodes(comp, edges, keys, "comp", "lesion").groupBy(*keys, "lesion")

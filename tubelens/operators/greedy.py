@@ -1,6 +1,6 @@
 """Greedy suppression: keep the best row, drop the rows it conflicts with, repeat.
 
-Small groups run in one grouped-pandas call each. Larger groups run as rounds over grid
+Small groups run as an array rule, many per Python call. Larger groups run as rounds over grid
 cells. In a round only the best ``TOP`` live rows of each cell are compared with each other;
 a row that ranks inside the top of *all* its cells and loses to no better one is final, and
 what it conflicts with is removed. Every better rival of such a row shares a cell with it
@@ -12,12 +12,12 @@ from __future__ import annotations
 from typing import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tubelens.operators import spatial as S
+from tubelens.operators.grouped import per_group, split_by_size
 from tubelens.operators.prefix import union_all
-from tubelens.session import materialize, split_by_size
+from tubelens.session import materialize
 
 TOP = 16
 GROUP_LIMIT = 20_000   # the grouped form compares a kept row with all rows left in its group
@@ -88,23 +88,19 @@ def centre_within(cols, r: float):
 
 
 def _suppress_grouped(df: DataFrame, keys, prio, row_id, needed, rule) -> DataFrame:
-    """Keys and ids kept, one pandas call per (bounded) group."""
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys, row_id).schema)
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_prio", row_id], ascending=[False, True])
-        col = {c: pdf[c].to_numpy(dtype=float) for c in needed}
-        ids = pdf[row_id].to_numpy()
-        live = np.ones(len(ids), dtype=bool)
-        for i in range(len(ids)):
+    """Keys and ids kept, for groups of bounded size."""
+    def keep(g):
+        live = np.ones(len(g[row_id]), dtype=bool)
+        col = {c: g[c].astype(float) for c in needed}
+        for i in range(len(live)):
             if live[i]:
                 rest = np.flatnonzero(live[i + 1:]) + i + 1
                 hit = rule(lambda c: col[c][i], lambda c: col[c][rest], _NUMPY)
                 live[rest[np.broadcast_to(hit, rest.shape)]] = False
-        return pdf[[*keys, row_id]][live]
+        return live, None
 
-    slim = df.select(*keys, row_id, prio.alias("_prio"), *needed)
-    return slim.groupBy(*keys).applyInPandas(keep, schema)
+    ranked = df.withColumn("_worse", -prio)
+    return per_group(ranked, keys, ["_worse", row_id], [row_id, *needed], keep, [*keys, row_id])
 
 
 def _suppress_rounds(df: DataFrame, keys, prio, row_id, needed, rule, axes, cell) -> DataFrame:
@@ -130,7 +126,7 @@ def _suppress_rounds(df: DataFrame, keys, prio, row_id, needed, rule, axes, cell
         a = S.prefixed(top, "a_", keys + cells)
         b = S.prefixed(top, "b_", keys + cells)
         beaten = (a.join(b, keys + cells)
-                  .where((F.col("a__rank") < F.col("b__rank")) & S.same_cell(axes, cell)
+                  .where((F.col("a__rank") < F.col("b__rank")) & S.boxes_meet(axes) & S.same_cell(axes, cell)
                          & rule(at("a_"), at("b_"), _COLUMN))
                   .select(*keys, F.col("b__id").alias("_id")).distinct())
         settled = (top.groupBy(*one).agg(F.count(F.lit(1)).alias("_k"), F.max("_n_cells").alias("_n_cells"))
@@ -144,7 +140,7 @@ def _suppress_rounds(df: DataFrame, keys, prio, row_id, needed, rule, axes, cell
         lose = S.prefixed(S.explode_cells(live, axes, cell), "b_", keys + cells)
         win = S.prefixed(winners, "a_", keys + cells)
         removed = (lose.join(win, keys + cells)
-                   .where(S.same_cell(axes, cell) & rule(at("a_"), at("b_"), _COLUMN))
+                   .where(S.boxes_meet(axes) & S.same_cell(axes, cell) & rule(at("a_"), at("b_"), _COLUMN))
                    .select(*keys, F.col("b__id").alias("_id")))
         live = materialize(live.join(kept.union(removed).distinct(), one, "left_anti"))
     else:

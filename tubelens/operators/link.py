@@ -2,17 +2,15 @@
 
 A box can join a tube only over an edge "IoU >= link_iou, 1..gap+1 slices apart". Greedy
 linking therefore splits exactly at the connected components of the edge graph. Volumes of
-bounded size are linked one grouped-pandas call each; a larger volume is cut into its
-components, and components share calls up to the same bound. A component above the bound is
+bounded size are linked whole, many per Python call; a larger volume is cut into its
+components, which are linked the same way. A component above the bound is
 linked by ``_link_rounds``, which needs no group at all.
 """
 from __future__ import annotations
 
-import math
 from typing import Optional
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tubelens.config import LinkConfig
@@ -20,8 +18,9 @@ from tubelens.functions import boxes as B
 from tubelens.operators import spatial as S
 from tubelens.operators.graph import label_nodes
 from tubelens.operators.greedy import containment_suppress
+from tubelens.operators.grouped import per_group, split_by_size
 from tubelens.operators.prefix import dense_index, union_all
-from tubelens.session import materialize, split_by_size
+from tubelens.session import materialize
 
 LINK_LIMIT = 200_000
 BOX = ["x1", "y1", "x2", "y2"]
@@ -35,8 +34,7 @@ def link_edges(det: DataFrame, link_iou: float, max_z_gap: int, by=("volume_id",
     steps = F.explode(F.sequence(F.lit(1), F.lit(max_z_gap + 1)))
     a = det.withColumn("_dz", steps).withColumn("_z", F.col("slice_z") + F.col("_dz")).drop("_dz")
     b = det.withColumn("_z", F.col("slice_z"))
-    pairs = S.overlap_pairs(a, b, keys + ["_z"], S.AXES_2D, S.CELL_2D)
-    return pairs.withColumn("iou", B.iou_2d()).where(F.col("iou") >= link_iou).drop("_z")
+    return S.slice_pairs(a, b, keys + ["_z"]).where(F.col("iou") >= link_iou).drop("_z")
 
 
 # ---------------------------------------------------------------- grouped form
@@ -96,22 +94,14 @@ def _tubes_of(z, box, score, cfg: LinkConfig) -> np.ndarray:
     return owner
 
 
-def _link_grouped(det: DataFrame, cfg, by: list[str], extra: list[str]) -> DataFrame:
+def _link_grouped(det: DataFrame, cfg, by: list[str], keys: list[str]) -> DataFrame:
     """``cfg`` is one LinkConfig, or a list of them indexed by the ``config_id`` column."""
-    keys = by + extra
-    kinds = {f.name: f.dataType.simpleString() for f in det.schema}
-    out_cols = by + ["tube_id"] + MEMBER
-    schema = ", ".join(f"{c} {'long' if c == 'tube_id' else kinds[c]}" for c in out_cols)
+    def link(g):
+        use = cfg if isinstance(cfg, LinkConfig) else cfg[int(g["config_id"][0])]
+        owner = _tubes_of(g["slice_z"], np.stack([g[c].astype(float) for c in BOX]), g["score"], use)
+        return owner >= 0, g["det_id"][owner]
 
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["slice_z", *BOX, "det_id"])
-        use = cfg if isinstance(cfg, LinkConfig) else cfg[int(pdf["config_id"].iloc[0])]
-        owner = _tubes_of(pdf["slice_z"].to_numpy(), pdf[BOX].to_numpy(dtype=float).T,
-                          pdf["score"].to_numpy(dtype=float), use)
-        ids = pdf["det_id"].to_numpy()
-        return pdf.assign(tube_id=ids[owner])[owner >= 0][out_cols]
-
-    return det.select(*keys, *MEMBER).groupBy(*keys).applyInPandas(link, schema)
+    return per_group(det, keys, ["slice_z", *BOX, "det_id"], MEMBER, link, [*by, *MEMBER], "tube_id")
 
 
 # ---------------------------------------------------------------- distributed form
@@ -222,7 +212,7 @@ def link_tubes(det: DataFrame, cfg, by=("volume_id",), limit: int = LINK_LIMIT)
     if isinstance(cfg, LinkConfig):
         det = containment_suppress(det, cfg.containment, keys + ["slice_z"])
     small, large = split_by_size(det, keys, limit)
-    out = _link_grouped(small, cfg, keys, [])
+    out = _link_grouped(small, cfg, keys, keys)
     if large is None:
         return out
     if isinstance(cfg, LinkConfig):
@@ -240,10 +230,7 @@ def _link_components(det: DataFrame, cfg: LinkConfig, keys: list[str], limit: in
         *keys, F.col("a_det_id").alias("u"), F.col("b_det_id").alias("v"))
     lab = materialize(label_nodes(det, edges, keys, "det_id", "comp"))
     small, huge = split_by_size(lab, keys + ["comp"], limit)
-    # several components share a call: the number of calls follows the volume's size
-    per_volume = small.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(max(limit // 4, 1))).alias("_bins"))
-    binned = small.join(per_volume, keys).withColumn("_bin", F.pmod(F.xxhash64("comp"), F.col("_bins")))
-    out = _link_grouped(binned, cfg, keys, ["_bin"])
+    out = _link_grouped(small, cfg, keys, keys + ["comp"])
     return out if huge is None else out.unionByName(_link_rounds(huge, cfg, keys))
 
 

@@ -19,7 +19,7 @@ def slice_hits(det: DataFrame, gt: DataFrame) -> DataFrame:
     """Overlapping (detection, slice ground truth) pairs with ``iou``; gt is inclusive."""
     d = det.select(*SLICE, "det_id", *B.XYXY, "score")
     g = B.to_half_open(gt).select(*GT_KEY, *B.XYXY)
-    return (S.slice_pairs(d, g).withColumn("iou", B.iou_2d()).where(F.col("iou") > 0)
+    return (S.slice_pairs(d, g)
             .select(*SLICE, F.col("b_component_id").alias("component_id"),
                     F.col("a_det_id").alias("det_id"), F.col("a_score").alias("score"), "iou"))
 
@@ -122,7 +122,8 @@ def footprint_fire(det: DataFrame, gt_iso: DataFrame) -> DataFrame:
                       F.col("min_d0").cast("double").alias("y1"), (F.col("max_d1") + 1).cast("double").alias("x2"),
                       (F.col("max_d0") + 1).cast("double").alias("y2"))
     hit = (S.overlap_pairs(det.select("volume_id", "slice_z", *B.XYXY, "score"), g, ["volume_id"], S.AXES_2D, S.CELL_2D)
-           .where(F.col("a_slice_z").between(F.col("b_min_d2"), F.col("b_max_d2")) & (B.intersection_2d() > 0)))
+           .where(F.col("a_slice_z").between(F.col("b_min_d2"), F.col("b_max_d2"))
+                  & S.boxes_meet(S.AXES_2D, strict=True)))
     per_slice = hit.groupBy("volume_id", "a_slice_z").agg(F.count(F.lit(1)).alias("_n"), F.max("a_score").alias("_s"))
     per = per_slice.groupBy("volume_id").agg(F.sum("_n").alias("n_fire"), F.count(F.lit(1)).alias("n_slices_fired"),
                                              F.max("_s").alias("max_score"))
@@ -139,7 +140,7 @@ def annotate_slices(det: DataFrame, gt: DataFrame, k: int = 5) -> DataFrame:
     box = gt.groupBy(*SLICE).agg(F.min("r0").alias("r0"), F.min("c0").alias("c0"), F.max("r1").alias("r1"),
                                  F.max("c1").alias("c1"))
     d = det.select(*SLICE, "det_id", *B.XYXY, "score")
-    hits = S.slice_pairs(d, B.to_half_open(box)).select(F.col("a_det_id").alias("det_id"), B.iou_2d().alias("iou"))
+    hits = S.slice_pairs(d, B.to_half_open(box)).select(F.col("a_det_id").alias("det_id"), "iou")
     top = cap_per_slice(d, k).select("det_id").withColumn("in_top", F.lit(True))
     out = (d.join(box.select(*SLICE, F.lit(True).alias("_has")), SLICE, "left").join(hits, "det_id", "left")
            .withColumn("iou", F.coalesce("iou", F.lit(0.0))).join(top, "det_id", "left"))
@@ -231,7 +232,6 @@ def match_predictions(pred: DataFrame, gt: DataFrame, by=()) -> DataFrame:
     box = [*B.CENTRE, *B.EXTENT]
     p = S.volume_pairs(pred.select("public_id", *by, "pred_id", *box, "probability"),
                        gt.select(*join, "label_id", *box), join)
-    p = p.withColumn("iou", B.iou_3d()).where(F.col("iou") > 0)
     keys = [F.col(c) if c in join else F.col("a_" + c).alias(c) for c in [*by, "public_id"]]
     best = p.groupBy(*keys, F.col("a_pred_id").alias("pred_id")).agg(
         F.max("a_probability").alias("probability"),
@@ -248,5 +248,5 @@ def best_iou_per_row(rows: DataFrame, row_id, gt: DataFrame, keys=("public_id",)
     ids = [row_id] if isinstance(row_id, str) else list(row_id)
     box = [*B.CENTRE, *B.EXTENT]
     p = S.volume_pairs(rows.select(*keys, *ids, *box), gt.select(*keys, *box), keys)
-    best = p.groupBy(*keys, *[F.col("a_" + i).alias(i) for i in ids]).agg(F.max(B.iou_3d()).alias("iou_gt"))
+    best = p.groupBy(*keys, *[F.col("a_" + i).alias(i) for i in ids]).agg(F.max("iou").alias("iou_gt"))
     return rows.join(best, [*keys, *ids], "left").withColumn("iou_gt", F.coalesce("iou_gt", F.lit(0.0)))

@@ -5,7 +5,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tubelens import config as C
 from tubelens.operators import prefix as P
-from tubelens.session import materialize, split_by_size
+from tubelens.operators.grouped import BIN, split_by_size
+from tubelens.session import materialize
 
 RANK_LIMIT = 1_000_000
 
@@ -20,7 +21,7 @@ def rank_candidates(df: DataFrame, by=("detector_of_origin", "public_id"), seq:
     order = [F.col("score_max").desc(), F.col(seq).asc()]
     small, large = split_by_size(df, keys, limit)
     n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    out = small.withColumns({"rank": F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"), "_n": n})
+    out = small.drop(BIN).withColumns({"rank": F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"), "_n": n})
     if large is not None:
         blocks = P.range_blocks(large, keys, order)
         run = P.running(blocks, keys, order, {"rank": ("sum", F.lit(1).cast("long"))}).drop(P.BLOCK)

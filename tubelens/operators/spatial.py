@@ -44,27 +44,49 @@ def prefixed(df: DataFrame, prefix: str, keep) -> DataFrame:
 
 
 def same_cell(axes, size: float, a: str = "a_", b: str = "b_") -> Column:
-    """The pair's reference cell is the cell of this row, and the boxes meet."""
+    """The pair's reference cell is the cell of this row."""
     cond = F.lit(True)
-    for i, (lo, hi) in enumerate(axes):
-        low = F.greatest(F.col(a + lo), F.col(b + lo))
-        cond = cond & (cell_of(low, size) == F.col(_cell_name(i))) & \
-            (low <= F.least(F.col(a + hi), F.col(b + hi)))
+    for i, (lo, _) in enumerate(axes):
+        cond = cond & (cell_of(F.greatest(F.col(a + lo), F.col(b + lo)), size) == F.col(_cell_name(i)))
+    return cond
+
+
+def boxes_meet(axes, strict: bool = False, a: str = "a_", b: str = "b_") -> Column:
+    cond = F.lit(True)
+    for lo, hi in axes:
+        for p, q in ((a, b), (b, a)):
+            cond = cond & ((F.col(p + lo) < F.col(q + hi)) if strict else (F.col(p + lo) <= F.col(q + hi)))
     return cond
 
 
 def overlap_pairs(left: DataFrame, right: DataFrame, keys: list[str], axes, size: float) -> DataFrame:
-    """All pairs with equal ``keys`` whose boxes meet; columns ``keys, a_*, b_*``."""
+    """All pairs with equal ``keys`` whose (closed) boxes meet; columns ``keys, a_*, b_*``."""
     cells = [_cell_name(i) for i in range(len(axes))]
     a = prefixed(explode_cells(left, axes, size), "a_", keys + cells)
     b = prefixed(explode_cells(right, axes, size), "b_", keys + cells)
-    return a.join(b, keys + cells).where(same_cell(axes, size)).drop(*cells)
+    return a.join(b, keys + cells).where(boxes_meet(axes) & same_cell(axes, size)).drop(*cells)
+
+
+def _with_iou(pairs: DataFrame, axes) -> DataFrame:
+    """IoU of pairs that overlap on every axis; sizes ``a__size`` / ``b__size`` were computed once per box."""
+    inter = None
+    for lo, hi in axes:
+        side = F.least("a_" + hi, "b_" + hi) - F.greatest("a_" + lo, "b_" + lo)
+        inter = side if inter is None else inter * side
+    p = pairs.where(boxes_meet(axes, strict=True)).withColumn("_inter", inter)
+    return p.withColumn("iou", F.col("_inter") / (F.col("a__size") + F.col("b__size") - F.col("_inter"))).drop(
+        "_inter", "a__size", "b__size")
 
 
 def slice_pairs(left: DataFrame, right: DataFrame, keys=("volume_id", "slice_z")) -> DataFrame:
-    return overlap_pairs(left, right, list(keys), AXES_2D, CELL_2D)
+    """Pairs of 2-D boxes with positive overlap on one slice, with ``iou``."""
+    sized = [d.withColumn("_size", B.area_2d()) for d in (left, right)]
+    return _with_iou(overlap_pairs(*sized, list(keys), AXES_2D, CELL_2D), AXES_2D)
 
 
 def volume_pairs(left: DataFrame, right: DataFrame, keys=("public_id",)) -> DataFrame:
-    """Pairs of official boxes in one volume. Two axes are gridded; depth is a residual."""
-    return overlap_pairs(with_corners(left), with_corners(right), list(keys), AXES_3D[1:], CELL_3D)
+    """Pairs of official boxes with positive overlap in one volume, with ``iou``. Two axes are
+    gridded; the slice axis is a residual."""
+    size = F.col("x_length") * F.col("y_length") * F.col("z_length")
+    sized = [with_corners(d.withColumn("_size", size)).drop(*B.CENTRE, *B.EXTENT) for d in (left, right)]
+    return _with_iou(overlap_pairs(*sized, list(keys), AXES_3D[1:], CELL_3D), AXES_3D)

@@ -177,7 +177,7 @@ def adaptive_assign(gt: DataFrame, anchors: DataFrame, topk: int = C.ASSIGN_TOPK
 def anchor_coverage(gt: DataFrame, anchors: DataFrame, iou: float = 0.4) -> DataFrame:
     """Per box: anchors of its image with IoU >= ``iou`` (0 kept), its diagonal and size bucket."""
     a = anchors.select("image", "anchor_id", *B.XYXY)
-    hit = S.slice_pairs(a, gt.select("image", "gt_id", *B.XYXY), ["image"]).where(B.iou_2d() >= iou)
+    hit = S.slice_pairs(a, gt.select("image", "gt_id", *B.XYXY), ["image"]).where(F.col("iou") >= iou)
     n = hit.groupBy("image", F.col("b_gt_id").alias("gt_id")).agg(F.count(F.lit(1)).alias("_n"))
     d = B.measures_2d()["diag"]
     return gt.join(n, ["image", "gt_id"], "left").select(

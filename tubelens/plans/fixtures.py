@@ -36,7 +36,7 @@ class Fixtures:
         return self.base().selectExpr(
             "e det_id", "v volume_id", "cast(floor(e/3) as bigint)%12 slice_z",
             "bx+e%7-3 x1", "by_+e%5-2 y1", "bx+e%7-3+w+e%4-1 x2", "by_+e%5-2+h+e%3-1 y2",
-            "cast(least(value/500.0,0.999999) as double) score")
+            "cast(least(value/500.0D,0.999999D) as double) score")
 
     def volumes(self) -> DataFrame:
         return self.table("events").select(F.col("user_id").alias("volume_id")).distinct()
@@ -71,9 +71,9 @@ class Fixtures:
     def pred(self) -> DataFrame:
         """Ready-made 3-D predictions."""
         return self.base().selectExpr(
-            "e pred_id", "v public_id", "cast(5.5+e%5-2 as double) coordX", "2*bx+w-1+(e%11-5)*2 coordY",
+            "e pred_id", "v public_id", "5.5D+e%5-2 coordX", "2*bx+w-1+(e%11-5)*2 coordY",
             "2*by_+h-1+e%7-3 coordZ", "cast(9-e%2 as double) x_length", "cast(2*(w-1) as double) y_length",
-            "cast(2*(h-1)+e%3 as double) z_length", "cast(least(value/500.0,0.999999) as double) probability")
+            "cast(2*(h-1)+e%3 as double) z_length", "cast(least(value/500.0D,0.999999D) as double) probability")
 
     def meta(self) -> DataFrame:
         arr = lambda t, kind: F.array(*[F.lit(x).cast(kind) for x in t])
@@ -103,3 +103,61 @@ class Fixtures:
         s = F.col("score")
         return self.det().groupBy("volume_id", "slice_z").agg(
             F.count(F.lit(1)).alias("n"), F.avg(s).alias("mean"), F.sum(s * s).alias("sumsq"))
+
+    def dirty(self) -> DataFrame:
+        """Detections where some rows break the contract."""
+        return self.det().selectExpr(
+            "det_id", "volume_id", "slice_z", "case when det_id%10=3 then x2 else x1 end x1", "y1",
+            "case when det_id%10=3 then x1 else x2 end x2", "case when det_id%10=4 then y1 else y2 end y2",
+            "case when det_id%10=5 then score+1 when det_id%10=6 then null else score end score")
+
+    def members(self) -> DataFrame:
+        """Ready-made tubes: the boxes of one cluster of one volume."""
+        return self.det().withColumn("tube_id", F.col("volume_id") * 3 + F.col("det_id") % 3)
+
+    def record(self) -> DataFrame:
+        """Candidate record from the ready-made predictions, with its best IoU still to be added."""
+        det = "case when public_id%10<=6 then concat('fold', public_id%5) else concat('full_seed', pred_id%3) end"
+        return self.pred().selectExpr(
+            "public_id", f"concat_ws(':', {det}, cast(public_id as string), cast(pred_id as string)) candidate_id",
+            f"{det} detector_of_origin",
+            "case when public_id%10<=6 then 'train' when public_id%10<=8 then 'val' else 'test' end split",
+            "case when public_id%10<=6 then public_id%5 else -1 end fold",
+            "coordX", "coordY", "coordZ", "x_length", "y_length", "z_length",
+            "probability score_max", "probability*0.5D score_mean", "probability*0.1D score_std", "probability*0.25D score_min",
+            "1+pred_id%7 slice_count", "1+pred_id%9 z_span", "cast(1+pred_id%7 as double)/(1+pred_id%9) fill_ratio",
+            "cast(pred_id%13 as double)/100 centroid_jitter", "cast(pred_id%17 as double)/50 area_cv",
+            "cast(0 as bigint) rank", "cast(0 as double) rank_norm",
+            "case when pred_id%4=0 then 'pos' when pred_id%4=1 then 'ignore' else 'neg' end label",
+            "cast(pred_id%10 as double)/10 iou_gt",
+            "coordZ/2 cen_d0", "coordY/2 cen_d1", "coordX cen_d2",
+            "cast(pred_id%11 as double) ext_d0", "cast(pred_id%6 as double) ext_d1", "cast(pred_id%5 as double) ext_d2",
+            "case when public_id%3=0 then 'old' else 'new' end preprocess_hash",
+            "pred_id cand_seq", "pred_id tube_id")
+
+    def cases(self) -> DataFrame:
+        """Volumes with the split names used in folders."""
+        return self.manifest().selectExpr(
+            "volume_id", "case split when 'train' then 'Train' when 'val' then 'Validation' else 'Test' end split", "label")
+
+    def epoch_log(self) -> DataFrame:
+        """One row per (run, epoch) of a training log, from the event values."""
+        return self.base().groupBy((F.col("v") % 4).alias("run"), (F.col("e") % 12).alias("epoch")).agg(
+            (F.floor(F.avg("value")) / 1000.0).alias("cpm"), (F.floor(F.max("value")) % 7 / 10.0).alias("ceiling"))
+
+    def anchors(self) -> DataFrame:
+        """Two anchor levels per image (= volume): a regular grid over its events."""
+        return self.base().selectExpr(
+            "v image", "e%2 level", "e anchor_id", "cast((e*7)%160 as double) x1", "cast((e*5)%110 as double) y1",
+            "cast((e*7)%160 + 16 + 16*(e%2) as double) x2", "cast((e*5)%110 + 12 + 12*(e%2) as double) y2")
+
+    def anchor_gt(self) -> DataFrame:
+        return self.lesions().selectExpr("v image", "cast(k as bigint) gt_id", "cast(c0 as double) x1", "cast(r0 as double) y1",
+                                         "cast(c0+w as double) x2", "cast(r0+h as double) y2")
+
+    def paths(self) -> DataFrame:
+        """File listing: a DATA and a MASK file per volume, some missing, some twice."""
+        d = self.volumes().selectExpr("volume_id", "explode(sequence(1, case when volume_id%11=5 then 2 else 1 end)) n").selectExpr(
+            "concat('/cases/', n, '/DATA/DATA_', volume_id, '.nrrd') path", "volume_id*10 length")
+        m = self.volumes().where("volume_id%7<>3").selectExpr("concat('/cases/1/MASK/MASK_', volume_id, '.nrrd') path", "volume_id length")
+        return d.unionByName(m)

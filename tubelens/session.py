@@ -1,16 +1,11 @@
-"""Session helpers: where to checkpoint, where to stage files, how big a group is."""
+"""Session helpers: where to checkpoint and where to stage files."""
 from __future__ import annotations
 
 import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-# Largest group handed to one Python worker. A group above it takes the
-# distributed form of the same operator.
-GROUP_LIMIT = 50_000
-
+from pyspark.sql import DataFrame, SparkSession
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder; a temporary one only in local mode."""
@@ -37,20 +32,3 @@ def stage_path(spark: SparkSession, name: str) -> str:
     """A fresh path beside the checkpoints, visible to every executor."""
     root = checkpoint_dir(spark)
     return os.path.join(root, f"{name}-{uuid.uuid4().hex}")
-
-
-def large_groups(df: DataFrame, keys: list[str], limit: int) -> DataFrame:
-    """Keys of the groups with more than ``limit`` rows."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select(*keys)
-
-
-def split_by_size(df: DataFrame, keys: list[str], limit: int = GROUP_LIMIT):
-    """``(small, large)`` halves of ``df``; ``large`` is None when no group is large.
-
-    One cheap count decides. The list of large keys is joined back (never collected),
-    so it may itself be long.
-    """
-    big = materialize(large_groups(df, keys, limit))
-    if big.isEmpty():
-        return df, None
-    return df.join(big, keys, "left_anti"), df.join(big, keys, "left_semi")
