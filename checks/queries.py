@@ -556,7 +556,7 @@ def a22(fx):
 
 @query
 def a23(fx):
-    return ST.balance(fx.manifest())
+    return ST.balance(fx.manifest()).withColumn("fold", F.col("fold").cast("string"))
 
 
 @query
@@ -862,7 +862,7 @@ def e10(fx):
 
 
 def _epochs(fx):
-    e = F.explode(F.sequence(F.lit(0), F.lit(4))).cast("long")
+    e = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long")))
     d = fx.det().withColumn("epoch", e)
     return d.withColumn("score", F.when((F.col("det_id") + F.col("epoch")) % 5 == 0, F.col("score") * 0.25).otherwise(F.col("score")))
 
@@ -878,7 +878,7 @@ THRESH = (0.02, 0.1, 0.3, 0.5)
 
 
 def _seeds(fx):
-    d = fx.det().withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(1))).cast("long"))
+    d = fx.det().withColumn("seed", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(1).cast("long"))))
     return d.withColumn("score", F.col("score") * (1.0 - 0.125 * F.col("seed")))
 
 

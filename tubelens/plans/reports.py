@@ -163,8 +163,9 @@ def detection_report(det, gt_slices, volumes, score: float = C.DIAG_SCORE) -> Da
         F.max("_n").alias("n"), F.min("hit_slices").alias("hits"))
     mid = mid.select(F.lit("volume").alias("section"), F.lit("middle_hit_slices").alias("label"), "n", "hits",
                      F.lit(None).cast("double").alias("recall"))
-    missed = M.missed_volumes(m, f).agg(F.count(F.lit(1)).alias("hits")).select(
-        F.lit("volume").alias("section"), F.lit("missed").alias("label"), F.lit(None).cast("long").alias("n"), "hits",
+    of = m.agg(F.count_distinct("volume_id").alias("n"))
+    missed = attach(M.missed_volumes(m, f).agg(F.count(F.lit(1)).alias("hits")), of).select(
+        F.lit("volume").alias("section"), F.lit("missed").alias("label"), "n", "hits",
         F.lit(None).cast("double").alias("recall"))
     return union_all([brk, vol, mid, missed])
 
