@@ -82,7 +82,7 @@ gt_iso as (
 epoch_log as (
   select v%4 run, e%12 epoch, floor(avg(value))/cast(1000 as double) cpm, floor(max(value))%7/cast(10 as double) ceiling
   from fx_base group by 1, 2),
-slice_stats as (select volume_id, slice_z, count(*) n, avg(score) mean, sum(score*score) sumsq from det group by 1, 2),
+slice_stats as (select volume_id, slice_z, count(*) n, avg(score) mean, sum(score*score) sumsq, max(score) top from det group by 1, 2),
 anchors as (
   select v image, e%2 level, e anchor_id, cast((e*7)%160 as double) x1, cast((e*5)%110 as double) y1,
          cast((e*7)%160+16+16*(e%2) as double) x2, cast((e*5)%110+12+12*(e%2) as double) y2 from fx_base),
@@ -315,9 +315,9 @@ add("j12", """select bucket, count(*) n, avg((n_anchors=0)::int) frac_zero,
 cov as (select g.image, g.gt_id, b.bucket, count(a.anchor_id) n_anchors from anchor_gt g
   join buckets b on sqrt((g.x2-g.x1)*(g.x2-g.x1)+(g.y2-g.y1)*(g.y2-g.y1))>=b.lo and sqrt((g.x2-g.x1)*(g.x2-g.x1)+(g.y2-g.y1)*(g.y2-g.y1))<b.hi
   left join anchors a on a.image=g.image and {iou2('g', 'a')}>=0.2 group by 1, 2, 3),""")
-add("j13", """select s.volume_id, s.slice_z, o as "offset", greatest(0, least(11, s.slice_z+o)) source_z, t.n, t.mean
+add("j13", """select s.volume_id, s.slice_z, o as "offset", greatest(0, least(11, s.slice_z+o)) source_z, coalesce(t.n, 0) n, t.top
   from slice_stats s cross join range(-1, 2) r(o) left join slice_stats t on t.volume_id=s.volume_id and t.slice_z=greatest(0, least(11, s.slice_z+o))""",
-    "mean")
+    "top")
 add("j14", """select count(*) filter (public_id%11<>0) n_pairs, count(*) filter (public_id%11=0) n_unpaired,
   count(*) filter (public_id%11<>0 and public_id%5=0 and score_max/2>1e-9) n_mismatch from record""")
 add("j15", """select volume_id, z slice_z, exists(select 1 from gt_slices g where g.volume_id=v.volume_id and g.slice_z=z) is_lesion

@@ -400,7 +400,7 @@ def j12(fx):
 
 @query
 def j13(fx):
-    return CA.neighbour_rows(fx.slice_stats(), fx.meta(), ["n", "mean"])
+    return CA.neighbour_rows(fx.slice_stats(), fx.meta(), ["n", "top"]).na.fill(0, ["n"])
 
 
 @query

@@ -15,16 +15,43 @@ from tubelens.operators.prefix import union_all
 from tubelens.session import materialize
 
 POINT_LIMIT = 20_000
+EDGE_LIMIT = 500_000
 MAX_ROUNDS = 200
 
 
 # ---------------------------------------------------------------- components
-def connected_components(edges: DataFrame, by: list[str]) -> DataFrame:
+def connected_components(edges: DataFrame, by: list[str], limit: int = EDGE_LIMIT) -> DataFrame:
     """``by..., node, comp`` for the nodes of ``edges`` (``by..., u, v``); comp = smallest node.
 
-    Alternates two star contractions. Each is a grouped minimum (with partial aggregation) and
-    a join back, so a node with very many neighbours is never gathered.
+    Groups with up to ``limit`` edges are labelled as arrays, larger ones by distributed rounds.
     """
+    edges = materialize(edges.select(*by, "u", "v"))
+    small, large = split_by_size(edges, by, limit)
+    lab = per_group(small, by, ["u", "v"], ["u", "v"], _label_edges, [*by, "u", "v"], "comp")
+    out = lab.select(*by, F.col("u").alias("node"), "comp").unionByName(lab.select(*by, F.col("v").alias("node"), "comp"))
+    out = out.distinct()
+    return out if large is None else out.unionByName(_star_rounds(large, by))
+
+
+def _label_edges(g):
+    """Smallest node of the component of each edge: minimum over edges, then jump to the label's label."""
+    names, at = np.unique(np.concatenate([g["u"], g["v"]]), return_inverse=True)
+    u, v = at[:len(g["u"])], at[len(g["u"]):]
+    label = np.arange(len(names))
+    while True:
+        low = np.minimum(label[u], label[v])
+        new = label.copy()
+        np.minimum.at(new, u, low)
+        np.minimum.at(new, v, low)
+        new = new[new]
+        if np.array_equal(new, label):
+            return np.ones(len(u), dtype=bool), names[label[u]]
+        label = new
+
+
+def _star_rounds(edges: DataFrame, by: list[str]) -> DataFrame:
+    """Alternates two star contractions. Each is a grouped minimum (with partial aggregation) and a
+    join back, so a node with very many neighbours is never gathered."""
     def downhill(df):
         return df.where(F.col("u") != F.col("v")).select(
             *by, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
@@ -48,7 +75,9 @@ def connected_components(edges: DataFrame, by: list[str]) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     roots = cur.select(*by, F.col("v").alias("node"), F.col("v").alias("comp")).distinct()
-    return cur.select(*by, F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(roots)
+    loops = edges.where("u = v").select(*by, F.col("u").alias("node"), F.col("v").alias("comp"))
+    nodes = cur.select(*by, F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(roots)
+    return nodes.unionByName(loops.distinct().join(nodes, [*by, "node"], "left_anti"))
 
 
 def label_nodes(nodes: DataFrame, edges: DataFrame, by: list[str], row_id: str, out: str) -> DataFrame:
@@ -194,7 +223,7 @@ def nearest_neighbour(df: DataFrame, by: list[str], row_id: str = "cand_seq",
 def _runs(vox: DataFrame, keys: list[str], line: list[str], along: str) -> DataFrame:
     """Set cells of a line collapsed to runs ``keys, line, lo, hi``. A line is one image row."""
     w = Window.partitionBy(*keys, *line).orderBy(along)
-    isl = vox.select(*keys, *line, along).distinct().withColumn("_i", F.col(along) - F.row_number().over(w))
+    isl = vox.select(*keys, *line, along).withColumn("_i", F.col(along) - F.dense_rank().over(w))
     return isl.groupBy(*keys, *line, "_i").agg(F.min(along).alias("lo"), F.max(along).alias("hi")).drop("_i")
 
 

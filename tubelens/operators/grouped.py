@@ -30,7 +30,7 @@ def split_by_size(df: DataFrame, keys: list[str], limit: int) -> tuple[DataFrame
         large = df.join(big, keys, "left_semi")
         df = df.join(big, keys, "left_anti")
     cores = df.sparkSession.sparkContext.defaultParallelism
-    bins = max(math.ceil((s["total"] or 0) / max(limit, 1)), cores)
+    bins = max(math.ceil((s["total"] or 0) / max(limit, 1)), 8 * cores)
     return df.withColumn(BIN, F.pmod(F.xxhash64(*keys), F.lit(bins))), large
 
 
@@ -60,4 +60,7 @@ def per_group(df: DataFrame, keys: list[str], order: list[str], cols: list[str],
         res = pdf.loc[mask, out]
         return res if value is None else res.assign(**{value: np.concatenate([p[1] for p in parts])[mask]})
 
-    return df.select(BIN, *need).groupBy(BIN).applyInPandas(run, schema)
+    # the work per byte is high, so the number of tasks is set here and not merged by size
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return df.select(BIN, *need).repartition(tasks, BIN).groupBy(BIN).applyInPandas(run, schema)

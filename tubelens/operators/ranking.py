@@ -31,7 +31,7 @@ def rank_candidates(df: DataFrame, by=("detector_of_origin", "public_id"), seq:
 
 def number_candidates(df: DataFrame, order: list[Column], by=("detector_of_origin",), out: str = "cand_seq") -> DataFrame:
     """Add a 0-based number that runs across the volumes of each detector in the given order."""
-    blocks = P.range_blocks(df, list(by), order)
+    blocks = P.range_blocks(materialize(df), list(by), order)  # sampling for the ranges reads it too
     run = P.running(blocks, list(by), order, {out: ("sum", F.lit(1).cast("long"))})
     return run.withColumn(out, F.col(out) - 1).drop(P.BLOCK)
 

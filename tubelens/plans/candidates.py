@@ -83,9 +83,8 @@ def generate_candidates(det: DataFrame, gt: DataFrame, meta: DataFrame, routing:
     if cfg.nms_iou is not None:
         kept = G.nms_3d(pool, cfg.nms_iou, "tube_id", keys)
         pool = R.number_candidates(kept.drop("cand_seq"), emission_order())
-    pool = M.best_iou_per_row(pool, "tube_id", gt, ("public_id",)) if "detector_of_origin" not in gt.columns else \
-        M.best_iou_per_row(pool, "tube_id", gt, keys)
     pool = R.rank_candidates(pool, keys)
+    pool = M.best_iou_per_row(pool, ["detector_of_origin", "tube_id"], gt)
     info = routing.select("detector_of_origin", F.col("volume_id").alias("public_id"), "split", "fold")
     out = pool.join(info, keys).withColumns({
         "candidate_id": B.candidate_id(F.col("detector_of_origin"), F.col("public_id"), F.col("cand_seq")),

@@ -93,16 +93,16 @@ class Fixtures:
             "case when volume_id%10<=6 then volume_id%5 else -1 end fold", "case when volume_id%2=0 then 'B' else 'M' end label")
 
     def voxels(self) -> DataFrame:
-        """Set voxels of the lesion mask."""
+        """Set voxels of the lesion mask (lesions of one volume do not overlap)."""
         g = self.gt_slices()
         return (g.select("volume_id", F.col("slice_z").alias("d2"), F.explode(F.sequence("r0", "r1")).alias("d0"), "c0", "c1")
-                .select("volume_id", "d0", F.explode(F.sequence("c0", "c1")).alias("d1"), "d2").distinct())
+                .select("volume_id", "d0", F.explode(F.sequence("c0", "c1")).alias("d1"), "d2"))
 
     def slice_stats(self) -> DataFrame:
         """Intensity-like statistics per slice from the event values."""
         s = F.col("score")
         return self.det().groupBy("volume_id", "slice_z").agg(
-            F.count(F.lit(1)).alias("n"), F.avg(s).alias("mean"), F.sum(s * s).alias("sumsq"))
+            F.count(F.lit(1)).alias("n"), F.avg(s).alias("mean"), F.sum(s * s).alias("sumsq"), F.max(s).alias("top"))
 
     def dirty(self) -> DataFrame:
         """Detections where some rows break the contract."""

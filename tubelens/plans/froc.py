@@ -28,16 +28,16 @@ def volume_histograms(gt: DataFrame, pred: DataFrame, by=(), hit_iou: float = C.
     """``by..., public_id, bin, tp, fp``: a ground-truth box counts once, at its best hit; a
     prediction whose best IoU is not a hit is a false positive; repeat hits are neither."""
     keys = [*by, "public_id"]
-    hits = M.match_predictions(pred, gt, by).where(F.col("max_iou") > hit_iou).withColumn(
-        "bin", threshold_bin(F.col("probability")))
-    hits = materialize(hits.select(*keys, "hit_label", "bin"))
-    tp = (hits.groupBy(*keys, "hit_label").agg(F.max("bin").alias("bin"))
-          .select(*keys, "bin", F.lit(1).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp")))
-    hit_preds = hits.select(*keys, "bin", F.lit(0).cast("long").alias("tp"), F.lit(-1).cast("long").alias("fp"))
-    preds = pred.select(*keys, threshold_bin(F.col("probability")).alias("bin"),
-                        F.lit(0).cast("long").alias("tp"), F.lit(1).cast("long").alias("fp"))
-    return (P.union_all([tp, hit_preds, preds]).groupBy(*keys, "bin")
-            .agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp")).where((F.col("tp") != 0) | (F.col("fp") != 0)))
+    hits = M.match_predictions(pred, gt, by).where(F.col("max_iou") > hit_iou)
+    # at most 200 rows per box from here on
+    per_box = hits.groupBy(*keys, "hit_label", threshold_bin(F.col("probability")).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    best = F.max("bin").over(Window.partitionBy(*keys, "hit_label"))
+    hit_bins = per_box.withColumn("tp", (F.col("bin") == best).cast("long")).select(
+        *keys, "bin", "tp", (-F.col("n")).alias("fp"))
+    preds = pred.groupBy(*keys, threshold_bin(F.col("probability")).alias("bin")).agg(F.count(F.lit(1)).alias("fp")).select(
+        *keys, "bin", F.lit(0).cast("long").alias("tp"), "fp")
+    return (hit_bins.unionByName(preds).groupBy(*keys, "bin").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"))
+            .where((F.col("tp") != 0) | (F.col("fp") != 0)))
 
 
 def curve_from_bins(bins: DataFrame, sizes: DataFrame, by=()) -> DataFrame:
@@ -70,35 +70,36 @@ def froc_curve(gt: DataFrame, pred: DataFrame, by=(), groups: Optional[DataFrame
     return curve_from_bins(hist, group_sizes(gt, groups), by)
 
 
-def recall_at_fp(curve: DataFrame, key_fp=C.KEY_FP, by=()) -> DataFrame:
-    """Recall interpolated at each key FP: ``by..., key_fp, recall``.
-
-    The curve is read in (fp, p_thresh) order: 0 below its range, its maximum above.
-    """
+def _key_points(curve: DataFrame, key_fp, by) -> DataFrame:
+    """One row per group: ``keys`` (array of key_fp, recall), ``ceiling``, ``fp_at_ceiling``, ``cpm``."""
     point = F.struct("fp", "p_thresh", "recall")
-    aggs = [F.max("recall").alias("_top")]
+    aggs = [F.max("recall").alias("ceiling"), F.max("fp").alias("fp_at_ceiling")]
     for i, k in enumerate(key_fp):
         aggs += [F.max(F.when(F.col("fp") <= k, point)).alias(f"_a{i}"), F.min(F.when(F.col("fp") >= k, point)).alias(f"_b{i}")]
-    one = curve.groupBy(*by).agg(*aggs)
 
     def at(i, k):
         a, b = F.col(f"_a{i}"), F.col(f"_b{i}")
         line = a["recall"] + (b["recall"] - a["recall"]) * ((k - a["fp"]) / (b["fp"] - a["fp"] + 1e-8))
-        return F.when(a.isNull(), F.lit(0.0)).when(b.isNull(), F.col("_top")).otherwise(line)
+        return F.when(a.isNull(), F.lit(0.0)).when(b.isNull(), F.col("ceiling")).otherwise(line)
 
     rows = F.array(*[F.struct(F.lit(float(k)).alias("key_fp"), at(i, k).alias("recall")) for i, k in enumerate(key_fp)])
-    return one.select(*by, F.inline(rows))
+    total = F.aggregate("keys", F.lit(0.0), lambda acc, x: acc + x["recall"])
+    return curve.groupBy(*by).agg(*aggs).select(*by, "ceiling", "fp_at_ceiling", rows.alias("keys")).withColumn(
+        "cpm", total / len(key_fp))
+
+
+def recall_at_fp(curve: DataFrame, key_fp=C.KEY_FP, by=()) -> DataFrame:
+    """Recall interpolated at each key FP: ``by..., key_fp, recall``.
+
+    The curve is read in (fp, p_thresh) order: 0 below its range, its maximum above.
+    """
+    return _key_points(curve, key_fp, by).select(*by, F.inline("keys"))
 
 
 def froc_summary(curve: DataFrame, key_fp=C.KEY_FP, by=()) -> DataFrame:
     """``by..., cpm, ceiling, fp_at_ceiling, key_recall`` (map key FP -> recall)."""
-    keys = list(by)
-    k = recall_at_fp(curve, key_fp, by).groupBy(*keys).agg(
-        F.avg("recall").alias("cpm"),
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct("key_fp", "recall")))).alias("key_recall"))
-    c = curve.groupBy(*keys).agg(F.max("recall").alias("ceiling"), F.max("fp").alias("fp_at_ceiling"))
-    out = k.join(c, keys) if keys else P.attach(k, c)
-    return out.select(*keys, "cpm", "ceiling", "fp_at_ceiling", "key_recall")
+    return _key_points(curve, key_fp, by).select(
+        *by, "cpm", "ceiling", "fp_at_ceiling", F.map_from_entries("keys").alias("key_recall"))
 
 
 # ---------------------------------------------------------------- bootstrap
@@ -116,24 +117,23 @@ def draws(volumes: DataFrame, n_boot: int, seed: int) -> DataFrame:
     return d.select("b", i.alias("i")).groupBy("b", "i").agg(F.count(F.lit(1)).alias("weight")).join(idx, "i").drop("i")
 
 
-def bootstrap_values(gt: DataFrame, pred: DataFrame, n_boot: int = 1000, seed: int = 0) -> DataFrame:
-    """CPM of each replicate: ``b, cpm``."""
+def bootstrap_values(gt: DataFrame, hist: DataFrame, n_boot: int = 1000, seed: int = 0) -> DataFrame:
+    """CPM of each replicate, ``b, cpm``, from ``volume_histograms``."""
     per_gt = gt.groupBy("public_id").agg(F.count(F.lit(1)).alias("_n"))
-    hist = materialize(volume_histograms(gt, pred))
-    # one row per volume: the list has at most 200 entries
-    packed = hist.groupBy("public_id").agg(F.collect_list(F.struct("bin", "tp", "fp")).alias("h"))
     w = materialize(draws(gt, n_boot, seed))
     sizes = w.join(per_gt, "public_id").groupBy("b").agg(
         F.sum("weight").alias("n_vol"), F.sum(F.col("weight") * F.col("_n")).alias("n_gt"))
-    bins = (w.join(packed, "public_id").select("b", "weight", F.inline("h")).groupBy("b", "bin")
-            .agg(F.sum(F.col("weight") * F.col("tp")).alias("tp"), F.sum(F.col("weight") * F.col("fp")).alias("fp")))
-    return recall_at_fp(curve_from_bins(bins, sizes, ["b"]), by=["b"]).groupBy("b").agg(F.avg("recall").alias("cpm"))
+    bins = w.join(hist, "public_id").groupBy("b", "bin").agg(
+        F.sum(F.col("weight") * F.col("tp")).alias("tp"), F.sum(F.col("weight") * F.col("fp")).alias("fp"))
+    return _key_points(curve_from_bins(bins, sizes, ["b"]), C.KEY_FP, ["b"]).select("b", "cpm")
 
 
 def bootstrap_cpm(gt: DataFrame, pred: DataFrame, n_boot: int = 1000, seed: int = 0, ci: float = 0.95) -> DataFrame:
     """One row ``point, lo, hi``: CPM and its percentile interval over volume resamples."""
     a = (1.0 - ci) / 2.0
+    hist = materialize(volume_histograms(gt, pred))
     q = F.percentile("cpm", F.array(F.lit(a), F.lit(1.0 - a)))  # n_boot values
-    ci_row = bootstrap_values(gt, pred, n_boot, seed).agg(q.alias("q"))
-    point = froc_summary(froc_curve(gt, pred)).select(F.col("cpm").alias("point"))
+    ci_row = bootstrap_values(gt, hist, n_boot, seed).agg(q.alias("q"))
+    bins = hist.groupBy("bin").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"))
+    point = _key_points(curve_from_bins(bins, group_sizes(gt)), C.KEY_FP, ()).select(F.col("cpm").alias("point"))
     return P.attach(point, ci_row).select("point", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
