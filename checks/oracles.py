@@ -234,8 +234,8 @@ add("p6", "select volume_id, slice_z, component_id, " + ", ".join(
 add("p7", "select volume_id, " + ", ".join(f"{z} f{i}" for i, z in enumerate(ZF)) + ", " + ", ".join(
     f"{RE(f'({s})*{z}')} n{i}" for i, (s, z) in enumerate(zip(("800+volume_id%90", "600+volume_id%70", "300+volume_id%50"), ZF)))
     + " from vols", "f0 f1 f2")
-add("p8", f"select d.det_id, g.component_id, {iou2('d', 'g')} iou from det d join gt2 g using (volume_id, slice_z)", "iou")
-add("p9", "select pred_id, label_id, iou from pairs", "iou", PAIRS)
+add("p8", f"select d.det_id, g.component_id, {iou2('d', 'g')} iou from det d join gt2 g using (volume_id, slice_z) where {iou2('d', 'g')}>0", "iou")
+add("p9", "select pred_id, label_id, iou from pairs where iou>0", "iou", PAIRS)
 add("p10", "select cand_seq, iou_gt, case when iou_gt>0.3 then 'pos' when iou_gt<0.1 then 'neg' else 'ignore' end as label from record", "iou_gt")
 GAP = "sqrt(cast(power(greatest(0, a.r0-b.r1-1, b.r0-a.r1-1), 2)+power(greatest(0, a.c0-b.c1-1, b.c0-a.c1-1), 2) as double))"
 add("p11", f"""select a.volume_id, a.slice_z, {GAP} gap from gt_slices a join gt_slices b using (volume_id, slice_z)
@@ -548,24 +548,30 @@ add("e1", "select * from curve", "p_thresh fp recall", PAIRS + CURVE)
 add("e2", "select (select avg(recall) from kr) cpm, (select max(recall) from curve) ceiling, (select max(fp) from curve) fp_at_ceiling, " + ", ".join(
     f"(select recall from kr where key_fp={k}) r{i}" for i, k in enumerate((0.125, 0.25, 0.5, 1.0, 2.0, 4.0, 8.0))),
     "cpm ceiling fp_at_ceiling r0 r1 r2 r3 r4 r5 r6", PAIRS + CURVE + f"kr as ({at_keys('curve')}),")
-add("e3", """select (select avg(recall) from kr) point, quantile_cont(cpm, 0.025) lo, quantile_cont(cpm, 0.975) hi
-  from (select b, avg(recall) cpm from bkr group by b)""", "point lo hi", PAIRS + CURVE + f"""
-kr as ({at_keys('curve')}),
-vidx as (select public_id, row_number() over (order by public_id)-1 i, count(*) over () n from allvol),
+def bootstrap(n: int, src: str, s: str) -> str:
+    """Replicates of the CPM per group ``s`` of the best-match table ``src``: relation bkr(s, b, key_fp, recall)."""
+    return f"""
+grp as ({s}),
+vidx as (select public_id, row_number() over (order by public_id)-1 i from allvol),
 draw as (select b, cast('0x'||substr(md5('0:'||b||':'||j), 1, 8) as bigint)%(select count(*) from allvol) i
-  from range(100) x(b) cross join (select i j from vidx)),
+  from range({n}) x(b) cross join (select i j from vidx)),
 wgt as (select d.b, v.public_id, count(*) w from draw d join vidx v using (i) group by 1, 2),
-vcnt as (select b.public_id, t.p_thresh, count(distinct case when b.max_iou>0.3 then b.hit_label end) tp, count(case when b.max_iou<=0.3 then 1 end) fp
-  from thr t join pbest b on b.probability>=t.p_thresh group by 1, 2),
+vcnt as (select b.s, b.public_id, t.p_thresh, count(distinct case when b.max_iou>0.3 then b.hit_label end) tp,
+  count(case when b.max_iou<=0.3 then 1 end) fp from thr t join {src} b on b.probability>=t.p_thresh group by 1, 2, 3),
 bsz as (select w.b, sum(w.w) n_vol, sum(w.w*g.n) n_gt from wgt w join (select public_id, count(*) n from gt_boxes group by 1) g using (public_id) group by 1),
-bcnt as (select w.b, c.p_thresh, sum(w.w*c.tp) tp, sum(w.w*c.fp) fp from wgt w join vcnt c using (public_id) group by 1, 2),
-bcurve as (select s.b, t.p_thresh, (coalesce(c.fp,0)+1e-8)/(s.n_vol+1e-8) fp, (coalesce(c.tp,0)+1e-8)/(s.n_gt+1e-8) recall
-  from bsz s cross join thr t left join bcnt c on c.b=s.b and c.p_thresh=t.p_thresh),
-bkr as (select b, key_fp, case when lo is null then 0.0::double when hi is null then top else lo.r+(hi.r-lo.r)*((key_fp-lo.f)/(hi.f-lo.f+1e-8)) end recall
-  from (select c.b, k.key_fp, max(case when c.fp<=k.key_fp then {{'f': c.fp, 'p': c.p_thresh, 'r': c.recall}} end) lo,
+bcnt as (select c.s, w.b, c.p_thresh, sum(w.w*c.tp) tp, sum(w.w*c.fp) fp from wgt w join vcnt c using (public_id) group by 1, 2, 3),
+bcurve as (select g.s, z.b, t.p_thresh, (coalesce(c.fp,0)+1e-8)/(z.n_vol+1e-8) fp, (coalesce(c.tp,0)+1e-8)/(z.n_gt+1e-8) recall
+  from grp g cross join bsz z cross join thr t left join bcnt c on c.s=g.s and c.b=z.b and c.p_thresh=t.p_thresh),
+bkr as (select s, b, key_fp, case when lo is null then 0.0::double when hi is null then top else lo.r+(hi.r-lo.r)*((key_fp-lo.f)/(hi.f-lo.f+1e-8)) end recall
+  from (select c.s, c.b, k.key_fp, max(case when c.fp<=k.key_fp then {{'f': c.fp, 'p': c.p_thresh, 'r': c.recall}} end) lo,
         min(case when c.fp>=k.key_fp then {{'f': c.fp, 'p': c.p_thresh, 'r': c.recall}} end) hi, max(c.recall) top
-        from bcurve c cross join keyfp k group by 1, 2)),
-""")
+        from bcurve c cross join keyfp k group by 1, 2, 3)),
+bcpm as (select s, b, avg(recall) cpm from bkr group by 1, 2),
+"""
+
+
+add("e3", """select (select avg(recall) from kr) point, quantile_cont(cpm, 0.025) lo, quantile_cont(cpm, 0.975) hi from bcpm""", "point lo hi",
+    PAIRS + CURVE + f"kr as ({at_keys('curve')}), pb1 as (select *, 'all' s from pbest)," + bootstrap(100, "pb1", "select 'all' s"))
 FLOORS = "[0.0,0.03,0.05,0.07,0.1,0.15,0.2,0.3,0.5]"
 add("e7", f"""select f "floor", avg((t>0)::int) recall, sum(k)::bigint kept_total, sum(k)/count(*)::double pool_mean, max(k) pool_max, sum(t)::bigint n_tp_kept from (
   select f, v.public_id, count(s.pred_id) k, count(*) filter (s.iou_gt>0.3) t from (select unnest({FLOORS})::double f) x cross join allvol v
@@ -579,7 +585,8 @@ scnt as (select n.s, t.p_thresh, count(distinct case when b.max_iou>0.3 then b.p
 scurve as (select s, p_thresh, (fp+1e-8)/(n_vol+1e-8) fp, (tp+1e-8)/(n_gt+1e-8) recall from scnt cross join sizes),
 """
 LADDER += f"skr as ({at_keys('scurve', 's')}),\nladder as (select s detector_of_origin, avg(recall) cpm, (select max(recall) from scurve c where c.s=skr.s) ceiling from skr group by s),"
-add("e13", "select * from ladder", "cpm ceiling", PAIRS + CURVE + LADDER)
+add("e13", """select l.*, q.lo, q.hi from ladder l join (select s, quantile_cont(cpm, 0.025) lo, quantile_cont(cpm, 0.975) hi from bcpm group by 1) q
+  on q.s=l.detector_of_origin""", "cpm ceiling lo hi", PAIRS + CURVE + LADDER + bootstrap(40, "sbest", "select distinct s from scnt"))
 add("e13_seeds", "select 'all' k, avg(cpm) cpm_mean, stddev_pop(cpm) cpm_std, avg(ceiling) ceiling_mean, stddev_pop(ceiling) ceiling_std from ladder",
     "cpm_mean cpm_std ceiling_mean ceiling_std", PAIRS + CURVE + LADDER)
 add("e16", """select * from brk2

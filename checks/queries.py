@@ -222,20 +222,18 @@ def p7(fx):
                     *[F.col("iso")[i].alias(f"n{i}") for i in range(3)])
 
 
-def _same_slice(fx):
-    d, g = fx.det(), B.to_half_open(fx.gt_slices())
-    return S.prefixed(d, "a_", ["volume_id", "slice_z"]).join(S.prefixed(g, "b_", ["volume_id", "slice_z"]), ["volume_id", "slice_z"])
-
-
 @query
 def p8(fx):
-    return _same_slice(fx).select(F.col("a_det_id").alias("det_id"), F.col("b_component_id").alias("component_id"), B.iou_2d().alias("iou"))
+    d, g = fx.det(), B.to_half_open(fx.gt_slices())
+    p = S.overlap_pairs(d, g, ["volume_id", "slice_z"], S.AXES_2D, S.CELL_2D).withColumn("iou", B.iou_2d()).where("iou > 0")
+    return p.select(F.col("a_det_id").alias("det_id"), F.col("b_component_id").alias("component_id"), "iou")
 
 
 @query
 def p9(fx):
-    a, b = S.prefixed(fx.pred(), "a_", ["public_id"]), S.prefixed(fx.gt_boxes(), "b_", ["public_id"])
-    return a.join(b, "public_id").select(F.col("a_pred_id").alias("pred_id"), F.col("b_label_id").alias("label_id"), B.iou_3d().alias("iou"))
+    p = S.overlap_pairs(S.with_corners(fx.pred()), S.with_corners(fx.gt_boxes()), ["public_id"], S.AXES_3D, S.CELL_3D)
+    p = p.withColumn("iou", B.iou_3d()).where("iou > 0")
+    return p.select(F.col("a_pred_id").alias("pred_id"), F.col("b_label_id").alias("label_id"), "iou")
 
 
 @query
@@ -892,16 +890,20 @@ def e12(fx):
     return agg.join(pick, "thresh", "left").join(drops, "thresh", "left").na.fill(False, ["chosen", "recall_dropped"])
 
 
-@query
-def e13(fx):
+def _ladder(fx, n_boot=0):
     names = fx.spark.createDataFrame([(f"full_seed{s}",) for s in C.FULL_SEEDS], "detector_of_origin string")
     p = fx.pred().withColumn("detector_of_origin", F.concat(F.lit("full_seed"), (F.col("pred_id") % 3).cast("string")))
-    return RP.baseline_ladder(fx.gt_boxes(), p, names)
+    return RP.baseline_ladder(fx.gt_boxes(), p, names, n_boot)
+
+
+@query
+def e13(fx):
+    return _ladder(fx, 40)
 
 
 @query
 def e13_seeds(fx):
-    d = e13(fx).withColumn("k", F.lit("all"))
+    d = _ladder(fx).withColumn("k", F.lit("all"))
     return ST.over_seeds(d, ["k"], ["cpm", "ceiling"])
 
 
@@ -929,7 +931,9 @@ def e17(fx):
 
 @query
 def e18(fx):
-    return SW.threshold_probe(fx.det(), fx.meta(), fx.gt_boxes(), LINK, THRESH)
+    m = materialize(SW.threshold_probe(fx.det(), fx.meta(), fx.gt_boxes(), LINK, THRESH))
+    knee = R.recall_knee(m).select("thresh", F.lit(True).alias("is_knee"))
+    return m.join(knee, "thresh", "left").na.fill(False, ["is_knee"])
 
 
 @query

@@ -219,6 +219,54 @@ def nearest_neighbour(df: DataFrame, by: list[str], row_id: str = "cand_seq",
     return pts.join(union_all(found), by + list(cols)).select(*by, row_id, "nn_dist")
 
 
+def nearest_rows(queries: DataFrame, targets: DataFrame, keys: list[str], q_id: list[str], t_id: list[str], k: int,
+                 cols=("cx", "cy"), per_cell: int = 64) -> DataFrame:
+    """The ``k`` nearest targets of each query with equal ``keys``: ``keys, q_id, t_id, dist``.
+
+    Ties go to the smaller ``t_id``. Queries search the cells around them; one that has ``k``
+    targets within the cell side is done, the others search again with twice the side, so far
+    pairs are never formed. Queries with fewer than ``k`` targets keep all of them.
+    """
+    cc = [f"_c{i}" for i in range(len(cols))]
+    targets = materialize(targets.select(*keys, *t_id, *[F.col(c).cast("double").alias(c) for c in cols]))
+    todo = materialize(queries.select(*keys, *q_id, *[F.col(c).cast("double").alias(c) for c in cols]))
+    span = targets.select(*cols).union(todo.select(*cols)).agg(
+        *[(F.max(c) - F.min(c)).alias(c) for c in cols], F.count(F.lit(1)).alias("n")).first()
+    widest = max([span[c] or 0.0 for c in cols] + [1e-9])
+    side = widest / max(span["n"] ** (1.0 / len(cols)), 1.0)
+
+    def celled(d, size):
+        return d.withColumns({n: S.cell_of(F.col(c), size) for c, n in zip(cols, cc)})
+
+    # shrink the first side while distinct places crowd a cell
+    spots = materialize(targets.select(*keys, *cols).distinct())
+    while (celled(spots, side).groupBy(*keys, *cc).count().agg(F.max("count")).first()[0] or 0) > per_cell:
+        side /= 2.0
+    around = F.explode(F.array(*[F.struct(*[F.lit(v).alias(f"o{i}") for i, v in enumerate(o)])
+                                 for o in itertools.product((-1, 0, 1), repeat=len(cols))]))
+    names = [f"a_{c}" for c in q_id]
+    w = Window.partitionBy(*keys, *names).orderBy("dist", *[f"b_{c}" for c in t_id])
+    found = []
+    while True:
+        last = side > 2.0 * widest
+        q = S.prefixed(celled(todo, side).withColumn("_o", around), "a_", keys)
+        q = q.withColumns({n: F.col("a_" + n) + F.col(f"a__o.o{i}") for i, n in enumerate(cc)})
+        near = (q.join(S.prefixed(celled(targets, side), "b_", keys + cc), keys + cc).withColumn("dist", _distance(cols))
+                .withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k))
+        if not last:
+            full = F.count_if(F.col("dist") <= side).over(Window.partitionBy(*keys, *names)) >= k
+            near = near.withColumn("_full", full).where("_full")
+        hit = materialize(near.select(*keys, *[F.col("a_" + c).alias(c) for c in q_id], *[F.col("b_" + c).alias(c) for c in t_id], "dist"))
+        found.append(hit)
+        if last:
+            break
+        todo = materialize(todo.join(hit.select(*keys, *q_id).distinct(), keys + q_id, "left_anti"))
+        if todo.isEmpty():
+            break
+        side *= 2.0
+    return union_all(found)
+
+
 # ---------------------------------------------------------------- masks
 def _runs(vox: DataFrame, keys: list[str], line: list[str], along: str) -> DataFrame:
     """Set cells of a line collapsed to runs ``keys, line, lo, hi``. A line is one image row."""

@@ -64,7 +64,7 @@ def value_runs(df: DataFrame, by: list[str], value: str, counts: dict[str, Colum
     """Per distinct value: the given counts and their inclusive running sums ``cum_*``."""
     per_value = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(
         *[F.sum(c.cast("long")).alias(n) for n, c in counts.items()])
-    return _value_blocks(per_value, by, value, counts)
+    return _value_blocks(materialize(per_value), by, value, counts)  # the range sampling reads it too
 
 
 def exact_percentiles(df: DataFrame, by: list[str], value: str, qs) -> DataFrame:

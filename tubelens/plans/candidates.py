@@ -3,12 +3,13 @@ from __future__ import annotations
 
 from typing import Optional
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tubelens import config as C
 from tubelens import schemas as K
 from tubelens.config import LinkConfig
 from tubelens.functions import boxes as B
+from tubelens.operators import graph as GR
 from tubelens.operators import greedy as G
 from tubelens.operators import link as L
 from tubelens.operators import match as M
@@ -153,20 +154,19 @@ def adaptive_assign(gt: DataFrame, anchors: DataFrame, topk: int = C.ASSIGN_TOPK
 
     Per box and level the ``topk`` nearest anchors compete; those with IoU >= mean + std of the
     competitors and their centre inside the box are assigned, an anchor to its best box (first
-    on ties). Pairs are only formed inside an image; images hold a fixed anchor grid.
+    on ties).
     """
-    a = anchors.select("image", "level", "anchor_id", *[F.col(c).alias("a_" + c) for c in B.XYXY])
-    g = gt.select("image", "gt_id", *[F.col(c).alias("b_" + c) for c in B.XYXY])
-    mid = lambda p, lo, hi: (F.col(p + lo) + F.col(p + hi)) / 2.0
-    ax, ay = mid("a_", "x1", "x2"), mid("a_", "y1", "y2")
-    dx, dy = mid("b_", "x1", "x2") - ax, mid("b_", "y1", "y2") - ay
+    mid = {"cx": (F.col("x1") + F.col("x2")) / 2.0, "cy": (F.col("y1") + F.col("y2")) / 2.0}
+    levels = anchors.select("image", "level").distinct()
+    asked = gt.withColumns(mid).join(levels, "image")
+    near = GR.nearest_rows(asked, anchors.withColumns(mid), ["image", "level"], ["gt_id"], ["anchor_id"], topk)
+    a = S.prefixed(anchors.select("image", "anchor_id", *B.XYXY), "a_", ["image", "anchor_id"])
+    g = S.prefixed(gt.select("image", "gt_id", *B.XYXY), "b_", ["image", "gt_id"])
+    ax, ay = (F.col("a_x1") + F.col("a_x2")) / 2.0, (F.col("a_y1") + F.col("a_y2")) / 2.0
     inside = ax.between(F.col("b_x1"), F.col("b_x2")) & ay.between(F.col("b_y1"), F.col("b_y2"))
-    from pyspark.sql import Window
-    near = Window.partitionBy("image", "gt_id", "level").orderBy("_d", "anchor_id")
-    per_gt = Window.partitionBy("image", "gt_id")
-    cand = (a.join(g, "image").select("image", "gt_id", "level", "anchor_id", F.sqrt(dx * dx + dy * dy).alias("_d"),
-                                      B.iou_2d().alias("iou"), inside.alias("_in"))
-            .withColumn("_r", F.row_number().over(near)).where(F.col("_r") <= topk))
+    per_gt = Window.partitionBy("image", "gt_id")  # topk rows per level
+    cand = near.join(a, ["image", "anchor_id"]).join(g, ["image", "gt_id"]).select(
+        "image", "gt_id", "anchor_id", B.iou_2d().alias("iou"), inside.alias("_in"))
     pos = cand.withColumn("_t", F.avg("iou").over(per_gt) + F.stddev_pop("iou").over(per_gt)).where(
         (F.col("iou") >= F.col("_t")) & F.col("_in"))
     best = pos.groupBy("image", "anchor_id").agg(F.max(F.struct("iou", (-F.col("gt_id")).alias("g"))).alias("m"))

@@ -117,15 +117,20 @@ def draws(volumes: DataFrame, n_boot: int, seed: int) -> DataFrame:
     return d.select("b", i.alias("i")).groupBy("b", "i").agg(F.count(F.lit(1)).alias("weight")).join(idx, "i").drop("i")
 
 
-def bootstrap_values(gt: DataFrame, hist: DataFrame, n_boot: int = 1000, seed: int = 0) -> DataFrame:
-    """CPM of each replicate, ``b, cpm``, from ``volume_histograms``."""
+def bootstrap_values(gt: DataFrame, hist: DataFrame, n_boot: int = 1000, seed: int = 0, by=(),
+                     groups: Optional[DataFrame] = None) -> DataFrame:
+    """CPM of each replicate, ``by..., b, cpm``, from ``volume_histograms``. All groups (a short list)
+    see the same draws, so their differences are paired."""
+    keys = [*by, "b"]
     per_gt = gt.groupBy("public_id").agg(F.count(F.lit(1)).alias("_n"))
     w = materialize(draws(gt, n_boot, seed))
     sizes = w.join(per_gt, "public_id").groupBy("b").agg(
         F.sum("weight").alias("n_vol"), F.sum(F.col("weight") * F.col("_n")).alias("n_gt"))
-    bins = w.join(hist, "public_id").groupBy("b", "bin").agg(
+    if groups is not None:
+        sizes = groups.crossJoin(sizes)  # short list x replicates
+    bins = w.join(hist, "public_id").groupBy(*keys, "bin").agg(
         F.sum(F.col("weight") * F.col("tp")).alias("tp"), F.sum(F.col("weight") * F.col("fp")).alias("fp"))
-    return _key_points(curve_from_bins(bins, sizes, ["b"]), C.KEY_FP, ["b"]).select("b", "cpm")
+    return _key_points(curve_from_bins(bins, sizes, keys), C.KEY_FP, keys).select(*keys, "cpm")
 
 
 def bootstrap_cpm(gt: DataFrame, pred: DataFrame, n_boot: int = 1000, seed: int = 0, ci: float = 0.95) -> DataFrame:

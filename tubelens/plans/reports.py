@@ -106,10 +106,20 @@ def missed_verdict(frame: DataFrame, det: DataFrame, gt_iso: DataFrame, op_score
     return best.join(fire, "public_id").withColumn("verdict", verdict)
 
 
-def baseline_ladder(gt: DataFrame, pred: DataFrame, detectors: DataFrame) -> DataFrame:
-    """CPM and ceiling of each detector's predictions (``pred`` carries ``detector_of_origin``)."""
+def baseline_ladder(gt: DataFrame, pred: DataFrame, detectors: DataFrame, n_boot: int = 0, seed: int = 0,
+                    ci: float = 0.95) -> DataFrame:
+    """CPM and ceiling of each detector's predictions (``pred`` carries ``detector_of_origin``), with a
+    bootstrap interval ``lo, hi`` when ``n_boot`` is given."""
     by = ["detector_of_origin"]
-    return FR.froc_summary(FR.froc_curve(gt, pred, by, detectors), by=by).select(*by, "cpm", "ceiling")
+    hist = materialize(FR.volume_histograms(gt, pred, by))
+    bins = hist.groupBy(*by, "bin").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"))
+    out = FR.froc_summary(FR.curve_from_bins(bins, FR.group_sizes(gt, detectors), by), by=by).select(*by, "cpm", "ceiling")
+    if not n_boot:
+        return out
+    a = (1.0 - ci) / 2.0
+    boot = FR.bootstrap_values(gt, hist, n_boot, seed, by, detectors).groupBy(*by).agg(
+        F.percentile("cpm", F.array(F.lit(a), F.lit(1.0 - a))).alias("_q"))  # n_boot values
+    return out.join(boot, by).select(*out.columns, F.col("_q")[0].alias("lo"), F.col("_q")[1].alias("hi"))
 
 
 def dedup_whatif(pool: DataFrame, gt: DataFrame, volumes: DataFrame, nms_ious=(0.1, 0.3, 0.5),
