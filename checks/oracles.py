@@ -444,6 +444,8 @@ add("a22", """select count(*) n, min(recon_iou) as min, quantile_cont(recon_iou,
 add("a23", """select 3 as level, split, null::varchar as label, null::varchar as fold, count(*) n from manifest group by split
   union all select 1, split, label, null, count(*) from manifest group by split, label
   union all select 6, null, null, fold::varchar, count(*) from manifest group by fold""")
+add("a23_slices", """select split, 12*count(*) n_slices, 10*count(*) n_lesion, 2*count(*) n_background from manifest group by 1""")
+add("a23_labels", "select detector_of_origin, label, count(*) n, count(distinct public_id) n_volumes from record group by 1, 2")
 add("a24", "select epoch, avg(cpm) cpm_mean, stddev_pop(cpm) cpm_std, avg(ceiling) ceiling_mean, stddev_pop(ceiling) ceiling_std from epoch_log group by 1",
     "cpm_mean cpm_std ceiling_mean ceiling_std")
 add("a25", """select count(*) n, sum(cast('0x'||substr(s, 1, 12) as hugeint))::varchar h0, sum(cast('0x'||substr(s, 13, 12) as hugeint))::varchar h1
@@ -542,7 +544,7 @@ add("g8", f"""select volume_id, slice_z, min(r0) r0, min(c0) c0, max(r1) r1, max
 add("g9", "select volume_id, n_voxels from comp", "", COMP)
 add("g10", """select v.volume_id, v.d2, count(*) n, """ + ", ".join(f"{f}({t}) {n}_d{i}" for i, t in enumerate(("t0", "t1")) for n, f in (("min", "min"), ("max", "max"), ("sum", "sum"))).replace("sum(t0)", "sum(t0)::bigint").replace("sum(t1)", "sum(t1)::bigint") +
     """ from voxels v join (select t0, cast(floor((t0+0.5::double)*400/200) as bigint) s0 from range(200) t(t0)) a on a.s0=v.d0
-  join (select t1, cast(floor((t1+0.5::double)*640/320) as bigint) s1 from range(320) t(t1)) b on b.s1=v.d1 where v.d0<200 group by 1, 2""")
+  join (select t1, cast(floor((t1+0.5::double)*640/320) as bigint) s1 from range(320) t(t1)) b on b.s1=v.d1 group by 1, 2""")
 # ---------------------------------------------------------------- I
 add("e1", "select * from curve", "p_thresh fp recall", PAIRS + CURVE)
 add("e2", "select (select avg(recall) from kr) cpm, (select max(recall) from curve) ceiling, (select max(fp) from curve) fp_at_ceiling, " + ", ".join(

@@ -557,6 +557,16 @@ def a23(fx):
     return ST.balance(fx.manifest()).withColumn("fold", F.col("fold").cast("string"))
 
 
+@query
+def a23_slices(fx):
+    return ST.slice_balance(CA.enumerate_slices(fx.meta(), fx.gt_slices()), fx.manifest())
+
+
+@query
+def a23_labels(fx):
+    return ST.label_balance(fx.record())
+
+
 @query
 def a24(fx):
     return ST.over_seeds(fx.epoch_log(), ["epoch"], ["cpm", "ceiling"])
@@ -770,7 +780,7 @@ def g9(fx):
 
 @query
 def g10(fx):
-    return GR.regrid_mask(fx.voxels().where("d0 < 200"), fx.meta()).groupBy("volume_id", "d2").agg(
+    return GR.regrid_mask(fx.voxels(), fx.meta()).groupBy("volume_id", "d2").agg(
         F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{n}_{c}") for c in ("d0", "d1") for n, f in (("min", F.min), ("max", F.max), ("sum", F.sum))])
 
 

@@ -243,3 +243,27 @@ def test_separability_and_delta(spark):
     d = spark.createDataFrame([(3.0, True), (1.0, True), (2.0, False), (None, False)], "v double, a boolean")
     assert ST.cliffs_delta(d, "v", "a").first()["delta"] == 0.0
     assert ST.cliffs_delta(d.where("a"), "v", "a").first()["delta"] is None
+
+
+def test_nearest_rows(spark):
+    rng = random.Random(13)
+    t = [(0, i, float(rng.randint(0, 30)), float(rng.randint(0, 30))) for i in range(40)] + [(1, 90, 5.0, 5.0)]
+    q = [(g, i, float(rng.randint(0, 30)), float(rng.randint(0, 30))) for i in range(6) for g in (0, 1)] + [(0, 7, 400.0, 0.0)]
+    td = spark.createDataFrame(t, "g long, t long, cx double, cy double")
+    qd = spark.createDataFrame(q, "g long, q long, cx double, cy double")
+    got = sorted((r["g"], r["q"], r["t"]) for r in GR.nearest_rows(qd, td, ["g"], ["q"], ["t"], 3, per_cell=2).collect())
+    want = []
+    for g, i, x, y in q:
+        near = sorted((((x - tx) ** 2 + (y - ty) ** 2) ** 0.5, j) for h, j, tx, ty in t if h == g)
+        want += [(g, i, j) for _, j in near[:3]]
+    assert got == sorted(want)
+
+
+def test_one_hot_slice(spark):
+    """One slice holds nearly all boxes, all stacked: suppression and matching stay exact and linear."""
+    rng = random.Random(17)
+    rows = [dict(det_id=i, volume_id=0, slice_z=0, x1=float(rng.randint(0, 6)), y1=float(rng.randint(0, 6)),
+                 x2=float(rng.randint(30, 40)), y2=float(rng.randint(30, 40)), score=rng.randint(0, 99) / 100.0) for i in range(300)]
+    det = frame(spark, rows)
+    want = N.keep_best(rows, lambda r: r["score"], "det_id", lambda a, b: N.iou2(a, b) > 0.6)
+    assert {r["det_id"] for r in G.nms_2d(det, 0.6, limit=50).collect()} == want

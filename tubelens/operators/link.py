@@ -23,6 +23,7 @@ from tubelens.operators.prefix import dense_index, union_all
 from tubelens.session import materialize
 
 LINK_LIMIT = 200_000
+BLOCK_CELLS = 2_000_000   # IoU cells computed at once inside a task
 BOX = ["x1", "y1", "x2", "y2"]
 MEMBER = ["det_id", "slice_z", *BOX, "score"]
 MAX_ROUNDS = 100_000
@@ -38,57 +39,71 @@ def link_edges(det: DataFrame, link_iou: float, max_z_gap: int, by=("volume_id",
 
 
 # ---------------------------------------------------------------- grouped form
-def _tubes_of(z, box, score, cfg: LinkConfig) -> np.ndarray:
-    """Seed position of every box (rows sorted by slice, box, id); -1 where the tube is short.
+def _choices(z, box, cfg: LinkConfig):
+    """Per row, in both directions: the rows it may link to, best first.
 
-    Rows of a slice window are one index range, so each step is one array operation, and the
-    first maximum is the required tie-break.
+    IoU is computed for whole slices against their window, in blocks of bounded size. Equal IoUs
+    keep row order (slice, box, id).
     """
+    area = (box[2] - box[0]) * (box[3] - box[1])
+    lows, highs, ious = [], [], []
+    edges = np.flatnonzero(np.append(True, z[1:] != z[:-1]))
+    for lo, hi in zip(edges, np.append(edges[1:], len(z))):
+        w_lo = np.searchsorted(z, z[lo] + 1, "left")
+        w_hi = np.searchsorted(z, z[lo] + cfg.max_z_gap + 1, "right")
+        if w_lo == w_hi:
+            continue
+        other = slice(w_lo, w_hi)
+        rows = max(1, BLOCK_CELLS // (w_hi - w_lo))
+        for s in range(lo, hi, rows):
+            mine = slice(s, min(s + rows, hi))
+            w = np.minimum(box[2, mine, None], box[2, None, other]) - np.maximum(box[0, mine, None], box[0, None, other])
+            h = np.minimum(box[3, mine, None], box[3, None, other]) - np.maximum(box[1, mine, None], box[1, None, other])
+            inter = np.maximum(w, 0.0) * np.maximum(h, 0.0)
+            union = area[mine, None] + area[None, other] - inter
+            iou = np.divide(inter, union, out=np.zeros_like(inter), where=union > 0)
+            i, j = np.nonzero(iou >= cfg.link_iou)
+            lows.append(i + s)
+            highs.append(j + w_lo)
+            ious.append(iou[i, j])
+    if not lows:
+        return [([], [0] * (len(z) + 1))] * 2
+    low, high, iou = (np.concatenate(x) for x in (lows, highs, ious))
+    out = []
+    for head, cand in ((low, high), (high, low)):
+        order = np.lexsort((cand, -iou, head))
+        out.append((cand[order].tolist(), np.searchsorted(head[order], np.arange(len(z) + 1)).tolist()))
+    return out
+
+
+def _tubes_of(z, box, score, cfg: LinkConfig) -> np.ndarray:
+    """Seed position of every box (rows sorted by slice, box, id); -1 where the tube is short."""
     n = len(z)
     owner = np.full(n, -1, dtype=np.int64)
-    free = np.ones(n, dtype=bool)
-    area = (box[2] - box[0]) * (box[3] - box[1])
-    mid = np.stack([(box[0] + box[2]) / 2.0, (box[1] + box[3]) / 2.0])
-
-    def best_from(head, z_lo, z_hi):
-        lo, hi = np.searchsorted(z, z_lo, "left"), np.searchsorted(z, z_hi, "right")
-        cand = lo + np.flatnonzero(free[lo:hi])
-        if not len(cand):
-            return None
-        w = np.minimum(box[2, cand], box[2, head]) - np.maximum(box[0, cand], box[0, head])
-        h = np.minimum(box[3, cand], box[3, head]) - np.maximum(box[1, cand], box[1, head])
-        inter = np.maximum(w, 0.0) * np.maximum(h, 0.0)
-        union = area[head] + area[cand] - inter
-        iou = np.divide(inter, union, out=np.zeros(len(cand)), where=union > 0)
-        k = iou.argmax()
-        return cand[k] if iou[k] >= cfg.link_iou else None
-
-    for seed in np.lexsort((np.arange(n), -score)):
+    free = [True] * n
+    ways = _choices(z, box, cfg)
+    xs, ys, zs = ((box[0] + box[2]) / 2.0).tolist(), ((box[1] + box[3]) / 2.0).tolist(), z.tolist()
+    for seed in np.lexsort((np.arange(n), -score)).tolist():
         if not free[seed]:
             continue
         free[seed] = False
-        tube, total = [seed], mid[:, seed].copy()
-        z_min = z_max = z[seed]
-        for up in (True, False):
+        tube, sx, sy, z_min, z_max = [seed], xs[seed], ys[seed], zs[seed], zs[seed]
+        for cand, start in ways:
             head = seed
             while True:
-                reach = cfg.max_z_gap + 1
-                nxt = best_from(head, z[head] + 1, z[head] + reach) if up else \
-                    best_from(head, z[head] - reach, z[head] - 1)
+                nxt = next((c for c in cand[start[head]:start[head + 1]] if free[c]), None)
                 if nxt is None:
                     break
-                if cfg.max_tube_zspan is not None and \
-                        max(z_max, z[nxt]) - min(z_min, z[nxt]) + 1 > cfg.max_tube_zspan:
+                lo, hi = min(z_min, zs[nxt]), max(z_max, zs[nxt])
+                if cfg.max_tube_zspan is not None and hi - lo + 1 > cfg.max_tube_zspan:
                     break
                 if cfg.max_centroid_drift is not None:
-                    dx, dy = mid[:, nxt] - total / len(tube)
-                    if (dx ** 2 + dy ** 2) ** 0.5 > cfg.max_centroid_drift:
+                    dx, dy = xs[nxt] - sx / len(tube), ys[nxt] - sy / len(tube)
+                    if (dx * dx + dy * dy) ** 0.5 > cfg.max_centroid_drift:
                         break
                 free[nxt] = False
                 tube.append(nxt)
-                total += mid[:, nxt]
-                z_min, z_max = min(z_min, z[nxt]), max(z_max, z[nxt])
-                head = nxt
+                sx, sy, z_min, z_max, head = sx + xs[nxt], sy + ys[nxt], lo, hi, nxt
         if len(tube) >= cfg.min_tube_len:
             owner[tube] = seed
     return owner

@@ -202,6 +202,19 @@ def balance(manifest: DataFrame) -> DataFrame:
     return g.agg(F.count(F.lit(1)).alias("n"), F.grouping_id().cast("long").alias("level")).select("level", "split", "label", "fold", "n")
 
 
+def slice_balance(samples: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Lesion and background slices of each split."""
+    j = samples.join(manifest.select("volume_id", "split"), "volume_id")
+    return j.groupBy("split").agg(F.count(F.lit(1)).alias("n_slices"), F.count_if("is_lesion").alias("n_lesion"),
+                                  F.count_if(~F.col("is_lesion")).alias("n_background"))
+
+
+def label_balance(pool: DataFrame) -> DataFrame:
+    """Candidates and volumes of each (detector, label)."""
+    per = pool.groupBy("detector_of_origin", "label", "public_id").agg(F.count(F.lit(1)).alias("_n"))
+    return per.groupBy("detector_of_origin", "label").agg(F.sum("_n").alias("n"), F.count(F.lit(1)).alias("n_volumes"))
+
+
 def over_seeds(df: DataFrame, by, cols) -> DataFrame:
     """Mean and population std of each column over the other dimension; NULL and NaN are skipped."""
     d = _finite(df, cols)

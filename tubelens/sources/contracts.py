@@ -52,16 +52,27 @@ def _check_types(df: DataFrame, schema: T.StructType) -> None:
 
 
 def validate(df: DataFrame, schema: T.StructType, mode: str = "fail"):
-    """``fail``: raise on the first broken rule, else the contract's columns. ``split``: (good, bad)
-    where bad rows carry ``violations``. ``lazy``: raise inside the query that reads the rows."""
+    """Check types at once and rows by ``mode``.
+
+    ``fail``: count violations first, raise if any. ``lazy``: raise inside the query that reads the
+    rows, in generated code and without a job of its own. ``split``: (good, bad) where bad rows carry
+    ``violations``. ``trusted``: no row check, so column pruning and pushdown are untouched.
+    """
     _check_types(df, schema)
+    if mode == "trusted":
+        return K.select_contract(df, schema)
     if mode == "split":
         v = with_violations(df, schema)
         return v.where(F.size("violations") == 0).drop("violations"), v.where(F.size("violations") > 0)
     if mode == "lazy":
-        v = with_violations(df, schema)
-        bad = F.raise_error(F.concat(F.lit("contract violation: "), F.concat_ws(",", "violations")))
-        return v.where(F.when(F.size("violations") == 0, F.lit(True)).otherwise(bad.cast("boolean"))).drop("violations")
+        names = [F.when(cond, F.lit(name)) for name, cond in _rules(schema).items()]
+        bad = F.lit(False)
+        for cond in _rules(schema).values():
+            bad = bad | F.coalesce(cond, F.lit(False))
+        stop = F.raise_error(F.concat(F.lit("contract violation: "), F.concat_ws(",", *names))).cast("boolean")
+        return K.select_contract(df, schema).where(F.when(bad, stop).otherwise(F.lit(True)))
+    if mode != "fail":
+        raise ValueError(f"unknown mode {mode!r}")
     counts = violation_counts(df, schema).first().asDict()
     broken = {k: v for k, v in counts.items() if k != "n_rows" and v}
     if broken:
