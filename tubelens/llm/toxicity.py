@@ -1,11 +1,12 @@
-"""Toxicity by class-conditional Kneser-Ney models.
+"""Toxicity by class-conditional Kneser-Ney models of spelling.
 
-Two word models, one of toxic and one of ordinary labelled texts, share their backoff: a word's share
-of the lowest level is the number of different contexts it follows in either class. Counts are gathered from
-every labelled training row by Spark. Words fall into 2^16 and contexts into 2^6 hash classes, so the finished
-table of log-likelihood ratios has a fixed size (16 MB) whatever the corpus. A text is judged by ratios
-per word: over the whole text and over its most toxic stretch of STRETCH words; a logistic curve fitted on
-training rows that gave no counts turns these into a score.
+Two letter models, one of toxic and one of ordinary labelled texts, predict each letter of a word from up to
+CONTEXT letters before it. What a class has rarely seen backs off to shared counts: in how many different longer
+contexts, of either class, a letter follows a context of BACKOFF letters. So unseen forms of a known expression are
+still recognised. Counts are gathered from every labelled training row by Spark; contexts fall into 2^16 hash
+classes, so the finished table of log-likelihood ratios has a fixed size (8 MB) whatever the corpus. A text is judged by
+length-normalised ratios: per letter of the whole text, of its most toxic word and of its most toxic stretch; a
+logistic curve fitted on training rows that gave no counts turns these into a score.
 
 Training rows: labelled rows whose crc32(id as text) mod 4 is not 2. Of these, remainder 1 fits the curve
 (at most FIT_ROWS rows, a documented bound), remainders 0 and 3 give the counts (all of them).
@@ -22,27 +23,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tubelens.llm.common import documents, held_out, table
-from tubelens.llm.kernels import NOT_LETTER, Words, chunks, mix
+from tubelens.llm.kernels import NOT_LETTER, Words, _BYTE, chunks, mix, prefix, ranges, span_hash
 
-WORD_BITS, CTX_BITS = 16, 6
+CTX_BITS, SYM_BITS = 16, 5
+CONTEXT, BACKOFF = 5, 3
 DISCOUNT = 0.75
 STRETCH = 12
 FIT_ROWS = 20_000
 THRESHOLD = 0.3
 BROADCAST_ROWS = 4_000_000
-FEATURES = ["mean", "peak", "logn"]
-SEEN = "n0 long, n1 long"
+FEATURES = ["mean", "word", "peak", "logn"]
+#: A letter's symbol: a-z, or one of six for bytes of longer characters.
+_SYMBOL = np.zeros(256, dtype=np.int64)
+_SYMBOL[97:123] = np.arange(26)
+_SYMBOL[128:] = 26 + np.arange(128) % 6
 
 
-def cells(w: Words) -> np.ndarray:
-    """Cell of every word: its class and the class of the word before it in the text."""
-    own = (w.hash >> np.uint64(64 - WORD_BITS)).astype(np.int64)
-    ctx = (mix(w.hash) >> np.uint64(64 - CTX_BITS)).astype(np.int64)
-    before = np.zeros(len(own), dtype=np.int64)
-    before[1:] = ctx[:-1]
-    starts = w.lo[w.hi > w.lo]
-    before[starts] = 0
-    return (own << CTX_BITS) | before
+def letters(w: Words, backoff: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """``(word, cell, backoff cell)`` of every letter; a cell is a context's hash class and the letter."""
+    size = w.end - w.start
+    word = np.repeat(np.arange(len(size)), size)
+    at = ranges(w.start, size)
+    pre = prefix(_BYTE[w.buf])
+    begin = w.start[word]
+
+    def cell(k: int) -> np.ndarray:
+        # a context that reaches the word's start differs from the same letters inside a word
+        lo = np.maximum(begin, at - k)
+        h = span_hash(pre, lo, at) ^ ((lo == begin) & (at - begin < k)).astype(np.uint64)
+        return ((mix(h) >> np.uint64(64 - CTX_BITS)).astype(np.int64) << SYM_BITS) | _SYMBOL[w.buf[at]]
+
+    return word, cell(CONTEXT), cell(BACKOFF) if backoff else None
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -61,64 +72,76 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def count_cells(rows: DataFrame) -> DataFrame:
-    """``cell, n0, n1``: how often each cell occurs in ordinary and toxic rows."""
+    """``cell, low, n0, n1``: how often a letter follows a context in ordinary and toxic rows, with its backoff cell."""
     def run(batches):
         seen, held = [], 0
+
         def flush():
             key, n = np.unique(np.concatenate(seen), return_counts=True)
-            return pd.DataFrame({"cell": key >> 1, "toxic": key & 1, "n": n}).pivot_table(
-                index="cell", columns="toxic", values="n", fill_value=0, aggfunc="sum").reindex(columns=[0, 1], fill_value=0)
+            pair, at = np.unique(key >> 1, return_inverse=True)
+            n0 = np.bincount(at, weights=n * (1 - (key & 1)), minlength=len(pair)).astype(np.int64)
+            n1 = np.bincount(at, weights=n * (key & 1), minlength=len(pair)).astype(np.int64)
+            bits = CTX_BITS + SYM_BITS
+            return pa.RecordBatch.from_arrays(
+                [pa.array((pair >> bits).astype(np.int32)), pa.array((pair & ((1 << bits) - 1)).astype(np.int32)), pa.array(n0), pa.array(n1)],
+                ["cell", "low", "n0", "n1"])
+
         for b, buf, at in chunks(batches):
             w = Words(buf, at, lower=True, gap=NOT_LETTER)
             toxic = np.asarray(b.column("toxic").to_numpy(zero_copy_only=False) > 0, dtype=np.int64)
-            seen.append((cells(w) << 1) | toxic[w.doc])
-            held += len(seen[-1])
+            word, cell, low = letters(w, backoff=True)
+            seen.append((((cell << (CTX_BITS + SYM_BITS)) | low) << 1) | toxic[w.doc[word]])
+            held += len(word)
             if held > 4_000_000:
-                t = flush()
-                yield pa.RecordBatch.from_arrays([pa.array(t.index, pa.int32()), pa.array(t[0], pa.int64()), pa.array(t[1], pa.int64())], ["cell", "n0", "n1"])
+                yield flush()
                 seen, held = [], 0
         if held:
-            t = flush()
-            yield pa.RecordBatch.from_arrays([pa.array(t.index, pa.int32()), pa.array(t[0], pa.int64()), pa.array(t[1], pa.int64())], ["cell", "n0", "n1"])
-
-    per_task = rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, f"cell int, {SEEN}")
-    return per_task.groupBy("cell").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-
-
-def log_ratios(cell: np.ndarray, n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    """log P(word | context, toxic) - log P(word | context, ordinary) of every cell."""
-    words, ctxs = 1 << WORD_BITS, 1 << CTX_BITS
-    grid = np.zeros((2, words, ctxs))
-    grid[0].reshape(-1)[cell], grid[1].reshape(-1)[cell] = n0, n1
-    contexts = (grid.sum(0) > 0).sum(1) + 1.0 / words  # shared: in how many contexts a word occurs
-    base = contexts / contexts.sum()
+            yield flush()
+
+    per_task = rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "cell int, low int, n0 long, n1 long")
+    return per_task.groupBy("cell", "low").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
+
+def log_ratios(cell: np.ndarray, low: np.ndarray, n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    """log P(letter | context, toxic) - log P(letter | context, ordinary) of every cell."""
+    ctxs, syms = 1 << CTX_BITS, 1 << SYM_BITS
+    follows = np.bincount(low, minlength=ctxs * syms).reshape(ctxs, syms)  # distinct longer contexts, both classes
+    shared = (follows + 0.5 / syms) / (follows.sum(1, keepdims=True) + 0.5)
+    back = np.zeros(ctxs * syms)
+    weight = np.zeros(ctxs * syms)
+    np.add.at(back, cell, (n0 + n1) * shared.reshape(-1)[low])
+    np.add.at(weight, cell, n0 + n1)
+    # letters never seen in a context: the mean backoff share left over, alike for both classes
+    base = np.where(weight > 0, back / np.maximum(weight, 1), 0.5 / syms).reshape(ctxs, syms)
     out = []
-    for g in grid:
-        by_word, by_ctx = g.sum(1), g.sum(0)
-        total = by_word.sum()
-        one = (np.maximum(by_word - DISCOUNT, 0) + DISCOUNT * (by_word > 0).sum() * base) / total
-        rest = DISCOUNT * (g > 0).sum(0)
+    for n in (n0, n1):
+        g = np.bincount(cell, weights=n, minlength=ctxs * syms).reshape(ctxs, syms)
+        total, kinds = g.sum(1, keepdims=True), (g > 0).sum(1, keepdims=True)
         with np.errstate(invalid="ignore", divide="ignore"):
-            two = (np.maximum(g - DISCOUNT, 0) + rest[None, :] * one[:, None]) / by_ctx[None, :]
-        two = np.where(by_ctx[None, :] > 0, two, one[:, None])
-        out.append(two)
+            p = (np.maximum(g - DISCOUNT, 0) + DISCOUNT * kinds * base) / total
+        out.append(np.where(total > 0, p, base))
     return np.log(out[1] / out[0]).astype(np.float32).reshape(-1)
 
 
 def features(ratio: np.ndarray, w: Words) -> np.ndarray:
-    """Per text: mean ratio, highest mean of STRETCH consecutive words, log of the length."""
+    """Per text: mean ratio of a letter, highest of a word, highest mean of STRETCH words, log of the length."""
     docs = len(w.at) - 1
     n = (w.hi - w.lo).astype(np.float64)
-    cum = np.concatenate([[0.0], np.cumsum(ratio[cells(w)].astype(np.float64))])
-    mean = (cum[w.hi] - cum[w.lo]) / np.maximum(n, 1)
-    peak = mean * np.minimum(n, STRETCH) / STRETCH
-    if len(w.hash) >= STRETCH:
+    word, cell, _ = letters(w)
+    value = np.bincount(word, weights=ratio[cell], minlength=len(w.hash))
+    cum = np.concatenate([[0.0], np.cumsum(value)])
+    size = np.bincount(w.doc, weights=w.end - w.start, minlength=docs)
+    whole = cum[w.hi] - cum[w.lo]
+    best = np.zeros(docs)
+    np.maximum.at(best, w.doc, value)
+    peak = whole / STRETCH
+    if len(value) >= STRETCH:
         s = (cum[STRETCH:] - cum[:-STRETCH]) / STRETCH
         at = np.flatnonzero(w.doc[:len(s)] == w.doc[STRETCH - 1:])
         long = np.full(docs, -np.inf)
         np.maximum.at(long, w.doc[at], s[at])
         peak = np.where(np.isfinite(long), long, peak)
-    return np.stack([mean, peak, np.log1p(n)], 1)
+    return np.stack([whole / np.maximum(size, 1), best, peak, np.log1p(n)], 1)
 
 
 def fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -140,25 +163,26 @@ def fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
 def train(docs: DataFrame, labels: DataFrame) -> dict:
     """The model: ``ratio`` (fixed size) and the curve. Counts come from all training rows."""
     rows = labelled(docs, labels)
-    seen = count_cells(rows.where("part in (0, 3)")).toPandas()  # at most 2^22 rows, whatever the corpus
+    # at most one row per cell and backoff cell: a bound set by the hash classes, not by the corpus
+    seen = count_cells(rows.where("part in (0, 3)")).toPandas()
     n0, n1 = (seen[c].to_numpy() for c in ("n0", "n1"))
     if not len(seen) or not n0.sum() or not n1.sum():
         share = rows.agg(F.avg((F.col("toxic") > 0).cast("double"))).first()[0] or 0.0
         return {"ratio": None, "share": float(share)}
-    ratio = log_ratios(seen["cell"].to_numpy(), n0, n1)
+    ratio = log_ratios(seen["cell"].to_numpy(), seen["low"].to_numpy(), n0, n1)
     box = docs.sparkSession.sparkContext.broadcast(ratio)
 
     def run(batches):
         for b, buf, at in chunks(batches):
             f = features(box.value, Words(buf, at, lower=True, gap=NOT_LETTER))
             y = np.asarray(b.column("toxic").to_numpy(zero_copy_only=False) > 0, dtype=np.float64)
-            yield pa.RecordBatch.from_arrays([pa.array(f[:, k]) for k in range(3)] + [pa.array(y)], [*FEATURES, "y"])
+            yield pa.RecordBatch.from_arrays([pa.array(f[:, k]) for k in range(len(FEATURES))] + [pa.array(y)], [*FEATURES, "y"])
 
     kinds = ", ".join(f"{c} double" for c in [*FEATURES, "y"])
     got = rows.where("part = 1").select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, kinds).limit(FIT_ROWS).toPandas()
     y = got["y"].to_numpy() if len(got) else np.zeros(0)
     if not len(y) or y.min() == y.max():
-        curve = (np.zeros(3), np.ones(3), np.array([0.0, 1.0, 0.0, -1.0]))
+        curve = (np.zeros(4), np.ones(4), np.array([0.0, 1.0, 0.0, 0.0, -4.0]))
     else:
         curve = fit(got[FEATURES].to_numpy(), y)
     return {"ratio": ratio, "curve": curve}
