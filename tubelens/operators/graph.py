@@ -30,7 +30,7 @@ def connected_components(edges: DataFrame, by: list[str], limit: int = EDGE_LIMI
     lab = per_group(small, by, ["u", "v"], ["u", "v"], _label_edges, [*by, "u", "v"], "comp")
     out = lab.select(*by, F.col("u").alias("node"), "comp").unionByName(lab.select(*by, F.col("v").alias("node"), "comp"))
     out = out.distinct()
-    return out if large is None else out.unionByName(_star_rounds(large, by))
+    return out if large is None else out.unionByName(star_components(large, by))
 
 
 def _label_edges(g):
@@ -49,7 +49,7 @@ def _label_edges(g):
         label = new
 
 
-def _star_rounds(edges: DataFrame, by: list[str]) -> DataFrame:
+def star_components(edges: DataFrame, by: list[str]) -> DataFrame:
     """Alternates two star contractions. Each is a grouped minimum (with partial aggregation) and a
     join back, so a node with very many neighbours is never gathered."""
     def downhill(df):
