@@ -1,8 +1,8 @@
 """One query per operator, and SQL where SQL can express it."""
 from __future__ import annotations
 
-from tubelens.llm import bpe, exact, langid, shards, toxicity
+from tubelens.llm import bpe, exact, langid, minhash, shards, toxicity
 
 QUERIES = {f.__name__: f for f in (
-    exact.op1_exact_dedup, shards.op4_sharding, langid.op7_langid, bpe.op8_bpe, toxicity.op10_toxicity)}
+    exact.op1_exact_dedup, minhash.op2_minhash, shards.op4_sharding, langid.op7_langid, bpe.op8_bpe, toxicity.op10_toxicity)}
 SQL = {"op1_exact_dedup": exact.SQL}
