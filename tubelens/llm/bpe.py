@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -116,8 +117,6 @@ class Encoder:
         self.token = np.array(v.tokens, dtype=object)
 
     def words(self, text: str) -> list[str]:
-        import unicodedata
-
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # no final-sigma rule
         return self.find(text.lower())

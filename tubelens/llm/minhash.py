@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from tubelens.llm.common import documents, stored
-from tubelens.llm.kernels import Words, chunks, mix, ranges
+from tubelens.llm.kernels import Words, chunks, mix, pieces, ranges
 from tubelens.operators.graph import star_components
 
 BANDS, ROWS = 40, 5
@@ -150,7 +150,7 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
             raw = [d.decompress(z) for z in zs]
             at = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
             hu, hv = [], []
-            for i, j in _parts(at):
+            for i, j in pieces(at):
                 buf = np.frombuffer(b"".join(raw[i:j]), dtype=np.uint8)
                 h, first, count = shingle_sets(Words(buf, at[i:j + 1] - at[i], lower=True), k)
                 for r in range(i, j):
@@ -167,12 +167,6 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
     return rows.mapInArrow(run, "u long, v long")
 
 
-def _parts(at):
-    from tubelens.llm.kernels import pieces
-
-    return pieces(at)
-
-
 def crossing(rows: DataFrame, sig: DataFrame, percent: int) -> DataFrame:
     """Pairs ``u < v`` of different components that share a band and whose sketches don't rule out the similarity.
 
