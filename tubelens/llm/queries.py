@@ -1,8 +1,8 @@
 """One query per operator, and SQL where SQL can express it."""
 from __future__ import annotations
 
-from tubelens.llm import bpe, bytedup, exact, langid, minhash, shards, substring, toxicity
+from tubelens.llm import bpe, bytedup, decontaminate, exact, langid, minhash, shards, substring, toxicity
 
 QUERIES = {f.__name__: f for f in (
-    exact.op1_exact_dedup, minhash.op2_minhash, shards.op4_sharding, substring.op5_substring_dedup, langid.op7_langid, bpe.op8_bpe, bytedup.op9_suffix_dedup, toxicity.op10_toxicity)}
+    exact.op1_exact_dedup, minhash.op2_minhash, shards.op4_sharding, substring.op5_substring_dedup, decontaminate.op6_decontaminate, langid.op7_langid, bpe.op8_bpe, bytedup.op9_suffix_dedup, toxicity.op10_toxicity)}
 SQL = {"op1_exact_dedup": exact.SQL}
