@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tubelens.llm import bpe, exact, toxicity
+from tubelens.llm import bpe, decontaminate, exact, minhash, toxicity
 from tubelens.llm.common import documents, stored, table
 
 
@@ -21,12 +21,23 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact.drop_copies(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate component (five-word shingles, similarity 0.8): the smallest id."""
+    return minhash.keep_one(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the documents that are left."""
     return bpe.digests(docs)
 
 
-STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("bpe", tokens)]
+STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("near_dedup", drop_near_copies),
+          ("decontamination", drop_leaks), ("bpe", tokens)]
 
 #: Learned scores and merge tables have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
