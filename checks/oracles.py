@@ -439,8 +439,10 @@ add("a21", """select k n_components, (select count(*) from au where raw=k) raw_v
   from (select raw k from au union select kept from au)""", "single_share", COMP + """
 au as (select volume_id, count(*) raw, count(*) filter (n_voxels>=3000) kept from comp group by 1),""")
 add("a22", """select count(*) n, min(recon_iou) as min, quantile_cont(recon_iou, 0.1) p10, quantile_cont(recon_iou, 0.5) median,
-  count(*) filter (recon_iou<0.85) n_below_warn, count(*) filter (recon_iou<0.5) n_below_floor,
-  case when count(*) filter (recon_iou<0.5)=0 then 'PASS' else 'FAIL' end verdict from consist""", "min p10 median", CONSIST)
+  max(recon_iou) as max, count(*) filter (recon_iou<0.85) n_below_warn, count(*) filter (recon_iou<0.5) n_below_floor,
+  avg((recon_iou>=0.85)::int::double) soft_share,
+  case when count(*) filter (recon_iou<0.5)=0 and avg((recon_iou>=0.85)::int::double)>=0.85 then 'PASS' else 'FAIL' end verdict
+  from consist""", "min p10 median max soft_share", CONSIST)
 add("a23", """select 3 as level, split, null::varchar as label, null::varchar as fold, count(*) n from manifest group by split
   union all select 1, split, label, null, count(*) from manifest group by split, label
   union all select 6, null, null, fold::varchar, count(*) from manifest group by fold""")
@@ -555,7 +557,7 @@ def bootstrap(n: int, src: str, s: str) -> str:
     return f"""
 grp as ({s}),
 vidx as (select public_id, row_number() over (order by public_id)-1 i from allvol),
-draw as (select b, cast('0x'||substr(md5('0:'||b||':'||j), 1, 8) as bigint)%(select count(*) from allvol) i
+draw as (select b, cast('0x'||substr(md5('0:'||b||':'||j), 1, 15) as bigint)%(select count(*) from allvol) i
   from range({n}) x(b) cross join (select i j from vidx)),
 wgt as (select d.b, v.public_id, count(*) w from draw d join vidx v using (i) group by 1, 2),
 vcnt as (select b.s, b.public_id, t.p_thresh, count(distinct case when b.max_iou>0.3 then b.hit_label end) tp,

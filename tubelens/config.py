@@ -37,6 +37,7 @@ RECALL_POOL_MAX = 1800
 RECALL_FRAC = 0.98
 RECON_SOFT = 0.85
 RECON_FLOOR = 0.50
+RECON_SOFT_SHARE = 0.85
 CLUSTER_RADIUS = 10.0
 GREY_IOU = 0.20
 SCORE_FLOORS = (0.0, 0.03, 0.05, 0.07, 0.10, 0.15, 0.20, 0.30, 0.50)

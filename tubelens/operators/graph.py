@@ -275,13 +275,25 @@ def _runs(vox: DataFrame, keys: list[str], line: list[str], along: str) -> DataF
     return isl.groupBy(*keys, *line, "_i").agg(F.min(along).alias("lo"), F.max(along).alias("hi")).drop("_i")
 
 
+def _run_ids(runs: DataFrame, line: list[str]) -> DataFrame:
+    """Add ``_rid``: line coordinates and start packed into one long, in that order, with the widths that they need."""
+    cols = [*line, "lo"]
+    ends = runs.agg(*[f(c).cast("long").alias(f"{n}_{c}") for c in cols for n, f in (("a", F.min), ("z", F.max))]).first()
+    if ends[f"a_{cols[0]}"] is None:
+        return runs.withColumn("_rid", F.lit(None).cast("long"))
+    width = {c: max(1, (ends[f"z_{c}"] - ends[f"a_{c}"]).bit_length()) for c in cols}
+    if sum(width.values()) > 62:
+        raise ValueError(f"coordinates span too much for one run id: {width} bits")
+    rid, shift = F.lit(0).cast("long"), 0
+    for c in reversed(cols):
+        rid = rid + F.shiftleft(F.col(c).cast("long") - ends[f"a_{c}"], shift)
+        shift += width[c]
+    return runs.withColumn("_rid", rid)
+
+
 def _run_components(runs: DataFrame, keys: list[str], line: list[str]) -> DataFrame:
     """Add ``comp`` to runs; runs on adjacent lines touch when their spans meet within one cell."""
-    bits = [21 * (len(line) - i) for i in range(len(line))]
-    rid = F.col("lo").cast("long")
-    for c, b in zip(line, bits):
-        rid = rid + F.shiftleft(F.col(c).cast("long"), b)
-    runs = materialize(runs.withColumn("_rid", rid))
+    runs = materialize(_run_ids(runs, line))
     forward = [o for o in itertools.product((-1, 0, 1), repeat=len(line)) if o > (0,) * len(line)]
     off = F.explode(F.array(*[F.struct(*[F.lit(v).alias(f"o{i}") for i, v in enumerate(o)]) for o in forward]))
     a = S.prefixed(runs.withColumn("_o", off), "a_", keys)

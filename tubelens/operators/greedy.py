@@ -1,27 +1,29 @@
 """Greedy suppression: keep the best row, drop the rows it conflicts with, repeat.
 
-Small groups run as an array rule, many per Python call. Larger groups run as rounds over grid
-cells. In a round only the best ``TOP`` live rows of each cell are compared with each other;
-a row that ranks inside the top of *all* its cells and loses to no better one is final, and
-what it conflicts with is removed. Every better rival of such a row shares a cell with it
-and therefore takes part in the comparison, so the rounds keep exactly the rows the
-sequential rule keeps, with at most ``TOP`` pairs per row and cell.
+Small groups run as an array rule, many per Python call. Larger groups are distributed:
+
+1. leader rounds: a row that is the best of every grid cell it touches is final, since a better rival would share a
+   cell with it. It removes what it conflicts with. A stack of any height collapses in one such round, at one
+   comparison per row and cell. They go on while they remove a tenth of the rows;
+2. the conflicts of what is left are listed once by the grid join and settled in rounds on that narrow list: every
+   row without a better live rival is final, and its rivals go. The number of rounds is the depth of the
+   longest chain of conflicts; it doesn't depend on the number of rows.
+
+Cells are about as large as the boxes of the table, so neighbours are few.
 """
 from __future__ import annotations
 
 from typing import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tubelens.operators import spatial as S
 from tubelens.operators.grouped import per_group, split_by_size
 from tubelens.operators.prefix import union_all
 from tubelens.session import materialize
 
-TOP = 16
 GROUP_LIMIT = 20_000   # the grouped form compares a kept row with all rows left in its group
-MAX_ROUNDS = 10_000
 
 
 class _Ops:
@@ -103,63 +105,72 @@ def _suppress_grouped(df: DataFrame, keys, prio, row_id, needed, rule) -> DataFr
     return per_group(ranked, keys, ["_worse", row_id], [row_id, *needed], keep, [*keys, row_id])
 
 
-def _suppress_rounds(df: DataFrame, keys, prio, row_id, needed, rule, axes, cell) -> DataFrame:
-    """Keys and ids kept, by distributed rounds."""
+def _cell_side(df: DataFrame, axes) -> float:
+    """Nine boxes in ten fit a cell."""
+    side = F.greatest(*[F.col(hi) - F.col(lo) for lo, hi in axes]) if len(axes) > 1 else F.col(axes[0][1]) - F.col(axes[0][0])
+    got = df.agg(F.percentile_approx(side, 0.9)).first()[0]
+    return float(got) if got and got > 0 else 1.0
+
+
+def _suppress_rounds(df: DataFrame, keys, prio, row_id, needed, rule, axes) -> DataFrame:
+    """Keys and ids that are removed, by distributed rounds."""
     one = [*keys, "_id"]
     cells = [f"_cell{i}" for i in range(len(axes))]
-    spans = [S.cell_of(F.greatest(lo, hi), cell) - S.cell_of(F.col(lo), cell) + 1 for lo, hi in axes]
-    n_cells = spans[0]
-    for s in spans[1:]:
-        n_cells = n_cells * s
     cols = list(dict.fromkeys(needed + [c for ax in axes for c in ax]))
-    live = materialize(df.select(
-        *keys, F.col(row_id).alias("_id"), F.struct((-prio).alias("p"), F.col(row_id).alias("i")).alias("_rank"),
-        n_cells.alias("_n_cells"), *cols))
-    kept_all = []
+    live = materialize(df.select(*keys, F.col(row_id).alias("_id"), F.struct((-prio).alias("p"), F.col(row_id).alias("i")).alias("_rank"), *cols))
+    cell = _cell_side(live, axes)
     at = lambda p: (lambda c: F.col(p + c))
-    for _ in range(MAX_ROUNDS):
-        if live.isEmpty():
+    gone, n = [], live.count()
+    while n:
+        placed = S.explode_cells(live, axes, cell)
+        best = placed.groupBy(*keys, *cells).agg(F.min("_rank").alias("_top"))
+        led = placed.join(best, keys + cells)
+        leads = led.groupBy(*one).agg(F.min((F.col("_rank") == F.col("_top")).cast("int")).alias("_all")).where("_all = 1").select(*one)
+        leads = materialize(led.join(leads, one, "left_semi").drop("_top"))
+        hit = materialize(S.prefixed(led.drop("_top"), "b_", keys + cells).join(S.prefixed(leads, "a_", keys + cells), keys + cells)
+                          .where((F.col("a__rank") < F.col("b__rank")) & S.boxes_meet(axes) & rule(at("a_"), at("b_"), _COLUMN))
+                          .select(*keys, F.col("b__id").alias("_id")).distinct())
+        m = hit.count()
+        gone.append(hit)
+        live = materialize(live.join(hit.unionByName(leads.select(*one).distinct()), one, "left_anti"))
+        if m < n / 10:
             break
-        w = Window.partitionBy(*keys, *cells).orderBy("_rank")
-        top = S.explode_cells(live, axes, cell).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= TOP)
-        top = materialize(top.drop("_rn"))
-        a = S.prefixed(top, "a_", keys + cells)
-        b = S.prefixed(top, "b_", keys + cells)
-        beaten = (a.join(b, keys + cells)
-                  .where((F.col("a__rank") < F.col("b__rank")) & S.boxes_meet(axes) & S.same_cell(axes, cell)
-                         & rule(at("a_"), at("b_"), _COLUMN))
-                  .select(*keys, F.col("b__id").alias("_id")).distinct())
-        settled = (top.groupBy(*one).agg(F.count(F.lit(1)).alias("_k"), F.max("_n_cells").alias("_n_cells"))
-                   .where(F.col("_k") == F.col("_n_cells")).select(*one)
-                   .join(beaten, one, "left_anti"))
-        winners = materialize(top.join(settled, one, "left_semi"))
-        kept = winners.select(*one).distinct()
-        kept_all.append(kept)
-        if len(kept_all) == 20:
-            kept_all = [materialize(union_all(kept_all))]
-        lose = S.prefixed(S.explode_cells(live, axes, cell), "b_", keys + cells)
-        win = S.prefixed(winners, "a_", keys + cells)
-        removed = (lose.join(win, keys + cells)
-                   .where(S.boxes_meet(axes) & S.same_cell(axes, cell) & rule(at("a_"), at("b_"), _COLUMN))
-                   .select(*keys, F.col("b__id").alias("_id")))
-        live = materialize(live.join(kept.union(removed).distinct(), one, "left_anti"))
-    else:
-        raise RuntimeError("suppression did not settle")
-    out = union_all(kept_all) if kept_all else live.select(*one)
+        n = live.count()
+    pairs = (S.overlap_pairs(live, live, keys, axes, cell)
+             .where((F.col("a__rank") < F.col("b__rank")) & rule(at("a_"), at("b_"), _COLUMN))
+             .select(*keys, F.col("a__id").alias("u"), F.col("b__id").alias("v")))
+    pairs = materialize(pairs)
+    while not pairs.isEmpty():
+        u, v = pairs.select(*keys, F.col("u").alias("_id")), pairs.select(*keys, F.col("v").alias("_id"))
+        final = u.distinct().join(v.distinct(), one, "left_anti").withColumnRenamed("_id", "u")
+        lost = materialize(pairs.join(final, [*keys, "u"], "left_semi").select(*keys, F.col("v").alias("_id")).distinct())
+        gone.append(lost)
+        pairs = materialize(pairs.join(final, [*keys, "u"], "left_anti")
+                            .join(lost.withColumnRenamed("_id", "u"), [*keys, "u"], "left_anti")
+                            .join(lost.withColumnRenamed("_id", "v"), [*keys, "v"], "left_anti"))
+        if len(gone) >= 20:
+            gone = [materialize(union_all(gone))]
+    out = union_all(gone) if gone else live.select(*one)
     return out.withColumnRenamed("_id", row_id)
 
 
 def suppress(df: DataFrame, keys: list[str], prio: Column, row_id: str, needed: list[str],
-             rule: Callable, axes, cell: float, limit: int = GROUP_LIMIT) -> DataFrame:
+             rule: Callable, axes, limit: int = GROUP_LIMIT, all_conflict: bool = False) -> DataFrame:
     """Rows of ``df`` that survive greedy suppression within ``keys``.
 
-    ``prio`` is higher-is-better; ties go to the smaller ``row_id`` (unique within a group).
+    ``prio`` is higher-is-better; ties go to the smaller ``row_id`` (unique within a group). With ``all_conflict``
+    any two rows of a group conflict, also boxes that don't meet: the best one stays.
     """
+    if all_conflict:
+        best = df.groupBy(*keys).agg(F.min(F.struct((-prio).alias("p"), F.col(row_id).alias("i"))).alias("_m"))
+        return df.join(best.select(*keys, F.col("_m.i").alias(row_id)), [*keys, row_id], "left_semi")
     small, large = split_by_size(df, keys, limit)
     ids = _suppress_grouped(small, keys, prio, row_id, needed, rule)
+    out = small.join(ids, [*keys, row_id], "left_semi").select(*df.columns)
     if large is not None:
-        ids = ids.unionByName(_suppress_rounds(large, keys, prio, row_id, needed, rule, axes, cell))
-    return df.join(ids, [*keys, row_id], "left_semi")
+        gone = _suppress_rounds(large, keys, prio, row_id, needed, rule, axes)
+        out = out.unionByName(large.join(gone, [*keys, row_id], "left_anti").select(*df.columns))
+    return out
 
 
 _2D = ["x1", "y1", "x2", "y2"]
@@ -172,13 +183,13 @@ def containment_suppress(det: DataFrame, t: float, keys=("volume_id", "slice_z")
     if t >= 1.0:
         return det
     return suppress(det, list(keys), F.col("score"), "det_id", _2D, contained_at(t),
-                    S.AXES_2D, S.CELL_2D, limit)
+                    S.AXES_2D, limit, all_conflict=t <= 0)
 
 
 def nms_2d(det: DataFrame, t: float, keys=("volume_id", "slice_z"), limit: int = GROUP_LIMIT) -> DataFrame:
     """Per slice, drop a box whose IoU with a better kept box is above ``t``."""
     return suppress(det, list(keys), F.col("score"), "det_id", _2D, iou_2d_above(t),
-                    S.AXES_2D, S.CELL_2D, limit)
+                    S.AXES_2D, limit, all_conflict=t < 0)
 
 
 def nms_3d(cands: DataFrame, t, row_id: str = "cand_seq", keys=("public_id",), score: str = "score_max",
@@ -187,7 +198,7 @@ def nms_3d(cands: DataFrame, t, row_id: str = "cand_seq", keys=("public_id",), s
     if t is None:
         return cands
     with_box = materialize(S.with_corners(cands))
-    out = suppress(with_box, list(keys), F.col(score), row_id, _3D, iou_3d_at(t), S.AXES_3D, S.CELL_3D, limit)
+    out = suppress(with_box, list(keys), F.col(score), row_id, _3D, iou_3d_at(t), S.AXES_3D, limit, all_conflict=t <= 0)
     return out.select(*cands.columns)
 
 
@@ -197,10 +208,11 @@ def dedup_by_distance(cands: DataFrame, radius: float, key: str, row_id: str = "
     """Keep the row with the highest ``key`` of each neighbourhood of ``radius``; <= 0 keeps all."""
     if radius <= 0:
         return cands
-    half = radius / 2.0
-    spread = materialize(cands).withColumns({f"_{s}{i}": F.col(c) + (half if s == "hi" else -half)
+    # a little more than half the radius, so that no pair at the radius is lost to rounding; the rule decides
+    half = lambda c: F.lit(radius / 2.0 * (1 + 1e-9)) + F.abs(F.col(c)) * 1e-12
+    spread = materialize(cands).withColumns({f"_{s}{i}": F.col(c) + (half(c) if s == "hi" else -half(c))
                                 for i, c in enumerate(cols) for s in ("lo", "hi")})
     axes = [(f"_lo{i}", f"_hi{i}") for i in range(len(cols))]
     out = suppress(spread, list(keys), F.col(key).cast("double"), row_id, list(cols),
-                   centre_within(cols, radius), axes, float(radius), limit)
+                   centre_within(cols, radius), axes, limit)
     return out.select(*cands.columns)

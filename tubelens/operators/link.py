@@ -226,6 +226,8 @@ def link_tubes(det: DataFrame, cfg, by=("volume_id",), limit: int = LINK_LIMIT)
     keys = list(by)
     if isinstance(cfg, LinkConfig):
         det = containment_suppress(det, cfg.containment, keys + ["slice_z"])
+    elif any(c.containment < 1.0 for c in cfg):
+        raise ValueError("apply containment before linking several configurations")
     small, large = split_by_size(det, keys, limit)
     out = _link_grouped(small, cfg, keys, keys)
     if large is None:

@@ -21,6 +21,15 @@ def range_blocks(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame
     return materialize(ranged.withColumn(BLOCK, F.spark_partition_id()))
 
 
+def join_groups(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on ``keys`` in which NULL is a key like any other."""
+    other = right.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return left.join(other, cond).drop(*[f"_k_{k}" for k in keys])
+
+
 _FN = {"sum": F.sum, "max": F.max}
 
 
@@ -39,7 +48,7 @@ def running(df: DataFrame, by: list[str], order: list[Column], cols: dict[str, t
     before = Window.partitionBy(*by).orderBy(edge).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*by, BLOCK, *[
         _FN[fn](f"_t_{o}").over(before).alias(f"_o_{o}") for o, (fn, _) in cols.items()])
-    joined = local.join(offsets, by + [BLOCK])
+    joined = join_groups(local, offsets, by + [BLOCK])
     out = {}
     for o, (fn, _) in cols.items():
         inside, offset = F.col(f"_l_{o}"), F.col(f"_o_{o}")
@@ -82,7 +91,7 @@ def exact_percentiles_weighted(per_value: DataFrame, by: list[str], value: str,
 
 def _pick(runs: DataFrame, by: list[str], value: str, qs) -> DataFrame:
     totals = runs.groupBy(*by).agg(F.sum("n").alias("_total"))
-    joined = runs.join(totals, by) if by else attach(runs, totals)
+    joined = join_groups(runs, totals, by) if by else attach(runs, totals)
     aggs = []
     for q in qs:
         pos = F.lit(q / 100.0) * (F.col("_total") - 1)

@@ -25,7 +25,7 @@ def rank_candidates(df: DataFrame, by=("detector_of_origin", "public_id"), seq:
     if large is not None:
         blocks = P.range_blocks(large, keys, order)
         run = P.running(blocks, keys, order, {"rank": ("sum", F.lit(1).cast("long"))}).drop(P.BLOCK)
-        out = out.unionByName(run.join(blocks.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), keys))
+        out = out.unionByName(P.join_groups(run, blocks.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), keys))
     return out.withColumn("rank_norm", F.col("rank") / F.col("_n")).drop("_n")
 
 

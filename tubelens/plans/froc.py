@@ -106,14 +106,14 @@ def froc_summary(curve: DataFrame, key_fp=C.KEY_FP, by=()) -> DataFrame:
 def draws(volumes: DataFrame, n_boot: int, seed: int) -> DataFrame:
     """``b, public_id, weight``: volumes drawn with replacement, as many as there are.
 
-    Draw j of replicate b is a hash of (seed, b, j), so it does not depend on partitioning.
+    Draw j of replicate b is 60 bits of a hash of (seed, b, j), so it does not depend on partitioning.
     """
     spark = volumes.sparkSession
     idx = materialize(P.dense_index(volumes.select("public_id").distinct(), [F.col("public_id")], "i"))
     n = idx.count()
     code = F.concat_ws(":", F.lit(str(seed)), F.col("b").cast("string"), F.col("j").cast("string"))
     d = spark.range(n_boot * n).select((F.col("id") / n).cast("long").alias("b"), (F.col("id") % n).alias("j"))
-    i = F.conv(F.substring(F.md5(code), 1, 8), 16, 10).cast("long") % n
+    i = F.conv(F.substring(F.md5(code), 1, 15), 16, 10).cast("long") % n
     return d.select("b", i.alias("i")).groupBy("b", "i").agg(F.count(F.lit(1)).alias("weight")).join(idx, "i").drop("i")
 
 

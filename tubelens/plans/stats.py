@@ -126,10 +126,10 @@ def train_stats(meta: DataFrame, gt_slices: DataFrame, manifest: DataFrame, qs=C
     return P.attach(P.attach(frames, sizes), comp)
 
 
-def pooled_intensity(slice_stats: DataFrame, n_sample: Optional[int] = C.DESIGN_RULE["intensity_sample_slices"],
+def pooled_intensity(slice_stats: DataFrame, n_sample: Optional[int] = None,
                      seed: int = C.DESIGN_RULE["intensity_seed"]) -> DataFrame:
-    """Mean and std pooled from per-slice ``volume_id, slice_z, n, mean, sumsq``, over a seeded
-    sample of slices (None = all)."""
+    """Mean and std pooled from per-slice ``volume_id, slice_z, n, mean, sumsq``, over all
+    slices, or over a seeded sample of ``n_sample``."""
     d = slice_stats
     if n_sample is not None:
         d = d.orderBy(seeded_order(F.lit(seed), F.concat_ws(":", "volume_id", "slice_z")), "volume_id", "slice_z").limit(n_sample)
@@ -186,14 +186,16 @@ def component_audit(sizes: DataFrame, floor: int = C.LESION_MIN_VOXELS) -> DataF
     return P.attach(hist, share).withColumn("single_dominant", F.col("single_share") >= 0.9)
 
 
-def gate_summary(df: DataFrame, col: str, warn: float = C.RECON_SOFT, floor: float = C.RECON_FLOOR) -> DataFrame:
-    """Distribution of a per-volume IoU and the gate: PASS when none is below ``floor``."""
+def gate_summary(df: DataFrame, col: str, soft: float = C.RECON_SOFT, floor: float = C.RECON_FLOOR,
+                 share: float = C.RECON_SOFT_SHARE) -> DataFrame:
+    """Distribution of a per-volume IoU and the gate: PASS when none is below ``floor`` and at least ``share`` of them
+    reach ``soft``. An empty input has no verdict."""
     pct = P.exact_percentiles(df, [], col, (10, 50))
-    cnt = df.agg(F.min(col).alias("min"), F.count_if(F.col(col) < warn).alias("n_below_warn"),
-                 F.count_if(F.col(col) < floor).alias("n_below_floor"))
+    cnt = df.agg(F.min(col).alias("min"), F.max(col).alias("max"), F.count_if(F.col(col) < soft).alias("n_below_warn"),
+                 F.count_if(F.col(col) < floor).alias("n_below_floor"), F.avg((F.col(col) >= soft).cast("double")).alias("soft_share"))
     return P.attach(pct, cnt).select(
-        "n", "min", "p10", F.col("p50").alias("median"), "n_below_warn", "n_below_floor",
-        F.when(F.col("n_below_floor") == 0, "PASS").otherwise("FAIL").alias("verdict"))
+        "n", "min", "p10", F.col("p50").alias("median"), "max", "n_below_warn", "n_below_floor", "soft_share",
+        F.when((F.col("n_below_floor") == 0) & (F.col("soft_share") >= share), "PASS").otherwise("FAIL").alias("verdict"))
 
 
 def balance(manifest: DataFrame) -> DataFrame:

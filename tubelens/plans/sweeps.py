@@ -50,7 +50,7 @@ def sweep_pool(det: DataFrame, meta: DataFrame, gt: DataFrame, configs: list[Lin
                 for i, c in enumerate(chosen) if c.containment == t]
         parts.append(G.containment_suppress(det, t).withColumn("config_id", F.explode(F.array_compact(F.array(*uses)))))
     by = ["config_id", "volume_id"]
-    feats = L.tube_features(L.link_tubes(union_all(parts), chosen, by, limit), meta, by)
+    feats = L.tube_features(L.link_tubes(union_all(parts), [c.but(containment=1.0) for c in chosen], by, limit), meta, by)
     feats = feats.withColumnsRenamed({"volume_id": "public_id", "config_id": "link_id"})
     scored = materialize(M.best_iou_per_row(feats, ["link_id", "tube_id"], gt))
     use = spark.createDataFrame([(links[c.link_key()], i, c.label, float(c.score_floor)) for i, c in enumerate(configs)],
@@ -120,15 +120,17 @@ def calibrate(det, meta, gt, base: LinkConfig, thresholds, seeds, limit: int = L
     one volume form their own group.
     """
     spark = det.sparkSession
+    det = G.containment_suppress(det, base.containment, ("seed", "volume_id", "slice_z"))  # commutes with the score filter
     pairs = [(i, s, float(t)) for i, (s, t) in enumerate((s, t) for s in seeds for t in thresholds)]
     table = spark.createDataFrame(pairs, "config_id long, seed long, thresh double")
     fan = det.join(F.broadcast(table), "seed").where(F.col("score") >= F.col("thresh")).select(
         "config_id", "volume_id", *L.MEMBER)
     by = ["config_id", "volume_id"]
-    cfgs = [base.but(op_score=t) for _, _, t in pairs]
+    cfgs = [base.but(op_score=t, containment=1.0) for _, _, t in pairs]
     f = L.tube_features(L.link_tubes(fan, cfgs, by, limit), meta, by).withColumnRenamed("volume_id", "public_id")
     f = f.where(F.col("score_max") >= base.score_floor)
-    pool = materialize(M.best_iou_per_row(f, ["config_id", "tube_id"], gt))
+    pool = G.nms_3d(materialize(M.best_iou_per_row(f, ["config_id", "tube_id"], gt)), base.nms_iou, "tube_id", ("config_id", "public_id"))
+    pool = materialize(pool)
     vols = config_volumes(table.select("config_id"), meta.select(F.col("volume_id").alias("public_id")))
     rec = ST.linked_recall(pool, vols, ["config_id"])
     rows = rec.join(sweep_curves(pool, gt, table.select("config_id")), "config_id").join(table, "config_id")
@@ -139,12 +141,14 @@ def calibrate(det, meta, gt, base: LinkConfig, thresholds, seeds, limit: int = L
 def evaluate_epochs(det, meta, gt, base: LinkConfig, epochs, limit: int = L.LINK_LIMIT) -> DataFrame:
     """Linked CPM, ceiling, recall and pool for every checkpoint; ``det`` carries ``epoch``."""
     spark = det.sparkSession
+    det = G.containment_suppress(det, base.containment, ("epoch", "volume_id", "slice_z"))
     table = spark.createDataFrame([(i, int(e)) for i, e in enumerate(epochs)], "config_id long, epoch long")
     fan = det.join(F.broadcast(table), "epoch").where(F.col("score") >= base.op_score).select("config_id", "volume_id", *L.MEMBER)
     by = ["config_id", "volume_id"]
-    f = L.tube_features(L.link_tubes(fan, [base] * len(list(epochs)), by, limit), meta, by).withColumnRenamed("volume_id", "public_id")
+    f = L.tube_features(L.link_tubes(fan, [base.but(containment=1.0)] * len(list(epochs)), by, limit), meta, by).withColumnRenamed("volume_id", "public_id")
     f = f.where(F.col("score_max") >= base.score_floor)
-    pool = materialize(M.best_iou_per_row(f, ["config_id", "tube_id"], gt))
+    pool = G.nms_3d(materialize(M.best_iou_per_row(f, ["config_id", "tube_id"], gt)), base.nms_iou, "tube_id", ("config_id", "public_id"))
+    pool = materialize(pool)
     vols = config_volumes(table.select("config_id"), meta.select(F.col("volume_id").alias("public_id")))
     rec = ST.linked_recall(pool, vols, ["config_id"])
     return rec.join(sweep_curves(pool, gt, table.select("config_id")), "config_id").join(table, "config_id").select(

@@ -1,6 +1,9 @@
 """Readers and writers. Paths are read by Spark, with fixed schemas and no inference."""
 from __future__ import annotations
 
+from typing import Optional
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tubelens import schemas as K
@@ -8,19 +11,33 @@ from tubelens.functions import boxes as B
 from tubelens.sources.contracts import validate
 
 
-def _has(spark: SparkSession, path: str) -> bool:
-    hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hpath)
+def _parquet(spark: SparkSession, *paths: str) -> Optional[DataFrame]:
+    """The first of ``paths`` that is there, or None."""
+    for p in paths:
+        try:
+            return spark.read.parquet(p)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+    return None
+
+
+def _csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Columns are found by their names in the header, in any order; others are left out."""
+    header = spark.read.csv(path, header=True).columns
+    missing = [f.name for f in schema if f.name not in header]
+    if missing:
+        raise ValueError(f"{path} lacks the columns {missing}")
+    kinds = {f.name: f.dataType for f in schema}
+    by_header = T.StructType([T.StructField(c, kinds.get(c, T.StringType())) for c in header])
+    return spark.read.schema(by_header).csv(path, header=True).select(*schema.names)
 
 
 def _read(spark: SparkSession, path: str, schema: T.StructType, mode: str) -> DataFrame:
     """``<path>.parquet`` or ``path`` as Parquet; the CSV mirror when there is no Parquet."""
     base = path.removesuffix(".parquet").removesuffix(".csv")
-    if path.endswith(".csv") or not (_has(spark, base + ".parquet") or _has(spark, path)):
-        df = spark.read.schema(schema).csv(base + ".csv", header=True)
-    else:
-        df = spark.read.parquet(base + ".parquet" if _has(spark, base + ".parquet") else path)
-    return validate(df, schema, mode)
+    df = None if path.endswith(".csv") else _parquet(spark, base + ".parquet", path)
+    return validate(_csv(spark, base + ".csv", schema) if df is None else df, schema, mode)
 
 
 def _write(df: DataFrame, path: str, csv_mirror: bool, partition_by=()) -> None:
@@ -60,7 +77,7 @@ def read_gt(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_case_labels(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(K.CASE_LABELS).csv(path, header=True).select("case_id", "label")
+    return _csv(spark, path, K.CASE_LABELS).select("case_id", "label")
 
 
 def read_meta(spark: SparkSession, path: str) -> DataFrame:
@@ -85,8 +102,8 @@ def write_candidates(df: DataFrame, path: str, csv_mirror: bool = False) -> None
 
 def read_candidates(spark: SparkSession, path: str) -> DataFrame:
     base = path.removesuffix(".parquet").removesuffix(".csv")
-    df = spark.read.parquet(base + ".parquet") if _has(spark, base + ".parquet") else \
-        spark.read.schema(K.CANDIDATES).csv(base + ".csv", header=True)
+    df = _parquet(spark, base + ".parquet")
+    df = _csv(spark, base + ".csv", K.CANDIDATES) if df is None else df
     return K.select_contract(df, K.CANDIDATES)
 
 
