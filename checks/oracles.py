@@ -318,7 +318,7 @@ cov as (select g.image, g.gt_id, b.bucket, count(a.anchor_id) n_anchors from anc
 add("j13", """select s.volume_id, s.slice_z, o as "offset", greatest(0, least(11, s.slice_z+o)) source_z, coalesce(t.n, 0) n, t.top
   from slice_stats s cross join range(-1, 2) r(o) left join slice_stats t on t.volume_id=s.volume_id and t.slice_z=greatest(0, least(11, s.slice_z+o))""",
     "top")
-add("j14", """select count(*) filter (public_id%11<>0) n_pairs, count(*) filter (public_id%11=0) n_unpaired,
+add("j14", """select count(*) filter (public_id%11<>0) n_pairs, 2*count(*) filter (public_id%11=0) n_unpaired,
   count(*) filter (public_id%11<>0 and public_id%5=0 and score_max/2>1e-9) n_mismatch from record""")
 add("j15", """select volume_id, z slice_z, exists(select 1 from gt_slices g where g.volume_id=v.volume_id and g.slice_z=z) is_lesion
   from vols v cross join range(12) t(z)""")
@@ -522,7 +522,8 @@ add("k7", """select volume_id, slice_z, is_lesion, row_number() over (order by o
 add("u1", "select det_id, score, 'full_seed'||s detector from det cross join range(3) t(s)", "score")
 add("u2", """select public_id, 'left' as side from (select public_id from pred except select public_id from gt_boxes)
   union all select public_id, 'right' from (select public_id from gt_boxes except select public_id from pred)""")
-add("u3", "select distinct volume_id, slice_z, 'right' as side from gt_slices where volume_id%13=0")
+add("u3", """select distinct volume_id, slice_z, 'right' as side from gt_slices where volume_id%13=0
+  union all select distinct volume_id+3000000, slice_z, 'left' from gt_slices where volume_id%13=0""")
 add("u4", """select v.public_id, """ + ", ".join(f"coalesce(max((s.iou_gt>0.3 and s.score_max>={t})::int), 0) c{i}" for i, t in enumerate((0.6, 0.4, 0.1))) +
     " from allvol v left join scored s using (public_id) group by 1 having coalesce(max((s.iou_gt>0.3 and s.score_max>=0.6)::int), 0)=0", "", PAIRS)
 # ---------------------------------------------------------------- H
@@ -575,7 +576,7 @@ bcpm as (select s, b, avg(recall) cpm from bkr group by 1, 2),
 
 
 add("e3", """select (select avg(recall) from kr) point, quantile_cont(cpm, 0.025) lo, quantile_cont(cpm, 0.975) hi from bcpm""", "point lo hi",
-    PAIRS + CURVE + f"kr as ({at_keys('curve')}), pb1 as (select *, 'all' s from pbest)," + bootstrap(100, "pb1", "select 'all' s"))
+    PAIRS + CURVE + f"kr as ({at_keys('curve')}), pb1 as (select *, 'all' s from pbest)," + bootstrap(1000, "pb1", "select 'all' s"))
 FLOORS = "[0.0,0.03,0.05,0.07,0.1,0.15,0.2,0.3,0.5]"
 add("e7", f"""select f "floor", avg((t>0)::int) recall, sum(k)::bigint kept_total, sum(k)/count(*)::double pool_mean, max(k) pool_max, sum(t)::bigint n_tp_kept from (
   select f, v.public_id, count(s.pred_id) k, count(*) filter (s.iou_gt>0.3) t from (select unnest({FLOORS})::double f) x cross join allvol v
@@ -590,7 +591,7 @@ scurve as (select s, p_thresh, (fp+1e-8)/(n_vol+1e-8) fp, (tp+1e-8)/(n_gt+1e-8)
 """
 LADDER += f"skr as ({at_keys('scurve', 's')}),\nladder as (select s detector_of_origin, avg(recall) cpm, (select max(recall) from scurve c where c.s=skr.s) ceiling from skr group by s),"
 add("e13", """select l.*, q.lo, q.hi from ladder l join (select s, quantile_cont(cpm, 0.025) lo, quantile_cont(cpm, 0.975) hi from bcpm group by 1) q
-  on q.s=l.detector_of_origin""", "cpm ceiling lo hi", PAIRS + CURVE + LADDER + bootstrap(40, "sbest", "select distinct s from scnt"))
+  on q.s=l.detector_of_origin""", "cpm ceiling lo hi", PAIRS + CURVE + LADDER + bootstrap(1000, "sbest", "select distinct s from scnt"))
 add("e13_seeds", "select 'all' k, avg(cpm) cpm_mean, stddev_pop(cpm) cpm_std, avg(ceiling) ceiling_mean, stddev_pop(ceiling) ceiling_std from ladder",
     "cpm_mean cpm_std ceiling_mean ceiling_std", PAIRS + CURVE + LADDER)
 add("e16", """select * from brk2

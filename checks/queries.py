@@ -361,7 +361,7 @@ def j6(fx):
 
 @query
 def j7(fx):
-    return CT.unknown_volumes(fx.pred(), fx.gt_boxes().where("label_id = 2"))
+    return CT.unknown_volumes(fx.pred(), fx.gt_gaps())
 
 
 @query
@@ -405,7 +405,8 @@ def j13(fx):
 def j14(fx):
     p = TB.to_predictions(fx.record()).withColumn(
         "probability", F.when(F.col("public_id") % 5 == 0, F.col("probability") / 2).otherwise(F.col("probability")))
-    return CT.check_alignment(fx.record(), p.where("public_id % 11 <> 0"))
+    renamed = F.when(F.col("public_id") % 11 == 0, F.concat("candidate_id", F.lit("x"))).otherwise(F.col("candidate_id"))
+    return CT.check_alignment(fx.record(), p.withColumn("candidate_id", renamed))
 
 
 @query
@@ -713,7 +714,7 @@ def u2(fx):
 
 @query
 def u3(fx):
-    g = fx.gt_slices().where("volume_id % 13 <> 0").select("volume_id", "slice_z")
+    g = fx.gt_slices().selectExpr("volume_id + case when volume_id % 13 = 0 then 3000000 else 0 end volume_id", "slice_z")
     return CT.key_differences(g, fx.voxels().selectExpr("volume_id", "d2 slice_z"), ["volume_id", "slice_z"])
 
 
@@ -798,7 +799,7 @@ def e2(fx):
 
 @query
 def e3(fx):
-    return FR.bootstrap_cpm(fx.gt_boxes(), fx.pred(), 100, 0)
+    return FR.bootstrap_cpm(fx.gt_boxes(), fx.pred(), 1000, 0)
 
 
 def _meta(fx):
@@ -882,17 +883,17 @@ def e11(fx):
     return m.join(pick, "epoch", "left").na.fill(False, ["selected"])
 
 
-THRESH = (0.02, 0.1, 0.3, 0.5)
+THRESH = C.SCORE_THRESHOLDS
 
 
 def _seeds(fx):
-    d = fx.det().withColumn("seed", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(1).cast("long"))))
+    d = fx.det().withColumn("seed", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))))
     return d.withColumn("score", F.col("score") * (1.0 - 0.125 * F.col("seed")))
 
 
 @query
 def e12(fx):
-    rows, agg = SW.calibrate(_seeds(fx), fx.meta(), fx.gt_boxes(), LINK, THRESH, (0, 1))
+    rows, agg = SW.calibrate(_seeds(fx), fx.meta(), fx.gt_boxes(), LINK, THRESH, (0, 1, 2))
     agg = materialize(agg)
     t = agg.selectExpr("thresh", "recall_mean recall", "cpm_mean cpm", "pool_mean_mean pool_mean")
     pick = R.choose_operating_point(t).select("thresh", F.lit(True).alias("chosen"))
@@ -908,7 +909,7 @@ def _ladder(fx, n_boot=0):
 
 @query
 def e13(fx):
-    return _ladder(fx, 40)
+    return _ladder(fx, 1000)
 
 
 @query

@@ -40,6 +40,7 @@ RECON_FLOOR = 0.50
 RECON_SOFT_SHARE = 0.85
 CLUSTER_RADIUS = 10.0
 GREY_IOU = 0.20
+SCORE_THRESHOLDS = (0.5, 0.3, 0.2, 0.1, 0.05, 0.03, 0.02, 0.01, 0.005)
 SCORE_FLOORS = (0.0, 0.03, 0.05, 0.07, 0.10, 0.15, 0.20, 0.30, 0.50)
 SUMMARY_PERCENTILES = (0, 10, 25, 50, 75, 90, 100)
 DESIGN_PERCENTILES = (1, 5, 10, 25, 50, 75, 90, 95, 99, 100)

@@ -68,6 +68,10 @@ class Fixtures:
             "cast(4 as double) y_length", "cast(4 as double) z_length")
         return a.unionByName(b)
 
+    def gt_gaps(self) -> DataFrame:
+        """Ground truth in which the first lesions carry ids that no prediction knows."""
+        return self.gt_boxes().withColumn("public_id", F.expr("public_id + case when label_id = 2 then 0 else 2000000 end"))
+
     def pred(self) -> DataFrame:
         """Ready-made 3-D predictions."""
         return self.base().selectExpr(
