@@ -1,11 +1,12 @@
 """Spark helpers shared by the text operators."""
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tubelens.session import materialize, stage_path
 
-__all__ = ["documents", "table", "materialize", "stored", "train_row", "held_out", "take", "HOLD"]
+__all__ = ["documents", "table", "materialize", "stored", "train_row", "held_out", "id_bit", "id_filter", "in_filter", "FILTER_BITS", "HOLD"]
 
 HOLD = 2
 
@@ -25,9 +26,30 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def take(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, so extra columns can't clash with an operator's own."""
-    return df.select(*names)
+FILTER_BITS = 1 << 24
+
+
+def id_bit(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+
+
+def id_filter(ids: DataFrame, column: str) -> np.ndarray:
+    """A bitmap of FILTER_BITS hash classes (2 MB, whatever the input) that hold an id.
+
+    It keeps rows that can't join from being shuffled. Ids outside the set may pass, so a join must follow; when most bits are
+    set it saves nothing and loses nothing.
+    """
+    bit = id_bit(column)
+    parts = ids.select(F.floor(bit / 32768).cast("int").alias("k"), (bit % 32768).alias("b")).groupBy("k").agg(
+        F.bitmap_construct_agg("b").alias("m")).collect()
+    out = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
+    for r in parts:
+        out[r["k"] * 4096:(r["k"] + 1) * 4096] = np.frombuffer(bytes(r["m"]), dtype=np.uint8)
+    return out
+
+
+def in_filter(bitmap: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    return (bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
 
 
 def held_out(doc_id: Column | str) -> Column:

@@ -9,8 +9,10 @@ Texts with equal sets form one class, and only classes go on. Links are needed u
 
 1. every class is compared with the class it shares most bands with among the first ones of its bands;
 2. after components are known, bands that still hold several components are searched for pairs across them, in blocks
-   of bounded size (members outside the band's main component x all members). A pair whose sketches agree in too few coordinates
-   (5.5 standard deviations below 0.8) is left out; the others are verified on the full sets.
+   of bounded size (members outside the band's main component x all members). Two sets whose parity bits (the parity of the number
+   of elements per hash class) differ in more than (n1 + n2) / 9 places differ in more elements still, so they can't reach 0.8; this exact
+   bound leaves few pairs. Of these each class is verified with its likeliest partner of every other
+   component first, then all pairs that are still across components.
 
 Links inside a component change nothing, so nothing is lost and a group of copies never emits its pairs.
 
@@ -21,14 +23,12 @@ gives an empty result; other columns are ignored.
 """
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from tubelens.llm.common import documents, stored
+from tubelens.llm.common import documents, id_bit, id_filter, in_filter, stored
 from tubelens.llm.kernels import Words, chunks, mix, pieces, ranges
 from tubelens.operators.graph import star_components
 
@@ -36,7 +36,7 @@ BANDS, ROWS = 40, 5
 T = BANDS * ROWS
 BLOCK = 512
 U = np.uint64
-_SIG = "n long, d1 long, d2 long, keys array<long>, sketch binary"
+_SIG = "n long, d1 long, d2 long, keys array<long>, parity binary"
 
 
 def shingle_sets(w: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -91,13 +91,22 @@ def band_keys(sk: np.ndarray) -> np.ndarray:
         return mix(k + np.arange(BANDS, dtype=U) * U(0x9E3779B97F4A7C15))
 
 
+def parities(h: np.ndarray, first: np.ndarray, count: np.ndarray) -> list[bytes]:
+    """Parity bits of each set: 2 to 4 bits an element, a power of two in all."""
+    size = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(2 * count, 1))).astype(np.int64))
+    base = np.cumsum(size) - size
+    row = np.repeat(np.arange(len(count)), count)
+    n = np.bincount(base[row] + (h & (size[row] - 1).astype(U)).astype(np.int64), minlength=int(size.sum()))
+    raw = np.packbits((n & 1).astype(np.uint8)).tobytes()
+    return [raw[a // 8:(a + m) // 8] for a, m in zip(base.tolist(), size.tolist())]
+
+
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """``doc_id, n, d1, d2, keys, sketch`` of every row: set size, digest of the set, band keys, 8 bits a coordinate."""
+    """``doc_id, n, d1, d2, keys, parity`` of every row: set size, digest of the set, band keys, parity bits."""
     def run(batches):
         for b, buf, at in chunks(batches):
             h, first, count = shingle_sets(Words(buf, at, lower=True), k)
-            sk = sketches(h, first, count)
-            keys = band_keys(sk).view(np.int64)
+            keys = band_keys(sketches(h, first, count)).view(np.int64)
             has = np.flatnonzero(count)
             d = np.zeros((2, len(count)), dtype=np.int64)
             if len(has):
@@ -107,32 +116,38 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(count.astype(np.int64)), pa.array(d[0]), pa.array(d[1]),
                  pa.ListArray.from_arrays(off, pa.array(keys.reshape(-1))),
-                 pa.array([x.tobytes() for x in (sk & U(255)).astype(np.uint8)], pa.binary())], ["doc_id", "n", "d1", "d2", "keys", "sketch"])
+                 pa.array(parities(h, first, count), pa.binary())], ["doc_id", "n", "d1", "d2", "keys", "parity"])
 
     src = docs.select("doc_id", "text")
     return src.mapInArrow(run, f"doc_id {dict(src.dtypes)['doc_id']}, {_SIG}")
 
 
-def _packed(docs: DataFrame) -> DataFrame:
-    """``node, z``: the text compressed, to move less."""
+def _packed(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, z``: the compressed texts of at least the wanted nodes."""
+    box = docs.sparkSession.sparkContext.broadcast(id_filter(nodes, "node"))
+
     def run(batches):
         c = zstandard.ZstdCompressor(level=3)
         for b in batches:
+            b = b.filter(pa.array(in_filter(box.value, b.column("bit").to_numpy())))
             z = [c.compress((t or "").encode()) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(z, pa.binary())], ["node", "z"])
 
-    return docs.mapInArrow(run, "node long, z binary")
+    return docs.select("doc_id", "text", id_bit("doc_id").alias("bit")).mapInArrow(run, "node long, z binary")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+def packed_texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``node, z`` of the documents in ``pairs``."""
+    nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    rows = _packed(docs.where("doc_id is not null and text is not null"), nodes)
+    return stored(rows.join(nodes, "node").dropDuplicates(["node"]), "texts")
+
+
+def verified(texts: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """Those of ``u, v`` whose full sets reach the similarity.
 
-    Texts go to the smaller side's key. A key's texts are split over as many tasks as it has blocks of partners.
+    The texts of v go to u's task; a u with many partners is split over tasks, BLOCK partners each.
     """
-    nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    texts = _packed(docs.where("doc_id is not null and text is not null").select("doc_id", "text")
-                    .join(nodes, F.col("doc_id") == F.col("node"), "left_semi")).dropDuplicates(["node"])
-    texts = stored(texts, "texts")
     sent = pairs.select("u", "v", F.pmod(F.xxhash64("v"), F.lit(1 << 20)).alias("_s"))
     blocks = pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_m"))
     sent = sent.join(blocks, "u").withColumn("_s", F.pmod("_s", "_m"))
@@ -168,12 +183,10 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
 
 
 def crossing(rows: DataFrame, sig: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``u < v`` of different components that share a band and whose sketches don't rule out the similarity.
+    """Pairs ``u < v`` of different components that share a band and whose parity bits don't rule out the similarity.
 
-    ``rows`` (key, node, comp), ``sig`` (node, n, sketch).
+    ``rows`` (key, node, comp), ``sig`` (node, n, parity). Returns u, v, cu, cv (components) and d (differing bits).
     """
-    j = percent / 100
-    least = math.floor(T * (j - 5.5 * math.sqrt(j * (1 - j) / T)))
     per = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
     per = per.groupBy("key").agg(F.sum("c").alias("all"), F.max(F.struct("c", F.col("comp").alias("m"))).alias("top"), F.count(F.lit(1)).alias("comps"))
     per = per.where("comps > 1").select("key", F.col("top.m").alias("main"), F.ceil((F.col("all") - F.col("top.c")) / BLOCK).cast("int").alias("na"),
@@ -184,21 +197,40 @@ def crossing(rows: DataFrame, sig: DataFrame, percent: int) -> DataFrame:
     spread = F.xxhash64("node")
     a = full.where("comp <> main").withColumn("a", F.pmod(spread, "na").cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     b = full.withColumn("b", F.pmod(spread, "nb").cast("int")).withColumn("a", F.explode(F.sequence(F.lit(0), F.col("na") - 1)))
-    cols = ["key", "a", "b", "side", "node", "comp", "n", "sketch"]
+    cols = ["key", "a", "b", "side", "node", "comp", "n", "parity"]
     both = a.withColumn("side", F.lit(0)).select(cols).unionByName(b.withColumn("side", F.lit(1)).select(cols))
     both = both.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "side")
 
-    def pairs(node, comp, n, sk, split):
+    def fold(x, bits):
+        while x.shape[1] > bits:
+            x = x[:, :x.shape[1] // 2] ^ x[:, x.shape[1] // 2:]
+        return x
+
+    def pairs(node, comp, n, par, split):
+        size = np.array([len(p) for p in par])
         out = []
-        for i in range(0, split, 64):
-            x = slice(i, min(i + 64, split))
-            y = slice(split, len(node))
-            ok = (comp[x][:, None] != comp[y][None, :]) & (100 * np.minimum(n[x][:, None], n[y][None, :]) >= percent * np.maximum(n[x][:, None], n[y][None, :]))
-            p, q = np.nonzero(ok)
-            same = (sk[x][p] == sk[y][q]).sum(1)
-            p, q = p[same >= least] + i, q[same >= least] + split
-            out.append(np.stack([np.minimum(node[p], node[q]), np.maximum(node[p], node[q])], 1))
-        return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+        for m in np.unique(size[:split]):
+            left = np.flatnonzero(size[:split] == m)
+            for o in (m // 2, m, m * 2):
+                right = np.flatnonzero(size[split:] == o) + split
+                if not len(right):
+                    continue
+                bits = min(m, o) // 8  # as 64-bit numbers
+                x = fold(np.frombuffer(b"".join([par[i] for i in left]), dtype=U).reshape(len(left), -1), bits)
+                y = fold(np.frombuffer(b"".join([par[i] for i in right]), dtype=U).reshape(len(right), -1), bits)
+                for i in range(0, len(left), 64):
+                    p = left[i:i + 64]
+                    a, b = n[p][:, None], n[right][None, :]
+                    ok = (comp[p][:, None] != comp[right][None, :]) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
+                    p, q = np.nonzero(ok)
+                    d = np.bitwise_count(x[i + p] ^ y[q]).sum(1, dtype=np.int64)
+                    # similarity >= j means at most (n1 + n2) (1 - j) / (1 + j) elements differ
+                    few = d * (100 + percent) <= (n[left[i + p]] + n[right[q]]) * (100 - percent)
+                    p, q = left[i + p[few]], right[q[few]]
+                    swap = node[p] > node[q]
+                    p, q = np.where(swap, q, p), np.where(swap, p, q)
+                    out.append(np.stack([node[p], node[q], comp[p], comp[q], d[few]], 1))
+        return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 5), np.int64)
 
     def run(batches):
         held = None
@@ -219,13 +251,12 @@ def crossing(rows: DataFrame, sig: DataFrame, percent: int) -> DataFrame:
             held = t.slice(int(starts[-1]))
             starts, ends = starts[:-1], ends[:-1]
         side, node, comp, n = (t.column(c).to_numpy() for c in ("side", "node", "comp", "n"))
-        raw = t.column("sketch").combine_chunks()
-        sk = np.frombuffer(b"".join(raw.to_pylist()), dtype=np.uint8).reshape(-1, T) if len(k) else np.zeros((0, T), np.uint8)
-        found = [pairs(node[i:j], comp[i:j], n[i:j], sk[i:j], int((side[i:j] == 0).sum())) for i, j in zip(starts, ends)]
-        found = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(found[:, 0].astype(np.int64)), pa.array(found[:, 1].astype(np.int64))], ["u", "v"]), held
+        par = t.column("parity").to_pylist()
+        found = [pairs(node[i:j], comp[i:j], n[i:j], par[i:j], int((side[i:j] == 0).sum())) for i, j in zip(starts, ends)]
+        found = np.concatenate(found) if found else np.zeros((0, 5), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(found[:, c].astype(np.int64)) for c in range(5)], ["u", "v", "cu", "cv", "d"]), held
 
-    return both.mapInArrow(run, "u long, v long").distinct()
+    return both.mapInArrow(run, "u long, v long, cu long, cv long, d long").distinct()
 
 
 def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -234,20 +265,31 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "d
     sig = stored(signatures(docs, k), "signatures")
     linkable = sig.where("n > 0 and doc_id is not null")
     classes = stored(linkable.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("node"), F.any_value("keys").alias("keys"),
-                                                           F.any_value("sketch").alias("sketch")), "classes")
+                                                           F.any_value("parity").alias("parity")), "classes")
     exploded = classes.select("node", F.explode("keys").alias("key"))
     shared = exploded.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("hub")).where("c > 1").select("key", "hub")
     rows = stored(exploded.join(shared, "key").select("key", "node", "hub"), "bands")
     votes = rows.where("node <> hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     star = votes.groupBy("node").agg(F.max(F.struct("c", (-F.col("hub")).alias("h"))).alias("m"))
     star = stored(star.select((-F.col("m.h")).alias("u"), F.col("node").alias("v")), "star")
-    links = stored(verified(docs, star, k, percent), "links")
+    links = stored(verified(packed_texts(docs, star), star, k, percent), "links")
     comp = star_components(links, [])
     labelled = rows.select("key", "node").join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-    more = stored(crossing(labelled, classes.select("node", "n", "sketch"), percent), "crossing")
+    more = stored(crossing(labelled, classes.select("node", "n", "parity"), percent), "crossing")
     if not more.isEmpty():
-        extra = stored(verified(docs, more, k, percent), "links")
-        comp = star_components(links.unionByName(extra), [])
+        texts = packed_texts(docs, more)
+        both = more.select("u", "v", F.col("u").alias("x"), F.col("cv").alias("c"), "d").unionByName(
+            more.select("u", "v", F.col("v").alias("x"), F.col("cu").alias("c"), "d"))
+        likely = both.groupBy("x", "c").agg(F.min(F.struct("d", "u", "v")).alias("m")).select("m.u", "m.v").distinct()
+        links = stored(links.unionByName(verified(texts, likely, k, percent)), "links")
+        comp = star_components(links, [])
+        rest = more.join(likely, ["u", "v"], "left_anti").select("u", "v")
+        for side in "uv":
+            rest = rest.join(comp.select(F.col("node").alias(side), F.col("comp").alias(f"c{side}")), side, "left")
+        rest = stored(rest.where("coalesce(cu, u) <> coalesce(cv, v)").select("u", "v"), "rest")
+        if not rest.isEmpty():
+            links = stored(links.unionByName(verified(texts, rest, k, percent)), "links")
+            comp = star_components(links, [])
     final = classes.select("n", "d1", "d2", "node").join(comp, "node", "left").select(
         "n", "d1", "d2", F.coalesce("comp", "node").alias("component_id"))
     out = sig.select("doc_id", "n", "d1", "d2").join(final, ["n", "d1", "d2"], "left")
