@@ -1,6 +1,7 @@
 """Suffix-array dedup: bytes covered by a 100-byte string that also starts earlier are removed.
 
-Surroundings of shared anchors meet by anchor (see ``repeats``). Their distinct ones are cut into pieces that end with white
+Surroundings of shared anchors meet by anchor (see ``repeats``). Their distinct ones, as far as another one of the anchor agrees
+to the left and to the right, are cut into pieces that end with white
 space, and the piece string's suffix array is built by grouping (``suffix``). Pieces are numbered in byte order, so
 this is the byte order of the suffixes that start a piece. A 100-byte string is the bytes up to its first white space and a
 prefix of such a suffix: strings are equal when the first parts are equal and no neighbour between their
@@ -91,6 +92,27 @@ def classes(buf: np.ndarray, at: np.ndarray, row: np.ndarray, off: np.ndarray, w
     return out
 
 
+def reach(buf: np.ndarray, at: np.ndarray, anchor: np.ndarray, cls: np.ndarray, k: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many bytes left and right of its anchor each surrounding shares with some other one of its class."""
+    def one(first, step, room):
+        cols = first[:, None] + step * np.arange(most)
+        rows = np.where(np.arange(most) < room[:, None], buf[np.clip(cols, 0, len(buf) - 1)], 0)
+        pad = np.zeros((len(rows), -most % 8), dtype=np.uint8)
+        words = np.ascontiguousarray(np.concatenate([rows, pad], 1)).view(">u8")
+        order = np.lexsort([*words.T[::-1], cls])
+        x = rows[order]
+        diff = x[1:] != x[:-1]
+        n = np.where(diff.any(1), diff.argmax(1), most)
+        n[cls[order][1:] != cls[order][:-1]] = 0
+        got = np.zeros(len(rows), dtype=np.int64)
+        got[order[1:]] = n
+        got[order[:-1]] = np.maximum(got[order[:-1]], n)
+        return np.minimum(got, room)
+
+    here = at[:-1] + anchor
+    return one(here - 1, -1, anchor), one(here + k, 1, np.diff(at) - anchor - k)
+
+
 def resolve(kind: R.Kind, t: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows that start earlier too. ``t`` holds whole anchors, sorted by (anchor, id, start)."""
     buf, at = column_bytes(t.column("around"))
@@ -101,17 +123,25 @@ def resolve(kind: R.Kind, t: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np
     _, first, inv = np.unique(own, return_index=True, return_inverse=True)
     lead = first[inv]
     copy = lead != np.arange(len(n))  # an equal surrounding stands earlier: all its windows go
-    kinds = np.bincount(np.cumsum(np.concatenate([[0], h[1:] != h[:-1]])), weights=~copy)
-    several = kinds[np.cumsum(np.concatenate([[0], h[1:] != h[:-1]]))] > 1
+    cls = np.cumsum(np.concatenate([[0], h[1:] != h[:-1]]))
+    several = np.bincount(cls, weights=~copy)[cls] > 1
     use = np.flatnonzero(~copy & several)
     out = [(np.flatnonzero(copy), np.zeros(int(copy.sum()), np.int64), n[copy])]
     if len(use):
         size = np.diff(at)[use]
-        sub = np.concatenate([[0], np.cumsum(size)])
-        row, off = np.repeat(np.arange(len(use)), n[use]), ranges(np.zeros(len(use), np.int64), n[use])
-        low = classes(buf[ranges(at[use], size)], sub, row, off, kind.window)
-        r, o, m = R.runs_of(low != np.arange(len(low)), row, off)
-        out.append((use[r], o, m))
+        sub, bytes_ = np.concatenate([[0], np.cumsum(size)]), buf[ranges(at[use], size)]
+        anchor = t.column("anchor").to_numpy().astype(np.int64)[use]
+        # only what some other surrounding shares around the anchor can hold a repeated window
+        left, right = reach(bytes_, sub, anchor, cls[use], kind.k, kind.window - kind.k)
+        lo, size = anchor - left, left + kind.k + right
+        ok = size >= kind.window
+        use, begin, lo, size = use[ok], (sub[:-1] + lo)[ok], lo[ok], size[ok]
+        if len(use):
+            m = size - kind.window + 1
+            row, off = np.repeat(np.arange(len(use)), m), ranges(np.zeros(len(use), np.int64), m)
+            low = classes(bytes_[ranges(begin, size)], np.concatenate([[0], np.cumsum(size)]), row, off, kind.window)
+            r, o, m = R.runs_of(low != np.arange(len(low)), row, off)
+            out.append((use[r], o + lo[r], m))
     return tuple(np.concatenate([x[i] for x in out]) for i in range(3))
 
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 U = np.uint64
 _R = U(0x9E3779B97F4A7C15 | 1)
 _RINV = U(pow(int(_R), -1, 1 << 64))
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 18  # the arrays of a chunk stay in the processor's cache
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -158,25 +158,24 @@ def covered(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.cumsum(d[:-1]) > 0
 
 
-def winnow(h: np.ndarray, group: np.ndarray, w: int) -> np.ndarray:
-    """For every w consecutive hashes of one group, the position of the smallest (last of ties).
+PLACE_BITS = 24
 
-    Returns one position per window start; windows that cross groups give -1.
+
+def winnow(h: np.ndarray, w: int) -> np.ndarray:
+    """For every w consecutive hashes the position of the smallest; of equal ones (in the bits compared) the last.
+
+    Hash and position share a number, so one running minimum gives both.
     """
     n = len(h) - w + 1
     if n <= 0:
         return np.zeros(0, dtype=np.int64)
-    best, pos, span = h.copy(), np.arange(len(h)), 1
+    bits = max(PLACE_BITS, len(h).bit_length())
+    low = U((1 << bits) - 1)
+    best = (h & ~low) | (low - np.arange(len(h), dtype=np.uint64))
+    span = 1
     while span * 2 <= w:  # doubling: the minimum over span*2 from two of span
-        a, b = best[:-span], best[span:]
-        take = b <= a
-        best, pos = np.where(take, b, a), np.where(take, pos[span:], pos[:-span])
+        best = np.minimum(best[:-span], best[span:])
         span *= 2
-    shift = w - span
-    if shift:
-        a, b = best[:n], best[shift:shift + n]
-        take = b <= a
-        pos = np.where(take, pos[shift:shift + n], pos[:n])
-    pos = pos[:n].copy()
-    pos[group[:n] != group[w - 1:w - 1 + n]] = -1
-    return pos
+    if w > span:
+        best = np.minimum(best[:n], best[w - span:w - span + n])
+    return (low - (best[:n] & low)).astype(np.int64)

@@ -56,23 +56,36 @@ def anchored(kind: Kind, sym: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray,
     n = len(sym) - kind.window + 1
     if n <= 0:
         return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, U),)
-    pos = winnow(h, doc[:len(h)], kind.w)[:n]
+    pos = winnow(h, kind.w)[:n]
     start = np.flatnonzero(doc[:n] == doc[kind.window - 1:])
     pos = pos[start]
     return start, pos, h[pos]
 
 
+def counted(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (document, hash), each once: ``(order that groups them, first of each group, size)``."""
+    order = np.lexsort((h, doc))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (doc[order][1:] != doc[order][:-1]) | (h[order][1:] != h[order][:-1])
+    first = np.flatnonzero(new)
+    return order, first, np.diff(np.append(first, len(order)))
+
+
 def anchors(docs: DataFrame, kind: Kind) -> DataFrame:
-    """``h, doc_id``: one row per anchor place."""
+    """``h, doc_id, c``: each anchor hash of a document once, with the number of its places."""
     def run(batches):
         for b, buf, at in chunks(batches):
             sym, doc, _, _, _ = units(kind, buf, at)
             _, pos, h = anchored(kind, sym, doc)
             new = np.ones(len(pos), dtype=bool)
             new[1:] = pos[1:] != pos[:-1]
-            yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), b.column("doc_id").take(pa.array(doc[pos[new]]))], ["h", "doc_id"])
+            d, h = doc[pos[new]], h[new]
+            order, first, c = counted(d, h)
+            i = order[first]
+            yield pa.RecordBatch.from_arrays([pa.array(h[i].view(np.int64)), b.column("doc_id").take(pa.array(d[i])), pa.array(c.astype(np.int32))],
+                                             ["h", "doc_id", "c"])
 
-    return docs.mapInArrow(run, "h long, doc_id long")
+    return docs.mapInArrow(run, "h long, doc_id long, c int")
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -89,7 +102,7 @@ def packed(docs: DataFrame) -> DataFrame:
 def unpack(batches):
     """Batches with ``text`` bytes in place of ``z``."""
     d = zstandard.ZstdDecompressor()
-    for b in batches:
+    for b in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
         text = pa.array([d.decompress(z) for z in b.column("z").to_pylist()], pa.large_binary())
         names = [n for n in b.schema.names if n != "z"]
         yield pa.RecordBatch.from_arrays([b.column(n) for n in names] + [text], names + ["text"])
@@ -110,12 +123,11 @@ def repeated(docs: DataFrame, kind: Kind, resolve: Callable, same_doc: bool) ->
     """
     part = stored(participants(docs), "participants")
     rows = anchors(docs.select("doc_id", "text"), kind)
-    often = rows.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
-    rows = rows.join(often, "h").join(part.select("doc_id"), "doc_id", "left_semi")
-    rows = stored(rows, "anchors")
-    counts = rows.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    counts = counts.where("c > 1" if same_doc else "lo < hi").select("h", (F.col("c") > HOT).alias("hot"))
-    mine = rows.distinct().join(counts, "h").groupBy("doc_id").agg(
+    shared = F.sum("c") if same_doc else F.count(F.lit(1))
+    often = rows.groupBy("h").agg(shared.alias("n")).where("n > 1").select("h")
+    rows = stored(rows.join(often, "h").join(part.select("doc_id"), "doc_id", "left_semi"), "anchors")
+    counts = rows.groupBy("h").agg(shared.alias("n"), F.sum("c").alias("places")).where("n > 1").select("h", (F.col("places") > HOT).alias("hot"))
+    mine = rows.select("h", "doc_id").join(counts, "h").groupBy("doc_id").agg(
         F.collect_list("h").alias("hs"), F.collect_list(F.when(F.col("hot"), F.col("h"))).alias("hot"))  # of one document
     texts = stored(mine.join(packed(docs), "doc_id").join(part, ["doc_id", "th"], "left_semi"), "texts")
     cold = _cold(texts, kind, resolve)
@@ -199,26 +211,28 @@ def _cold(texts: DataFrame, kind: Kind, resolve: Callable) -> DataFrame:
 
 
 def _hot(texts: DataFrame, kind: Kind, same_doc: bool) -> DataFrame:
-    """Windows of very common anchors as rows; the first place of each is found by aggregation."""
+    """Windows of very common anchors as rows, each string of a document once; its first place is found by aggregation."""
     def cut(batches):
         for b, buf, at in chunks(unpack(batches)):
             sym, doc, first, _, _ = units(kind, buf, at)
             start, pos, h = anchored(kind, sym, doc)
-            ok = _member(b, "hot", doc[pos], h)
-            start = start[ok]
+            start = start[_member(b, "hot", doc[pos], h)]
             if not len(start):
                 continue
-            wh = rolling(sym, kind.window)[start]
-            yield pa.RecordBatch.from_arrays([pa.array(wh.view(np.int64)), b.column("doc_id").take(pa.array(doc[start])),
-                                              pa.array((start - first[doc[start]]).astype(np.int64))], ["wh", "doc_id", "start"])
-
-    rows = stored(texts.where(F.size("hot") > 0).select("doc_id", "z", "hot").mapInArrow(cut, "wh long, doc_id long, start long"), "windows")
-    place = F.struct("doc_id", "start") if same_doc else F.struct("doc_id")
-    first = rows.groupBy("wh").agg(F.count(F.lit(1)).alias("c"), F.min("doc_id").alias("d")) if not same_doc else \
-        rows.groupBy("wh").agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("p")).select("wh", "c", F.col("p.doc_id").alias("d"), F.col("p.start").alias("s"))
-    met = rows.join(first.where("c > 1").drop("c"), "wh")
-    later = "doc_id > d" if not same_doc else "doc_id > d or start > s"
-    return met.where(later).select("doc_id", "start", F.lit(1).cast("long").alias("n"))
+            wh, d = rolling(sym, kind.window)[start], doc[start]
+            order, i, c = counted(d, wh)  # stable: places of a string stay in order
+            own = order[i]
+            off = np.append(i, len(order)).astype(np.int32)
+            places = (start - first[d])[order].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(wh[own].view(np.int64)), b.column("doc_id").take(pa.array(d[own])),
+                                              pa.ListArray.from_arrays(off, pa.array(places))], ["wh", "doc_id", "starts"])
+
+    rows = stored(texts.where(F.size("hot") > 0).select("doc_id", "z", "hot").mapInArrow(cut, "wh long, doc_id long, starts array<long>"), "windows")
+    first = rows.groupBy("wh").agg(F.count(F.lit(1)).alias("c"), F.min("doc_id").alias("d"))
+    met = rows.join(first.where("c > 1").select("wh", "d"), "wh").where("doc_id > d").select("doc_id", F.explode("starts").alias("start"))
+    if same_doc:  # all places but the first of its document; the first one too when another document has it before
+        met = met.unionByName(rows.where(F.size("starts") > 1).select("doc_id", F.explode(F.slice("starts", 2, F.size("starts") - 1)).alias("start")))
+    return met.select("doc_id", "start", F.lit(1).cast("long").alias("n"))
 
 
 def runs_of(flag: np.ndarray, row: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
