@@ -529,6 +529,59 @@ add("u4", """select v.public_id, """ + ", ".join(f"coalesce(max((s.iou_gt>0.3 an
 # ---------------------------------------------------------------- H
 K2 = "k"
 INT2 = inter2("k", "r")
+# one action per step: extend the tube, turn round, or take the next free seed
+LINKED = f"""
+lr as (select *, row_number() over (partition by volume_id order by slice_z, x1, y1, x2, y2, det_id) p,
+    row_number() over (partition by volume_id order by score desc, slice_z, x1, y1, x2, y2, det_id) k from det where score>=0.02),
+ledge as (select a.volume_id, a.p, b.p c, b.slice_z>a.slice_z up, {iou2('a', 'b')} iou
+  from lr a join lr b on a.volume_id=b.volume_id and abs(a.slice_z-b.slice_z) between 1 and 2 where {iou2('a', 'b')}>=0.3),
+lway as (select volume_id, p, list(c order by iou desc, c) filter (up) u, list(c order by iou desc, c) filter (not up) d from ledge group by 1, 2),
+lvol as (select lr.volume_id, list(p order by k) seeds, list((x1+x2)/2 order by p) xs, list((y1+y2)/2 order by p) ys, list(slice_z order by p) zs,
+    list(coalesce(u, []::bigint[]) order by p) us, list(coalesce(d, []::bigint[]) order by p) ds from lr left join lway using (volume_id, p) group by 1),
+lwalk as (
+  select volume_id, [seeds[1]] used, [seeds[1]] own, seeds[1] seed, seeds[1] head, false down, 1 n, xs[seeds[1]] sx, ys[seeds[1]] sy,
+    zs[seeds[1]] z0, zs[seeds[1]] z1, false done from lvol
+  union all
+  select volume_id, case when ok then list_append(used, nxt) when turn and nseed is not null then list_append(used, nseed) else used end,
+    case when ok then list_append(own, seed) when turn and nseed is not null then list_append(own, nseed) else own end,
+    case when turn and nseed is not null then nseed else seed end,
+    case when ok then nxt when turn and nseed is not null then nseed else seed end,
+    case when ok then down else not down end, case when ok then n+1 when turn then 1 else n end,
+    case when ok then sx+xs[nxt] when turn then xs[nseed] else sx end, case when ok then sy+ys[nxt] when turn then ys[nseed] else sy end,
+    case when ok then least(z0, zs[nxt]) when turn then zs[nseed] else z0 end, case when ok then greatest(z1, zs[nxt]) when turn then zs[nseed] else z1 end,
+    coalesce(turn and nseed is null, false)
+  from (select *, not ok and down turn, case when not ok and down then list_filter(seeds, lambda s: not list_contains(used, s))[1] end nseed
+    from (select *, coalesce(greatest(z1, zs[nxt])-least(z0, zs[nxt])+1<=182
+        and sqrt((xs[nxt]-sx/n)*(xs[nxt]-sx/n)+(ys[nxt]-sy/n)*(ys[nxt]-sy/n))<=342, false) ok
+      from (select w.*, v.* exclude (volume_id), list_filter(case when down then ds[head] else us[head] end, lambda c: not list_contains(used, c))[1] nxt
+        from lwalk w join lvol v on w.volume_id=v.volume_id where not done)))),
+lmem as (select volume_id, unnest(used) p, unnest(own) sp from lwalk where done),
+tubes as (select r.volume_id, t.det_id tube_id, r.det_id, r.slice_z, r.x1, r.y1, r.x2, r.y2, r.score
+  from (select * from lmem qualify count(*) over (partition by volume_id, sp)>=3) m
+  join lr r on r.volume_id=m.volume_id and r.p=m.p join lr t on t.volume_id=m.volume_id and t.p=m.sp),
+"""
+add("g1", "select * from tubes", B4 + " score", LINKED)
+FP16 = f"""
+d16 as (select public_id, cand_seq, label, cen_d0, cen_d1, cen_d2, {ANISO} a from record where label in ('pos', 'neg')),
+near16 as (select a.label, a.public_id, a.cand_seq x, b.cand_seq y from d16 a join d16 b on a.label=b.label and a.public_id=b.public_id and {DIST}<=10),
+reach16 as (select label, public_id, x, y from near16 union select r.label, r.public_id, r.x, n.y from reach16 r
+  join near16 n on n.label=r.label and n.public_id=r.public_id and n.x=r.y),
+m16 as (select 'anisotropy' m, label, a v from d16 where a is not null
+  union all select 'nn_dist', a.label, min({DIST}) from d16 a join d16 b on a.label=b.label and a.cand_seq<>b.cand_seq group by a.label, a.cand_seq
+  union all select 'clusters_per_vol', label, count(distinct c) from (select label, public_id, y, min(x) c from reach16 group by 1, 2, 3) group by label, public_id),
+one16 as (select """ + ", ".join(
+    f"(select quantile_cont(v, {q}) from m16 where m='{m}' and label='{lab}') {short}_{m}_{n}"
+    for m in ("anisotropy", "nn_dist", "clusters_per_vol") for lab, short in (("neg", "fp"), ("pos", "tp"))
+    for q, n in ((0.5, "median"), (0.25, "q1"), (0.75, "q3"))) + """,
+  (select count(*) from d16 where label='neg') fp_n, (select count(*) from d16 where label='pos') tp_n,
+""" + ", ".join(CLIFF(f"(select * from m16 where m='{m}')", "label='neg'", "label='pos'") + f" {m}_delta" for m in ("anisotropy", "nn_dist")) + """),
+flag16 as (select *, fp_anisotropy_median>tp_anisotropy_median more_elongated, fp_nn_dist_median<tp_nn_dist_median tighter_nn,
+  fp_clusters_per_vol_median>1 multi_cluster_per_vol from one16),
+"""
+add("a16", """select *, tighter_nn and multi_cluster_per_vol more_clustered, more_elongated and tighter_nn and multi_cluster_per_vol structure_present,
+  case when more_elongated and tighter_nn and multi_cluster_per_vol then 'relational' else 'set-level contextual calibration' end claim_scope from flag16""",
+    " ".join(f"{s}_{m}_{n}" for m in ("anisotropy", "nn_dist", "clusters_per_vol") for s in ("fp", "tp") for n in ("median", "q1", "q3"))
+    + " anisotropy_delta nn_dist_delta", FP16)
 add("g2", "select det_id from keep", "", greedy("det", "volume_id, slice_z", "score desc, det_id", "det_id", B4,
     f"({INT2})/((r.x2-r.x1)*(r.y2-r.y1))>=cast(0.8 as double)"))
 IOU3N = "*".join(f"greatest(0.0::double, least(k.{c}+k.{e}/2,r.{c}+r.{e}/2)-greatest(k.{c}-k.{e}/2,r.{c}-r.{e}/2))" for c, e in AX)
