@@ -5,8 +5,8 @@ windows pick equal anchors at equal offsets. Only anchors that occur more than o
 around them decide which windows are repeated:
 
 * anchors with up to HOT occurrences: the surroundings of one anchor meet in one task (a rule per unit kind decides);
-* anchors above: every window is a row; Spark takes the first place of each window's hash (with map-side
-  partial aggregation) and joins it back, so a passage of any number of documents is split over tasks.
+* anchors above: whole surroundings, then single windows of the distinct ones, are rows; Spark takes the first place of each
+  hash (with map-side partial aggregation) and joins it back, so a passage of any number of documents is split over tasks.
 
 Both ways give the same windows. An id names one document: of rows that share an id with different texts the one with the least text hash
 takes part, and exact copies of a text take part once, as the smallest id.
@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from tubelens.llm.common import stored
-from tubelens.llm.kernels import Words, _BYTE, chunks, mix, prefix, ranges, rolling, winnow
+from tubelens.llm.kernels import Words, _BYTE, chunks, mix, prefix, ranges, rolling, span_hash, winnow
 
 HOT = 1000
 U = np.uint64
@@ -211,28 +211,59 @@ def _cold(texts: DataFrame, kind: Kind, resolve: Callable) -> DataFrame:
 
 
 def _hot(texts: DataFrame, kind: Kind, same_doc: bool) -> DataFrame:
-    """Windows of very common anchors as rows, each string of a document once; its first place is found by aggregation."""
-    def cut(batches):
+    """Very common anchors. First whole surroundings: all places but an equal surrounding's first one go. Then, for
+    these first ones, windows as rows, each string of a document once. Both take the first place by aggregation."""
+    def places(b, buf, at):
+        sym, doc, first, _, _ = units(kind, buf, at)
+        start, pos, h = anchored(kind, sym, doc)
+        ok = _member(b, "hot", doc[pos], h)
+        start, pos, h = start[ok], pos[ok], h[ok]
+        new = np.ones(len(pos), dtype=bool)
+        new[1:] = pos[1:] != pos[:-1]
+        i = np.flatnonzero(new)
+        n = np.diff(np.append(i, len(pos)))
+        lo = start[i]
+        with np.errstate(over="ignore"):
+            around = mix(span_hash(prefix(sym), lo, lo + n - 1 + kind.window) + h[i] * U(3)) if len(i) else np.zeros(0, U)
+        return sym, doc, first, lo, n, around
+
+    def listed(b, d, key, start, first, more):
+        order, i, c = counted(d, key)  # stable: places stay in order
+        own = order[i]
+        off = np.append(i, len(order)).astype(np.int32)
+        return [pa.array(key[own].view(np.int64)), b.column("doc_id").take(pa.array(d[own])),
+                pa.ListArray.from_arrays(off, pa.array((start - first[d])[order].astype(np.int64))), *[pa.array(x[own].astype(np.int64)) for x in more]]
+
+    def whole(batches):
         for b, buf, at in chunks(unpack(batches)):
-            sym, doc, first, _, _ = units(kind, buf, at)
-            start, pos, h = anchored(kind, sym, doc)
-            start = start[_member(b, "hot", doc[pos], h)]
-            if not len(start):
+            sym, doc, first, lo, n, around = places(b, buf, at)
+            if len(lo):
+                yield pa.RecordBatch.from_arrays(listed(b, doc[lo], around, lo, first, [n]), ["key", "doc_id", "starts", "n"])
+
+    def single(batches):
+        for b, buf, at in chunks(unpack(batches)):
+            sym, doc, first, lo, n, around = places(b, buf, at)
+            ok = np.flatnonzero(_member(b, "firsts", doc[lo], around)) if len(lo) else np.zeros(0, np.int64)
+            order, i, _ = counted(doc[lo[ok]], around[ok])
+            ok = ok[order[i]]  # a surrounding's first place in its document
+            if not len(ok):
                 continue
-            wh, d = rolling(sym, kind.window)[start], doc[start]
-            order, i, c = counted(d, wh)  # stable: places of a string stay in order
-            own = order[i]
-            off = np.append(i, len(order)).astype(np.int32)
-            places = (start - first[d])[order].astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(wh[own].view(np.int64)), b.column("doc_id").take(pa.array(d[own])),
-                                              pa.ListArray.from_arrays(off, pa.array(places))], ["wh", "doc_id", "starts"])
-
-    rows = stored(texts.where(F.size("hot") > 0).select("doc_id", "z", "hot").mapInArrow(cut, "wh long, doc_id long, starts array<long>"), "windows")
-    first = rows.groupBy("wh").agg(F.count(F.lit(1)).alias("c"), F.min("doc_id").alias("d"))
-    met = rows.join(first.where("c > 1").select("wh", "d"), "wh").where("doc_id > d").select("doc_id", F.explode("starts").alias("start"))
-    if same_doc:  # all places but the first of its document; the first one too when another document has it before
-        met = met.unionByName(rows.where(F.size("starts") > 1).select("doc_id", F.explode(F.slice("starts", 2, F.size("starts") - 1)).alias("start")))
-    return met.select("doc_id", "start", F.lit(1).cast("long").alias("n"))
+            start = np.sort(ranges(lo[ok], n[ok]))
+            yield pa.RecordBatch.from_arrays(listed(b, doc[start], rolling(sym, kind.window)[start], start, first, []), ["key", "doc_id", "starts"])
+
+    def later(rows, n):
+        first = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("doc_id").alias("d"))
+        met = rows.join(first.where("c > 1").select("key", "d"), "key").where("doc_id > d").select("doc_id", F.explode("starts").alias("start"), n)
+        if same_doc:
+            met = met.unionByName(rows.where(F.size("starts") > 1).select("doc_id", F.explode(F.slice("starts", 2, F.size("starts") - 1)).alias("start"), n))
+        return met, first
+
+    hot = texts.where(F.size("hot") > 0)
+    rows = stored(hot.select("doc_id", "z", "hot").mapInArrow(whole, "key long, doc_id long, starts array<long>, n long"), "surroundings")
+    met, first = later(rows, F.col("n"))
+    firsts = first.groupBy(F.col("d").alias("doc_id")).agg(F.collect_list("key").alias("firsts"))  # of one document
+    rows = stored(hot.join(firsts, "doc_id").select("doc_id", "z", "hot", "firsts").mapInArrow(single, "key long, doc_id long, starts array<long>"), "windows")
+    return met.unionByName(later(rows, F.lit(1).cast("long").alias("n"))[0])
 
 
 def runs_of(flag: np.ndarray, row: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
