@@ -532,14 +532,17 @@ add("u4", """select v.public_id, """ + ", ".join(f"coalesce(max((s.iou_gt>0.3 an
 K2 = "k"
 INT2 = inter2("k", "r")
 # one action per step: extend the tube, turn round, or take the next free seed
+PAR = "lpar as (select distinct g, 0.3::double iou, 3 len, 182 span from ldet),"
 LINKED = f"""
 lr as (select *, row_number() over (partition by g, volume_id order by slice_z, x1, y1, x2, y2, det_id) p,
     row_number() over (partition by g, volume_id order by score desc, slice_z, x1, y1, x2, y2, det_id) k from ldet),
 ledge as (select a.g, a.volume_id, a.p, b.p c, b.slice_z>a.slice_z up, {iou2('a', 'b')} iou
-  from lr a join lr b on a.g=b.g and a.volume_id=b.volume_id and abs(a.slice_z-b.slice_z) between 1 and 2 where {iou2('a', 'b')}>=0.3),
+  from lr a join lr b on a.g=b.g and a.volume_id=b.volume_id and abs(a.slice_z-b.slice_z) between 1 and 2 join lpar on lpar.g=a.g
+  where {iou2('a', 'b')}>=lpar.iou),
 lway as (select g, volume_id, p, list(c order by iou desc, c) filter (up) u, list(c order by iou desc, c) filter (not up) d from ledge group by 1, 2, 3),
 lvol as (select lr.g, lr.volume_id, list(p order by k) seeds, list((x1+x2)/2 order by p) xs, list((y1+y2)/2 order by p) ys, list(slice_z order by p) zs,
-    list(coalesce(u, []::bigint[]) order by p) us, list(coalesce(d, []::bigint[]) order by p) ds from lr left join lway using (g, volume_id, p) group by 1, 2),
+    list(coalesce(u, []::bigint[]) order by p) us, list(coalesce(d, []::bigint[]) order by p) ds, max(span) span
+  from lr left join lway using (g, volume_id, p) join lpar on lpar.g=lr.g group by 1, 2),
 lwalk as (
   select g, volume_id, [seeds[1]] used, [seeds[1]] own, seeds[1] seed, seeds[1] head, false down, 1 n, xs[seeds[1]] sx, ys[seeds[1]] sy,
     zs[seeds[1]] z0, zs[seeds[1]] z1, false done from lvol
@@ -553,34 +556,37 @@ lwalk as (
     case when ok then least(z0, zs[nxt]) when turn then zs[nseed] else z0 end, case when ok then greatest(z1, zs[nxt]) when turn then zs[nseed] else z1 end,
     coalesce(turn and nseed is null, false)
   from (select *, not ok and down turn, case when not ok and down then list_filter(seeds, lambda s: not list_contains(used, s))[1] end nseed
-    from (select *, coalesce(greatest(z1, zs[nxt])-least(z0, zs[nxt])+1<=182
+    from (select *, coalesce(greatest(z1, zs[nxt])-least(z0, zs[nxt])+1<=span
         and sqrt((xs[nxt]-sx/n)*(xs[nxt]-sx/n)+(ys[nxt]-sy/n)*(ys[nxt]-sy/n))<=342, false) ok
       from (select w.*, v.* exclude (g, volume_id), list_filter(case when down then ds[head] else us[head] end, lambda c: not list_contains(used, c))[1] nxt
         from lwalk w join lvol v on w.g=v.g and w.volume_id=v.volume_id where not done)))),
 lmem as (select g, volume_id, unnest(used) p, unnest(own) sp from lwalk where done),
 tubes as (select r.g, r.volume_id, t.det_id tube_id, r.det_id, r.slice_z, r.x1, r.y1, r.x2, r.y2, r.score
-  from (select * from lmem qualify count(*) over (partition by g, volume_id, sp)>=3) m
+  from (select lmem.* from lmem join lpar using (g) qualify count(*) over (partition by g, volume_id, sp)>=any_value(len) over (partition by g)) m
   join lr r on r.g=m.g and r.volume_id=m.volume_id and r.p=m.p join lr t on t.g=m.g and t.volume_id=m.volume_id and t.p=m.sp),
 """
 # pool, recall and CPM of every group g of linked detections
-SWEPT = f"""
+POOLED_L = f"""
 lg as (select distinct g from ldet),
 lh as (select g, volume_id public_id, tube_id, max(score) score_max, {RE('min(y1)')} min_d0, {RE('min(x1)')} min_d1, min(slice_z) min_d2,
   {RE('max(y2)')}-1 max_d0, {RE('max(x2)')}-1 max_d1, max(slice_z) max_d2 from tubes group by 1, 2, 3),
-lsc as (select b.g, b.public_id, b.tube_id, least(b.score_max, 0.999999::double) probability, coalesce({iou3('b', 'q')}, 0) iou_gt, q.label_id
+lsc as (select b.*, least(b.score_max, 0.999999::double) probability, coalesce({iou3('b', 'q')}, 0) iou_gt, q.label_id
   from {native('lh', 'g, public_id, tube_id, score_max')} b left join gt_boxes q using (public_id)
   qualify row_number() over (partition by b.g, b.tube_id order by iou_gt desc, q.label_id)=1),
+"""
+FINAL_L = "lfin as (select * from lsc),"
+SWEPT = f"""
 lcnt as (select k.g, t.p_thresh, count(distinct case when s.iou_gt>0.3 then s.public_id*1000+s.label_id end) tp, count(case when s.iou_gt<=0.3 then 1 end) fp
-  from lg k cross join thr t left join lsc s on s.g=k.g and s.probability>=t.p_thresh group by 1, 2),
+  from lg k cross join thr t left join lfin s on s.g=k.g and s.probability>=t.p_thresh group by 1, 2),
 lcurve as (select g, p_thresh, (fp+1e-8)/(n_vol+1e-8) fp, (tp+1e-8)/(n_gt+1e-8) recall from lcnt cross join sizes),
 lkr as ({at_keys('lcurve', 'g')}),
-lrec as (select g, avg(h) recall, sum(h)::bigint n_hit, count(*) n_vol, avg(n) pool_mean, max(n) pool_max from (
+lrec as (select g, avg(h) recall, sum(h)::bigint n_hit, count(*) n_vol, avg(n) pool_mean, quantile_cont(n::double, 0.5) pool_median, max(n) pool_max, sum(n)::bigint pool_total from (
   select k.g, v.volume_id, count(s.tube_id) n, coalesce(max((s.iou_gt>0.3)::int), 0) h
-  from lg k cross join vols v left join lsc s on s.g=k.g and s.public_id=v.volume_id group by 1, 2) group by 1),
+  from lg k cross join vols v left join lfin s on s.g=k.g and s.public_id=v.volume_id group by 1, 2) group by 1),
 lsum as (select r.*, (select avg(x.recall) from lkr x where x.g=r.g) cpm, (select max(c.recall) from lcurve c where c.g=r.g) ceiling from lrec r),
 """
 THRESHOLDS = ", ".join(f"{t}::double" for t in C.SCORE_THRESHOLDS)
-add("g1", "select * exclude (g) from tubes", B4 + " score", "ldet as (select 0 g, * from det where score>=0.02)," + LINKED)
+add("g1", "select * exclude (g) from tubes", B4 + " score", "ldet as (select 0 g, * from det where score>=0.02)," + PAR + LINKED)
 FP16 = f"""
 d16 as (select public_id, cand_seq, label, cen_d0, cen_d1, cen_d2, {ANISO} a from record where label in ('pos', 'neg')),
 near16 as (select a.label, a.public_id, a.cand_seq x, b.cand_seq y from d16 a join d16 b on a.label=b.label and a.public_id=b.public_id and {DIST}<=10),
@@ -679,16 +685,28 @@ add("e11", """select g epoch, cpm, ceiling, recall, pool_mean, g=(select e.g fro
     and e.cpm>=(select max(cpm) from lsum where g>=1)-0.02 order by e.ceiling desc, e.g limit 1) selected from lsum""", "cpm ceiling recall pool_mean",
     PAIRS + CURVE + """
 ldet as (select * from (select x.g, d.* replace (case when (d.det_id+x.g)%5=0 then d.score*0.25::double else d.score end as score)
-  from det d cross join range(5) x(g)) where score>=0.02),""" + LINKED + SWEPT)
+  from det d cross join range(5) x(g)) where score>=0.02),""" + PAR + LINKED + POOLED_L + FINAL_L + SWEPT)
 add("e12", """select *, coalesce(thresh=(select thresh from agg where recall_mean>=0.98::double*(select max(recall_mean) from agg)-1e-12
     order by cpm_mean desc, pool_mean_mean, thresh limit 1), false) chosen,
   coalesce(recall_mean<lag(recall_mean) over (order by thresh desc)-1e-9, false) recall_dropped from agg""",
     "recall_mean recall_std cpm_mean cpm_std ceiling_mean ceiling_std pool_mean_mean pool_mean_std", PAIRS + CURVE + f"""
 ldet as (select * from (select x.g*100+t.i g, d.* replace (d.score*(1::double-0.125::double*x.g) as score), t.v from det d cross join range(3) x(g)
-  cross join (select unnest(range({len(C.SCORE_THRESHOLDS)})) i, unnest([{THRESHOLDS}]) v) t) where score>=v),""" + LINKED + SWEPT + f"""
+  cross join (select unnest(range({len(C.SCORE_THRESHOLDS)})) i, unnest([{THRESHOLDS}]) v) t) where score>=v),""" + PAR + LINKED + POOLED_L + FINAL_L + SWEPT + f"""
 agg as (select [{THRESHOLDS}][g%100+1] thresh, """ + ", ".join(f"avg({c}) {c}_mean, stddev_pop({c}) {c}_std" for c in ("recall", "cpm", "ceiling", "pool_mean"))
     + " from lsum group by 1),")
 add("e18", f"""select [{THRESHOLDS}][g+1] thresh, recall, n_hit, n_vol, pool_mean, pool_max, cpm, ceiling,
   thresh=(select max([{THRESHOLDS}][g+1]) from lsum where recall>=0.98::double*(select max(recall) from lsum)) is_knee from lsum""",
     "thresh recall pool_mean cpm ceiling", PAIRS + CURVE + f"""
-ldet as (select t.i g, d.* from det d join (select unnest(range({len(C.SCORE_THRESHOLDS)})) i, unnest([{THRESHOLDS}]) v) t on d.score>=t.v),""" + LINKED + SWEPT)
+ldet as (select t.i g, d.* from det d join (select unnest(range({len(C.SCORE_THRESHOLDS)})) i, unnest([{THRESHOLDS}]) v) t on d.score>=t.v),""" + PAR + LINKED + POOLED_L + FINAL_L + SWEPT)
+# the base and one change each: (label, IoU, length, span); the rest differ in their detections or their pool
+KNOBS = [("base", 0.3, 3, 182), ("link_iou=0.2", 0.2, 3, 182), ("link_iou=0.4", 0.4, 3, 182), ("min_tube_len=2", 0.3, 2, 182),
+         ("containment=0.8", 0.3, 3, 182), ("nms_iou=0.3", 0.3, 3, 182), ("score_floor=0.3", 0.3, 3, 182), ("max_tube_zspan=4", 0.3, 3, 4)]
+add("e4", "select g config_id, config, recall, n_hit, n_vol, pool_mean, pool_median, pool_max, pool_total from lsum join lpar using (g)",
+    "recall pool_mean pool_median", PAIRS + CURVE + greedy("det", "volume_id, slice_z", "score desc, det_id", "det_id", B4,
+        f"coalesce({inter2('k', 'r')}/nullif((r.x2-r.x1)*(r.y2-r.y1), 0), 0)>=0.8") + "lpar as (select * from (values " + ", ".join(
+        f"({i}, '{n}', {t}::double, {m}, {z})" for i, (n, t, m, z) in enumerate(KNOBS)) + """) v(g, config, iou, len, span)),
+ldet as (select lpar.g, d.* from det d cross join lpar where d.score>=0.02 and (lpar.config<>'containment=0.8' or d.det_id in (select det_id from keep))),
+""" + LINKED + POOLED_L + greedy("(select * from lsc where g=5)", "public_id", "score_max desc, tube_id", "tube_id", B6, iou3("k", "r") + ">=0.3")
+    .replace("ranked", "ranked_n").replace("walk", "walk_n").replace("last", "last_n").replace("keep as", "keep_n as") + """
+lfin as (select * from lsc where (g<>5 or tube_id in (select tube_id from keep_n)) and (g<>6 or score_max>=0.3)),
+""" + SWEPT)
