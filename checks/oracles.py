@@ -710,3 +710,6 @@ ldet as (select lpar.g, d.* from det d cross join lpar where d.score>=0.02 and (
     .replace("ranked", "ranked_n").replace("walk", "walk_n").replace("last", "last_n").replace("keep as", "keep_n as") + """
 lfin as (select * from lsc where (g<>5 or tube_id in (select tube_id from keep_n)) and (g<>6 or score_max>=0.3)),
 """ + SWEPT)
+# the distributed forms have to give the same rows
+for _k in ("g2", "g3", "g4", "g7", "w1"):
+    SQL[f"{_k}_large"] = SQL[_k]

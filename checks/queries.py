@@ -769,6 +769,32 @@ def g7(fx):
     return G.nms_2d(fx.det(), 0.3).select("det_id")
 
 
+# the distributed forms on the whole tables
+@query
+def g2_large(fx):
+    return G.containment_suppress(fx.det(), 0.8, limit=0).select("det_id")
+
+
+@query
+def g3_large(fx):
+    return G.nms_3d(_boxes3(fx), 0.3, limit=0).select("cand_seq")
+
+
+@query
+def g4_large(fx):
+    return G.dedup_by_distance(fx.record(), 8.0, "slice_count", limit=0).select("cand_seq")
+
+
+@query
+def g7_large(fx):
+    return G.nms_2d(fx.det(), 0.3, limit=0).select("det_id")
+
+
+@query
+def w1_large(fx):
+    return R.rank_candidates(fx.record().drop("rank", "rank_norm"), limit=0).select("candidate_id", "rank", "rank_norm")
+
+
 @query
 def g8(fx):
     return GR.slice_labels(fx.voxels())
