@@ -1,6 +1,5 @@
 """Cases that once went wrong: each of them gave a wrong or size-dependent answer."""
 import random
-import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -118,6 +117,33 @@ def test_pooled_intensity_reads_every_slice(spark):
     assert ST.pooled_intensity(s).first().n_slices == n
 
 
+def test_nearest_search_ends_with_odd_coordinates(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [("a", i, float(i * i), 0.0, 0.0) for i in range(6)] + [("a", 9, nan, 0.0, 0.0), ("a", 10, None, 0.0, 0.0), ("a", 11, inf, 1.0, 1.0)]
+    rows += [("b", 20 + i, 1.0 + i * 1e-300, 0.0, 0.0) for i in range(50)] + [("c", 90, 5.0, 5.0, 5.0)]
+    df = spark.createDataFrame(rows, "label string, cand_seq long, cen_d0 double, cen_d1 double, cen_d2 double")
+    got = {r.cand_seq: r.nn_dist for r in GR.nearest_neighbour(df, ["label"]).collect()}
+    assert [got[i] for i in range(6)] == [1.0, 1.0, 3.0, 5.0, 7.0, 9.0] and set(got) == {*range(6), *range(20, 70)}
+
+
+def test_dense_cells_link_like_points(spark):
+    rnd = random.Random(6)
+    rows = [(1, i, *(rnd.random() * (0.4 if i % 2 else 9.0) + (0 if i % 2 else 1) for _ in range(3))) for i in range(400)]
+    df = spark.createDataFrame(rows, "public_id long, cand_seq long, cen_d0 double, cen_d1 double, cen_d2 double")
+    key = lambda d: sorted((r.cand_seq, r.cluster) for r in d.collect())
+    for radius in (0.3, 1.0):
+        assert key(GR.single_linkage(df, radius, ["public_id"], limit=0)) == key(GR.single_linkage(df, radius, ["public_id"]))
+
+
+def test_link_iou_zero_is_refused_at_every_size(spark):
+    from tubelens.config import LinkConfig
+    from tubelens.operators import link as L
+
+    for limit in (0, 1000):
+        with pytest.raises(ValueError, match="link_iou"):
+            L.link_tubes(boxes(spark, [(0, 0, 1, 1, 0.5)]), LinkConfig(link_iou=0.0), limit=limit)
+
+
 def test_calibration_and_epochs_use_containment_and_nms(spark):
     from checks.queries import LINK
     from conftest import SF

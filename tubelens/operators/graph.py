@@ -141,7 +141,11 @@ def _linkage_grid(df: DataFrame, by, row_id, cols, radius) -> DataFrame:
     pairs = materialize(a.join(b, by + cc).where(F.sqrt(near2) <= radius)
                         .withColumn("_sure", F.sqrt(far2) <= radius))
     sure = pairs.where("_sure").select(*by, F.col("a__rep").alias("u"), F.col("b__rep").alias("v"))
-    open_ = pairs.where(~F.col("_sure"))
+    # cells that are linked already need no witness
+    known = materialize(label_nodes(cells.select(*by, F.col("_rep").alias("_id")), sure, by, "_id", "_comp").select(*by, "_id", "_comp"))
+    end = lambda side: known.select(*by, F.col("_id").alias(f"{side}__rep"), F.col("_comp").alias(f"_{side}comp"))
+    open_ = pairs.where(~F.col("_sure")).join(end("a"), by + ["a__rep"]).join(end("b"), by + ["b__rep"])
+    open_ = open_.where(F.col("_acomp") != F.col("_bcomp")).drop("_acomp", "_bcomp")
     pa = pts.select(*by, *[F.col(k).alias("a_" + k) for k in cc], *[F.col(c).alias("a_" + c) for c in cols])
     pb = pts.select(*by, *cc, *[F.col(c).alias("b_" + c) for c in cols])
     touch = F.lit(0.0)
@@ -173,16 +177,28 @@ def cluster_redundancy(df: DataFrame, radius: float, by: list[str], **kw) -> Dat
         "redundancy", F.col("n_points") / F.greatest(F.col("n_clusters"), F.lit(1)))
 
 
+def _finite_only(df: DataFrame, cols) -> DataFrame:
+    """Rows whose coordinates are all numbers."""
+    ok = F.lit(True)
+    for c in cols:
+        ok = ok & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    return df.where(ok)
+
+
+LEAST_SIDE = 2.0 ** -40  # of the widest extent; closer places share a cell
+
+
 def nearest_neighbour(df: DataFrame, by: list[str], row_id: str = "cand_seq",
                       cols=("cen_d0", "cen_d1", "cen_d2"), per_cell: int = 32) -> DataFrame:
     """``by..., row_id, nn_dist``: distance to the nearest other row of the group.
 
     Equal points are settled by a group-by. The rest search the cells around them; a neighbour
     found within the cell side is final, the others search again with twice the side. The
-    first side is small enough that no cell holds many points. Groups of one give no row.
+    first side is small enough that no cell holds many points. Groups of one give no row, nor do rows
+    with a coordinate that is NULL, NaN or infinite.
     """
     cc = [f"_c{i}" for i in range(len(cols))]
-    pts = materialize(df.select(*by, row_id, *[F.col(c).cast("double").alias(c) for c in cols]))
+    pts = materialize(_finite_only(df.select(*by, row_id, *[F.col(c).cast("double").alias(c) for c in cols]), cols))
     places = materialize(pts.groupBy(*by, *cols).agg(F.count(F.lit(1)).alias("_n")))
     found = [places.where("_n > 1").select(*by, *cols, F.lit(0.0).alias("nn_dist"))]
     todo = places.where("_n = 1").drop("_n")
@@ -197,7 +213,7 @@ def nearest_neighbour(df: DataFrame, by: list[str], row_id: str = "cand_seq",
     def celled(d, size):
         return d.withColumns({k: S.cell_of(F.col(c), size) for c, k in zip(cols, cc)})
 
-    while celled(spots, side).groupBy(*by, *cc).count().agg(F.max("count")).first()[0] > per_cell:
+    while side > widest * LEAST_SIDE and celled(spots, side).groupBy(*by, *cc).count().agg(F.max("count")).first()[0] > per_cell:
         side /= 2.0
     around = F.explode(F.array(*[F.struct(*[F.lit(v).alias(f"o{i}") for i, v in enumerate(o)])
                                  for o in itertools.product((-1, 0, 1), repeat=len(cols))]))
@@ -225,11 +241,12 @@ def nearest_rows(queries: DataFrame, targets: DataFrame, keys: list[str], q_id:
 
     Ties go to the smaller ``t_id``. Queries search the cells around them; one that has ``k``
     targets within the cell side is done, the others search again with twice the side, so far
-    pairs are never formed. Queries with fewer than ``k`` targets keep all of them.
+    pairs are never formed. Queries with fewer than ``k`` targets keep all of them. Rows with a coordinate
+    that is NULL, NaN or infinite take no part.
     """
     cc = [f"_c{i}" for i in range(len(cols))]
-    targets = materialize(targets.select(*keys, *t_id, *[F.col(c).cast("double").alias(c) for c in cols]))
-    todo = materialize(queries.select(*keys, *q_id, *[F.col(c).cast("double").alias(c) for c in cols]))
+    targets = materialize(_finite_only(targets.select(*keys, *t_id, *[F.col(c).cast("double").alias(c) for c in cols]), cols))
+    todo = materialize(_finite_only(queries.select(*keys, *q_id, *[F.col(c).cast("double").alias(c) for c in cols]), cols))
     span = targets.select(*cols).union(todo.select(*cols)).agg(
         *[(F.max(c) - F.min(c)).alias(c) for c in cols], F.count(F.lit(1)).alias("n")).first()
     widest = max([span[c] or 0.0 for c in cols] + [1e-9])
@@ -240,7 +257,7 @@ def nearest_rows(queries: DataFrame, targets: DataFrame, keys: list[str], q_id:
 
     # shrink the first side while distinct places crowd a cell
     spots = materialize(targets.select(*keys, *cols).distinct())
-    while (celled(spots, side).groupBy(*keys, *cc).count().agg(F.max("count")).first()[0] or 0) > per_cell:
+    while side > widest * LEAST_SIDE and (celled(spots, side).groupBy(*keys, *cc).count().agg(F.max("count")).first()[0] or 0) > per_cell:
         side /= 2.0
     around = F.explode(F.array(*[F.struct(*[F.lit(v).alias(f"o{i}") for i, v in enumerate(o)])
                                  for o in itertools.product((-1, 0, 1), repeat=len(cols))]))

@@ -224,6 +224,8 @@ def link_tubes(det: DataFrame, cfg, by=("volume_id",), limit: int = LINK_LIMIT)
     ``cfg`` is a LinkConfig, or a list of them when ``by`` contains ``config_id``.
     """
     keys = list(by)
+    if any(c.link_iou <= 0 for c in ([cfg] if isinstance(cfg, LinkConfig) else cfg)):
+        raise ValueError("link_iou must be above 0: at 0 boxes that don't meet would link")
     if isinstance(cfg, LinkConfig):
         det = containment_suppress(det, cfg.containment, keys + ["slice_z"])
     elif any(c.containment < 1.0 for c in cfg):
@@ -240,8 +242,6 @@ def link_tubes(det: DataFrame, cfg, by=("volume_id",), limit: int = LINK_LIMIT)
 
 
 def _link_components(det: DataFrame, cfg: LinkConfig, keys: list[str], limit: int) -> DataFrame:
-    if cfg.link_iou <= 0:
-        raise ValueError("a volume above the group limit needs link_iou > 0")
     det = materialize(det)
     edges = link_edges(det, cfg.link_iou, cfg.max_z_gap, keys).select(
         *keys, F.col("a_det_id").alias("u"), F.col("b_det_id").alias("v"))
