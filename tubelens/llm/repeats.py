@@ -5,7 +5,7 @@ windows pick equal anchors at equal offsets. Only anchors that occur more than o
 around them decide which windows are repeated:
 
 * anchors with up to HOT occurrences: the surroundings of one anchor meet in one task (a rule per unit kind decides);
-* anchors above: whole surroundings, then single windows of the distinct ones, are rows; Spark takes the first place of each
+* anchors above: whole surroundings, then blocks, then single windows of the distinct ones, are rows; Spark takes the first place of each
   hash (with map-side partial aggregation) and joins it back, so a passage of any number of documents is split over tasks.
 
 Both ways give the same windows. An id names one document: of rows that share an id with different texts the one with the least text hash
@@ -25,6 +25,7 @@ from tubelens.llm.common import stored
 from tubelens.llm.kernels import Words, _BYTE, chunks, mix, prefix, ranges, rolling, span_hash, winnow
 
 HOT = 1000
+BLOCK = 8
 U = np.uint64
 
 
@@ -118,7 +119,7 @@ def repeated(docs: DataFrame, kind: Kind, resolve: Callable, same_doc: bool) ->
     """``(participants, texts, runs)``.
 
     ``docs`` (doc_id, th, text). ``texts``: (doc_id, th, z) of participants with a repeated anchor. ``runs``: (doc_id,
-    start, n), n consecutive window starts whose string occurs first elsewhere: in a smaller id, or also earlier
+    runs), each (start, n): n consecutive window starts whose string occurs first elsewhere: in a smaller id, or also earlier
     in the same document when ``same_doc``.
     """
     part = stored(participants(docs), "participants")
@@ -207,63 +208,81 @@ def _cold(texts: DataFrame, kind: Kind, resolve: Callable) -> DataFrame:
             yield pa.RecordBatch.from_arrays([s.column("doc_id").take(pa.array(row)), pa.array(start.astype(np.int64)), pa.array(n.astype(np.int64))],
                                              ["doc_id", "start", "n"])
 
-    return rows.mapInArrow(run, "doc_id long, start long, n long")
+    return rows.mapInArrow(run, "doc_id long, start long, n long").select("doc_id", F.array(F.struct("start", "n")).alias("runs"))
 
 
 def _hot(texts: DataFrame, kind: Kind, same_doc: bool) -> DataFrame:
-    """Very common anchors. First whole surroundings: all places but an equal surrounding's first one go. Then, for
-    these first ones, windows as rows, each string of a document once. Both take the first place by aggregation."""
-    def places(b, buf, at):
+    """Very common anchors in three steps: whole surroundings, blocks of BLOCK windows, single windows.
+
+    A step's strings are rows, each one of a document once with its places. All places but a string's first one go, found by
+    aggregation; only first ones are taken apart by the next step. So what many documents share whole is one row each.
+    """
+    def whole(b, buf, at):
         sym, doc, first, _, _ = units(kind, buf, at)
         start, pos, h = anchored(kind, sym, doc)
         ok = _member(b, "hot", doc[pos], h)
-        start, pos, h = start[ok], pos[ok], h[ok]
+        start, pos = start[ok], pos[ok]
         new = np.ones(len(pos), dtype=bool)
         new[1:] = pos[1:] != pos[:-1]
         i = np.flatnonzero(new)
-        n = np.diff(np.append(i, len(pos)))
-        lo = start[i]
-        with np.errstate(over="ignore"):
-            around = mix(span_hash(prefix(sym), lo, lo + n - 1 + kind.window) + h[i] * U(3)) if len(i) else np.zeros(0, U)
-        return sym, doc, first, lo, n, around
-
-    def listed(b, d, key, start, first, more):
-        order, i, c = counted(d, key)  # stable: places stay in order
-        own = order[i]
-        off = np.append(i, len(order)).astype(np.int32)
-        return [pa.array(key[own].view(np.int64)), b.column("doc_id").take(pa.array(d[own])),
-                pa.ListArray.from_arrays(off, pa.array((start - first[d])[order].astype(np.int64))), *[pa.array(x[own].astype(np.int64)) for x in more]]
-
-    def whole(batches):
-        for b, buf, at in chunks(unpack(batches)):
-            sym, doc, first, lo, n, around = places(b, buf, at)
-            if len(lo):
-                yield pa.RecordBatch.from_arrays(listed(b, doc[lo], around, lo, first, [n]), ["key", "doc_id", "starts", "n"])
-
-    def single(batches):
-        for b, buf, at in chunks(unpack(batches)):
-            sym, doc, first, lo, n, around = places(b, buf, at)
-            ok = np.flatnonzero(_member(b, "firsts", doc[lo], around)) if len(lo) else np.zeros(0, np.int64)
-            order, i, _ = counted(doc[lo[ok]], around[ok])
-            ok = ok[order[i]]  # a surrounding's first place in its document
-            if not len(ok):
-                continue
-            start = np.sort(ranges(lo[ok], n[ok]))
-            yield pa.RecordBatch.from_arrays(listed(b, doc[start], rolling(sym, kind.window)[start], start, first, []), ["key", "doc_id", "starts"])
+        return sym, doc, first, start[i], np.diff(np.append(i, len(pos))), pos[i]
+
+    def apart(lo, n, pos, size):
+        """Blocks of windows at equal distances from the anchor."""
+        start, row = ranges(lo, n), np.repeat(np.arange(len(lo)), n)
+        part = (pos[row] - start) // size
+        new = np.ones(len(row), dtype=bool)
+        new[1:] = (row[1:] != row[:-1]) | (part[1:] != part[:-1])
+        i = np.flatnonzero(new)
+        return start[i], np.diff(np.append(i, len(row))), pos[row[i]]
 
-    def later(rows, n):
+    def keys(sym, lo, n, pos):
+        if not len(lo):
+            return np.zeros(0, U)
+        pre = prefix(sym)
+        with np.errstate(over="ignore"):
+            return mix(span_hash(pre, lo, lo + n - 1 + kind.window) + (pos - lo).astype(U) * U(0x9E3779B97F4A7C15) + n.astype(U))
+
+    def step(sizes):
+        """``sizes``: the blocks of the steps so far; the last one is this step's, those before it are filtered by "firsts"."""
+        def run(batches):
+            for b, buf, at in chunks(unpack(batches)):
+                sym, doc, first, lo, n, pos = whole(b, buf, at)
+                if len(sizes) == 3:
+                    lo, n, pos = apart(lo, n, pos, sizes[1])
+                if len(sizes) > 1 and len(lo):
+                    key = keys(sym, lo, n, pos)
+                    ok = np.flatnonzero(_member(b, "firsts", doc[lo], key))
+                    order, i, _ = counted(doc[lo[ok]], key[ok])
+                    ok = np.sort(ok[order[i]])  # a string's first place in its document
+                    lo, n, pos = apart(lo[ok], n[ok], pos[ok], sizes[-1])
+                if not len(lo):
+                    continue
+                # a window is the same string wherever its anchor stands in it
+                key = rolling(sym, kind.window)[lo] if sizes[-1] == 1 else keys(sym, lo, n, pos)
+                d = doc[lo]
+                order, i, _ = counted(d, key)  # stable: places stay in order
+                own = order[i]
+                off = np.append(i, len(order)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key[own].view(np.int64)), b.column("doc_id").take(pa.array(d[own])),
+                     pa.ListArray.from_arrays(off, pa.array((lo - first[d])[order].astype(np.int64))), pa.array(n[own].astype(np.int64))],
+                    ["key", "doc_id", "starts", "n"])
+        return run
+
+    hot, out, sizes, firsts = texts.where(F.size("hot") > 0), None, (), None
+    for size in (0, BLOCK, 1):
+        sizes += (size,)
+        src = hot.select("doc_id", "z", "hot") if firsts is None else hot.join(firsts, "doc_id").select("doc_id", "z", "hot", "firsts")
+        rows = stored(src.mapInArrow(step(sizes), "key long, doc_id long, starts array<long>, n long"), f"strings{size}")
+        run = lambda starts: F.transform(starts, lambda s: F.struct(s.alias("start"), F.col("n").alias("n"))).alias("runs")
         first = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("doc_id").alias("d"))
-        met = rows.join(first.where("c > 1").select("key", "d"), "key").where("doc_id > d").select("doc_id", F.explode("starts").alias("start"), n)
+        met = rows.join(first.where("c > 1").select("key", "d"), "key").where("doc_id > d").select("doc_id", run("starts"))
         if same_doc:
-            met = met.unionByName(rows.where(F.size("starts") > 1).select("doc_id", F.explode(F.slice("starts", 2, F.size("starts") - 1)).alias("start"), n))
-        return met, first
-
-    hot = texts.where(F.size("hot") > 0)
-    rows = stored(hot.select("doc_id", "z", "hot").mapInArrow(whole, "key long, doc_id long, starts array<long>, n long"), "surroundings")
-    met, first = later(rows, F.col("n"))
-    firsts = first.groupBy(F.col("d").alias("doc_id")).agg(F.collect_list("key").alias("firsts"))  # of one document
-    rows = stored(hot.join(firsts, "doc_id").select("doc_id", "z", "hot", "firsts").mapInArrow(single, "key long, doc_id long, starts array<long>"), "windows")
-    return met.unionByName(later(rows, F.lit(1).cast("long").alias("n"))[0])
+            met = met.unionByName(rows.where(F.size("starts") > 1).select("doc_id", run(F.slice("starts", 2, F.size("starts") - 1))))
+        out = met if out is None else out.unionByName(met)
+        firsts = first.groupBy(F.col("d").alias("doc_id")).agg(F.collect_list("key").alias("firsts"))  # of one document
+    return out
 
 
 def runs_of(flag: np.ndarray, row: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -280,7 +299,7 @@ def runs_of(flag: np.ndarray, row: np.ndarray, off: np.ndarray) -> tuple[np.ndar
 
 def removal(texts: DataFrame, runs: DataFrame, finish: Callable, schema: str) -> DataFrame:
     """Per document with repeated windows, what ``finish(units kind args)`` derives from its covered units."""
-    per = runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("runs"))  # of one document
+    per = runs.groupBy("doc_id").agg(F.flatten(F.collect_list("runs")).alias("runs"))  # of one document
     joined = texts.join(per, "doc_id")
 
     def run(batches):
