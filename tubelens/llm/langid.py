@@ -85,12 +85,13 @@ def train(docs: DataFrame) -> dict | None:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(k, pa.int32()), pa.array(n[k])], ["lang", "k", "n"])
 
     got = rows.mapInArrow(run, "lang string, k int, n long").groupBy("lang", "k").agg(F.sum("n").alias("n"))
-    got = got.toPandas()  # at most 2^17 + 11 rows per language
-    if not len(got):
+    got = got.toArrow()  # at most 2^17 + 11 rows per language
+    if not got.num_rows:
         return None
-    langs = sorted(set(got["lang"]))
+    names = np.array(got.column("lang").to_pylist(), dtype=object)
+    langs = sorted(set(names))
     n = np.zeros((len(langs), top + len(SCRIPTS)))
-    n[np.searchsorted(np.array(langs, dtype=object), got["lang"].to_numpy()), got["k"].to_numpy()] = got["n"].to_numpy()
+    n[np.searchsorted(np.array(langs, dtype=object), names), got.column("k").to_numpy()] = got.column("n").to_numpy()
     share = n[:, :top] + SMOOTH
     used = n[:, top:] / np.maximum(n[:, top:].sum(1, keepdims=True), 1)
     return {"langs": langs, "log": np.log(share / share.sum(1, keepdims=True)).astype(np.float32).T.copy(), "script": used > 0.001}
@@ -132,7 +133,6 @@ def viterbi(scores: np.ndarray, lo: np.ndarray, hi: np.ndarray, penalty: float)
     ends = np.searchsorted(-n, -np.arange(steps), side="left")  # texts longer than t words
     final = np.zeros(len(n), dtype=np.uint8)
     came[lo[:active]] = own
-    last = [None] * 0
     best_end = np.zeros((len(n), langs), dtype=np.float32)
     best_end[:active] = cur
     for t in range(1, steps):

@@ -18,7 +18,6 @@ repeated rows are scored alike; other columns are ignored.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -164,12 +163,14 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
     """The model: ``ratio`` (fixed size) and the curve. Counts come from all training rows."""
     rows = labelled(docs, labels)
     # at most one row per cell and backoff cell: a bound set by the hash classes, not by the corpus
-    seen = count_cells(rows.where("part in (0, 3)")).toPandas()
-    n0, n1 = (seen[c].to_numpy() for c in ("n0", "n1"))
-    if not len(seen) or not n0.sum() or not n1.sum():
+    seen = count_cells(rows.where("part in (0, 3)")).toArrow()  # columns, not rows: tens of MB
+    cell, low, n0, n1 = (seen.column(c).to_numpy() for c in ("cell", "low", "n0", "n1"))
+    del seen
+    if not len(cell) or not n0.sum() or not n1.sum():
         share = rows.agg(F.avg((F.col("toxic") > 0).cast("double"))).first()[0] or 0.0
         return {"ratio": None, "share": float(share)}
-    ratio = log_ratios(seen["cell"].to_numpy(), seen["low"].to_numpy(), n0, n1)
+    ratio = log_ratios(cell, low, n0, n1)
+    del cell, low, n0, n1
     box = docs.sparkSession.sparkContext.broadcast(ratio)
 
     def run(batches):
@@ -179,12 +180,12 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
             yield pa.RecordBatch.from_arrays([pa.array(f[:, k]) for k in range(len(FEATURES))] + [pa.array(y)], [*FEATURES, "y"])
 
     kinds = ", ".join(f"{c} double" for c in [*FEATURES, "y"])
-    got = rows.where("part = 1").select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, kinds).limit(FIT_ROWS).toPandas()
-    y = got["y"].to_numpy() if len(got) else np.zeros(0)
+    got = rows.where("part = 1").select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, kinds).limit(FIT_ROWS).toArrow()
+    y = got.column("y").to_numpy()
     if not len(y) or y.min() == y.max():
         curve = (np.zeros(4), np.ones(4), np.array([0.0, 1.0, 0.0, 0.0, -4.0]))
     else:
-        curve = fit(got[FEATURES].to_numpy(), y)
+        curve = fit(np.stack([got.column(c).to_numpy() for c in FEATURES], 1), y)
     return {"ratio": ratio, "curve": curve}
 
 
