@@ -63,6 +63,19 @@ class Items:
                 "print": fingerprints(np.stack([bits(r).sum(0, dtype=np.int32) for r in rows])),
                 "count": [np.unique(r, return_counts=True) for r in rows]}
 
+    def unions(self) -> dict[int, np.ndarray]:
+        """All items' shingles by shingle size."""
+        if not hasattr(self, "_unions"):
+            ks = {it["k"] for it in self.by_length.values()}
+            self._unions = {k: np.unique(np.concatenate([it["known"] for it in self.by_length.values() if it["k"] == k])) for k in ks}
+        return self._unions
+
+
+def unpacked(by_length: dict) -> Items:
+    out = Items.__new__(Items)
+    out.by_length = by_length
+    return out
+
 
 def near(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(i, j, distance)`` of fingerprints within RADIUS; one block within RADIUS // 4 first."""
@@ -88,6 +101,7 @@ def matches(items: Items, w: Words) -> list[tuple]:
     """``(text, item id, first word, similarity)``: the best window of each text and item."""
     best: dict[tuple[int, object, int], tuple[float, int]] = {}
     grams: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    unions = items.unions()
     total = len(w.hash)
     for length, it in items.by_length.items():
         k = it["k"]
@@ -95,7 +109,8 @@ def matches(items: Items, w: Words) -> list[tuple]:
             h, pos = w.grams(k)
             full = np.zeros(total, dtype=U)
             full[pos] = h
-            grams[k] = (full, pos)
+            at = np.minimum(np.searchsorted(unions[k], h), len(unions[k]) - 1)
+            grams[k] = (full, pos[unions[k][at] == h])  # places of any item's shingles
         full, pos = grams[k]
         if not len(pos):
             continue
@@ -146,8 +161,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         box = docs.sparkSession.sparkContext.broadcast(items.by_length)
 
         def run(batches, box=box):
-            it = Items.__new__(Items)
-            it.by_length = box.value
+            it = unpacked(box.value)
             for b, buf, at in chunks(batches):
                 m = matches(it, Words(buf, at, lower=True, gap=GAP))
                 d, i, s, f = (list(x) for x in zip(*m)) if m else ([], [], [], [])
@@ -165,8 +179,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         box = docs.sparkSession.sparkContext.broadcast(items.by_length)
 
         def run(batches, box=box):
-            it = Items.__new__(Items)
-            it.by_length = box.value
+            it = unpacked(box.value)
             for b, buf, at in chunks(batches):
                 keep = np.ones(b.num_rows, dtype=bool)
                 keep[[m[0] for m in matches(it, Words(buf, at, lower=True, gap=GAP))]] = False
