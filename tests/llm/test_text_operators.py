@@ -231,6 +231,24 @@ def test_substring_dedup(spark, texts, hot, monkeypatch):
         assert (got[d].n_words, got[d].n_removed, got[d].kept_sha256) == (len(u), sum(gone[d]), sha(keep)), d
 
 
+@pytest.mark.parametrize("hot", [1000, 4])
+def test_substring_dedup_passage_twice_in_one_document(spark, hot, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT", hot)
+    rnd = random.Random(8)
+    say = lambda n: [f"{rnd.choice('abcdefgh')}{rnd.randint(0, 999)}" for _ in range(n)]
+    passage = say(180)
+    part = passage[:75] + ["other"] + passage[76:140]  # a near copy, cut shorter, in the smallest id
+    texts = [" ".join(say(9) + part + say(9)), " ".join(passage + say(20) + passage)]
+    texts += [" ".join(say(5) + passage + say(5)) for _ in range(6)]
+    got = collect(substring.dedup(frame(spark, texts)))
+    units = [(i, t.split()) for i, t in enumerate(texts)]
+    gone = by_force(units, 50, lambda p, f: f[0] < p[0])
+    assert gone[1][:180] == gone[1][200:] and any(gone[1])
+    for d, u in units:
+        keep = " ".join(x for x, g in zip(u, gone[d]) if not g)
+        assert (got[d].n_removed, got[d].kept_sha256) == (sum(gone[d]), sha(keep)), d
+
+
 @pytest.mark.parametrize("hot", [1000, 4])
 def test_suffix_dedup(spark, texts, hot, monkeypatch):
     monkeypatch.setattr(repeats, "HOT", hot)

@@ -214,8 +214,9 @@ def _cold(texts: DataFrame, kind: Kind, resolve: Callable) -> DataFrame:
 def _hot(texts: DataFrame, kind: Kind, same_doc: bool) -> DataFrame:
     """Very common anchors in three steps: whole surroundings, blocks of BLOCK windows, single windows.
 
-    A step's strings are rows, each one of a document once with its places. All places but a string's first one go, found by
-    aggregation; only first ones are taken apart by the next step. So what many documents share whole is one row each.
+    A step's strings are rows, each one of a document once with its places. What a string's first document has too goes from
+    all others, found by aggregation; only the first document's places are taken apart by the next step: the first place when
+    ``same_doc``, as its later ones go too, else all of them. So what many documents share whole is one row each.
     """
     def whole(b, buf, at):
         sym, doc, first, _, _ = units(kind, buf, at)
@@ -253,8 +254,9 @@ def _hot(texts: DataFrame, kind: Kind, same_doc: bool) -> DataFrame:
                 if len(sizes) > 1 and len(lo):
                     key = keys(sym, lo, n, pos)
                     ok = np.flatnonzero(_member(b, "firsts", doc[lo], key))
-                    order, i, _ = counted(doc[lo[ok]], key[ok])
-                    ok = np.sort(ok[order[i]])  # a string's first place in its document
+                    if same_doc:  # the later places in a document went whole
+                        order, i, _ = counted(doc[lo[ok]], key[ok])
+                        ok = np.sort(ok[order[i]])
                     lo, n, pos = apart(lo[ok], n[ok], pos[ok], sizes[-1])
                 if not len(lo):
                     continue
