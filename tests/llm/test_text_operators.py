@@ -315,6 +315,18 @@ def test_decontamination(spark):
     assert sorted(r.doc_id for r in decontaminate.drop_leaks(df, bench).collect()) == sorted(d for d, _ in docs if d not in hit)
 
 
+def test_decontamination_of_texts_shorter_than_the_item(spark):
+    item = [f"w{i}" for i in range(50)]
+    small = [f"v{i}" for i in range(9)]
+    texts = [item[:46], item[:25] + item[26:], item[:41], item[:40], small[:8], small[1:8], ["w0"] * 40, item[:3], ["x"] + item[:46] + ["x"]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(small)), (3, " ".join(item[::-1]))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.start, round(r.similarity, 6)) for r in decontaminate.leaks(docs, bench).collect()}
+    want = {(0, 1): (0, 42 / 46), (1, 1): (0, 41 / 50), (2, 1): (0, 37 / 46), (4, 2): (0, 4 / 5), (8, 1): (0, 42 / 48)}
+    assert got == {k: (s, round(v, 6)) for k, (s, v) in want.items()}
+    assert sorted(r.doc_id for r in decontaminate.drop_leaks(docs, bench).collect()) == [3, 5, 6, 7]
+
+
 # ---------------------------------------------------------------- language
 def test_language(spark):
     docs = documents(spark, SF)

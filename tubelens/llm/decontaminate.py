@@ -9,6 +9,9 @@ Only windows that hold at least one shingle of an item of that length are finger
 similarity 0. Items go in blocks of ITEM_BLOCK (bounded broadcast), one pass over the texts for each.
 Words are runs of letters, digits and bytes of longer characters; A-Z count as lower case.
 
+A text with fewer words than the item is one window itself. Its similarity to every item that shares a shingle is summed from the
+shingles' items, without fingerprints: so few shingles may leave more bits apart than RADIUS.
+
 Defined cases: null and empty texts match nothing, nor do items without words; an item of fewer than five words must occur
 whole; repeated rows match alike; repeated items each match; an empty table gives an empty result; other columns are ignored.
 """
@@ -43,6 +46,13 @@ def fingerprints(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 0, axis=1).view(np.uint64).reshape(len(sums), BITS // 64)
 
 
+def owners(count: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(shingle, item, occurrences)`` of all items, ordered by shingle."""
+    v, c = (np.concatenate(x) for x in zip(*count))
+    order = np.argsort(v, kind="stable")
+    return v[order], np.repeat(np.arange(len(count)), [len(x) for x, _ in count])[order], c[order]
+
+
 class Items:
     """Items by length: fingerprints, shingle counts, and which lengths own a shingle."""
 
@@ -62,6 +72,7 @@ class Items:
                 "k": k, "ids": [ids[d] for d in own], "known": np.unique(np.concatenate(rows)),
                 "print": fingerprints(np.stack([bits(r).sum(0, dtype=np.int32) for r in rows])),
                 "count": [np.unique(r, return_counts=True) for r in rows]}
+            self.by_length[length]["owners"] = owners(self.by_length[length]["count"])
 
     def unions(self) -> dict[int, np.ndarray]:
         """All items' shingles by shingle size."""
@@ -97,12 +108,23 @@ def similarity(x: np.ndarray, known: tuple[np.ndarray, np.ndarray]) -> float:
     return both / (len(x) + int(known[1].sum()) - both)
 
 
+def similarities(x: np.ndarray, it: dict, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(item, similarity)`` of a text's shingles with every item of n shingles that shares one."""
+    v, c = np.unique(x, return_counts=True)
+    known, item, count = it["owners"]
+    lo, hi = np.searchsorted(known, v), np.searchsorted(known, v, side="right")
+    at = ranges(lo, hi - lo)
+    both = np.bincount(item[at], weights=np.minimum(np.repeat(c, hi - lo), count[at]), minlength=len(it["ids"]))
+    j = np.flatnonzero(both)
+    return j, both[j] / (len(x) + n - both[j])
+
+
 def matches(items: Items, w: Words) -> list[tuple]:
     """``(text, item id, first word, similarity)``: the best window of each text and item."""
     best: dict[tuple[int, object, int], tuple[float, int]] = {}
     grams: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     unions = items.unions()
-    total = len(w.hash)
+    total, size = len(w.hash), w.hi - w.lo
     for length, it in items.by_length.items():
         k = it["k"]
         if k not in grams:
@@ -123,6 +145,13 @@ def matches(items: Items, w: Words) -> list[tuple]:
         ok = hi >= lo
         starts = np.unique(ranges(lo[ok], hi[ok] - lo[ok] + 1))
         n = length - k + 1
+        d = w.doc[p]
+        short = (size[d] < length) & (100 * (size[d] - k + 1) >= PERCENT * n)  # of fewer shingles none can reach it
+        for d in np.unique(d[short]).tolist():
+            for j, sim in zip(*similarities(full[w.lo[d]:w.hi[d] - k + 1], it, n)):
+                key = (d, it["ids"][j], length)
+                if 100 * sim >= PERCENT - 1e-9 and (key not in best or sim > best[key][0]):
+                    best[key] = (float(sim), int(w.lo[d]))
         for i in range(0, len(starts), WINDOWS):
             s = starts[i:i + WINDOWS]
             need = np.zeros(total + 1, dtype=bool)
