@@ -399,6 +399,18 @@ def test_toxicity(spark):
     assert none["ratio"] is None and {x.score for x in toxicity.score(odd, none).collect()} == {0.0}
 
 
+def test_toxicity_contexts_are_true_and_of_characters(spark):
+    rnd = random.Random(6)
+    other = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(40_000)]  # fills 2^16 classes
+    rows = [(2 * i, " ".join(other[k::80])) for i in range(40) for k in (i, i + 40)]
+    cells = lambda rows: toxicity.count_cells(spark.createDataFrame(rows, "toxic int, text string")).collect()
+    got = cells([(0, t) for _, t in rows] + [(1, "zqxjkvwh")])
+    word = {(w[max(0, i - 5):i], i < 5, w[i]) for w in [*other, "zqxjkvwh"] for i in range(len(w))}
+    assert len(got) == len(word) and sum(r.n1 for r in got) == 8
+    got = cells([(0, "жшщюябв"), (1, "жшщюягв")])
+    assert len(got) == 7 + 2 and sum(r.n0 + r.n1 for r in got) == 14  # seven letters, not fourteen bytes
+
+
 # ---------------------------------------------------------------- empty tables
 @pytest.mark.parametrize("run", [
     exact.exact_groups, lambda d: minhash.near_groups(d, 2), lambda d: shards.assign(d, 4), substring.dedup, bytedup.dedup, bpe.digests,
