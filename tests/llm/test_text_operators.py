@@ -411,6 +411,19 @@ def test_toxicity_contexts_are_true_and_of_characters(spark):
     assert len(got) == 7 + 2 and sum(r.n0 + r.n1 for r in got) == 14  # seven letters, not fourteen bytes
 
 
+def test_toxicity_by_joins_equals_broadcast(spark, monkeypatch):
+    docs, labels = documents(spark, "/root/testdata/sf0.01"), table(spark, "/root/testdata/sf0.01", "labels")
+    some = docs.limit(300).union(spark.createDataFrame([(-1, None), (-2, ""), (-3, "дом")], "doc_id long, text string").join(
+        docs.select(*[c for c in docs.columns if c not in ("doc_id", "text")]).limit(1)).select(docs.columns)).cache()
+    a = toxicity.train(docs, labels)
+    want = {r.doc_id: r.score for r in toxicity.score(some, a).collect()}
+    monkeypatch.setattr(toxicity, "MODEL_ROWS", 10)
+    b = toxicity.train(docs, labels)
+    assert a["ratio"] is not None and b["ratio"] is None
+    got = {r.doc_id: r.score for r in toxicity.score(some, {**b, "curve": a["curve"]}).collect()}
+    assert got.keys() == want.keys() and all(abs(got[d] - want[d]) < 1e-9 for d in want)
+
+
 # ---------------------------------------------------------------- empty tables
 @pytest.mark.parametrize("run", [
     exact.exact_groups, lambda d: minhash.near_groups(d, 2), lambda d: shards.assign(d, 4), substring.dedup, bytedup.dedup, bpe.digests,
