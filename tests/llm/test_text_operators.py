@@ -411,6 +411,21 @@ def test_toxicity_contexts_are_true_and_of_characters(spark):
     assert len(got) == 7 + 2 and sum(r.n0 + r.n1 for r in got) == 14  # seven letters, not fourteen bytes
 
 
+def test_toxicity_counts_all_rows_but_those_of_the_curve(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "FIT_ROWS", 7)
+    rows = [(i, f"text{i}", i % 2) for i in range(400)] + [(9, "text9", 1)]
+    seen = []
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string, toxic int")
+        all_rows = toxicity.labelled(df.select("doc_id", "text").distinct(), df.select("doc_id", "toxic"))
+        counted, fits = toxicity.dealt(all_rows)
+        n, fit = {r.doc_id: r.part for r in counted.collect()}, {r.doc_id for r in fits.collect()}
+        assert len(fit) in (6, 7) and not fit & n.keys() and fit | n.keys() == {r.doc_id for r in all_rows.collect()}
+        assert set(n.values()) == {0, 1, 3}
+        seen.append(fit)
+    assert seen[0] == seen[1]
+
+
 def test_toxicity_by_joins_equals_broadcast(spark, monkeypatch):
     docs, labels = documents(spark, "/root/testdata/sf0.01"), table(spark, "/root/testdata/sf0.01", "labels")
     some = docs.limit(300).union(spark.createDataFrame([(-1, None), (-2, ""), (-3, "дом")], "doc_id long, text string").join(

@@ -9,8 +9,8 @@ beyond, texts get the values of their words by joins. Both ways give the same sc
 length-normalised ratios: per letter of the whole text, of its most toxic word and of its most toxic stretch; a
 logistic curve fitted on training rows that gave no counts turns these into a score.
 
-Training rows: labelled rows whose crc32(id as text) mod 4 is not 2. Of these, remainder 1 fits the curve
-(at most FIT_ROWS rows, a documented bound), remainders 0 and 3 give the counts (all of them).
+Training rows: labelled rows whose crc32(id as text) mod 4 is not 2. Of these, ids with remainder 1 in the least of
+CLASSES hash classes fit the curve (at most FIT_ROWS ids, a documented bound, or one class); all others give the counts.
 
 Defined cases: null and empty texts have no words and get the score of a text with zero ratios; rows with a null label teach
 nothing; several labels of one id count as toxic if one is; without both classes the score is the toxic share;
@@ -30,6 +30,7 @@ DISCOUNT = 0.75
 UNSEEN = 0.5 / 32
 STRETCH = 12
 FIT_ROWS = 20_000
+CLASSES = 1 << 16
 THRESHOLD = 0.3
 BROADCAST_ROWS = 4_000_000
 MODEL_ROWS = 4_000_000
@@ -72,12 +73,25 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``text, toxic, part`` of training rows; part is the remainder of the id's hash by 4."""
+    """``doc_id, text, toxic, part, class`` of training rows; part is the remainder of the id's hash by 4, class one of CLASSES by another hash."""
     marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marks = marks.where(~held_out("doc_id"))
     rows = docs.select("doc_id", "text").where("doc_id is not null")
     return rows.join(_small(marks), "doc_id").select(
-        "text", "toxic", (F.crc32(F.col("doc_id").cast("string")) % 4).cast("int").alias("part"))
+        "doc_id", "text", "toxic", (F.crc32(F.col("doc_id").cast("string")) % 4).cast("int").alias("part"),
+        F.pmod(F.xxhash64("doc_id"), F.lit(CLASSES)).cast("int").alias("class"))
+
+
+def dealt(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(rows that are counted, rows that fit the curve)``: the curve has the ids of remainder 1 in the least hash classes, about
+    FIT_ROWS of them and one row each; all other rows are counted."""
+    ids = rows.where("part = 1").select("doc_id", "class").distinct()
+    many = sorted((r["class"], r["count"]) for r in ids.groupBy("class").count().collect())  # at most CLASSES rows
+    total = np.cumsum([n for _, n in many])
+    last = many[max(int(np.searchsorted(total, FIT_ROWS, side="right")) - 1, 0)][0] if many else -1
+    curve = (F.col("part") == 1) & (F.col("class") <= last)
+    fits = rows.where(curve).groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    return rows.where(~curve), fits
 
 
 def count_cells(rows: DataFrame) -> DataFrame:
@@ -231,9 +245,12 @@ def fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def train(docs: DataFrame, labels: DataFrame) -> dict:
-    """The model: ``ratio`` (arrays up to MODEL_ROWS rows), ``table`` (the same as a DataFrame) and the curve."""
+    """The model: ``ratio`` (arrays up to MODEL_ROWS rows), ``table`` (the same as a DataFrame) and the curve.
+
+    Counts come from all training rows that don't fit the curve."""
     rows = labelled(docs, labels)
-    cells = stored(count_cells(rows.where("part in (0, 3)")), "cells")
+    counted, fits = dealt(rows)
+    cells = stored(count_cells(counted), "cells")
     n0, n1 = cells.agg(F.sum("n0"), F.sum("n1")).first()
     if not n0 or not n1:
         share = rows.agg(F.avg((F.col("toxic") > 0).cast("double"))).first()[0] or 0.0
@@ -247,7 +264,7 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
         return pa.RecordBatch.from_arrays([pa.array(f[:, k]) for k in range(len(FEATURES))] + [pa.array(y)], [*FEATURES, "y"])
 
     kinds = ", ".join(f"{c} double" for c in [*FEATURES, "y"])
-    got = judged(rows.where("part = 1").select("text", F.col("toxic").cast("int").alias("toxic")), model, run, kinds).limit(FIT_ROWS).toArrow()
+    got = judged(fits.select("text", F.col("toxic").cast("int").alias("toxic")), model, run, kinds).toArrow()
     y = got.column("y").to_numpy()
     if not len(y) or y.min() == y.max():
         curve = (np.zeros(4), np.ones(4), np.array([0.0, 1.0, 0.0, 0.0, -4.0]))
