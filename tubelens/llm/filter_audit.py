@@ -173,23 +173,25 @@ def union_sizes(lists: dict[str, np.ndarray], filters: str, labels=LABELS) -> di
 
 
 def part_unions(posts: DataFrame, filters: str) -> DataFrame:
-    """``part, subset, rows, failing, good, toxic``: per part and subset of filters the sizes of the union; ``rows``: of the part."""
-    kinds = "part string, subset int, rows long, failing long, " + ", ".join(f"{c} long" for c in LABELS)
+    """``part, rows, failing, good, toxic``: rows of the part, and for every subset of filters the sizes of the union, as arrays
+    indexed by the subset. A task sends one row for each part."""
+    m, kinds = 1 << len(filters), ("failing", *LABELS)
+    names = [f"{c}_{s}" for c in kinds for s in range(m)]
 
     def run(batches):
+        sums: dict[str, np.ndarray] = {}
         for b in batches:
-            got = []
             for i in range(b.num_rows):
-                lists = {c: b.column(c)[i].values.to_numpy() for c in [*filters, *LABELS]}
-                u = union_sizes(lists, filters)
-                got.append((b.column("part")[i].as_py(), b.column("n_rows")[i].as_py(), u))
-            m = 1 << len(filters)
-            cols = [pa.array([p for p, _, _ in got for _ in range(m)], pa.string()), pa.array(list(range(m)) * len(got), pa.int32()),
-                    pa.array([n for _, n, _ in got for _ in range(m)], pa.int64())]
-            cols += [pa.array([x for _, _, u in got for x in u[c]], pa.int64()) for c in ("n", *LABELS)]
-            yield pa.RecordBatch.from_arrays(cols, names=["part", "subset", "rows", "failing", *LABELS])
+                u = union_sizes({c: b.column(c)[i].values.to_numpy() for c in [*filters, *LABELS]}, filters)
+                row = np.array([b.column("n_rows")[i].as_py(), *u["n"], *[x for c in LABELS for x in u[c]]], dtype=np.int64)
+                part = b.column("part")[i].as_py()
+                sums[part] = sums[part] + row if part in sums else row
+        grid = np.stack(list(sums.values())) if sums else np.zeros((0, 1 + len(names)), dtype=np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), *[pa.array(c) for c in grid.T.copy()]], names=["part", "rows", *names])
 
-    return posts.mapInArrow(run, kinds).groupBy("part", "subset").agg(*[F.sum(c).alias(c) for c in ("rows", "failing", *LABELS)])
+    added = posts.mapInArrow(run, "part string, " + ", ".join(f"{c} long" for c in ["rows", *names])).groupBy("part").agg(
+        *[F.sum(c).alias(c) for c in ["rows", *names]])
+    return added.select("part", "rows", *[F.array(*[f"{c}_{s}" for s in range(m)]).alias(c) for c in kinds])
 
 
 def _steps(spark: SparkSession, filters: str) -> DataFrame:
@@ -207,16 +209,14 @@ def _steps(spark: SparkSession, filters: str) -> DataFrame:
 def audit(unions: DataFrame, filters: str) -> DataFrame:
     """Per part, order and step: kept, removed, redundant, unique_fails, good_lost, toxic_lost, shapley."""
     spark = unions.sparkSession
-    per = unions.groupBy("part").agg(F.max("rows").alias("rows"), *[
-        F.map_from_entries(F.collect_list(F.struct("subset", c))).alias(c) for c in ("failing", *LABELS)])  # 2^filters entries
-    at = lambda c, s: F.element_at(c, F.col(s))
+    at = lambda c, s: F.get(c, s)
     full = F.lit((1 << len(filters)) - 1)
-    every = per.join(F.broadcast(_steps(spark, filters)))
-    removed = at("failing", "after") - at("failing", "before")
+    every = unions.join(F.broadcast(_steps(spark, filters)))
+    removed = at("failing", F.col("after")) - at("failing", F.col("before"))
     out = every.select(
-        "part", "filter_order", "step", "own", (F.col("rows") - at("failing", "after")).alias("kept"), removed.alias("removed"),
-        (at("failing", "own") - removed).alias("redundant"), (F.element_at("failing", full) - at("failing", "others")).alias("unique_fails"),
-        *[(at(c, "after") - at(c, "before")).alias(f"{c}_lost") for c in LABELS])
+        "part", "filter_order", "step", "own", (F.col("rows") - at("failing", F.col("after"))).alias("kept"), removed.alias("removed"),
+        (at("failing", F.col("own")) - removed).alias("redundant"), (at("failing", full) - at("failing", F.col("others"))).alias("unique_fails"),
+        *[(at(c, F.col("after")) - at(c, F.col("before"))).alias(f"{c}_lost") for c in LABELS])
     share = out.groupBy("part", "own").agg(F.sum("removed").alias("shapley"))
     return out.join(share, ["part", "own"]).drop("own")
 
