@@ -40,8 +40,8 @@ from tubelens.session import stage_path
 U = np.uint64
 PIECE = K.CHUNK_BYTES    # bytes of text taken apart at once
 LOOKUP = 1 << 19         # tokens looked up at once
-FLUSH = 1 << 22          # tokens summed in a task before they are sent
-SHARD_TOKENS = 1 << 22   # about as many tokens for each shard
+FLUSH = 1 << 21          # tokens summed in a task before they are sent
+SHARD_TOKENS = 1 << 21   # about as many tokens for each shard
 SAMPLE = 64              # one of so many texts is looked at to find very common words; this decides placement, not results
 HOT_SHARE = 512          # a word with more than 1/512 of all tokens is very common: there are at most 512
 START, END = K.mix(np.array([0x53544152, 0x454E4421], dtype=np.uint64))
@@ -61,7 +61,7 @@ def _cuts(buf: np.ndarray, lo: int, hi: int, limit: int) -> list[int]:
     while hi - at > limit:
         gaps, step = np.zeros(0, dtype=np.int64), at + limit
         while not len(gaps) and step < hi:  # the first gap at or after the limit
-            gaps = np.flatnonzero(K._GAP[buf[step:step + limit]]) + step
+            gaps = np.flatnonzero(K._GAP[buf[step:min(step + limit, hi)]]) + step
             step += limit
         if not len(gaps):
             break
