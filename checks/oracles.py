@@ -587,6 +587,7 @@ lsum as (select r.*, (select avg(x.recall) from lkr x where x.g=r.g) cpm, (selec
 """
 THRESHOLDS = ", ".join(f"{t}::double" for t in C.SCORE_THRESHOLDS)
 add("g1", "select * exclude (g) from tubes", B4 + " score", "ldet as (select 0 g, * from det where score>=0.02)," + PAR + LINKED)
+SQL["g1_large"] = SQL["g1"]
 FP16 = f"""
 d16 as (select public_id, cand_seq, label, cen_d0, cen_d1, cen_d2, {ANISO} a from record where label in ('pos', 'neg')),
 near16 as (select a.label, a.public_id, a.cand_seq x, b.cand_seq y from d16 a join d16 b on a.label=b.label and a.public_id=b.public_id and {DIST}<=10),

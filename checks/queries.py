@@ -168,7 +168,7 @@ def s15_stream(fx):
     src, dst, ck = (stage_path(fx.spark, n) for n in ("in", "out", "ck"))
     fx.dirty().write.parquet(src)
     IN.stream_detections(fx.spark, src, dst, ck)
-    return fx.spark.read.parquet(dst)
+    return IN.committed(fx.spark, dst)
 
 
 @query
@@ -735,6 +735,12 @@ def g1(fx):
     return _linked(fx)
 
 
+@query
+def g1_large(fx):
+    """Every volume taken as too large for one task: by windows."""
+    return L.link_tubes(B.filter_by_score(fx.det(), LINK.op_score), LINK, limit=0)
+
+
 @query
 def g2(fx):
     return G.containment_suppress(fx.det(), 0.8).select("det_id")

@@ -66,6 +66,27 @@ def test_link_rounds(spark):
     assert as_tubes(L._link_rounds(frame(spark, rows), cfg, ["volume_id"])) == N.tubes(rows, cfg)
 
 
+@pytest.mark.parametrize("cfg", CONFIGS[1:])
+def test_link_windows(spark, cfg):
+    """Many windows of one component: tubes run across their edges, and a box beyond a cap just outside a window ends a tube."""
+    rows, n = [], 0
+    rng = random.Random(11)
+    for z in range(30):
+        for _ in range(14):
+            x, y = rng.randint(0, 150), rng.randint(0, 60)
+            rows.append(dict(det_id=n, volume_id=n % 2, slice_z=z, x1=float(x), y1=float(y), x2=float(x + rng.randint(8, 14)),
+                             y2=float(y + rng.randint(8, 14)), score=rng.randint(1, 40) / 64.0))
+            n += 1
+    want = {}
+    for v in (0, 1):
+        want.update(N.tubes([r for r in rows if r["volume_id"] == v], cfg))
+    report = []
+    got = L._link_windows(frame(spark, rows).repartition(5), cfg, ["volume_id"], limit=150, report=report)
+    assert as_tubes(got) == want and len(report) > 1
+    assert L._link_windows(frame(spark, rows), cfg, ["volume_id"], limit=3) is None   # too crowded: rounds take over
+    assert L._link_windows(frame(spark, []), cfg, ["volume_id"]).count() == 0
+
+
 def test_link_best_match_that_breaks_a_cap_stops(spark):
     box = lambda i, z, x, s: dict(det_id=i, volume_id=0, slice_z=z, x1=x, y1=0.0, x2=x + 10.0, y2=10.0, score=s)
     rows = [box(0, 0, 0.0, 0.9), box(1, 1, 2.0, 0.5), box(2, 1, 4.0, 0.4)]

@@ -182,6 +182,65 @@ def test_stream_takes_each_file_once(spark):
     IN.stream_detections(spark, src, dst, ck)
     assert spark.read.parquet(dst).count() == 400 + 360
     assert spark.read.parquet(dst + "_rejected").count() == 240
+    assert IN.committed(spark, dst).count() == 760 and IN.unfinished(spark, dst) == []
+
+
+def _keyed(spark):
+    return Fixtures(spark, SF).det().withColumn("tag", F.when(F.col("det_id") % 3 > 0, F.concat(F.lit("t"), F.col("det_id") % 2)))
+
+
+def _stop_at(monkeypatch, name, call):
+    """``IN.<name>`` raises at its n-th call, as when a run ends there."""
+    inner, calls = getattr(IN, name), []
+
+    def stops(*a, **k):
+        calls.append(1)
+        if len(calls) == call:
+            raise RuntimeError("the run ends here")
+        return inner(*a, **k)
+
+    monkeypatch.setattr(IN, name, stops)
+
+
+def test_ingest_takes_each_key_once(spark):
+    """Also NULL keys, which are keys like others."""
+    d, p = _keyed(spark), stage_path(spark, "pool")
+    first = d.where("volume_id % 3 = 0 and det_id < 300")
+    assert IN.ingest_new(first, p).count() == first.count()
+    got = IN.ingest_new(d, p, steps=3)
+    late = d.join(first.select("tag", "volume_id").distinct().withColumnsRenamed({"tag": "t", "volume_id": "v"}),
+                  F.col("tag").eqNullSafe(F.col("t")) & (F.col("volume_id") == F.col("v")), "left_anti")
+    assert got.count() == first.count() + late.count() and got.select("det_id").distinct().count() == got.count()
+    assert IN.ingest_new(d, p).count() == got.count() and IN.ingest_new(d.limit(0), p).count() == got.count()
+
+
+@pytest.mark.parametrize("name,call", [("_write", 2), ("_mark", 1), ("_mark", 2)])
+def test_ingest_after_a_run_that_ended(spark, monkeypatch, name, call):
+    """Rows written but not marked are not seen, and their keys are taken up again."""
+    d, p = _keyed(spark), stage_path(spark, "pool")
+    with monkeypatch.context() as m, pytest.raises(RuntimeError):
+        _stop_at(m, name, call)
+        IN.ingest_new(d, p, steps=2)
+    seen = IN.committed(spark, p, d.schema).count()
+    assert (seen == 0) == (call == 1 or name == "_write") and seen < d.count()
+    assert len(IN.unfinished(spark, p)) == 1
+    got = IN.ingest_new(d, p)
+    assert sorted(got.collect(), key=str) == sorted(d.collect(), key=str)
+
+
+def test_stream_that_ends_between_its_sinks(spark, monkeypatch):
+    fx = Fixtures(spark, SF)
+    src, dst, ck = (stage_path(spark, n) for n in ("in", "out", "ck"))
+    fx.dirty().write.parquet(src)
+    with monkeypatch.context() as m, pytest.raises(Exception):
+        _stop_at(m, "_write", 2)
+        IN.stream_detections(spark, src, dst, ck)
+    assert IN.committed(spark, dst).count() == 0 and len(IN.unfinished(spark, dst)) == 1
+    IN.stream_detections(spark, src, dst, ck)
+    IN.stream_detections(spark, src, dst, ck)
+    bad = fx.dirty().where("not (x1 < x2 and y1 < y2 and score between 0 and 1) or score is null").count()
+    assert IN.committed(spark, dst).count() == fx.dirty().count() - bad
+    assert spark.read.parquet(dst + "_rejected").count() == bad and IN.unfinished(spark, dst) == []
 
 
 LINK = LinkConfig(min_tube_len=3, op_score=0.02, score_floor=0.0)

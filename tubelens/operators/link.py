@@ -1,16 +1,19 @@
 """Linking per-slice boxes into tubes, and per-tube features.
 
 A box can join a tube only over an edge "IoU >= link_iou, 1..gap+1 slices apart". Greedy
-linking therefore splits exactly at the connected components of the edge graph. Volumes of
-bounded size are linked whole, many per Python call; a larger volume is cut into its
-components, which are linked the same way. A component above the bound is
-linked by ``_link_rounds``, which needs no group at all.
+linking therefore splits exactly at the connected components of the edge graph, and a seed's tube
+stays within a bounded reach of it. Volumes of bounded size are linked whole, many per Python call; a larger
+volume is cut into windows about as wide as the reach, which are linked the same way in a few rounds. Where a window
+alone is too crowded, connected components are linked whole, and a component above the bound by ``_link_rounds``, which
+needs no group at all.
 """
 from __future__ import annotations
 
+import math
 from typing import Optional
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tubelens.config import LinkConfig
@@ -26,7 +29,6 @@ LINK_LIMIT = 200_000
 BLOCK_CELLS = 2_000_000   # IoU cells computed at once inside a task
 BOX = ["x1", "y1", "x2", "y2"]
 MEMBER = ["det_id", "slice_z", *BOX, "score"]
-MAX_ROUNDS = 100_000
 
 
 def link_edges(det: DataFrame, link_iou: float, max_z_gap: int, by=("volume_id",)) -> DataFrame:
@@ -78,20 +80,31 @@ def _choices(z, box, cfg: LinkConfig):
 
 def _tubes_of(z, box, score, cfg: LinkConfig) -> np.ndarray:
     """Seed position of every box (rows sorted by slice, box, id); -1 where the tube is short."""
+    owner = _grown(z, box, np.lexsort((np.arange(len(z)), -score)), cfg)
+    size = np.bincount(owner, minlength=len(z))
+    return np.where(size[owner] >= cfg.min_tube_len, owner, -1)
+
+
+def _grown(z, box, seeds, cfg: LinkConfig, rank=None, gone=None) -> np.ndarray:
+    """Seed position of every box that one of ``seeds`` (best first) takes, else -1. With ``gone``, a box is free only for seeds
+    whose rank is below its entry."""
     n = len(z)
     owner = np.full(n, -1, dtype=np.int64)
-    free = [True] * n
+    taken = [False] * n
     ways = _choices(z, box, cfg)
     xs, ys, zs = ((box[0] + box[2]) / 2.0).tolist(), ((box[1] + box[3]) / 2.0).tolist(), z.tolist()
-    for seed in np.lexsort((np.arange(n), -score)).tolist():
-        if not free[seed]:
+    until = [1] * n if gone is None else gone.tolist()
+    turn = [0] * n if gone is None else rank.tolist()
+    for seed in seeds.tolist():
+        now = turn[seed]
+        if taken[seed] or until[seed] <= now:
             continue
-        free[seed] = False
+        taken[seed] = True
         tube, sx, sy, z_min, z_max = [seed], xs[seed], ys[seed], zs[seed], zs[seed]
         for cand, start in ways:
             head = seed
             while True:
-                nxt = next((c for c in cand[start[head]:start[head + 1]] if free[c]), None)
+                nxt = next((c for c in cand[start[head]:start[head + 1]] if not taken[c] and until[c] > now), None)
                 if nxt is None:
                     break
                 lo, hi = min(z_min, zs[nxt]), max(z_max, zs[nxt])
@@ -101,11 +114,10 @@ def _tubes_of(z, box, score, cfg: LinkConfig) -> np.ndarray:
                     dx, dy = xs[nxt] - sx / len(tube), ys[nxt] - sy / len(tube)
                     if (dx * dx + dy * dy) ** 0.5 > cfg.max_centroid_drift:
                         break
-                free[nxt] = False
+                taken[nxt] = True
                 tube.append(nxt)
                 sx, sy, z_min, z_max, head = sx + xs[nxt], sy + ys[nxt], lo, hi, nxt
-        if len(tube) >= cfg.min_tube_len:
-            owner[tube] = seed
+        owner[tube] = seed
     return owner
 
 
@@ -119,102 +131,199 @@ def _link_grouped(det: DataFrame, cfg, by: list[str], keys: list[str]) -> DataFr
     return per_group(det, keys, ["slice_z", *BOX, "det_id"], MEMBER, link, [*by, *MEMBER], "tube_id")
 
 
-# ---------------------------------------------------------------- distributed form
-def _spread_minimum(nodes: DataFrame, edges: DataFrame, src: str, dst: str, out: str) -> DataFrame:
-    """Smallest rank that reaches each node along ``src -> dst`` edges (its own included)."""
-    cur = materialize(nodes.select("rank", F.col("rank").alias(out)))
+# ---------------------------------------------------------------- windows
+WINDOW_LIMIT = 20_000
+TILES = (16.0, 8.0, 4.0, 2.0, 1.0, 0.5)   # sides of tiles tried, as multiples of the reach
+NEVER = np.iinfo(np.int64).max
+
+
+def _reach(box: DataFrame, cfg: LinkConfig) -> Optional[tuple[list[float], list[float], list[float]]]:
+    """How far the centre of a box can lie from its seed's, for x, y and slice, how far one hop looks, and the least values. Each hop moves
+    one slice or more and its boxes meet; the mean that the drift is measured from moves at most drift / n in a hop."""
+    a = box.agg(F.max(F.col("x2") - F.col("x1")).alias("w"), F.max(F.col("y2") - F.col("y1")).alias("h"),
+                *[f(c).cast("double").alias(n + c) for c in ("cx", "cy", "slice_z") for f, n in ((F.min, "lo_"), (F.max, "hi_"))]).first()
+    if a["w"] is None:
+        return None
+    hops = a["hi_slice_z"] - a["lo_slice_z"]
+    if cfg.max_tube_zspan is not None:
+        hops = min(hops, cfg.max_tube_zspan - 1.0)
+    hops = max(hops, 0.0)
+    far = [a["w"] * hops, a["h"] * hops]
+    if cfg.max_centroid_drift is not None:
+        drift = cfg.max_centroid_drift * (2.0 + math.log(hops + 1.0))
+        far = [min(x, drift) for x in far]
+    return [max(x, 1.0) for x in (*far, hops)], [a["w"], a["h"], cfg.max_z_gap + 1.0], [a["lo_cx"], a["lo_cy"], a["lo_slice_z"]]
+
+
+def _link_windows(det: DataFrame, cfg: LinkConfig, keys: list[str], limit: int = WINDOW_LIMIT, report: Optional[list] = None) -> Optional[DataFrame]:
+    """Exact linking by windows, for volumes of any size. None when even the smallest windows hold more than ``limit`` boxes.
+
+    A seed takes only boxes within its reach, so space is cut into tiles and a task gets a tile with all boxes within
+    twice the reach of it, and a hop more (a box beyond a cap ends a tube). It runs the greedy rule over the seeds within one reach and says whose each box of
+    the tile is. What seeds further out took is known from the round before (at first: nothing but themselves). The best seeds
+    are right from the first round on, and each round makes right what depends on them; when no owner changes all are.
+    Rounds follow chains of tubes that run across tiles, not the number of boxes. ``report`` gets the boxes changed in every round.
+    """
+    mid = det.select(*keys, *MEMBER, ((F.col("x1") + F.col("x2")) / 2.0).alias("cx"), ((F.col("y1") + F.col("y2")) / 2.0).alias("cy"))
+    found = _reach(mid, cfg)
+    if found is None:
+        return det.select(*keys, F.lit(None).cast("long").alias("tube_id"), *MEMBER)
+    reach, hop, low = found
+    axes = [("cx", "tx"), ("cy", "ty"), ("slice_z", "tz")]
+
+    def tiled(df, side):
+        for (c, t), r, one, s, lo in zip(axes, reach, hop, side, low):
+            first, last = (F.floor((F.col(c) - lo + d) / s) for d in (-2.0 * r - one, 2.0 * r + one))
+            df = df.withColumn(t, F.explode(F.sequence(F.greatest(first, F.lit(0)), last)))
+        return df
+
+    for m in TILES:
+        side = [max(m * r, 1.0) for r in reach]
+        top = tiled(mid, side).groupBy(*keys, "tx", "ty", "tz").count().agg(F.max("count")).first()[0]
+        if top <= limit:
+            break
+    else:
+        return None
+
+    order = [*[F.col(k) for k in keys], F.col("score").desc(), F.col("slice_z"), *[F.col(c) for c in BOX], F.col("det_id")]
+    state = dense_index(mid, order, "rank").withColumns({
+        "owner": F.col("rank"), **{"o" + c: F.col(c).cast("double") for c, _ in axes}, "changed": F.lit(False)})
+    kinds = state.schema
+
+    def settle(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["slice_z", *BOX, "det_id"], ignore_index=True)
+
+        def within(pre, d):
+            ok = np.ones(len(g), dtype=bool)
+            for (c, t), r, s, lo in zip(axes, reach, side, low):
+                x = g[pre + c].to_numpy(dtype=float) - lo
+                at = float(g[t].iloc[0])
+                ok &= (x >= at * s - d * r) & (x < (at + 1) * s + d * r) if d else np.floor(x / s) == at
+            return ok
+
+        rank, owner = g["rank"].to_numpy(), g["owner"].to_numpy()
+        core, seeds, known = within("", 0), within("", 1), ~within("o", 1)
+        gone = np.where(known, owner, np.where(seeds, NEVER, rank))
+        at = np.flatnonzero(seeds)
+        box = np.stack([g[c].to_numpy(dtype=float) for c in BOX])
+        got = _grown(g["slice_z"].to_numpy(), box, at[np.argsort(rank[at])], cfg, rank, gone)
+        got = np.where(got >= 0, got, np.arange(len(g)))
+        out = g.assign(owner=rank[got], changed=rank[got] != owner, **{"o" + c: g[c].to_numpy(dtype=float)[got] for c, _ in axes})
+        return out.loc[core, kinds.names]
+
+    # much work for few bytes: the number of tasks is set here, not by size
+    spark = det.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    where = [*keys, "tx", "ty", "tz"]
     while True:
-        step = (edges.join(cur.withColumnRenamed("rank", src), src)
-                .groupBy(F.col(dst).alias("rank")).agg(F.min(out).alias("_m")))
-        nxt = materialize(cur.join(step, "rank", "left")
-                          .select("rank", F.least(F.col(out), F.coalesce("_m", out)).alias(out),
-                                  (F.col("_m") < F.col(out)).alias("_changed")))
-        changed = not nxt.where("_changed").isEmpty()
-        cur = nxt.drop("_changed")
-        if not changed:
-            return cur
-
-
-def _link_rounds(det: DataFrame, cfg: LinkConfig, by: list[str]) -> DataFrame:
+        state, c = _counted(tiled(state, side).repartition(tasks, *where).groupBy(*where).applyInPandas(settle, kinds), changed=F.col("changed"))
+        if report is not None:
+            report.append(c["changed"])
+        if not c["changed"]:
+            break
+    sizes = state.groupBy(F.col("owner").alias("_owner")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= cfg.min_tube_len)
+    seeds = state.where("rank = owner").select(F.col("rank").alias("_owner"), F.col("det_id").alias("tube_id"))
+    return state.join(sizes.join(seeds, "_owner"), F.col("owner") == F.col("_owner")).select(*keys, "tube_id", *MEMBER)
+
+
+# ---------------------------------------------------------------- distributed form
+def _counted(df: DataFrame, **counts: Column) -> tuple[DataFrame, dict]:
+    """The stored frame and conditional counts over it."""
+    out = materialize(df)
+    return out, out.agg(*[F.count_if(c).alias(n) for n, c in counts.items()]).first().asDict()
+
+
+HOPS = 4   # hops of a walk in one query
+
+
+def _walk(seeds: DataFrame, geo: DataFrame, lists: DataFrame, cfg: LinkConfig) -> DataFrame:
+    """``seed, rank`` of the boxes each seed takes, all seeds at once, if a box is free for a seed unless its owner is a better one.
+
+    ``lists``: per box its candidates upwards and downwards, best first, each with its owner.
+    """
+    grow = seeds.join(geo, F.col("seed") == F.col("rank")).select(
+        "seed", F.col("seed").alias("head"), F.col("slice_z").alias("z0"), F.col("slice_z").alias("z1"),
+        F.col("cx").alias("sx"), F.col("cy").alias("sy"), F.lit(1).cast("long").alias("n"), F.array("seed").alias("path"))
+    for way in ("up", "down"):
+        grow, ended = grow.withColumn("head", F.col("seed")), []
+        side = lists.where(F.size(way) > 0).select(F.col("rank").alias("_at"), F.col(way).alias("_list"))
+        while True:
+            grow = grow.withColumn("open", F.lit(True))
+            for _ in range(HOPS):
+                first = F.get(F.filter("_list", lambda c: c["owner"] >= F.col("seed")), F.lit(0))
+                j = grow.join(side, F.when(F.col("open"), F.col("head")) == F.col("_at"), "left").withColumn("_c", first).drop("_at", "_list")
+                ok = F.col("_c").isNotNull()
+                if cfg.max_tube_zspan is not None:
+                    ok = ok & (F.greatest("z1", "_c.z") - F.least("z0", "_c.z") + 1 <= cfg.max_tube_zspan)
+                if cfg.max_centroid_drift is not None:
+                    dx, dy = F.col("_c.cx") - F.col("sx") / F.col("n"), F.col("_c.cy") - F.col("sy") / F.col("n")
+                    ok = ok & (F.sqrt(dx * dx + dy * dy) <= cfg.max_centroid_drift)
+                j = j.withColumn("open", F.coalesce(ok, F.lit(False)))
+                new = lambda a, b: F.when(F.col("open"), b).otherwise(F.col(a)).alias(a)
+                grow = j.select("seed", new("head", F.col("_c.dst")), new("z0", F.least("z0", "_c.z")), new("z1", F.greatest("z1", "_c.z")),
+                                new("sx", F.col("sx") + F.col("_c.cx")), new("sy", F.col("sy") + F.col("_c.cy")), new("n", F.col("n") + 1),
+                                new("path", F.concat("path", F.array("_c.dst"))), "open")
+            grow, c = _counted(grow, open=F.col("open"))
+            ended.append(grow.where(~F.col("open")).drop("open"))
+            grow = grow.where("open").drop("open")
+            if not c["open"]:
+                break
+        grow = union_all(ended)
+    return grow.select("seed", F.explode("path").alias("rank"))
+
+
+def _link_rounds(det: DataFrame, cfg: LinkConfig, by: list[str], report: Optional[list] = None) -> DataFrame:
     """Exact linking without groups, for components too large for one task.
 
-    Boxes get a dense seed rank. In a round every live box learns the best-ranked seed that
-    could still reach it along live edges. A seed that no better seed reaches grows its tube;
-    if each box it looks at is reached by no better seed either, no earlier seed can ever
-    change that tube, so it is final. The best live seed always qualifies.
+    Boxes get a dense seed rank. Every box has an owner, at first itself: the best seed known to take it. In a round all seeds
+    that own themselves grow their tubes at once, each as if exactly the boxes with a better owner were gone, and
+    every box goes to the best seed whose tube holds it. A seed's tube depends on better seeds only, so after k
+    rounds at least the k best are right, and when a round changes nothing all are: that state is unique. Rounds
+    follow the longest chain of tubes that change each other, not the number of boxes. From the second round on only seeds next to a changed
+    box grow anew. ``report`` gets ``(seeds grown, boxes changed)`` of every round.
     """
     order = [*[F.col(k) for k in by], F.col("score").desc(), F.col("slice_z"), *[F.col(c) for c in BOX],
              F.col("det_id")]
     ranked = materialize(dense_index(det.select(*by, *MEMBER), order, "rank"))
-    e = link_edges(ranked, cfg.link_iou, cfg.max_z_gap, by)
-    edges = materialize(e.select(F.col("a_rank").alias("u"), F.col("b_rank").alias("v"), "iou"))
-    # order of a candidate inside its window: slice, box, id
-    place = F.struct("slice_z", *BOX, "det_id")
-    geo = ranked.select("rank", "slice_z", place.alias("place"),
-                        ((F.col("x1") + F.col("x2")) / 2.0).alias("cx"), ((F.col("y1") + F.col("y2")) / 2.0).alias("cy"))
-    live = ranked.select("rank")
-    done = []
-    for _ in range(MAX_ROUNDS):
-        if live.isEmpty():
+    geo = ranked.select("rank", "slice_z", ((F.col("x1") + F.col("x2")) / 2.0).alias("cx"), ((F.col("y1") + F.col("y2")) / 2.0).alias("cy"))
+    e = materialize(link_edges(ranked, cfg.link_iou, cfg.max_z_gap, by))
+
+    def directed(src, dst, up):
+        """Edges in both directions; ``o`` orders the candidates of a box: IoU, slice, box, id."""
+        centre = lambda a, b: ((F.col(dst + a) + F.col(dst + b)) / 2.0)
+        return e.select(F.col(src + "rank").alias("src"), F.col(dst + "rank").alias("dst"), F.lit(up).alias("up"), F.struct(
+            (-F.col("iou")).alias("i"), *[F.col(dst + c).alias(c) for c in ("slice_z", *BOX, "det_id")]).alias("o"), centre("x1", "x2").alias("cx"), centre("y1", "y2").alias("cy"))
+
+    edges = materialize(directed("a_", "b_", True).unionByName(directed("b_", "a_", False)))
+    owner = ranked.select("rank", F.col("rank").alias("owner"))
+    kept, again = None, owner.select(F.col("rank").alias("seed"))
+    while True:
+        item = F.struct("o", F.col("o.slice_z").alias("z"), "dst", "owner", "cx", "cy")
+        side = lambda up: F.transform(F.sort_array(F.collect_list(F.when(up, item))), lambda x: x.dropFields("o"))
+        lists = materialize(edges.join(owner.withColumnRenamed("rank", "dst"), "dst").groupBy(F.col("src").alias("rank")).agg(
+            side(F.col("up")).alias("up"), side(~F.col("up")).alias("down")))
+        grown = _walk(again, geo, lists, cfg)
+        members, c = _counted(grown if kept is None else kept.unionByName(grown), seeds=F.col("seed") == F.col("rank"))
+        first = members.groupBy("rank").agg(F.min("seed").alias("_first"))
+        moved = F.least("rank", F.coalesce("_first", "rank"))
+        state, n = _counted(owner.join(first, "rank", "left").select(
+            "rank", moved.alias("owner"), (moved != F.col("owner")).alias("changed")), changed=F.col("changed"))
+        if report is not None:
+            report.append((c["seeds"], n["changed"]))
+        if not n["changed"]:
             break
-        live_edges = materialize(edges.join(live.withColumnRenamed("rank", "u"), "u", "left_semi")
-                                 .join(live.withColumnRenamed("rank", "v"), "v", "left_semi"))
-        up = _spread_minimum(live, live_edges, "u", "v", "f")
-        down = _spread_minimum(live, live_edges, "v", "u", "b")
-        reach = materialize(up.join(down, "rank").select("rank", F.least("f", "b").alias("first")))
-
-        def nearest(src, dst):
-            cand = live_edges.join(geo.select(F.col("rank").alias(dst), "slice_z", "place", "cx", "cy"), dst) \
-                .join(reach.select(F.col("rank").alias(dst), "first"), dst)
-            pick = F.min(F.struct((-F.col("iou")).alias("o"), F.col("place"), F.col(dst).alias("next"),
-                                  F.col("slice_z").alias("nz"), F.col("cx").alias("ncx"), F.col("cy").alias("ncy"),
-                                  F.col("first").alias("nfirst"))).alias("p")
-            return materialize(cand.groupBy(F.col(src).alias("head")).agg(pick)
-                               .select("head", "p.next", "p.nz", "p.ncx", "p.ncy", "p.nfirst"))
-
-        hop = {"up": nearest("u", "v"), "down": nearest("v", "u")}
-        grow = materialize(reach.where(F.col("rank") == F.col("first")).join(geo, "rank").select(
-            F.col("rank").alias("seed"), F.col("rank").alias("head"), F.col("slice_z").alias("z0"),
-            F.col("slice_z").alias("z1"), F.col("cx").alias("sx"), F.col("cy").alias("sy"),
-            F.lit(1).cast("long").alias("n"), F.lit(True).alias("ok")))
-        grown = [grow.select("seed", F.col("head").alias("rank"))]
-        for way in ("up", "down"):
-            grow = grow.withColumn("head", F.col("seed")).withColumn("open", F.lit(True))
-            while True:
-                j = grow.where("open").join(hop[way], "head", "left")
-                far = F.sqrt(F.pow(F.col("ncx") - F.col("sx") / F.col("n"), 2) + F.pow(F.col("ncy") - F.col("sy") / F.col("n"), 2))
-                cap = F.lit(False)
-                if cfg.max_tube_zspan is not None:
-                    cap = cap | (F.greatest("z1", "nz") - F.least("z0", "nz") + 1 > cfg.max_tube_zspan)
-                if cfg.max_centroid_drift is not None:
-                    cap = cap | (far > cfg.max_centroid_drift)
-                foreign = F.col("next").isNotNull() & (F.col("nfirst") != F.col("seed"))
-                take = F.col("next").isNotNull() & ~foreign & ~cap
-                moved = materialize(j.withColumn("_take", F.coalesce(take, F.lit(False))).select(
-                    "seed", F.when(F.col("_take"), F.col("next")).otherwise(F.col("head")).alias("head"),
-                    F.when(F.col("_take"), F.least("z0", "nz")).otherwise(F.col("z0")).alias("z0"),
-                    F.when(F.col("_take"), F.greatest("z1", "nz")).otherwise(F.col("z1")).alias("z1"),
-                    F.when(F.col("_take"), F.col("sx") + F.col("ncx")).otherwise(F.col("sx")).alias("sx"),
-                    F.when(F.col("_take"), F.col("sy") + F.col("ncy")).otherwise(F.col("sy")).alias("sy"),
-                    (F.col("n") + F.col("_take").cast("long")).alias("n"),
-                    (F.col("ok") & ~foreign).alias("ok"), F.col("_take").alias("open")))
-                closed = grow.where(~F.col("open"))
-                if moved.where("open").isEmpty():
-                    grow = materialize(closed.unionByName(moved))
-                    break
-                grown.append(moved.where("open").select("seed", F.col("head").alias("rank")))
-                grow = materialize(closed.unionByName(moved))
-        final = grow.where("ok").select("seed", "n")
-        tubes = materialize(union_all(grown).join(final, "seed"))
-        done.append(tubes)
-        if len(done) == 20:
-            done = [materialize(union_all(done))]
-        live = materialize(live.join(tubes, "rank", "left_anti"))
-    else:
-        raise RuntimeError("linking did not settle")
-    owned = union_all(done).where(F.col("n") >= cfg.min_tube_len)
+        # seeds that live now and look at a changed box, or have come back to life
+        changed = state.where("changed")
+        beside = edges.join(changed.select(F.col("rank").alias("dst")), "dst", "left_semi").select(F.col("src").alias("rank")).distinct()
+        alive = state.where("rank = owner").select(F.col("rank").alias("seed"))
+        owned = members.join(alive, "seed", "left_semi")
+        again = materialize(owned.join(beside, "rank", "left_semi").select("seed").unionByName(
+            changed.where("rank = owner").select(F.col("rank").alias("seed"))).distinct())
+        kept = owned.join(again, "seed", "left_anti")
+        owner = state.select("rank", "owner")
+    long = members.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= cfg.min_tube_len)
     seeds = ranked.select(F.col("rank").alias("seed"), F.col("det_id").alias("tube_id"))
-    return ranked.join(owned, "rank").join(seeds, "seed").select(*by, "tube_id", *MEMBER)
+    return ranked.join(members, "rank").join(long, "seed").join(seeds, "seed").select(*by, "tube_id", *MEMBER)
 
 
 # ---------------------------------------------------------------- public
@@ -235,14 +344,20 @@ def link_tubes(det: DataFrame, cfg, by=("volume_id",), limit: int = LINK_LIMIT)
     if large is None:
         return out
     if isinstance(cfg, LinkConfig):
-        return out.unionByName(_link_components(large, cfg, keys, limit))
+        return out.unionByName(_link_large(large, cfg, keys, limit))
     for i, one in enumerate(cfg):
-        out = out.unionByName(_link_components(large.where(F.col("config_id") == i), one, keys, limit))
+        out = out.unionByName(_link_large(large.where(F.col("config_id") == i), one, keys, limit))
     return out
 
 
-def _link_components(det: DataFrame, cfg: LinkConfig, keys: list[str], limit: int) -> DataFrame:
+def _link_large(det: DataFrame, cfg: LinkConfig, keys: list[str], limit: int) -> DataFrame:
+    """By windows; where these are too crowded, by connected components."""
     det = materialize(det)
+    out = _link_windows(det, cfg, keys)
+    return _link_components(det, cfg, keys, limit) if out is None else out
+
+
+def _link_components(det: DataFrame, cfg: LinkConfig, keys: list[str], limit: int) -> DataFrame:
     edges = link_edges(det, cfg.link_iou, cfg.max_z_gap, keys).select(
         *keys, F.col("a_det_id").alias("u"), F.col("b_det_id").alias("v"))
     lab = materialize(label_nodes(det, edges, keys, "det_id", "comp"))
