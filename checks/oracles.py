@@ -617,6 +617,7 @@ add("g3", "select pred_id cand_seq from keep", "", greedy("pred", "public_id", "
 D3 = "sqrt((k.cen_d0-r.cen_d0)*(k.cen_d0-r.cen_d0)+(k.cen_d1-r.cen_d1)*(k.cen_d1-r.cen_d1)+(k.cen_d2-r.cen_d2)*(k.cen_d2-r.cen_d2))"
 add("g4", "select cand_seq from keep", "", greedy("record", "public_id", "slice_count desc, cand_seq", "cand_seq", "cen_d0 cen_d1 cen_d2", f"{D3}<=8"))
 add("g5", "select public_id, cand_seq, cluster from lab", "", clusters(6.0))
+SQL["g5_large"] = SQL["g5"]
 add("g6", "select det_id, is_tp from tp", "", TP)
 add("g7", "select det_id from keep", "", greedy("det", "volume_id, slice_z", "score desc, det_id", "det_id", B4, f"{iou2('k', 'r')}>cast(0.3 as double)"))
 add("g8", f"""select volume_id, slice_z, min(r0) r0, min(c0) c0, max(r1) r1, max(c1) c1,

@@ -765,6 +765,12 @@ def g5(fx):
     return GR.single_linkage(fx.record(), 6.0, ["public_id"])
 
 
+@query
+def g5_large(fx):
+    """Every volume by the form without groups."""
+    return GR.single_linkage(fx.record(), 6.0, ["public_id"], limit=0)
+
+
 @query
 def g6(fx):
     return M.greedy_match(fx.det(), fx.gt_slices()).select("det_id", "is_tp")

@@ -158,6 +158,22 @@ def test_single_linkage(spark, limit, radius):
         assert {i: got[i] for i in ids} == want
 
 
+def test_single_linkage_meets_few_pairs(spark):
+    """One dense blob beside a thin one: clusters are right; pairs of cells follow the space a blob fills, not its points."""
+    rng = random.Random(4)
+    blob = lambda n: [(rng.uniform(0, 3), rng.uniform(0, 3), rng.uniform(0, 3)) for _ in range(n)]
+    thin = [(rng.uniform(6, 40), rng.uniform(0, 30), rng.uniform(0, 30)) for _ in range(300)]
+    pts = blob(3000) + thin + [(0.5, 0.5, 0.5)] * 20 + [(4.0, 1.0, 1.0), (-50.0, 0.0, 0.0), (-51.0, 0.0, 0.0), (-52.0000001, 0.0, 0.0)]
+    cols = ("cen_d0", "cen_d1", "cen_d2")
+    as_frame = lambda p: spark.createDataFrame([(0, i, *map(float, x)) for i, x in enumerate(p)], "public_id long, cand_seq long, " + ", ".join(f"{c} double" for c in cols))
+    few, many = [], []
+    got = {r["cand_seq"]: r["cluster"] for r in GR._linkage_grid(as_frame(pts), ["public_id"], "cand_seq", cols, 1.0, few).collect()}
+    assert got == {r["cand_seq"]: r["cluster"] for r in GR.single_linkage(as_frame(pts), 1.0, ["public_id"]).collect()}
+    GR._linkage_grid(as_frame(pts + blob(9000)), ["public_id"], "cand_seq", cols, 1.0, many)
+    assert sum(few) < 6 * len(pts) and sum(many) < 2.5 * (len(pts) + 9000)
+
+
+
 def test_components_rounds(spark):
     rng = random.Random(8)
     pairs = {(rng.randint(0, 40), rng.randint(0, 40)) for _ in range(30)} | {(i, i + 1) for i in range(50, 70)}

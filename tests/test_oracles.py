@@ -10,7 +10,7 @@ from checks.queries import QUERIES
 from conftest import SF
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
-QUICK = "s3 s15 s15_stream g1_large p6 p9 p18 j1 j3 j4 j8 a2 a4 a9 a14 w6 w8 k1 k7 g2 g3 g5 e2 e7".split()
+QUICK = "s3 g5_large s15 s15_stream g1_large p6 p9 p18 j1 j3 j4 j8 a2 a4 a9 a14 w6 w8 k1 k7 g2 g3 g5 e2 e7".split()
 
 
 @pytest.fixture(scope="module")

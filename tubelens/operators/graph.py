@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from typing import Optional
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -114,48 +115,83 @@ def _linkage_grouped(df: DataFrame, by, row_id, cols, radius) -> DataFrame:
     return per_group(df, by, [row_id], [row_id, *cols], flood, [*by, row_id], "cluster")
 
 
-def _linkage_grid(df: DataFrame, by, row_id, cols, radius) -> DataFrame:
-    """Cells small enough that all points of one cell are linked; only cell pairs that are
-    neither surely linked nor surely apart compare points, and only points near the other cell."""
+def _box_bounds(cols, a: str, b: str) -> tuple[Column, Column]:
+    """Least and greatest distance of points of two boxes ``<side>_lo_*``, ``<side>_hi_*``."""
+    near2 = far2 = F.lit(0.0)
+    for c in cols:
+        al, ah, bl, bh = (F.col(f"{s}_{e}_{c}") for s in (a, b) for e in ("lo", "hi"))
+        gap, wide = F.greatest(al - bh, bl - ah, F.lit(0.0)), F.greatest(ah - bl, bh - al)
+        near2, far2 = near2 + gap * gap, far2 + wide * wide
+    return F.sqrt(near2), F.sqrt(far2)
+
+
+def _tight(cols) -> list[Column]:
+    return [f(c).alias(f"{n}_{c}") for c in cols for f, n in ((F.min, "lo"), (F.max, "hi"))]
+
+
+def _linkage_grid(df: DataFrame, by, row_id, cols, radius, report: Optional[list] = None) -> DataFrame:
+    """Cells small enough that all points of one cell are linked. Cells whose boxes are surely linked are united; a pair that is neither surely linked
+    nor surely apart is halved: the boxes of its smaller cells meet instead, those out of reach are dropped, and one certain
+    pair unites the two. Pairs that are connected by now are dropped before every halving, and cells that share a face come
+    first, so in dense places one halving of these settles all, and points are compared only where they lie about ``radius`` apart. A cell of equal points
+    is one point, so halving ends. ``report`` gets the pairs met in every step.
+    """
     d = len(cols)
-    cell = radius / math.sqrt(d)
+    side = radius / math.sqrt(d)
     cc = [f"_c{i}" for i in range(d)]
-    pts = materialize(df.select(*by, F.col(row_id).alias("_id"), *[F.col(c).cast("double").alias(c) for c in cols],
-                                *[S.cell_of(F.col(c), cell).alias(k) for c, k in zip(cols, cc)]))
-    cells = materialize(pts.groupBy(*by, *cc).agg(
-        F.min("_id").alias("_rep"),
-        *[f(c).alias(n + c) for c in cols for f, n in ((F.min, "_lo_"), (F.max, "_hi_"))]))
-    star = pts.join(cells.select(*by, *cc, "_rep"), by + cc).select(
-        *by, F.col("_id").alias("u"), F.col("_rep").alias("v"))
+    at = lambda size: {k: S.cell_of(F.col(c), size) for c, k in zip(cols, cc)}
+    pts = materialize(df.select(*by, F.col(row_id).alias("_id"), *[F.col(c).cast("double").alias(c) for c in cols]).withColumns(at(side)))
+    cells = materialize(pts.groupBy(*by, *cc).agg(F.min("_id").alias("_rep"), *_tight(cols)))
+    # the points of a cell once each, under the name of their cell
+    named = materialize(pts.join(cells.select(*by, *cc, "_rep"), by + cc))
+    star = named.select(*by, F.col("_id").alias("u"), F.col("_rep").alias("v"))
+    places = named.select(*by, "_rep", *cols).distinct()
     reach = int(math.ceil(math.sqrt(d)))
     forward = [o for o in itertools.product(range(-reach, reach + 1), repeat=d) if o > (0,) * d]
     offsets = F.explode(F.array(*[F.struct(*[F.lit(v).alias(f"o{i}") for i, v in enumerate(o)]) for o in forward]))
     a = S.prefixed(cells, "a_", by).withColumn("_o", offsets)
     a = a.withColumns({k: F.col("a_" + k) + F.col(f"_o.o{i}") for i, k in enumerate(cc)}).drop("_o")
-    b = S.prefixed(cells, "b_", by + cc)
-    near2 = far2 = F.lit(0.0)
-    for c in cols:
-        gap = F.greatest(F.col("a__lo_" + c) - F.col("b__hi_" + c), F.col("b__lo_" + c) - F.col("a__hi_" + c), F.lit(0.0))
-        wide = F.greatest(F.col("a__hi_" + c) - F.col("b__lo_" + c), F.col("b__hi_" + c) - F.col("a__lo_" + c))
-        near2, far2 = near2 + gap * gap, far2 + wide * wide
-    pairs = materialize(a.join(b, by + cc).where(F.sqrt(near2) <= radius)
-                        .withColumn("_sure", F.sqrt(far2) <= radius))
-    sure = pairs.where("_sure").select(*by, F.col("a__rep").alias("u"), F.col("b__rep").alias("v"))
-    # cells that are linked already need no witness
-    known = materialize(label_nodes(cells.select(*by, F.col("_rep").alias("_id")), sure, by, "_id", "_comp").select(*by, "_id", "_comp"))
-    end = lambda side: known.select(*by, F.col("_id").alias(f"{side}__rep"), F.col("_comp").alias(f"_{side}comp"))
-    open_ = pairs.where(~F.col("_sure")).join(end("a"), by + ["a__rep"]).join(end("b"), by + ["b__rep"])
-    open_ = open_.where(F.col("_acomp") != F.col("_bcomp")).drop("_acomp", "_bcomp")
-    pa = pts.select(*by, *[F.col(k).alias("a_" + k) for k in cc], *[F.col(c).alias("a_" + c) for c in cols])
-    pb = pts.select(*by, *cc, *[F.col(c).alias("b_" + c) for c in cols])
-    touch = F.lit(0.0)
-    for c in cols:
-        gap = F.greatest(F.col("b__lo_" + c) - F.col("a_" + c), F.col("a_" + c) - F.col("b__hi_" + c), F.lit(0.0))
-        touch = touch + gap * gap
-    met = (open_.join(pa.distinct(), by + ["a_" + k for k in cc]).where(F.sqrt(touch) <= radius)
-           .join(pb.distinct(), by + cc).where(_distance(cols) <= radius)
-           .select(*by, F.col("a__rep").alias("u"), F.col("b__rep").alias("v")).distinct())
-    return label_nodes(pts.select(*by, "_id"), union_all([star, sure, met]), by, "_id", "cluster").select(
+    b = S.prefixed(cells, "b_", by + cc).withColumns({"b_" + k: F.col(k) for k in cc})
+    near, far = _box_bounds(cols, "a", "b")
+    ends = [*by, "a__rep", "b__rep", *[f"{s}_{k}" for s in "ab" for k in cc]]
+    met = materialize(a.join(b, by + cc).where(near <= radius).select(*ends, (far <= radius).alias("_sure")))
+    edges = []
+
+    def unite(pairs):
+        edges.append(pairs.where("_sure").select(*by, F.col("a__rep").alias("u"), F.col("b__rep").alias("v")).distinct())
+
+    def apart(pairs):
+        """Pairs whose cells are not connected yet."""
+        known = materialize(label_nodes(cells.select(*by, F.col("_rep").alias("_id")), union_all(edges), by, "_id", "_comp").select(*by, "_id", "_comp"))
+        for s in "ab":
+            pairs = pairs.join(known.select(*by, F.col("_id").alias(f"{s}__rep"), F.col("_comp").alias(f"_{s}comp")), by + [f"{s}__rep"])
+        return materialize(pairs.where(F.col("_acomp") != F.col("_bcomp")).drop("_acomp", "_bcomp"))
+
+    def halved(pairs, side):
+        wanted = pairs.select(*by, F.col("a__rep").alias("_rep")).unionByName(pairs.select(*by, F.col("b__rep").alias("_rep"))).distinct()
+        halves = places.join(wanted, by + ["_rep"], "left_semi").withColumns(at(side)).withColumnsRenamed({k: "_up" + k for k in cc}).withColumns(at(side / 2.0))
+        kids = materialize(halves.groupBy(*by, "_rep", *["_up" + k for k in cc], *cc).agg(*_tight(cols)))
+        for s in "ab":
+            mine = kids.select(*by, F.col("_rep").alias(f"{s}__rep"), *[F.col("_up" + k).alias(f"{s}_{k}") for k in cc], *[F.col(k).alias(f"_{s}{k}") for k in cc],
+                               *[F.col(f"{e}_{c}").alias(f"{s}_{e}_{c}") for c in cols for e in ("lo", "hi")])
+            pairs = pairs.join(mine, by + [f"{s}__rep", *[f"{s}_{k}" for k in cc]])
+        return materialize(pairs.where(near <= radius).withColumns({f"{s}_{k}": F.col(f"_{s}{k}") for s in "ab" for k in cc}).select(
+            *ends, (far <= radius).alias("_sure")))
+
+    unite(met)
+    counts = [met.count()]
+    face = sum((F.abs(F.col("a_" + k) - F.col("b_" + k)) for k in cc), F.lit(0)) == 1
+    # neighbours that share a face first: in a dense place they connect the others
+    for some in (face, ~face):
+        open_, size = apart(met.where(~F.col("_sure") & some).select(*ends)), side
+        while not open_.isEmpty():
+            step, size = halved(open_, size), size / 2.0
+            counts.append(step.count())
+            unite(step)
+            open_ = apart(step.where(~F.col("_sure")).select(*ends))
+    if report is not None:
+        report.extend(counts)
+    return label_nodes(pts.select(*by, "_id"), union_all([star, *edges]), by, "_id", "cluster").select(
         *by, F.col("_id").alias(row_id), "cluster")
 
 
