@@ -238,3 +238,21 @@ def test_unions_of_lists():
     for s in range(8):
         u = set().union(*[lists[f].tolist() for i, f in enumerate("ABC") if s >> i & 1])
         assert (got["n"][s], got["good"][s], got["toxic"][s]) == (len(u), len(u & set(lists["good"].tolist())), 0)
+
+
+# ---------------------------------------------------------------- filtering stages
+def test_filters_keep_columns_of_any_name(spark, monkeypatch):
+    """Columns named like the operators' own stay as they are, also where values come by joins."""
+    from tubelens.llm import exact, minhash, toxicity
+    odd = DOCS + ", _gone long, _known string, _th long, word long, value double"
+    body = "one two three four five six seven eight nine ten"
+    rows = [(i, f"{body} {i // 2}", "x", "s", 0, 0.0, "k", i + 100, "a", i, i, 0.5) for i in range(8)]
+    docs = spark.createDataFrame(rows, odd)
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(8)], "doc_id long, quality int, toxic int")
+    assert sorted(map(tuple, exact.drop_copies(docs).collect())) == [r for r in rows if r[0] % 2]
+    got = minhash.keep_one(docs).collect()
+    assert got and all(tuple(r) == rows[r.doc_id] for r in got)
+    for most in (toxicity.MODEL_ROWS, 0):
+        monkeypatch.setattr(toxicity, "MODEL_ROWS", most)
+        got = toxicity.keep_ordinary(docs, labels, threshold=2.0)
+        assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == rows

@@ -45,8 +45,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
     """``docs`` without exact copies, all columns kept. Ids must be unique to leave one row per text."""
-    gone = exact_groups(docs, id_col, text_col, keep).where("not kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    gone = exact_groups(docs, id_col, text_col, keep).where("not kept").select(F.col("doc_id").alias(id_col))
+    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
 
 
 def op1_exact_dedup(spark, sf_dir):

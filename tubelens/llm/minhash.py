@@ -300,8 +300,8 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "d
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each component; all columns stay."""
-    gone = near_groups(docs, k, percent).where("not kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = near_groups(docs, k, percent).where("not kept").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def op2_minhash(spark, sf_dir):

@@ -322,4 +322,5 @@ def keep_ordinary(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     """``docs``, all columns, without the texts that score at least the threshold."""
     model = train(docs, labels)
     small = {k: v for k, v in model.items() if k in ("curve", "share")}
-    return judged(docs, model, lambda b, w, value: b.filter(pa.array(probability(small, w, value) < threshold)), docs.schema)
+    safe = docs.toDF(*["text" if c == "text" else f"_{i}" for i, c in enumerate(docs.columns)])  # no name of a caller's can clash
+    return judged(safe, model, lambda b, w, value: b.filter(pa.array(probability(small, w, value) < threshold)), safe.schema).toDF(*docs.columns)
