@@ -274,9 +274,9 @@ def test_rank_of_large_groups(spark):
 
 
 def test_separability_and_delta(spark):
-    rows = [(0.8, True)] + [(0.05, False)] * 20
+    rows = [(0.71, True), (0.64, True), (0.93, True)] + [(i / 50.0, False) for i in range(9)]
     one = ST.separability(spark.createDataFrame(rows, "score_max double, is_tp boolean")).first()
-    assert (one["best_balacc"], one["best_thresh"], one["frac_fp_below_tp_median"]) == (1.0, 0.8, 1.0)
+    assert (one["best_balacc"], one["best_thresh"], one["frac_fp_below_tp_median"]) == (1.0, 0.64, 1.0)
     d = spark.createDataFrame([(3.0, True), (1.0, True), (2.0, False), (None, False)], "v double, a boolean")
     assert ST.cliffs_delta(d, "v", "a").first()["delta"] == 0.0
     assert ST.cliffs_delta(d.where("a"), "v", "a").first()["delta"] is None

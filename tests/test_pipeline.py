@@ -42,13 +42,15 @@ def summary(gt, pred):
 
 def test_froc_golden(spark):
     gt = gt_frame(spark)
-    assert summary(gt, pred_frame(spark, [(v, 0.0) for v in range(3)]))["cpm"] == pytest.approx(1.0)
-    half = summary(gt, pred_frame(spark, [(0, 5.0), (1, 5.0), (2, 6.0)]))      # IoU 1/3 is a hit, 1/4 is not
-    assert half["ceiling"] == pytest.approx(2 / 3)
-    assert summary(gt, pred_frame(spark, []))["ceiling"] == pytest.approx(0.0, abs=1e-6)
-    twice = summary(gt, pred_frame(spark, [(0, 0.0), (0, 1.0)]))               # a repeat hit is neither TP nor FP
-    assert twice["ceiling"] == pytest.approx(1 / 3) and twice["fp_at_ceiling"] == pytest.approx(0.0, abs=1e-6)
-    assert set(half["key_recall"]) == set(KEY_FP)
+    near, far = -3.0, 7.5                                                      # IoU 7/13 and 1/7
+    assert summary(gt, pred_frame(spark, [(2, near), (0, 0.5), (1, near)]))["cpm"] == pytest.approx(1.0)
+    one = summary(gt, pred_frame(spark, [(0, far), (1, near), (2, -far), (2, far)]))
+    assert one["ceiling"] == pytest.approx(1 / 3) and one["fp_at_ceiling"] == pytest.approx(3 / 3)
+    assert set(one["key_recall"]) == set(KEY_FP)
+    lost = summary(gt, pred_frame(spark, [(1, far), (2, far)]))
+    assert lost["ceiling"] == pytest.approx(0.0, abs=1e-6)
+    often = summary(gt, pred_frame(spark, [(2, near), (2, 0.25), (2, 1.5), (1, 2.0)]))  # further hits of a lesion are neither TP nor FP
+    assert often["ceiling"] == pytest.approx(2 / 3) and often["fp_at_ceiling"] == pytest.approx(0.0, abs=1e-6)
 
 
 def test_threshold_bins_are_exact(spark):
@@ -70,13 +72,18 @@ def test_fixture_reference_values(spark):
 
 
 def test_select_epoch(spark):
-    rows = [(4, 0.47, 0.80), (6, 0.4779, 0.833), (8, float("nan"), 0.9), (10, 0.4798, 0.70), (1, 0.9, 1.0)]
+    rows = [(2, 0.97, 0.99), (5, 0.60, 0.91), (7, 0.631, 0.62), (9, float("nan"), 0.95), (12, 0.64, 0.55), (14, 0.625, 0.62)]
     df = spark.createDataFrame(rows, "epoch long, cpm double, ceiling double")
-    assert R.select_epoch(df, 3, 0.02).first()["epoch"] == 6
-    assert R.select_epoch(df.drop("ceiling"), 3).first()["epoch"] == 10
+    assert R.select_epoch(df, 3, 0.03).first()["epoch"] == 7       # 5 is too far below, 14 ties with 7 and is later
+    assert R.select_epoch(df, 3, 0.05).first()["epoch"] == 5
+    assert R.select_epoch(df.drop("ceiling"), 3).first()["epoch"] == 12
     nan = df.withColumn("cpm", F.lit(float("nan")))
-    assert R.select_epoch(nan, 3, 0.02).first()["epoch"] == 10
-    assert R.selection_stability(df, 3, 2).first()["spread"] == pytest.approx(0.4798 - 0.4779)
+    assert R.select_epoch(nan, 3, 0.03).first()["epoch"] == 14
+    assert R.selection_stability(df, 3, 2).first()["spread"] == pytest.approx(0.64 - 0.631)
+    two = df.withColumn("run", F.lit(1)).unionByName(df.where("epoch < 3").withColumn("run", F.lit(2)))
+    for late in (R.select_epoch(df, 15), R.select_epoch(df.limit(0), 3), R.select_epoch(two, 3, by=["run"])):
+        with pytest.raises(Exception, match="no epoch from"):
+            late.collect()
 
 
 def test_monotonicity_and_operating_point(spark):

@@ -84,11 +84,13 @@ def select_epoch(df: DataFrame, min_epoch: int = C.SELECT_MIN_EPOCH, tol: float
     """One epoch per group of ``epoch, cpm[, ceiling]`` rows.
 
     With a ceiling and ``tol > 0``: within ``tol`` of the best CPM, the highest ceiling, then the
-    earliest epoch. Otherwise the best CPM, then the latest. All-undefined CPM: the latest epoch.
+    earliest epoch. Otherwise the best CPM, then the latest. All-undefined CPM: the latest epoch. A group with no
+    epoch from ``min_epoch`` on is an error.
     """
     keys = list(by)
-    d = df.where(F.col("epoch") >= min_epoch).withColumn("cpm", _usable("cpm"))
-    best = d.groupBy(*keys).agg(F.max("cpm").alias("_best"), F.max("epoch").alias("_last"))
+    counts = F.col("epoch") >= min_epoch
+    d = df.withColumns({"cpm": F.when(counts, _usable("cpm")), "_counts": counts})
+    best = d.groupBy(*keys).agg(F.max("cpm").alias("_best"), F.max(F.when(F.col("_counts"), F.col("epoch"))).alias("_last"))
     j = d.join(best, keys) if keys else P.attach(d, best)
     if "ceiling" in df.columns and tol > 0:
         ceil = F.coalesce(_usable("ceiling"), F.lit(float("-inf")))
@@ -96,7 +98,8 @@ def select_epoch(df: DataFrame, min_epoch: int = C.SELECT_MIN_EPOCH, tol: float
         chosen = -pick["e"]
     else:
         chosen = F.max(F.when(F.col("cpm").isNotNull(), F.struct("cpm", F.col("epoch").alias("e"))))["e"]
-    return j.groupBy(*keys).agg(F.coalesce(chosen, F.max("_last")).cast("long").alias("epoch"))
+    none = F.raise_error(F.lit(f"no epoch from {min_epoch} on to choose from")).cast("long")
+    return j.groupBy(*keys).agg(F.coalesce(chosen.cast("long"), F.max("_last").cast("long"), none).alias("epoch"))
 
 
 def selection_stability(df: DataFrame, min_epoch: int = C.SELECT_MIN_EPOCH, k: int = 3, by=()) -> DataFrame:
