@@ -296,6 +296,26 @@ def test_nearest_rows(spark):
     assert got == sorted(want)
 
 
+def test_lone_points_meet_dense_places_by_cells(spark):
+    """Few points far from a dense blob: distances are right, and the pairs met do not grow with the blob."""
+    rng = random.Random(23)
+    lone = [(rng.uniform(50, 900), rng.uniform(50, 900)) for _ in range(60)]
+    met = []
+    for n in (500, 4000):
+        pts = [(rng.uniform(0, 2), rng.uniform(0, 2)) for _ in range(n)] + lone
+        df = spark.createDataFrame([(0, i, *p) for i, p in enumerate(pts)], "g long, i long, x double, y double")
+        report = []
+        got = {r["i"]: r["nn_dist"] for r in GR.nearest_neighbour(df, ["g"], "i", ("x", "y"), report=report).collect()}
+        near = lambda a, i: min(((a[0] - b[0]) ** 2 + (a[1] - b[1]) ** 2) ** 0.5 for j, b in enumerate(pts) if j != i)
+        assert len(got) == len(pts) and all(got[i] == pytest.approx(near(pts[i], i)) for i in [*range(0, n, n // 50), *range(n, len(pts))])
+        q = spark.createDataFrame([(0, i, *p) for i, p in enumerate(lone)], "g long, q long, x double, y double")
+        rows = GR.nearest_rows(q, df.withColumnRenamed("i", "t"), ["g"], ["q"], ["t"], 3, ("x", "y")).collect()
+        want = {(i, j) for i, a in enumerate(lone) for _, j in sorted(((a[0] - b[0]) ** 2 + (a[1] - b[1]) ** 2, j) for j, b in enumerate(pts))[:3]}
+        assert {(r["q"], r["t"]) for r in rows} == want
+        met.append(sum(report) / len(report) / len(pts))
+    assert met[1] < met[0] and max(met) < 40
+
+
 def test_one_hot_slice(spark):
     """One slice holds nearly all boxes, all stacked: suppression and matching stay exact and linear."""
     rng = random.Random(17)

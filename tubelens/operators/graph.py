@@ -224,100 +224,124 @@ def _finite_only(df: DataFrame, cols) -> DataFrame:
 LEAST_SIDE = 2.0 ** -40  # of the widest extent; closer places share a cell
 
 
+def _first_side(spots: DataFrame, keys, cols, widest: float, n: int, per_cell: int) -> float:
+    """A side at which no cell holds more than ``per_cell`` distinct places (or a very small one)."""
+    cc = [f"_c{i}" for i in range(len(cols))]
+    side = widest / max(n ** (1.0 / len(cols)), 1.0)
+    while side > widest * LEAST_SIDE:
+        crowd = spots.withColumns({k: S.cell_of(F.col(c), side) for c, k in zip(cols, cc)}).groupBy(*keys, *cc).count()
+        if (crowd.agg(F.max("count")).first()[0] or 0) <= per_cell:
+            break
+        side /= 2.0
+    return side
+
+
+def _around(queries: DataFrame, targets: DataFrame, keys, cols, side: float) -> DataFrame:
+    """Queries (``a_*``) with the targets (``b_*``) in their own and the neighbouring cells, and the distance."""
+    cc = [f"_c{i}" for i in range(len(cols))]
+    celled = lambda d: d.withColumns({k: S.cell_of(F.col(c), side) for c, k in zip(cols, cc)})
+    offsets = F.explode(F.array(*[F.struct(*[F.lit(v).alias(f"o{i}") for i, v in enumerate(o)]) for o in itertools.product((-1, 0, 1), repeat=len(cols))]))
+    q = S.prefixed(celled(queries).withColumn("_o", offsets), "a_", keys)
+    q = q.withColumns({k: F.col("a_" + k) + F.col(f"a__o.o{i}") for i, k in enumerate(cc)})
+    return q.join(S.prefixed(celled(targets), "b_", keys + cc), keys + cc).withColumn("dist", _distance(cols))
+
+
+def _descend(queries: DataFrame, targets: DataFrame, keys, q_id, cols, k: int, side: float, widest: float, report: Optional[list] = None) -> DataFrame:
+    """Queries with every target that can be among their ``k`` nearest: ``keys, a_*, b_*, dist``.
+
+    Cells of side ``side`` are gathered into cells of twice the side until one or two span each axis. From there queries walk down
+    all at once: a cell is kept if it begins no further away than the k-th target must end, by the boxes and counts of
+    the cells met. So a query far from everything meets a few coarse cells of a dense place, and points only where they count.
+    """
+    cc = [f"_c{i}" for i in range(len(cols))]
+    base = targets.withColumns({n: S.cell_of(F.col(c), side) for c, n in zip(cols, cc)})
+    levels = [materialize(base.groupBy(*keys, *cc).agg(F.count(F.lit(1)).alias("_n"), *_tight(cols)))]
+    size = side
+    while size < 2.0 * widest:
+        up = levels[-1].withColumns({n: F.floor(F.col(n) / 2.0) for n in cc}).groupBy(*keys, *cc).agg(
+            F.sum("_n").alias("_n"), *[f(f"{n}_{c}").alias(f"{n}_{c}") for c in cols for f, n in ((F.min, "lo"), (F.max, "hi"))])
+        levels.append(materialize(up))
+        size *= 2.0
+    q = S.prefixed(queries.select(*keys, *q_id, *cols), "a_", keys)
+    names = [*keys, *dict.fromkeys("a_" + c for c in [*q_id, *cols])]
+    by_far = Window.partitionBy(*names).orderBy("_far", *cc).rowsBetween(Window.unboundedPreceding, 0)
+    of_query = Window.partitionBy(*names)
+    met = None
+    for level in reversed(levels):
+        if met is None:
+            pairs = q.join(level, keys)
+        else:
+            kids = level.withColumns({f"_up{n}": F.floor(F.col(n) / 2.0) for n in cc})
+            pairs = met.withColumnsRenamed({n: f"_up{n}" for n in cc}).join(kids, keys + [f"_up{n}" for n in cc]).drop(*[f"_up{n}" for n in cc])
+        near2 = far2 = F.lit(0.0)
+        for c in cols:
+            x, lo, hi = F.col("a_" + c), F.col("lo_" + c), F.col("hi_" + c)
+            gap, wide = F.greatest(lo - x, x - hi, F.lit(0.0)), F.greatest(hi - x, x - lo)
+            near2, far2 = near2 + gap * gap, far2 + wide * wide
+        pairs = pairs.withColumns({"_near": F.sqrt(near2), "_far": F.sqrt(far2)}).withColumn("_sum", F.sum("_n").over(by_far))
+        enough = F.coalesce(F.min(F.when(F.col("_sum") >= k, F.col("_far"))).over(of_query), F.lit(float("inf")))
+        met = materialize(pairs.withColumn("_enough", enough).where(F.col("_near") <= F.col("_enough")).select(*names, *cc))
+        if report is not None:
+            report.append(met.count())
+    return met.join(S.prefixed(base, "b_", keys + cc), keys + cc).withColumn("dist", _distance(cols))
+
+
 def nearest_neighbour(df: DataFrame, by: list[str], row_id: str = "cand_seq",
-                      cols=("cen_d0", "cen_d1", "cen_d2"), per_cell: int = 32) -> DataFrame:
+                      cols=("cen_d0", "cen_d1", "cen_d2"), per_cell: int = 32, report: Optional[list] = None) -> DataFrame:
     """``by..., row_id, nn_dist``: distance to the nearest other row of the group.
 
-    Equal points are settled by a group-by. The rest search the cells around them; a neighbour
-    found within the cell side is final, the others search again with twice the side. The
-    first side is small enough that no cell holds many points. Groups of one give no row, nor do rows
-    with a coordinate that is NULL, NaN or infinite.
+    Equal points are settled by a group-by. The rest look into the cells around them, whose side is small enough that no cell
+    holds many points; a neighbour found within the side is final. Those without one walk down from coarse cells
+    (``_descend``). Groups of one give no row, nor do rows with a coordinate that is NULL, NaN or infinite.
     """
-    cc = [f"_c{i}" for i in range(len(cols))]
+    cols = list(cols)
     pts = materialize(_finite_only(df.select(*by, row_id, *[F.col(c).cast("double").alias(c) for c in cols]), cols))
     places = materialize(pts.groupBy(*by, *cols).agg(F.count(F.lit(1)).alias("_n")))
     found = [places.where("_n > 1").select(*by, *cols, F.lit(0.0).alias("nn_dist"))]
-    todo = places.where("_n = 1").drop("_n")
-    spots = places.drop("_n")
+    todo, spots = places.where("_n = 1").drop("_n"), places.drop("_n")
     ext = spots.agg(*[f(c).alias(n + c) for c in cols for f, n in ((F.min, "lo_"), (F.max, "hi_"))],
                     F.count(F.lit(1)).alias("n")).first()
     if not ext["n"]:
         return pts.select(*by, row_id, F.lit(None).cast("double").alias("nn_dist"))
     widest = max(max(ext["hi_" + c] - ext["lo_" + c] for c in cols), 1e-9)
-    side = widest / max(ext["n"] ** (1.0 / len(cols)), 1.0)
-
-    def celled(d, size):
-        return d.withColumns({k: S.cell_of(F.col(c), size) for c, k in zip(cols, cc)})
-
-    while side > widest * LEAST_SIDE and celled(spots, side).groupBy(*by, *cc).count().agg(F.max("count")).first()[0] > per_cell:
-        side /= 2.0
-    around = F.explode(F.array(*[F.struct(*[F.lit(v).alias(f"o{i}") for i, v in enumerate(o)])
-                                 for o in itertools.product((-1, 0, 1), repeat=len(cols))]))
-    while True:
-        q = S.prefixed(celled(todo, side).withColumn("_o", around), "a_", by)
-        q = q.withColumns({k: F.col("a_" + k) + F.col(f"a__o.o{i}") for i, k in enumerate(cc)})
-        t = S.prefixed(celled(spots, side), "b_", by + cc)
-        same = F.lit(True)
-        for c in cols:
-            same = same & (F.col("a_" + c) == F.col("b_" + c))
-        best = (q.join(t, by + cc).where(~same).withColumn("nn_dist", _distance(cols))
-                .groupBy(*by, *[F.col("a_" + c).alias(c) for c in cols]).agg(F.min("nn_dist").alias("nn_dist")))
-        hit = materialize(best.where(F.col("nn_dist") <= side))
-        found.append(hit)
-        todo = materialize(todo.join(hit, by + list(cols), "left_anti"))
-        if todo.isEmpty() or side > 2.0 * widest:
-            break
-        side *= 2.0
-    return pts.join(union_all(found), by + list(cols)).select(*by, row_id, "nn_dist")
+    side = _first_side(spots, by, cols, widest, ext["n"], per_cell)
+    same = F.lit(True)
+    for c in cols:
+        same = same & (F.col("a_" + c) == F.col("b_" + c))
+    least = lambda pairs: pairs.where(~same).groupBy(*by, *[F.col("a_" + c).alias(c) for c in cols]).agg(F.min("dist").alias("nn_dist"))
+    hit = materialize(least(_around(todo, spots, by, cols, side)).where(F.col("nn_dist") <= side))
+    todo = materialize(todo.join(hit, by + cols, "left_anti"))
+    found.append(hit)
+    if not todo.isEmpty():  # the place itself is the nearest of two
+        found.append(least(_descend(todo, spots, by, [], cols, 2, side, widest, report)))
+    return pts.join(union_all(found), by + cols).select(*by, row_id, "nn_dist")
 
 
 def nearest_rows(queries: DataFrame, targets: DataFrame, keys: list[str], q_id: list[str], t_id: list[str], k: int,
-                 cols=("cx", "cy"), per_cell: int = 64) -> DataFrame:
+                 cols=("cx", "cy"), per_cell: int = 64, report: Optional[list] = None) -> DataFrame:
     """The ``k`` nearest targets of each query with equal ``keys``: ``keys, q_id, t_id, dist``.
 
-    Ties go to the smaller ``t_id``. Queries search the cells around them; one that has ``k``
-    targets within the cell side is done, the others search again with twice the side, so far
-    pairs are never formed. Queries with fewer than ``k`` targets keep all of them. Rows with a coordinate
-    that is NULL, NaN or infinite take no part.
+    Ties go to the smaller ``t_id``. Queries look into the cells around them; one that has ``k`` targets within the cell side is
+    done, the others walk down from coarse cells (``_descend``), so far pairs are never formed. Queries with fewer than ``k`` targets
+    keep all of them. Rows with a coordinate that is NULL, NaN or infinite take no part.
     """
-    cc = [f"_c{i}" for i in range(len(cols))]
+    cols = list(cols)
     targets = materialize(_finite_only(targets.select(*keys, *t_id, *[F.col(c).cast("double").alias(c) for c in cols]), cols))
     todo = materialize(_finite_only(queries.select(*keys, *q_id, *[F.col(c).cast("double").alias(c) for c in cols]), cols))
     span = targets.select(*cols).union(todo.select(*cols)).agg(
         *[(F.max(c) - F.min(c)).alias(c) for c in cols], F.count(F.lit(1)).alias("n")).first()
     widest = max([span[c] or 0.0 for c in cols] + [1e-9])
-    side = widest / max(span["n"] ** (1.0 / len(cols)), 1.0)
-
-    def celled(d, size):
-        return d.withColumns({n: S.cell_of(F.col(c), size) for c, n in zip(cols, cc)})
-
-    # shrink the first side while distinct places crowd a cell
-    spots = materialize(targets.select(*keys, *cols).distinct())
-    while side > widest * LEAST_SIDE and (celled(spots, side).groupBy(*keys, *cc).count().agg(F.max("count")).first()[0] or 0) > per_cell:
-        side /= 2.0
-    around = F.explode(F.array(*[F.struct(*[F.lit(v).alias(f"o{i}") for i, v in enumerate(o)])
-                                 for o in itertools.product((-1, 0, 1), repeat=len(cols))]))
+    side = _first_side(materialize(targets.select(*keys, *cols).distinct()), keys, cols, widest, span["n"], per_cell)
     names = [f"a_{c}" for c in q_id]
     w = Window.partitionBy(*keys, *names).orderBy("dist", *[f"b_{c}" for c in t_id])
-    found = []
-    while True:
-        last = side > 2.0 * widest
-        q = S.prefixed(celled(todo, side).withColumn("_o", around), "a_", keys)
-        q = q.withColumns({n: F.col("a_" + n) + F.col(f"a__o.o{i}") for i, n in enumerate(cc)})
-        near = (q.join(S.prefixed(celled(targets, side), "b_", keys + cc), keys + cc).withColumn("dist", _distance(cols))
-                .withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k))
-        if not last:
-            full = F.count_if(F.col("dist") <= side).over(Window.partitionBy(*keys, *names)) >= k
-            near = near.withColumn("_full", full).where("_full")
-        hit = materialize(near.select(*keys, *[F.col("a_" + c).alias(c) for c in q_id], *[F.col("b_" + c).alias(c) for c in t_id], "dist"))
-        found.append(hit)
-        if last:
-            break
-        todo = materialize(todo.join(hit.select(*keys, *q_id).distinct(), keys + q_id, "left_anti"))
-        if todo.isEmpty():
-            break
-        side *= 2.0
-    return union_all(found)
+    out = [*keys, *[F.col("a_" + c).alias(c) for c in q_id], *[F.col("b_" + c).alias(c) for c in t_id], "dist"]
+    top = lambda pairs: pairs.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
+    full = F.count_if(F.col("dist") <= side).over(Window.partitionBy(*keys, *names)) >= k
+    hit = materialize(top(_around(todo, targets, keys, cols, side)).withColumn("_full", full).where("_full").select(*out))
+    todo = materialize(todo.join(hit.select(*keys, *q_id).distinct(), keys + q_id, "left_anti"))
+    if todo.isEmpty():
+        return hit
+    return hit.unionByName(top(_descend(todo, targets, keys, q_id, cols, k, side, widest, report)).select(*out))
 
 
 # ---------------------------------------------------------------- masks
