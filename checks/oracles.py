@@ -300,7 +300,7 @@ add("j9", """select *, greatest(d_coordX, d_coordY, d_coordZ, d_x_length, d_y_le
   select g.public_id, abs((i.min_d2+i.max_d2)/2.0::double-g.coordX) d_coordX, abs((i.min_d1+i.max_d1)/2.0::double-g.coordY) d_coordY,
   abs((i.min_d0+i.max_d0)/2.0::double-g.coordZ) d_coordZ, abs(i.max_d2-i.min_d2-g.x_length) d_x_length,
   abs(i.max_d1-i.min_d1-g.y_length) d_y_length, abs(i.max_d0-i.min_d0-g.z_length) d_z_length
-  from gt_iso i join gt_boxes g on g.public_id=i.volume_id and g.label_id=1)""",
+  from gt_iso i join gt_boxes g on g.public_id=i.volume_id)""",
     "d_coordX d_coordY d_coordZ d_x_length d_y_length d_z_length max_diff")
 DIST = "sqrt((a.cen_d0-b.cen_d0)*(a.cen_d0-b.cen_d0)+(a.cen_d1-b.cen_d1)*(a.cen_d1-b.cen_d1)+(a.cen_d2-b.cen_d2)*(a.cen_d2-b.cen_d2))"
 add("j10", f"select a.cand_seq, min({DIST}) nn_dist from record a join record b on a.label=b.label and a.cand_seq<>b.cand_seq group by 1", "nn_dist")

@@ -378,7 +378,7 @@ def j8_train(fx):
 @query
 def j9(fx):
     box = _cols(_gt_iso(fx), B.storage_to_official(), F.col("volume_id").alias("public_id"))
-    return CT.box_residuals(box, fx.gt_boxes().where("label_id = 1"), BOX3)
+    return CT.box_residuals(box, fx.gt_boxes(), BOX3)
 
 
 @query

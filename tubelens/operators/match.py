@@ -136,18 +136,23 @@ def footprint_fire(det: DataFrame, gt_iso: DataFrame) -> DataFrame:
 
 def annotate_slices(det: DataFrame, gt: DataFrame, k: int = 5) -> DataFrame:
     """Per detection: IoU to its slice's enclosing ground-truth box, whether it is the slice's
-    best one, and whether it is among the slice's ``k`` highest scores."""
+    best one, and whether it is among the slice's ``k`` highest scores.
+
+    A slice has one enclosing box, so the IoU is a column of the join by slice. The best row and the k-th score are
+    aggregates of the slice and come back by slice too: detections are shuffled once, and a slice with very many of them is
+    never sorted in one task."""
     box = gt.groupBy(*SLICE).agg(F.min("r0").alias("r0"), F.min("c0").alias("c0"), F.max("r1").alias("r1"),
                                  F.max("c1").alias("c1"))
-    d = det.select(*SLICE, "det_id", *B.XYXY, "score")
-    hits = S.slice_pairs(d, B.to_half_open(box)).select(F.col("a_det_id").alias("det_id"), "iou")
-    top = cap_per_slice(d, k).select("det_id").withColumn("in_top", F.lit(True))
-    out = (d.join(box.select(*SLICE, F.lit(True).alias("_has")), SLICE, "left").join(hits, "det_id", "left")
-           .withColumn("iou", F.coalesce("iou", F.lit(0.0))).join(top, "det_id", "left"))
-    best = out.where(F.col("_has")).groupBy(*SLICE).agg(F.min(F.struct((-F.col("iou")).alias("o"), "det_id")).alias("_b"))
-    return out.join(best, SLICE, "left").select(
+    gt_box = B.to_half_open(box).select(*SLICE, *[F.col(c).alias("b_" + c) for c in B.XYXY])
+    d = det.select(*SLICE, "det_id", *[F.col(c).alias("a_" + c) for c in B.XYXY], "score")
+    place = F.struct(F.col("score").isNull().alias("none"), (-F.col("score")).alias("s"), "det_id")
+    out = d.join(gt_box, SLICE, "left").select(
+        *SLICE, "det_id", "score", F.col("b_x1").isNotNull().alias("_has"), F.coalesce(B.iou_2d(), F.lit(0.0)).alias("iou"))
+    best = out.where("_has").groupBy(*SLICE).agg(F.min(F.struct((-F.col("iou")).alias("o"), "det_id")).alias("_b"))
+    last = cap_per_slice(d, k).groupBy(*SLICE).agg(F.max(place).alias("_last"))
+    return out.join(best, SLICE, "left").join(last, SLICE, "left").select(
         *SLICE, "det_id", "iou", F.coalesce(F.col("_b.det_id") == F.col("det_id"), F.lit(False)).alias("is_best"),
-        F.coalesce("in_top", F.lit(False)).alias("in_top"))
+        F.coalesce(place <= F.col("_last"), F.lit(False)).alias("in_top"))
 
 
 def cap_per_slice(det: DataFrame, k: int) -> DataFrame:
