@@ -370,7 +370,7 @@ def _run_ids(runs: DataFrame, line: list[str]) -> DataFrame:
 
 def _run_components(runs: DataFrame, keys: list[str], line: list[str]) -> DataFrame:
     """Add ``comp`` to runs; runs on adjacent lines touch when their spans meet within one cell."""
-    runs = materialize(_run_ids(runs, line))
+    runs = _run_ids(materialize(runs), line)
     forward = [o for o in itertools.product((-1, 0, 1), repeat=len(line)) if o > (0,) * len(line)]
     off = F.explode(F.array(*[F.struct(*[F.lit(v).alias(f"o{i}") for i, v in enumerate(o)]) for o in forward]))
     a = S.prefixed(runs.withColumn("_o", off), "a_", keys)
