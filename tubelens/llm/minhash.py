@@ -8,11 +8,11 @@ ROWS coordinates make a band: two sets of similarity 0.8 share none of the BANDS
 Texts with equal sets form one class, and only classes go on. Links are needed up to connectivity:
 
 1. every class is compared with the class it shares most bands with among the first ones of its bands;
-2. after components are known, bands that still hold several components are searched for pairs across them, in blocks
+2. after components are known, bands that still hold several components are searched for links across them, in blocks
    of bounded size (members outside the band's main component x all members). Two sets whose parity bits (the parity of the number
-   of elements per hash class) differ in more than (n1 + n2) / 9 places differ in more elements still, so they can't reach 0.8; this exact
-   bound leaves few pairs. Of these each class is verified with its likeliest partner of every other
-   component first, then all pairs that are still across components.
+   of elements per hash class) differ in more than (n1 + n2) / 9 places differ in more elements still, so they can't reach 0.8. Members
+   without a partner under this exact bound leave; the texts of the others come to their blocks, which compare full sets, a pair in the first
+   band it shares, skip what the block has already connected and return a spanning forest: fewer links than members, never pairs.
 
 Links inside a component change nothing, so nothing is lost and a group of copies never emits its pairs.
 
@@ -35,6 +35,7 @@ from tubelens.operators.graph import star_components
 BANDS, ROWS = 40, 5
 T = BANDS * ROWS
 BLOCK = 512
+ELEMENTS = 1 << 20  # of one side of a block
 U = np.uint64
 _SIG = "n long, d1 long, d2 long, keys array<long>, parity binary"
 
@@ -136,13 +137,20 @@ def _packed(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", id_bit("doc_id").alias("bit")).mapInArrow(run, "node long, z binary")
 
 
-def packed_texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``node, z`` of the documents in ``pairs``."""
-    nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+def packed_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, z`` of the documents in ``nodes`` (node, each once)."""
     rows = _packed(docs.where("doc_id is not null and text is not null"), nodes)
     return stored(rows.join(nodes, "node").dropDuplicates(["node"]), "texts")
 
 
+def unpacked_sets(d: zstandard.ZstdDecompressor, zs: list[bytes], k: int):
+    """``(from, to, elements, first, count)`` for stretches of texts; sizes are read first, so one stretch is unpacked at a time."""
+    at = np.concatenate([[0], np.cumsum([zstandard.frame_content_size(z) for z in zs])]).astype(np.int64)
+    for i, j in pieces(at):
+        buf = np.frombuffer(b"".join([d.decompress(z) for z in zs[i:j]]), dtype=np.uint8)
+        yield i, j, *shingle_sets(Words(buf, at[i:j + 1] - at[i], lower=True), k)
+
+
 def verified(texts: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """Those of ``u, v`` whose full sets reach the similarity.
 
@@ -162,12 +170,8 @@ def verified(texts: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFr
         own = key = None
         for b in batches:
             us, ss, vs, zs = (b.column(c).to_pylist() for c in ("u", "_s", "v", "z"))
-            raw = [d.decompress(z) for z in zs]
-            at = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
             hu, hv = [], []
-            for i, j in pieces(at):
-                buf = np.frombuffer(b"".join(raw[i:j]), dtype=np.uint8)
-                h, first, count = shingle_sets(Words(buf, at[i:j + 1] - at[i], lower=True), k)
+            for i, j, h, first, count in unpacked_sets(d, zs, k):
                 for r in range(i, j):
                     x = h[first[r - i]:first[r - i] + count[r - i]]
                     if vs[r] is None:
@@ -182,81 +186,170 @@ def verified(texts: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFr
     return rows.mapInArrow(run, "u long, v long")
 
 
+def _fold(x: np.ndarray, bits: int) -> np.ndarray:
+    while x.shape[1] > bits:
+        x = x[:, :x.shape[1] // 2] ^ x[:, x.shape[1] // 2:]
+    return x
+
+
+def possible(g: dict, split: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(left, right, d)`` of a block's pairs across components that size and parity bits don't rule out.
+
+    Members before ``split`` are the left ones. Of two members that are both outside the main component the smaller node is left.
+    """
+    node, comp, n, free, par = (g[c] for c in ("node", "comp", "n", "free", "parity"))
+    size = np.array([len(p) for p in par])
+    out = [np.zeros((3, 0), np.int64)]
+    for m in np.unique(size[:split]):
+        left = np.flatnonzero(size[:split] == m)
+        for o in (m // 2, m, m * 2):
+            right = np.flatnonzero(size[split:] == o) + split
+            if not len(right):
+                continue
+            bits = min(m, o) // 8  # as 64-bit numbers
+            x = _fold(np.frombuffer(b"".join([par[i] for i in left]), dtype=U).reshape(len(left), -1), bits)
+            y = _fold(np.frombuffer(b"".join([par[i] for i in right]), dtype=U).reshape(len(right), -1), bits)
+            for i in range(0, len(left), 64):
+                p = left[i:i + 64]
+                a, b = n[p][:, None], n[right][None, :]
+                ok = (comp[p][:, None] != comp[right][None, :]) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
+                ok &= ~free[right][None, :] | (node[p][:, None] < node[right][None, :])
+                p, q = np.nonzero(ok)
+                d = np.bitwise_count(x[i + p] ^ y[q]).sum(1, dtype=np.int64)
+                # similarity >= j means at most (n1 + n2) (1 - j) / (1 + j) elements differ
+                few = d * (100 + percent) <= (n[left[i + p]] + n[right[q]]) * (100 - percent)
+                out.append(np.stack([left[i + p[few]], right[q[few]], d[few]]))
+    return tuple(np.concatenate(out, axis=1))
+
+
+def forest(g: dict, split: int, k: int, percent: int, d: zstandard.ZstdDecompressor) -> list[tuple[int, int]]:
+    """True links of a block that join its components, fewer than it has members."""
+    node, comp = g["node"], g["comp"]
+    left, right, _ = possible(g, split, percent)
+    keys = np.stack([np.asarray(x) for x in g["keys"]])
+    band = int(np.argmax(keys[0] == g["key"]))
+    here = np.ones(len(left), dtype=bool)
+    for i in range(0, len(left), 1 << 16):  # a pair belongs to the first band it shares
+        a, b = left[i:i + (1 << 16)], right[i:i + (1 << 16)]
+        here[i:i + (1 << 16)] = ~(keys[a, :band] == keys[b, :band]).any(1)
+    left, right = left[here], right[here]
+    if not len(left):
+        return []
+    used, back = np.unique(np.concatenate([left, right]), return_inverse=True)
+    left, right = back[:len(left)], back[len(left):]
+    sets, size = [], np.zeros(len(used), np.int64)
+    for i, j, h, _, count in unpacked_sets(d, [g["z"][x] for x in used], k):
+        sets.append(h)
+        size[i:j] = count
+    words, el = np.unique(np.concatenate(sets), return_inverse=True)
+    first = np.cumsum(size) - size
+    _, own = np.unique(comp[used], return_inverse=True)
+    root = list(range(len(used)))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    links, mark = [], np.zeros(len(words), dtype=bool)
+    order = np.lexsort((right, left))
+    left, right = left[order], right[order]
+    at = np.flatnonzero(np.concatenate([[True], left[1:] != left[:-1]]))
+    for i, j in zip(at.tolist(), np.append(at[1:], len(left)).tolist()):
+        x = int(left[i])
+        mine = el[first[x]:first[x] + size[x]]
+        mark[mine] = True
+        others = [y for y in right[i:j].tolist() if find(own[y]) != find(own[x])]
+        for o in range(0, len(others), 64):
+            ys = np.array(others[o:o + 64])
+            both = np.add.reduceat(mark[el[ranges(first[ys], size[ys])]].astype(np.int64), np.cumsum(size[ys]) - size[ys])
+            for y in ys[100 * both >= percent * (size[x] + size[ys] - both)].tolist():
+                a, b = find(own[x]), find(own[y])
+                if a != b:
+                    root[a] = b
+                    links.append((int(node[used[x]]), int(node[used[y]])))
+        mark[mine] = False
+    return links
+
+
+def by_block(batches, columns: list[str], work):
+    """``work(members, split)`` for each block of rows sorted by key, a, b, side; its results, batch by batch."""
+    def groups(t, last):
+        k = np.stack([t.column(c).to_numpy().astype(np.int64) for c in ("key", "a", "b")], 1)
+        starts = np.concatenate([[0], np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1])
+        ends = np.append(starts[1:], len(k))
+        held = None
+        if not last:  # the last block may go on in the next batch
+            held = t.slice(int(starts[-1]))
+            starts, ends = starts[:-1], ends[:-1]
+        found = []
+        for i, j in zip(starts.tolist(), ends.tolist()):
+            part = t.slice(i, j - i)
+            g = {c: part.column(c).to_pylist() if c in ("parity", "keys", "z") else part.column(c).to_numpy() for c in columns}
+            g.update(key=k[i, 0], a=k[i, 1], b=k[i, 2], side=part.column("side").to_numpy())
+            found.append(work(g, int((g["side"] == 0).sum())))
+        return found, held
+
+    held = None
+    for b in batches:
+        t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+        found, held = groups(t, last=False)
+        yield found
+    if held is not None and held.num_rows:
+        yield groups(held, last=True)[0]
+
+
 def crossing(rows: DataFrame, sig: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``u < v`` of different components that share a band and whose parity bits don't rule out the similarity.
+    """The members of blocks that have a possible partner there: ``key, a, b, side, free, node, comp``.
 
-    ``rows`` (key, node, comp), ``sig`` (node, n, parity). Returns u, v, cu, cv (components) and d (differing bits).
+    ``rows`` (key, node, n, comp), ``sig`` (node, n, parity). A block is a part of the members outside the band's main component (side 0)
+    and a part of all members (side 1), at most about BLOCK members and ELEMENTS elements each.
     """
-    per = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
-    per = per.groupBy("key").agg(F.sum("c").alias("all"), F.max(F.struct("c", F.col("comp").alias("m"))).alias("top"), F.count(F.lit(1)).alias("comps"))
-    per = per.where("comps > 1").select("key", F.col("top.m").alias("main"), F.ceil((F.col("all") - F.col("top.c")) / BLOCK).cast("int").alias("na"),
-                                        F.ceil(F.col("all") / BLOCK).cast("int").alias("nb"))
-    open_rows = stored(rows.join(per, "key"), "open")
+    per = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n"))
+    per = per.groupBy("key").agg(F.sum("c").alias("all"), F.sum("n").alias("n"), F.max(F.struct("c", "n", F.col("comp").alias("m"))).alias("top"), F.count(F.lit(1)).alias("comps"))
+    blocks = lambda c, n: F.greatest(F.ceil(c / BLOCK), F.ceil(n / ELEMENTS)).cast("int")
+    per = per.where("comps > 1").select("key", F.col("top.m").alias("main"), blocks(F.col("all") - F.col("top.c"), F.col("n") - F.col("top.n")).alias("na"),
+                                        blocks(F.col("all"), F.col("n")).alias("nb"))
+    open_rows = stored(rows.drop("n").join(per, "key"), "open")
     need = sig.join(open_rows.select("node").distinct(), "node", "left_semi")
-    full = open_rows.join(need, "node")
+    full = open_rows.join(need, "node").withColumn("free", F.col("comp") != F.col("main"))
     spread = F.xxhash64("node")
-    a = full.where("comp <> main").withColumn("a", F.pmod(spread, "na").cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    a = full.where("free").withColumn("a", F.pmod(spread, "na").cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     b = full.withColumn("b", F.pmod(spread, "nb").cast("int")).withColumn("a", F.explode(F.sequence(F.lit(0), F.col("na") - 1)))
-    cols = ["key", "a", "b", "side", "node", "comp", "n", "parity"]
+    cols = ["key", "a", "b", "side", "free", "node", "comp", "n", "parity"]
     both = a.withColumn("side", F.lit(0)).select(cols).unionByName(b.withColumn("side", F.lit(1)).select(cols))
     both = both.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "side")
 
-    def fold(x, bits):
-        while x.shape[1] > bits:
-            x = x[:, :x.shape[1] // 2] ^ x[:, x.shape[1] // 2:]
-        return x
-
-    def pairs(node, comp, n, par, split):
-        size = np.array([len(p) for p in par])
-        out = []
-        for m in np.unique(size[:split]):
-            left = np.flatnonzero(size[:split] == m)
-            for o in (m // 2, m, m * 2):
-                right = np.flatnonzero(size[split:] == o) + split
-                if not len(right):
-                    continue
-                bits = min(m, o) // 8  # as 64-bit numbers
-                x = fold(np.frombuffer(b"".join([par[i] for i in left]), dtype=U).reshape(len(left), -1), bits)
-                y = fold(np.frombuffer(b"".join([par[i] for i in right]), dtype=U).reshape(len(right), -1), bits)
-                for i in range(0, len(left), 64):
-                    p = left[i:i + 64]
-                    a, b = n[p][:, None], n[right][None, :]
-                    ok = (comp[p][:, None] != comp[right][None, :]) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
-                    p, q = np.nonzero(ok)
-                    d = np.bitwise_count(x[i + p] ^ y[q]).sum(1, dtype=np.int64)
-                    # similarity >= j means at most (n1 + n2) (1 - j) / (1 + j) elements differ
-                    few = d * (100 + percent) <= (n[left[i + p]] + n[right[q]]) * (100 - percent)
-                    p, q = left[i + p[few]], right[q[few]]
-                    swap = node[p] > node[q]
-                    p, q = np.where(swap, q, p), np.where(swap, p, q)
-                    out.append(np.stack([node[p], node[q], comp[p], comp[q], d[few]], 1))
-        return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 5), np.int64)
+    def members(g, split):
+        left, right, _ = possible(g, split, percent)
+        i = np.unique(np.concatenate([left, right]))
+        one = lambda c: np.full(len(i), g[c])
+        return [one("key"), one("a"), one("b"), g["side"][i], g["free"][i], g["node"][i], g["comp"][i]]
 
     def run(batches):
-        held = None
-        for b in batches:
-            t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
-            found, held = groups(t, last=False)
-            yield found
-        if held is not None and held.num_rows:
-            yield groups(held, last=True)[0]
+        names, kinds = cols[:7], [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64()]
+        for found in by_block(batches, ["free", "node", "comp", "n", "parity"], members):
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(zip(*found), kinds)], names)
+
+    return both.mapInArrow(run, "key long, a int, b int, side int, free boolean, node long, comp long")
 
-    def groups(t, last):
-        k = np.stack([t.column(c).to_numpy().astype(np.int64) for c in ("key", "a", "b")], 1)
-        cut = np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1
-        starts = np.concatenate([[0], cut])
-        ends = np.append(cut, len(k))
-        held = None
-        if not last:  # the last group may go on in the next batch
-            held = t.slice(int(starts[-1]))
-            starts, ends = starts[:-1], ends[:-1]
-        side, node, comp, n = (t.column(c).to_numpy() for c in ("side", "node", "comp", "n"))
-        par = t.column("parity").to_pylist()
-        found = [pairs(node[i:j], comp[i:j], n[i:j], par[i:j], int((side[i:j] == 0).sum())) for i, j in zip(starts, ends)]
-        found = np.concatenate(found) if found else np.zeros((0, 5), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(found[:, c].astype(np.int64)) for c in range(5)], ["u", "v", "cu", "cv", "d"]), held
 
-    return both.mapInArrow(run, "u long, v long, cu long, cv long, d long").distinct()
+def cross_links(members: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links ``u, v`` that join the components of each block of ``crossing``."""
+    nodes = members.select("node").distinct()
+    held = classes.select("node", "n", "parity", "keys").join(nodes, "node", "left_semi")
+    held = stored(held.join(packed_texts(docs, nodes), "node"), "members")
+    rows = members.join(held, "node").repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "side")
+
+    def run(batches):
+        d = zstandard.ZstdDecompressor()
+        for found in by_block(batches, ["free", "node", "comp", "n", "parity", "keys", "z"], lambda g, split: forest(g, split, k, percent, d)):
+            links = [x for block in found for x in block]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["u", "v"])
+
+    return rows.mapInArrow(run, "u long, v long")
 
 
 def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -266,30 +359,20 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "d
     linkable = sig.where("n > 0 and doc_id is not null")
     classes = stored(linkable.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("node"), F.any_value("keys").alias("keys"),
                                                            F.any_value("parity").alias("parity")), "classes")
-    exploded = classes.select("node", F.explode("keys").alias("key"))
+    exploded = classes.select("node", "n", F.explode("keys").alias("key"))
     shared = exploded.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("hub")).where("c > 1").select("key", "hub")
-    rows = stored(exploded.join(shared, "key").select("key", "node", "hub"), "bands")
+    rows = stored(exploded.join(shared, "key").select("key", "node", "n", "hub"), "bands")
     votes = rows.where("node <> hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     star = votes.groupBy("node").agg(F.max(F.struct("c", (-F.col("hub")).alias("h"))).alias("m"))
     star = stored(star.select((-F.col("m.h")).alias("u"), F.col("node").alias("v")), "star")
-    links = stored(verified(packed_texts(docs, star), star, k, percent), "links")
+    ends = star.select("u").unionByName(star.select(F.col("v").alias("u"))).distinct().withColumnRenamed("u", "node")
+    links = stored(verified(packed_texts(docs, ends), star, k, percent), "links")
     comp = star_components(links, [])
-    labelled = rows.select("key", "node").join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+    labelled = rows.select("key", "node", "n").join(comp, "node", "left").select("key", "node", "n", F.coalesce("comp", "node").alias("comp"))
     more = stored(crossing(labelled, classes.select("node", "n", "parity"), percent), "crossing")
     if not more.isEmpty():
-        texts = packed_texts(docs, more)
-        both = more.select("u", "v", F.col("u").alias("x"), F.col("cv").alias("c"), "d").unionByName(
-            more.select("u", "v", F.col("v").alias("x"), F.col("cu").alias("c"), "d"))
-        likely = both.groupBy("x", "c").agg(F.min(F.struct("d", "u", "v")).alias("m")).select("m.u", "m.v").distinct()
-        links = stored(links.unionByName(verified(texts, likely, k, percent)), "links")
+        links = stored(links.unionByName(cross_links(more, docs, classes, k, percent)), "links")
         comp = star_components(links, [])
-        rest = more.join(likely, ["u", "v"], "left_anti").select("u", "v")
-        for side in "uv":
-            rest = rest.join(comp.select(F.col("node").alias(side), F.col("comp").alias(f"c{side}")), side, "left")
-        rest = stored(rest.where("coalesce(cu, u) <> coalesce(cv, v)").select("u", "v"), "rest")
-        if not rest.isEmpty():
-            links = stored(links.unionByName(verified(texts, rest, k, percent)), "links")
-            comp = star_components(links, [])
     final = classes.select("n", "d1", "d2", "node").join(comp, "node", "left").select(
         "n", "d1", "d2", F.coalesce("comp", "node").alias("component_id"))
     out = sig.select("doc_id", "n", "d1", "d2").join(final, ["n", "d1", "d2"], "left")
