@@ -122,16 +122,17 @@ def viterbi(scores: np.ndarray, lo: np.ndarray, hi: np.ndarray, penalty: float)
     order = np.argsort(-n, kind="stable")
     lo, n = lo[order], n[order]
     total, langs = scores.shape
-    came = np.zeros((total, langs), dtype=np.uint8)
-    out = np.zeros(total, dtype=np.uint8)
+    kind = np.min_scalar_type(max(langs - 1, 0))
+    came = np.zeros((total, langs), dtype=kind)
+    out = np.zeros(total, dtype=kind)
     if not total:
         return out
     active = int(np.searchsorted(-n, 0, side="left"))
     cur = scores[lo[:active]].copy()
-    own = np.arange(langs, dtype=np.uint8)
+    own = np.arange(langs, dtype=kind)
     steps = int(n[0])
     ends = np.searchsorted(-n, -np.arange(steps), side="left")  # texts longer than t words
-    final = np.zeros(len(n), dtype=np.uint8)
+    final = np.zeros(len(n), dtype=kind)
     came[lo[:active]] = own
     best_end = np.zeros((len(n), langs), dtype=np.float32)
     best_end[:active] = cur
@@ -142,7 +143,7 @@ def viterbi(scores: np.ndarray, lo: np.ndarray, hi: np.ndarray, penalty: float)
         jump = cur[np.arange(k), top] - penalty
         stay = cur >= jump[:, None]
         at = lo[:k] + t
-        came[at] = np.where(stay, own, top[:, None].astype(np.uint8))
+        came[at] = np.where(stay, own, top[:, None].astype(kind))
         cur = np.where(stay, cur, jump[:, None]) + scores[at]
         best_end[:k] = cur
     final[:active] = best_end[:active].argmax(1)
