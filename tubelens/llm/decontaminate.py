@@ -20,6 +20,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tubelens.llm.common import documents, table
 from tubelens.llm.kernels import NOT_LETTER, Words, chunks, mix, ranges
@@ -184,7 +185,8 @@ def item_blocks(benchmark: DataFrame, block: int = ITEM_BLOCK):
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, item_id, start, similarity``: one row per text and item it holds; start counts words."""
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kinds = f"doc_id {dict(src.dtypes)['doc_id']}, item_id long, start long, similarity double"
+    kinds = f"doc_id {dict(src.dtypes)['doc_id']}, item_id {benchmark.schema['item_id'].dataType.simpleString()}, start long, similarity double"
+    item_type = to_arrow_type(benchmark.schema["item_id"].dataType)
     out = None
     for items in item_blocks(benchmark):
         box = docs.sparkSession.sparkContext.broadcast(items.by_length)
@@ -194,7 +196,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
             for b, buf, at in chunks(batches):
                 m = matches(it, Words(buf, at, lower=True, gap=GAP))
                 d, i, s, f = (list(x) for x in zip(*m)) if m else ([], [], [], [])
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(d, pa.int64())), pa.array(i, pa.int64()), pa.array(s, pa.int64()), pa.array(f, pa.float64())],
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(d, pa.int64())), pa.array(i, item_type), pa.array(s, pa.int64()), pa.array(f, pa.float64())],
                                                  ["doc_id", "item_id", "start", "similarity"])
 
         got = src.mapInArrow(run, kinds)
