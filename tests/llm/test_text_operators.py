@@ -455,3 +455,75 @@ def test_null_and_shared_ids(spark, run):
     assert len(rows) == 6
     again = [r for r in rows if r.doc_id == 1]
     assert len(again) == 3
+
+
+@pytest.mark.parametrize("block,elements", [(16, 1 << 20), (512, 400)], ids=["members", "elements"])
+def test_near_groups_around_the_threshold(spark, monkeypatch, block, elements):
+    """Many versions of one text, most pairs just around the similarity, split over many blocks: no link is lost."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "ELEMENTS", elements)
+    rnd = random.Random(11)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(160):
+        w = list(base)
+        for p in rnd.sample(range(120), rnd.randint(4, 7)):
+            w[p] = f"x{rnd.randint(0, 3)}"
+        texts.append(" ".join(w))
+    texts.append(" ".join(base * 3000))  # above the piece of 256 KB
+    want = near_by_force(texts, 2)
+    got = collect(minhash.near_groups(frame(spark, texts), 2))
+    assert len({r.component_id for r in got.values()}) > 3
+    assert [(got[i].n_shingles, got[i].component_id) for i in range(len(texts))] == want
+
+
+def test_forest_holds_fewer_links_than_members():
+    """Every member is left and right; the block's true links come back as a tree."""
+    rnd = random.Random(3)
+    base = [f"w{i}" for i in range(100)]
+    texts = [" ".join(base[:p] + ["other"] + base[p + 1:]) for p in rnd.sample(range(100), 40)]
+    sets = [set(zip(t.split(), t.split()[1:])) for t in texts]
+    import zstandard
+    h, first, count = [], [], []
+    for t in texts:
+        x, _, c = minhash.shingle_sets(minhash.Words(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]), lower=True), 2)
+        first.append(sum(count)), h.append(x), count.append(int(c[0]))
+    par = minhash.parities(np.concatenate(h), np.array(first), np.array(count))
+    both = 2 * list(range(40))  # all as left and as right members
+    g = {"node": np.array(both), "comp": np.array(both), "n": np.array(count)[both], "free": np.array(both) > 0, "key": 9,
+         "parity": [par[i] for i in both], "keys": [np.array([9, i]) for i in both],
+         "z": [zstandard.ZstdCompressor().compress(texts[i].encode()) for i in both]}
+    links = minhash.forest(g, 40, 2, 80, zstandard.ZstdDecompressor())
+    assert len(links) == 39
+    assert all(100 * len(sets[u] & sets[v]) >= 80 * len(sets[u] | sets[v]) for u, v in links)
+    g["keys"] = [np.array([5, 9]) for _ in both]  # an earlier band is shared: the pairs belong there
+    assert minhash.forest(g, 40, 2, 80, zstandard.ZstdDecompressor()) == []
+
+
+def test_decontamination_keeps_the_type_of_item_ids(spark):
+    item = " ".join(f"word{i}" for i in range(40))
+    bench = spark.createDataFrame([("q-1", item), ("q-2", item + " more")], "item_id string, text string")
+    got = decontaminate.leaks(frame(spark, ["nothing here", f"before {item} after"]), bench)
+    assert dict(got.dtypes)["item_id"] == "string"
+    assert sorted((r.doc_id, r.item_id) for r in got.collect()) == [(1, "q-1"), (1, "q-2")]
+
+
+def test_viterbi_of_many_labels():
+    scores = np.full((6, 70_000), -9.0, dtype=np.float32)
+    scores[:3, 280] = scores[3:, 69_999] = 5
+    got = langid.viterbi(scores, np.array([0]), np.array([6]), 2.0)
+    assert got.tolist() == [280] * 3 + [69_999] * 3
+
+
+def test_bpe_letters_are_those_of_the_library():
+    """Code points that a newer Unicode version assigns are no letters to the library."""
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(bpe.default_path())
+    enc = bpe.Encoder(bpe.Vocabulary.load(bpe.default_path()))
+    for c in [0x88F, 0x1C8A, 0x18D80, 0x191D2, 0x323B0, 0x33479, 0x41, 0x4E00, 0x660, *range(0xA0, 0xD800, 97), *range(0x10000, 0x33480, 97)]:
+        text = f"ab{chr(c)}cd {chr(c)}{chr(c)} 1{chr(c)}2"
+        assert np.frombuffer(enc.encode([text])[0], "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids, hex(c)
+    assert enc.odd  # a word that is known by now, beside a mark
+    text = "a \u088f!? \u088f"
+    assert np.frombuffer(enc.encode([text])[0], "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids

@@ -10,6 +10,7 @@ ids, like the tokenizers library does; repeated rows give repeated rows; other c
 """
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import unicodedata
@@ -105,38 +106,83 @@ def merge_rounds(v: Vocabulary, words: list[bytes]) -> list[np.ndarray]:
     return np.split(sym[order], np.cumsum(np.bincount(wid, minlength=len(words)))[:-1])
 
 
+def _ranges(at) -> str:
+    """Code points as ranges of a character set."""
+    at = np.array(sorted(at), dtype=np.int64)
+    first = np.flatnonzero(np.diff(at, prepend=-9) != 1)
+    last = np.append(first[1:], len(at)) - 1
+    return "".join(f"\\U{a:08x}-\\U{z:08x}" for a, z in zip(at[first].tolist(), at[last].tolist()))
+
+
+@functools.cache
+def foreign() -> tuple[str, str, dict[int, str]]:
+    """Where the library's Unicode version differs from that of ``regex`` and Python.
+
+    ``(no letters, rare, lower)``: what only ``regex`` counts as letters or digits, this with all letters of another
+    lower case (ranges of character sets), and that lower case.
+    """
+    from tokenizers import Regex, normalizers, pre_tokenizers
+
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    new = "".join(c for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn")
+    split = pre_tokenizers.Split(Regex(r"[\p{L}\p{N}]"), "removed").pre_tokenize_str(new)
+    none = {ord(c) for part, _ in split for c in part}
+    low = normalizers.Lowercase().normalize_str
+    lower = {ord(c): low(c) for c in new if low(c) != c.lower()}
+    return _ranges(none), _ranges(none | lower.keys()), lower
+
+
 class Encoder:
     """Normalise, split and encode texts; decode ids."""
 
     def __init__(self, v: Vocabulary):
         self.v, self.cache = v, {}
-        self.find = regex.compile(v.pattern).findall
+        self.find = self.find_without = regex.compile(v.pattern).findall
+        self.rare, self.odd = None, set()  # words with code points that the library doesn't know
+        none, rare, lower = foreign()
+        if rare:
+            self.rare = regex.compile(f"[{rare}]").search
+            less = v.pattern
+            for kind in (r"\p{L}", r"\p{N}"):
+                less = less.replace(kind, f"[{kind}--[{none}]]" if none else kind)
+            find = regex.compile(less, regex.V1).findall
+            self.find_without = lambda text: find(text.translate(lower))
         self.specials = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(v.special, key=len, reverse=True)) + ")") if v.special else None
         for s, i in v.special.items():
             assert i < len(v.tokens), s
         self.token = np.array(v.tokens, dtype=object)
 
-    def words(self, text: str) -> list[str]:
+    def words(self, text: str, find) -> list[str]:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # no final-sigma rule
-        return self.find(text.lower())
+        return find(text.lower())
 
-    def split(self, text: str) -> list:
+    def split(self, text: str, find=None) -> list:
         """Words, and ids of special tokens."""
+        find = find or self.find
         if self.specials is None or "<" not in text or not self.specials.search(text):
-            return self.words(text)
+            return self.words(text, find)
         out: list = []
         for part in self.specials.split(text):
-            out += [self.v.special[part]] if part in self.v.special else self.words(part)
+            out += [self.v.special[part]] if part in self.v.special else self.words(part, find)
         return out
 
+    def _note(self, words: list) -> None:
+        if self.rare:
+            self.odd.update(w for w in words if isinstance(w, str) and not w.isascii() and self.rare(w))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         parts = [self.split(t) for t in texts]
         if len(self.cache) > CACHE_WORDS:
-            self.cache = {}
+            self.cache, self.odd = {}, set()
         cache = self.cache
         new = [w for w in set().union(*parts) if w not in cache] if parts else []
+        self._note(new)
+        if self.odd:  # such texts are split again; all others only pay for their new words
+            parts = [p if self.odd.isdisjoint(p) else self.split(t, self.find_without) for p, t in zip(parts, texts)]
+            new = [w for w in set().union(*parts) if w not in cache]
+            self._note(new)
         for w in [w for w in new if isinstance(w, int)]:
             cache[w] = np.array([w], dtype="<u4").tobytes()
         new = [w for w in new if isinstance(w, str)]
