@@ -249,6 +249,35 @@ def test_substring_dedup_passage_twice_in_one_document(spark, hot, monkeypatch):
         assert (got[d].n_removed, got[d].kept_sha256) == (sum(gone[d]), sha(keep)), d
 
 
+@pytest.mark.parametrize("hot", [1000, 1])
+def test_repeats_among_many_near_copies(spark, hot, monkeypatch):
+    """Windows parted down to single ones (hot 1) give what whole surroundings give; one text is above a megabyte."""
+    monkeypatch.setattr(repeats, "HOT", hot)
+    rnd = random.Random(21)
+    say = lambda n: [f"{rnd.choice('abcdefgh')}{rnd.randint(0, 999)}" for _ in range(n)]
+    passage = say(150)
+    texts = []
+    for i in range(24):
+        copy = [x if rnd.random() > 0.01 else say(1)[0] for x in passage]
+        texts.append(" ".join(say(i % 3) + copy[rnd.randint(0, 40):150 - rnd.randint(0, 40)] + say(i % 4)))
+    texts[7] += " " + texts[7]
+    words, wide = list(texts), list(texts)
+    words.insert(9, " ".join(say(140_000) + passage + say(140_000)))
+    assert len(words[9]) > 1 << 20
+    got = collect(substring.dedup(frame(spark, words)))
+    units = [(i, t.split()) for i, t in enumerate(words)]
+    gone = by_force(units, 50, lambda p, f: f[0] < p[0])
+    assert sum(map(sum, gone.values())) > 500
+    for d, u in units:
+        keep = " ".join(x for x, g in zip(u, gone[d]) if not g)
+        assert (got[d].n_removed, got[d].kept_sha256) == (sum(gone[d]), sha(keep)), d
+    got = collect(bytedup.dedup(frame(spark, wide)))
+    units = [(i, t.encode()) for i, t in enumerate(wide)]
+    gone = by_force(units, 100, lambda p, f: f < p)
+    for d, u in units:
+        assert (got[d].n_removed, got[d].kept_sha256) == (sum(gone[d]), sha(bytes(c for c, x in zip(u, gone[d]) if not x))), d
+
+
 @pytest.mark.parametrize("hot", [1000, 4])
 def test_suffix_dedup(spark, texts, hot, monkeypatch):
     monkeypatch.setattr(repeats, "HOT", hot)

@@ -4,12 +4,16 @@ A unit is a word or a byte. Every window of ``window`` units picks one anchor, t
 windows pick equal anchors at equal offsets. Only anchors that occur more than once are followed up; the units
 around them decide which windows are repeated:
 
-* anchors with up to HOT occurrences: the surroundings of one anchor meet in one task (a rule per unit kind decides);
-* anchors above: whole surroundings, then blocks, then single windows of the distinct ones, are rows; Spark takes the first place of each
-  hash (with map-side partial aggregation) and joins it back, so a passage of any number of documents is split over tasks.
-
-Both ways give the same windows. An id names one document: of rows that share an id with different texts the one with the least text hash
-takes part, and exact copies of a text take part once, as the smallest id.
+* the surroundings of one anchor meet in one task (a rule per unit kind decides), when it has up to HOT places;
+* the windows of a more common anchor are parted into nodes by where the anchor stands in them: near their start, so that they share more of the
+  text on its right, or near their end. A node is keyed by all text that its windows must have in common, and of a surrounding it holds a
+  clip, the text of those windows. Equal clips are found by aggregation (map-side first) and only the first goes on; a node
+  with up to HOT distinct clips meets in one task under the same rule, a larger one is halved again.
+
+A surrounding gives two rows a step at most, in as many steps as halving a window takes; a difference between two
+copies lies in one clip outside its key a step. At the last step a clip is a single window, so nothing is left to meet.
+HOT decides how far windows are parted, not which of them are found. An id names one document: of rows that share an id with
+different texts the one with the least text hash takes part, and exact copies of a text take part once, as the smallest id.
 """
 from __future__ import annotations
 
@@ -22,10 +26,10 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from tubelens.llm.common import stored
-from tubelens.llm.kernels import Words, _BYTE, chunks, mix, prefix, ranges, rolling, span_hash, winnow
+from tubelens.llm.kernels import Words, _BYTE, chunks, mix, pieces, prefix, ranges, rolling, span_hash, winnow
 
 HOT = 1000
-BLOCK = 8
+UNPACK_BYTES = 1 << 24  # texts decompressed at a time, or one longer text
 U = np.uint64
 
 
@@ -101,12 +105,16 @@ def packed(docs: DataFrame) -> DataFrame:
 
 
 def unpack(batches):
-    """Batches with ``text`` bytes in place of ``z``."""
+    """Batches with ``text`` bytes in place of ``z``, UNPACK_BYTES at a time."""
     d = zstandard.ZstdDecompressor()
-    for b in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
-        text = pa.array([d.decompress(z) for z in b.column("z").to_pylist()], pa.large_binary())
+    for b in batches:
         names = [n for n in b.schema.names if n != "z"]
-        yield pa.RecordBatch.from_arrays([b.column(n) for n in names] + [text], names + ["text"])
+        zs = b.column("z").to_pylist()
+        at = np.concatenate([[0], np.cumsum([zstandard.frame_content_size(z) for z in zs], dtype=np.int64)])
+        for i, j in pieces(at, UNPACK_BYTES):
+            text = pa.array([d.decompress(z) for z in zs[i:j]], pa.large_binary())
+            part = b.slice(i, j - i)
+            yield pa.RecordBatch.from_arrays([part.column(n) for n in names] + [text], names + ["text"])
 
 
 def participants(docs: DataFrame) -> DataFrame:
@@ -131,9 +139,64 @@ def repeated(docs: DataFrame, kind: Kind, resolve: Callable, same_doc: bool) ->
     mine = rows.select("h", "doc_id").join(counts, "h").groupBy("doc_id").agg(
         F.collect_list("h").alias("hs"), F.collect_list(F.when(F.col("hot"), F.col("h"))).alias("hot"))  # of one document
     texts = stored(mine.join(packed(docs), "doc_id").join(part, ["doc_id", "th"], "left_semi"), "texts")
-    cold = _cold(texts, kind, resolve)
-    hot = _hot(texts, kind, same_doc)
-    return part, texts.select("doc_id", "th", "z"), cold.unionByName(hot)
+    copies, follow = _parted(texts.where(F.size("hot") > 0), kind, same_doc)
+    met = _met(texts.join(follow, "doc_id", "left"), kind, resolve, same_doc)
+    return part, texts.select("doc_id", "th", "z"), met.unionByName(copies)
+
+
+def places(kind: Kind, b: pa.RecordBatch, sym: np.ndarray, doc: np.ndarray, name: str, but: str | None = None):
+    """``(first window, number of windows, anchor place, anchor hash)`` of the places whose anchor is in list ``name``, not in ``but``."""
+    start, pos, h = anchored(kind, sym, doc)
+    ok = _member(b, name, doc[pos], h)
+    if but:
+        ok &= ~_member(b, but, doc[pos], h)
+    start, pos, h = start[ok], pos[ok], h[ok]
+    new = np.ones(len(pos), dtype=bool)
+    new[1:] = pos[1:] != pos[:-1]
+    i = np.flatnonzero(new)
+    return start[i], np.diff(np.append(i, len(pos))), pos[i], h[i]  # the windows of one place are consecutive
+
+
+def steps(kind: Kind) -> int:
+    """Halvings after which a node holds single windows."""
+    return (kind.w - 1).bit_length()
+
+
+def node_of(kind: Kind, off: np.ndarray, step: int) -> np.ndarray:
+    """Number of the node, of 2**step ones, for windows whose anchor stands ``off`` units after their start."""
+    return (off << step) // kind.w
+
+
+def parted(kind: Kind, lo: np.ndarray, n: np.ndarray, pos: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Clips (first window, number of windows, anchor place) of the nodes of a step that the windows fall into."""
+    if not step or not len(lo):
+        return lo, n, pos
+    start, row = ranges(lo, n), np.repeat(np.arange(len(lo)), n)
+    part = node_of(kind, pos[row] - start, step)
+    new = np.ones(len(row), dtype=bool)
+    new[1:] = (row[1:] != row[:-1]) | (part[1:] != part[:-1])
+    i = np.flatnonzero(new)
+    return start[i], np.diff(np.append(i, len(row))), pos[row[i]]
+
+
+def keys(kind: Kind, sym: np.ndarray, lo: np.ndarray, n: np.ndarray, pos: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(clip hash, node hash)``. A node's hash covers the text that all its windows have, whatever their place around the anchor."""
+    if not len(lo):
+        return np.zeros(0, U), np.zeros(0, U)
+    pre = prefix(sym)
+    part = node_of(kind, pos - lo, step)
+    least = -(-part * kind.w >> step)  # offsets of the anchor in the node's windows: the least and the one after the last
+    after = -(-(part + 1) * kind.w >> step)
+    with np.errstate(over="ignore"):
+        tag = mix(part.astype(U) + U(step + 1) * U(0xD1342543DE82EF95))
+        clip = mix(span_hash(pre, lo, lo + n - 1 + kind.window) + (pos - lo).astype(U) * U(0x9E3779B97F4A7C15) + n.astype(U) + tag)
+        return clip, mix(span_hash(pre, pos - least, pos + kind.window - after + 1) + tag)
+
+
+def once(doc: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The first place of each key in its document, in order."""
+    order, i, _ = counted(doc, key)
+    return np.sort(order[i])
 
 
 def _member(b: pa.RecordBatch, name: str, doc: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -147,33 +210,42 @@ def _member(b: pa.RecordBatch, name: str, doc: np.ndarray, h: np.ndarray) -> np.
         return np.isin(tag(doc.astype(U), h), tag(own, vals))
 
 
-def _cold(texts: DataFrame, kind: Kind, resolve: Callable) -> DataFrame:
-    """Surroundings of each anchor place to the anchor's task; ``resolve`` returns runs of repeated windows."""
+def _met(texts: DataFrame, kind: Kind, resolve: Callable, same_doc: bool) -> DataFrame:
+    """Surroundings and clips to their anchor's or node's task; ``resolve`` returns runs of repeated windows."""
+    def sets(b, sym, doc):
+        lo, n, pos, h = places(kind, b, sym, doc, "hs", "hot")
+        yield lo, n, pos, h
+        lo, n, pos, _ = places(kind, b, sym, doc, "hot")
+        for step in range(steps(kind)) if len(lo) else ():
+            l, m, p = parted(kind, lo, n, pos, step)
+            clip, node = keys(kind, sym, l, m, p, step)
+            ok = np.flatnonzero(_member(b, "clips", doc[l], clip))
+            if same_doc:  # the later places in a document went whole
+                ok = ok[once(doc[l[ok]], clip[ok])]
+            yield l[ok], m[ok], p[ok], node[ok]
+
     def cut(batches):
         for b, buf, at in chunks(unpack(batches)):
-            sym, doc, first, end, w = units(kind, buf, at)
-            start, pos, h = anchored(kind, sym, doc)
-            ok = _member(b, "hs", doc[pos], h) & ~_member(b, "hot", doc[pos], h)
-            start, pos, h = start[ok], pos[ok], h[ok]
-            if not len(pos):
+            sym, doc, first, _, w = units(kind, buf, at)
+            lo, n, pos, h = (np.concatenate(x) for x in zip(*sets(b, sym, doc)))
+            if not len(lo):
                 continue
-            new = np.ones(len(pos), dtype=bool)
-            new[1:] = pos[1:] != pos[:-1]
-            i = np.flatnonzero(new)
-            n = np.diff(np.append(i, len(pos)))
-            lo, hi = start[i], start[i] + n - 1 + kind.window  # the windows of one place are consecutive
+            hi = lo + n - 1 + kind.window
             if w is None:
                 a, z = lo, hi
             else:
                 a, z = w.start[lo], w.end[hi - 1]
-            off = np.concatenate([[0], np.cumsum(z - a)]).astype(np.int32)
-            data = buf[ranges(a, z - a)]
-            around = pa.BinaryArray.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(off.tobytes()), pa.py_buffer(data.tobytes())])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h[i].view(np.int64)), b.column("doc_id").take(pa.array(doc[pos[i]])), pa.array((lo - first[doc[pos[i]]]).astype(np.int64)),
-                 pa.array((pos[i] - lo).astype(np.int32)), pa.array(n.astype(np.int32)), around], ["h", "doc_id", "start", "anchor", "n", "around"])
-
-    rows = texts.select("doc_id", "z", "hs", "hot").mapInArrow(cut, "h long, doc_id long, start long, anchor int, n int, around binary")
+            size = np.concatenate([[0], np.cumsum(z - a)])
+            for i, j in pieces(size, UNPACK_BYTES):  # Arrow counts the bytes of a binary column in 31 bits
+                off = (size[i:j + 1] - size[i]).astype(np.int32)
+                data = buf[ranges(a[i:j], (z - a)[i:j])]
+                around = pa.BinaryArray.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(off.tobytes()), pa.py_buffer(data.tobytes())])
+                d = doc[lo[i:j]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h[i:j].view(np.int64)), b.column("doc_id").take(pa.array(d)), pa.array((lo[i:j] - first[d]).astype(np.int64)),
+                     pa.array((pos - lo)[i:j].astype(np.int32)), pa.array(n[i:j].astype(np.int32)), around], ["h", "doc_id", "start", "anchor", "n", "around"])
+
+    rows = texts.select("doc_id", "z", "hs", "hot", F.coalesce("clips", F.array().cast("array<long>")).alias("clips")).mapInArrow(cut, "h long, doc_id long, start long, anchor int, n int, around binary")
     rows = rows.repartition("h").sortWithinPartitions("h", "doc_id", "start")
 
     def run(batches):
@@ -211,80 +283,59 @@ def _cold(texts: DataFrame, kind: Kind, resolve: Callable) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, start long, n long").select("doc_id", F.array(F.struct("start", "n")).alias("runs"))
 
 
-def _hot(texts: DataFrame, kind: Kind, same_doc: bool) -> DataFrame:
-    """Very common anchors in three steps: whole surroundings, blocks of BLOCK windows, single windows.
+def _parted(hot: DataFrame, kind: Kind, same_doc: bool) -> tuple[DataFrame, DataFrame]:
+    """``(runs, clips)`` of very common anchors: windows that go with their whole clip, and (doc_id, clips) of the clips that meet others.
 
-    A step's strings are rows, each one of a document once with its places. What a string's first document has too goes from
-    all others, found by aggregation; only the first document's places are taken apart by the next step: the first place when
-    ``same_doc``, as its later ones go too, else all of them. So what many documents share whole is one row each.
+    A step's clips are rows, each one of a document once with its places. What a clip's first document has too goes from all
+    others, found by aggregation; only the first document's places go on: the first place when ``same_doc``, as its later ones
+    go too, else all of them. So what many documents share whole is one row each.
     """
-    def whole(b, buf, at):
-        sym, doc, first, _, _ = units(kind, buf, at)
-        start, pos, h = anchored(kind, sym, doc)
-        ok = _member(b, "hot", doc[pos], h)
-        start, pos = start[ok], pos[ok]
-        new = np.ones(len(pos), dtype=bool)
-        new[1:] = pos[1:] != pos[:-1]
-        i = np.flatnonzero(new)
-        return sym, doc, first, start[i], np.diff(np.append(i, len(pos))), pos[i]
-
-    def apart(lo, n, pos, size):
-        """Blocks of windows at equal distances from the anchor."""
-        start, row = ranges(lo, n), np.repeat(np.arange(len(lo)), n)
-        part = (pos[row] - start) // size
-        new = np.ones(len(row), dtype=bool)
-        new[1:] = (row[1:] != row[:-1]) | (part[1:] != part[:-1])
-        i = np.flatnonzero(new)
-        return start[i], np.diff(np.append(i, len(row))), pos[row[i]]
-
-    def keys(sym, lo, n, pos):
-        if not len(lo):
-            return np.zeros(0, U)
-        pre = prefix(sym)
-        with np.errstate(over="ignore"):
-            return mix(span_hash(pre, lo, lo + n - 1 + kind.window) + (pos - lo).astype(U) * U(0x9E3779B97F4A7C15) + n.astype(U))
-
-    def step(sizes):
-        """``sizes``: the blocks of the steps so far; the last one is this step's, those before it are filtered by "firsts"."""
+    def clips(step):
         def run(batches):
             for b, buf, at in chunks(unpack(batches)):
-                sym, doc, first, lo, n, pos = whole(b, buf, at)
-                if len(sizes) == 3:
-                    lo, n, pos = apart(lo, n, pos, sizes[1])
-                if len(sizes) > 1 and len(lo):
-                    key = keys(sym, lo, n, pos)
-                    ok = np.flatnonzero(_member(b, "firsts", doc[lo], key))
-                    if same_doc:  # the later places in a document went whole
-                        order, i, _ = counted(doc[lo[ok]], key[ok])
-                        ok = np.sort(ok[order[i]])
-                    lo, n, pos = apart(lo[ok], n[ok], pos[ok], sizes[-1])
+                sym, doc, first, _, _ = units(kind, buf, at)
+                lo, n, pos, _ = places(kind, b, sym, doc, "hot")
+                if step:
+                    lo, n, pos = parted(kind, lo, n, pos, step - 1)
+                    clip, _ = keys(kind, sym, lo, n, pos, step - 1)
+                    ok = np.flatnonzero(_member(b, "firsts", doc[lo], clip))
+                    if same_doc:
+                        ok = ok[once(doc[lo[ok]], clip[ok])]
+                    lo, n, pos = parted(kind, lo[ok], n[ok], pos[ok], step)
                 if not len(lo):
                     continue
-                # a window is the same string wherever its anchor stands in it
-                key = rolling(sym, kind.window)[lo] if sizes[-1] == 1 else keys(sym, lo, n, pos)
+                clip, node = keys(kind, sym, lo, n, pos, step)
                 d = doc[lo]
-                order, i, _ = counted(d, key)  # stable: places stay in order
+                order, i, _ = counted(d, clip)  # stable: places stay in order
                 own = order[i]
                 off = np.append(i, len(order)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[own].view(np.int64)), b.column("doc_id").take(pa.array(d[own])),
+                    [pa.array(clip[own].view(np.int64)), pa.array(node[own].view(np.int64)), b.column("doc_id").take(pa.array(d[own])),
                      pa.ListArray.from_arrays(off, pa.array((lo - first[d])[order].astype(np.int64))), pa.array(n[own].astype(np.int64))],
-                    ["key", "doc_id", "starts", "n"])
+                    ["key", "node", "doc_id", "starts", "n"])
         return run
 
-    hot, out, sizes, firsts = texts.where(F.size("hot") > 0), None, (), None
-    for size in (0, BLOCK, 1):
-        sizes += (size,)
-        src = hot.select("doc_id", "z", "hot") if firsts is None else hot.join(firsts, "doc_id").select("doc_id", "z", "hot", "firsts")
-        rows = stored(src.mapInArrow(step(sizes), "key long, doc_id long, starts array<long>, n long"), f"strings{size}")
-        run = lambda starts: F.transform(starts, lambda s: F.struct(s.alias("start"), F.col("n").alias("n"))).alias("runs")
-        first = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("doc_id").alias("d"))
+    run = lambda starts: F.transform(starts, lambda s: F.struct(s.alias("start"), F.col("n").alias("n"))).alias("runs")
+    copies, small, src = None, None, hot.select("doc_id", "z", "hot")
+    for step in range(steps(kind) + 1):
+        rows = stored(src.mapInArrow(clips(step), "key long, node long, doc_id long, starts array<long>, n long"), f"clips{step}")
+        first = rows.groupBy("node", "key").agg(F.count(F.lit(1)).alias("c"), F.min("doc_id").alias("d"))
         met = rows.join(first.where("c > 1").select("key", "d"), "key").where("doc_id > d").select("doc_id", run("starts"))
         if same_doc:
             met = met.unionByName(rows.where(F.size("starts") > 1).select("doc_id", run(F.slice("starts", 2, F.size("starts") - 1))))
-        out = met if out is None else out.unionByName(met)
-        firsts = first.groupBy(F.col("d").alias("doc_id")).agg(F.collect_list("key").alias("firsts"))  # of one document
-    return out
+        copies = met if copies is None else copies.unionByName(met)
+        if step == steps(kind):  # clips are single windows
+            break
+        several = first.groupBy("node").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("node", (F.col("m") > HOT).alias("large"))
+        follow = stored(first.join(several, "node").select(F.col("d").alias("doc_id"), "key", "large"), f"follow{step}")
+        some = follow.where("not large").select("doc_id", "key")
+        small = some if small is None else small.unionByName(some)
+        large = follow.where("large")
+        if large.isEmpty():
+            break
+        firsts = large.groupBy("doc_id").agg(F.collect_list("key").alias("firsts"))  # of one document
+        src = hot.select("doc_id", "z", "hot").join(firsts, "doc_id")
+    return copies, small.groupBy("doc_id").agg(F.collect_list("key").alias("clips"))  # of one document
 
 
 def runs_of(flag: np.ndarray, row: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
