@@ -1,8 +1,8 @@
-"""Substring dedup by seed and extend: winnowed word anchors are joined across documents and matches extended both ways.
+"""Substring dedup by seed and extend: winnowed word anchors are joined across documents and compared to both sides.
 
-A word goes when a window of 50 words covers it that also starts in a document with a smaller id. Around a shared anchor the match
-is extended to the left and to the right by one word at a time: places that agree in so many words share a class, and a window is
-repeated when a place of a smaller id has both its left and its right class. Overlapping repeats merge into maximal ones.
+A word goes when a window of 50 words covers it that also starts in a document with a smaller id. For every window around a shared
+anchor, the words to the left and to the right of the anchor are hashed: places that agree in so many words share a class, and a
+window is repeated when a place of a smaller id has both its left and its right class. Overlapping repeats merge into maximal ones.
 
 Defined cases: null text has no words; a document with fewer than 50 words keeps all; a null id keeps all and takes nothing
 from others; rows that share an id: see ``repeats``, equal ones get equal results; an empty table gives an empty
