@@ -97,3 +97,17 @@ def dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_co
 
 def op5_substring_dedup(spark, sf_dir):
     return dedup(documents(spark, sf_dir))
+
+
+SQL = r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+places AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM words),
+windows AS (SELECT doc_id, i, array_to_string(ws[i:i + 49], ' ') AS s FROM places),
+firsts AS (SELECT s, min(doc_id) AS d FROM windows GROUP BY s),
+hits AS (SELECT doc_id, i FROM windows JOIN firsts USING (s) WHERE doc_id > d),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM hits),
+each AS (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS p FROM words),
+kept AS (SELECT doc_id, string_agg(w, ' ' ORDER BY p) AS t, count(*) AS n FROM each ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)
+"""
