@@ -708,7 +708,8 @@ add("e4", "select g config_id, config, recall, n_hit, n_vol, pool_mean, pool_med
         f"coalesce({inter2('k', 'r')}/nullif((r.x2-r.x1)*(r.y2-r.y1), 0), 0)>=0.8") + "lpar as (select * from (values " + ", ".join(
         f"({i}, '{n}', {t}::double, {m}, {z})" for i, (n, t, m, z) in enumerate(KNOBS)) + """) v(g, config, iou, len, span)),
 ldet as (select lpar.g, d.* from det d cross join lpar where d.score>=0.02 and (lpar.config<>'containment=0.8' or d.det_id in (select det_id from keep))),
-""" + LINKED + POOLED_L + greedy("(select * from lsc where g=5)", "public_id", "score_max desc, tube_id", "tube_id", B6, iou3("k", "r") + ">=0.3")
+""" + LINKED + POOLED_L + greedy("(select * from lsc where g=5)", "public_id", "score_max desc, tube_id", "tube_id", B6,
+        f"({IOU3N})/(k.x_length*k.y_length*k.z_length+r.x_length*r.y_length*r.z_length-{IOU3N}+1e-12)>=cast(0.3 as double)")
     .replace("ranked", "ranked_n").replace("walk", "walk_n").replace("last", "last_n").replace("keep as", "keep_n as") + """
 lfin as (select * from lsc where (g<>5 or tube_id in (select tube_id from keep_n)) and (g<>6 or score_max>=0.3)),
 """ + SWEPT)

@@ -194,7 +194,8 @@ def nms_2d(det: DataFrame, t: float, keys=("volume_id", "slice_z"), limit: int =
 
 def nms_3d(cands: DataFrame, t, row_id: str = "cand_seq", keys=("public_id",), score: str = "score_max",
            limit: int = GROUP_LIMIT) -> DataFrame:
-    """Per volume, drop a box whose 3-D IoU with a better kept box is at least ``t``; None keeps all."""
+    """Per volume, drop a box whose 3-D IoU with a better kept box is at least ``t``; None keeps all. The union has 1e-12 added, which
+    decides where the IoU is ``t`` itself."""
     if t is None:
         return cands
     with_box = materialize(S.with_corners(cands))
