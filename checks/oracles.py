@@ -304,13 +304,15 @@ add("j9", """select *, greatest(d_coordX, d_coordY, d_coordZ, d_x_length, d_y_le
     "d_coordX d_coordY d_coordZ d_x_length d_y_length d_z_length max_diff")
 DIST = "sqrt((a.cen_d0-b.cen_d0)*(a.cen_d0-b.cen_d0)+(a.cen_d1-b.cen_d1)*(a.cen_d1-b.cen_d1)+(a.cen_d2-b.cen_d2)*(a.cen_d2-b.cen_d2))"
 add("j10", f"select a.cand_seq, min({DIST}) nn_dist from record a join record b on a.label=b.label and a.cand_seq<>b.cand_seq group by 1", "nn_dist")
+# IoU >= mean + std, exactly: in whole multiples of 1e-9, so that equal competitors all reach it
 add("j11", "select image, anchor_id, gt_id, iou from pos qualify row_number() over (partition by image, anchor_id order by iou desc, gt_id)=1", "iou", f"""
 ac as (select a.image, g.gt_id, a.level, a.anchor_id, {iou2('g', 'a')} iou,
   sqrt(((g.x1+g.x2)/2-(a.x1+a.x2)/2)*((g.x1+g.x2)/2-(a.x1+a.x2)/2)+((g.y1+g.y2)/2-(a.y1+a.y2)/2)*((g.y1+g.y2)/2-(a.y1+a.y2)/2)) d,
   (a.x1+a.x2)/2 between g.x1 and g.x2 and (a.y1+a.y2)/2 between g.y1 and g.y2 inside from anchors a join anchor_gt g using (image)
   qualify row_number() over (partition by a.image, g.gt_id, a.level order by d, a.anchor_id)<=3),
-pos as (select * from (select *, avg(iou) over (partition by image, gt_id)+stddev_pop(iou) over (partition by image, gt_id) t from ac)
-  where iou>=t and inside),""")
+pos as (select * from (select *, (count(*) over w)*x-(sum(x) over w) over_mean, (count(*) over w)*(sum(x*x) over w)-(sum(x) over w)*(sum(x) over w) spread
+    from (select *, cast(round(iou*1e9::double) as hugeint) x from ac) window w as (partition by image, gt_id))
+  where over_mean>=0 and over_mean*over_mean>=spread and inside),""")
 add("j12", """select bucket, count(*) n, avg((n_anchors=0)::int) frac_zero,
   (select k from (select n_anchors k, count(*) c from cov c2 where c2.bucket=c1.bucket group by 1) order by c desc, k limit 1) as mode,
   quantile_cont(n_anchors::double, 0.5) median, avg((n_anchors=0)::int)<=0.05 ok from cov c1 group by bucket""", "frac_zero median", BUCKETS + f"""

@@ -154,7 +154,7 @@ def adaptive_assign(gt: DataFrame, anchors: DataFrame, topk: int = C.ASSIGN_TOPK
 
     Per box and level the ``topk`` nearest anchors compete; those with IoU >= mean + std of the
     competitors and their centre inside the box are assigned, an anchor to its best box (first
-    on ties).
+    on ties). IoUs are compared with mean + std as whole multiples of 1e-9: exactly, so that equal competitors, whose std is 0, all reach it.
     """
     mid = {"cx": (F.col("x1") + F.col("x2")) / 2.0, "cy": (F.col("y1") + F.col("y2")) / 2.0}
     levels = anchors.select("image", "level").distinct()
@@ -167,8 +167,11 @@ def adaptive_assign(gt: DataFrame, anchors: DataFrame, topk: int = C.ASSIGN_TOPK
     per_gt = Window.partitionBy("image", "gt_id")  # topk rows per level
     cand = near.join(a, ["image", "anchor_id"]).join(g, ["image", "gt_id"]).select(
         "image", "gt_id", "anchor_id", B.iou_2d().alias("iou"), inside.alias("_in"))
-    pos = cand.withColumn("_t", F.avg("iou").over(per_gt) + F.stddev_pop("iou").over(per_gt)).where(
-        (F.col("iou") >= F.col("_t")) & F.col("_in"))
+    cand = cand.withColumn("_x", F.round(F.col("iou") * 1e9).cast("decimal(19,0)"))
+    n, s, q = F.count(F.lit(1)).over(per_gt).cast("decimal(9,0)"), F.sum("_x").over(per_gt), F.sum(F.col("_x") * F.col("_x")).over(per_gt)
+    # x >= mean + std: n * x - sum >= 0 and (n * x - sum)^2 >= n * (sum of squares) - sum^2
+    cand = cand.withColumns({"_d": (n * F.col("_x") - s).cast("decimal(19,0)"), "_v": n * q.cast("decimal(28,0)") - s.cast("decimal(19,0)") * s.cast("decimal(19,0)")})
+    pos = cand.where((F.col("_d") >= 0) & (F.col("_d") * F.col("_d") >= F.col("_v")) & F.col("_in"))
     best = pos.groupBy("image", "anchor_id").agg(F.max(F.struct("iou", (-F.col("gt_id")).alias("g"))).alias("m"))
     return best.select("image", "anchor_id", (-F.col("m.g")).cast("long").alias("gt_id"), F.col("m.iou").alias("iou"))
 
