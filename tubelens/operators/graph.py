@@ -11,12 +11,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tubelens import config as C
 from tubelens.functions import boxes as B
 from tubelens.operators import spatial as S
-from tubelens.operators.grouped import per_group, split_by_size
+from tubelens.operators.grouped import per_bin, per_group, split_by_size
 from tubelens.operators.prefix import union_all
 from tubelens.session import materialize
 
 POINT_LIMIT = 20_000
 EDGE_LIMIT = 500_000
+RUN_LIMIT = 200_000
 MAX_ROUNDS = 200
 
 
@@ -368,18 +369,72 @@ def _run_ids(runs: DataFrame, line: list[str]) -> DataFrame:
     return runs.withColumn("_rid", rid)
 
 
-def _run_components(runs: DataFrame, keys: list[str], line: list[str]) -> DataFrame:
-    """Add ``comp`` to runs; runs on adjacent lines touch when their spans meet within one cell."""
-    runs = _run_ids(materialize(runs), line)
+def _label_runs(g, starts, line):
+    """Position in its group of the first run of each run's component. Rows are sorted by group, line and start; runs of one line
+    don't meet, so those that touch a run are neighbours on each adjacent line."""
+    n = len(g["lo"])
+    axes, widths = [], []
+    for c in [*line, "lo", "hi"]:
+        axes.append(g[c].astype(np.int64) - int(g["lo" if c == "hi" else c].min()) + 1)
+        widths.append(int(axes[-1].max()) + 2)
+    *at, lo, hi = axes
+    *wide, _, span = widths
+    if math.prod(wide) * span * len(starts) > 2 ** 62:
+        if len(starts) == 2:
+            raise ValueError(f"coordinates span too much for one group of runs: {widths}")
+        return np.concatenate([_label_runs({c: a[x:y] for c, a in g.items()}, np.array([0, y - x]), line) for x, y in zip(starts[:-1], starts[1:])])
+    code = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    for a, w in zip(at, wide):
+        code = code * w + a
+    first, last = code * span + lo, code * span + hi
+    us, vs = [], []
+    for o in itertools.product((-1, 0, 1), repeat=len(line)):
+        if o <= (0,) * len(line):
+            continue
+        step = 0
+        for d, w in zip(o, wide):
+            step = step * w + d
+        low = np.searchsorted(last, first + step * span - 1, "left")
+        met = np.maximum(np.searchsorted(first, last + step * span + 1, "right") - low, 0)
+        u = np.repeat(np.arange(n), met)
+        us.append(u)
+        vs.append(np.arange(len(u)) - np.repeat(np.cumsum(met) - met, met) + low[u])
+    u, v = np.concatenate(us), np.concatenate(vs)
+    label = np.arange(n)
+    while True:
+        a, b = label[u], label[v]
+        open_ = a != b
+        if not open_.any():
+            break
+        u, v, a, b = u[open_], v[open_], a[open_], b[open_]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(label, label[label]):
+            label = label[label]
+    return label - np.repeat(starts[:-1], np.diff(starts))
+
+
+def _run_components(runs: DataFrame, keys: list[str], line: list[str], limit: int = RUN_LIMIT) -> DataFrame:
+    """Add ``comp`` to runs; runs on adjacent lines touch when their spans meet within one cell. Groups with up to ``limit`` runs
+    are labelled as arrays, larger ones by joins."""
+    small, large = split_by_size(materialize(runs), keys, limit)
+    label = lambda g, starts: (np.ones(len(g["lo"]), dtype=bool), _label_runs(g, starts, line))
+    out = per_bin(small, keys, [*line, "lo"], [*line, "lo", "hi"], label, [*keys, *line, "lo", "hi"], "comp")
+    return out if large is None else out.unionByName(_run_components_joined(materialize(large), keys, line))
+
+
+def _run_components_joined(runs: DataFrame, keys: list[str], line: list[str]) -> DataFrame:
+    """``_run_components`` without groups. The size that Spark expects of runs knows nothing of the rows that an explode made, so
+    the joins say that no side is to be sent through the driver."""
+    runs = _run_ids(runs, line)
     forward = [o for o in itertools.product((-1, 0, 1), repeat=len(line)) if o > (0,) * len(line)]
     off = F.explode(F.array(*[F.struct(*[F.lit(v).alias(f"o{i}") for i, v in enumerate(o)]) for o in forward]))
     a = S.prefixed(runs.withColumn("_o", off), "a_", keys)
     a = a.withColumns({c: F.col("a_" + c) + F.col(f"a__o.o{i}") for i, c in enumerate(line)})
     b = S.prefixed(runs, "b_", keys + line)
-    edges = (a.join(b, keys + line)
+    edges = (a.join(b.hint("merge"), keys + line)
              .where((F.col("a_lo") <= F.col("b_hi") + 1) & (F.col("b_lo") <= F.col("a_hi") + 1))
              .select(*keys, F.col("a__rid").alias("u"), F.col("b__rid").alias("v")))
-    return label_nodes(runs, edges, keys, "_rid", "comp").drop("_rid")
+    return label_nodes(runs.hint("merge"), edges, keys, "_rid", "comp").drop("_rid").select(*keys, *line, "lo", "hi", "comp")
 
 
 def voxel_components(vox: DataFrame, connectivity: str = "volume") -> DataFrame:
@@ -410,7 +465,7 @@ def slice_labels(vox: DataFrame, merge_gap: float = C.MERGE_GAP, min_area: int =
     pad = (merge_gap + 1.0) / 2.0
     grown = comp.withColumns({
         "x1": F.col("c0") - pad, "x2": F.col("c1") + pad, "y1": F.col("r0") - pad, "y2": F.col("r1") + pad})
-    edges = (S.overlap_pairs(grown, grown, keys, S.AXES_2D, S.CELL_2D)
+    edges = (S.overlap_pairs(grown, grown.hint("merge"), keys, S.AXES_2D, S.CELL_2D)
              .where((F.col("a_comp") < F.col("b_comp")) & (B.box_gap() <= merge_gap))
              .select(*keys, F.col("a_comp").alias("u"), F.col("b_comp").alias("v")))
     merged = (label_nodes(comp, edges, keys, "comp", "lesion").groupBy(*keys, "lesion")

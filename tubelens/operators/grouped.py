@@ -42,6 +42,17 @@ def per_group(df: DataFrame, keys: list[str], order: list[str], cols: list[str],
     ``(kept mask, value array or None)``. The result has the ``out`` columns of kept rows
     and, if named, the value as LONG.
     """
+    def every(arrays: dict, starts: np.ndarray) -> tuple:
+        parts = [rule({c: a[lo:hi] for c, a in arrays.items()}) for lo, hi in zip(starts[:-1], starts[1:])]
+        return np.concatenate([p[0] for p in parts]), None if value is None else np.concatenate([p[1] for p in parts])
+
+    return per_bin(df, keys, order, cols, every, out, value)
+
+
+def per_bin(df: DataFrame, keys: list[str], order: list[str], cols: list[str], rule: Callable,
+            out: list[str], value: Optional[str] = None) -> DataFrame:
+    """As ``per_group``, but ``rule(arrays, starts)`` gets all groups of a bin at once: group ``i`` is the rows
+    ``starts[i]`` to ``starts[i + 1]``."""
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
     schema = ", ".join(f"{c} {kinds[c]}" for c in out) + (f", {value} long" if value else "")
     need = list(dict.fromkeys([*keys, *order, *cols, *out]))
@@ -54,11 +65,9 @@ def per_group(df: DataFrame, keys: list[str], order: list[str], cols: list[str],
             v = pdf[k].to_numpy()
             new[1:] |= v[1:] != v[:-1]
         starts = np.append(np.flatnonzero(new), len(pdf))
-        arrays = {c: pdf[c].to_numpy() for c in dict.fromkeys([*keys, *cols])}
-        parts = [rule({c: a[lo:hi] for c, a in arrays.items()}) for lo, hi in zip(starts[:-1], starts[1:])]
-        mask = np.concatenate([p[0] for p in parts])
+        mask, values = rule({c: pdf[c].to_numpy() for c in dict.fromkeys([*keys, *cols])}, starts)
         res = pdf.loc[mask, out]
-        return res if value is None else res.assign(**{value: np.concatenate([p[1] for p in parts])[mask]})
+        return res if value is None else res.assign(**{value: values[mask]})
 
     # the work per byte is high, so the number of tasks is set here and not merged by size
     spark = df.sparkSession
