@@ -4,6 +4,7 @@ Every table grows with ``events``. Coordinates are integer-valued doubles.
 """
 from __future__ import annotations
 
+import math
 import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -13,6 +14,7 @@ N_SLICES = 12
 # native and resampled frame of the derived volumes
 NATIVE_SHAPE = (400, 640, 12)
 ISO_SHAPE = (200, 320, 12)
+SLICES_PER_TASK = 4_000
 
 
 class Fixtures:
@@ -97,8 +99,12 @@ class Fixtures:
             "case when volume_id%10<=6 then volume_id%5 else -1 end fold", "case when volume_id%2=0 then 'B' else 'M' end label")
 
     def voxels(self) -> DataFrame:
-        """Set voxels of the lesion mask (lesions of one volume do not overlap)."""
+        """Set voxels of the lesion mask (lesions of one volume do not overlap). The slices are dealt out by their number before
+        they grow several hundredfold; by their bytes they would lie in one or two tasks."""
         g = self.gt_slices()
+        # never the usual number: Spark leaves out a repartition that equals the one before, and merges that one by bytes
+        parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")) + 1, math.ceil(g.count() / SLICES_PER_TASK))
+        g = g.repartition(parts, "volume_id")
         return (g.select("volume_id", F.col("slice_z").alias("d2"), F.explode(F.sequence("r0", "r1")).alias("d0"), "c0", "c1")
                 .select("volume_id", "d0", F.explode(F.sequence("c0", "c1")).alias("d1"), "d2"))
 
