@@ -58,15 +58,17 @@ def per_bin(df: DataFrame, keys: list[str], order: list[str], cols: list[str], r
     need = list(dict.fromkeys([*keys, *order, *cols, *out]))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([*keys, *order], ignore_index=True)
-        new = np.zeros(len(pdf), dtype=bool)
+        cols_of = {c: pdf[c].to_numpy() for c in need}
+        sortable = [pd.factorize(a, sort=True)[0] if a.dtype == object else a for a in (cols_of[c] for c in [*keys, *order])]
+        at = np.lexsort(sortable[::-1])
+        new = np.zeros(len(at), dtype=bool)
         new[0] = True
-        for k in keys:
-            v = pdf[k].to_numpy()
+        for a in sortable[:len(keys)]:
+            v = a[at]
             new[1:] |= v[1:] != v[:-1]
-        starts = np.append(np.flatnonzero(new), len(pdf))
-        mask, values = rule({c: pdf[c].to_numpy() for c in dict.fromkeys([*keys, *cols])}, starts)
-        res = pdf.loc[mask, out]
+        starts = np.append(np.flatnonzero(new), len(at))
+        mask, values = rule({c: cols_of[c][at] for c in dict.fromkeys([*keys, *cols])}, starts)
+        res = pd.DataFrame({c: cols_of[c][at[mask]] for c in out})
         return res if value is None else res.assign(**{value: values[mask]})
 
     # the work per byte is high, so the number of tasks is set here and not merged by size
