@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from typing import Optional
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tubelens import config as C
@@ -103,8 +105,8 @@ def froc_summary(curve: DataFrame, key_fp=C.KEY_FP, by=()) -> DataFrame:
 
 
 # ---------------------------------------------------------------- bootstrap
-def draws(volumes: DataFrame, n_boot: int, seed: int) -> DataFrame:
-    """``b, public_id, weight``: volumes drawn with replacement, as many as there are.
+def _drawn(volumes: DataFrame, n_boot: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """``public_id, i`` of every volume and one row ``b, i`` per draw.
 
     Draw j of replicate b is 60 bits of a hash of (seed, b, j), so it does not depend on partitioning.
     """
@@ -114,22 +116,69 @@ def draws(volumes: DataFrame, n_boot: int, seed: int) -> DataFrame:
     code = F.concat_ws(":", F.lit(str(seed)), F.col("b").cast("string"), F.col("j").cast("string"))
     d = spark.range(n_boot * n).select((F.col("id") / n).cast("long").alias("b"), (F.col("id") % n).alias("j"))
     i = F.conv(F.substring(F.md5(code), 1, 15), 16, 10).cast("long") % n
-    return d.select("b", i.alias("i")).groupBy("b", "i").agg(F.count(F.lit(1)).alias("weight")).join(idx, "i").drop("i")
+    return idx, d.select("b", i.alias("i"))
+
+
+def draws(volumes: DataFrame, n_boot: int, seed: int) -> DataFrame:
+    """``b, public_id, weight``: volumes drawn with replacement, as many as there are."""
+    idx, d = _drawn(volumes, n_boot, seed)
+    return d.groupBy("b", "i").agg(F.count(F.lit(1)).alias("weight")).join(idx, "i").drop("i")
+
+
+def _replicate_sums(drawn: DataFrame, n_boot: int, by: list[str], kinds: dict[str, str]) -> DataFrame:
+    """``by..., b, bin, tp, fp`` summed over the draws of a task, from one row per volume: ``bs`` (the replicates that drew it), its boxes and
+    the columns of its histogram as lists. Bin -1 has the draws and their ground-truth boxes. A task holds one count per
+    (group, bin, replicate), however many volumes it sees."""
+    def run(batches):
+        tp, fp = {}, {}
+        sizes = np.zeros((2, n_boot), dtype=np.int64)
+        for pdf in batches:
+            lists = [pdf[c] for c in (*by, "bin", "tp", "fp")]
+            for bs, boxes, *h in zip(pdf["bs"], pdf["_n"], *lists):
+                w = np.bincount(bs, minlength=n_boot)
+                sizes[0] += w
+                sizes[1] += w * boxes
+                if h[-1] is None:
+                    continue
+                for *group, at, t, f in zip(*h):
+                    key = (*group, int(at))
+                    for sums, value in ((tp, t), (fp, f)):
+                        if key not in sums:
+                            sums[key] = np.zeros(n_boot, dtype=np.int64)
+                        if value:
+                            sums[key] += value * w
+        b = np.arange(n_boot, dtype=np.int64)
+        yield pd.DataFrame({**{k: pd.Series([None] * n_boot, dtype=object) for k in by}, "b": b, "bin": -1, "tp": sizes[0], "fp": sizes[1]})
+        for key in tp:
+            yield pd.DataFrame({**dict(zip(by, key)), "b": b, "bin": key[-1], "tp": tp[key], "fp": fp[key]})
+
+    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in by], "b long, bin int, tp long, fp long"])
+    return drawn.mapInPandas(run, schema)
 
 
 def bootstrap_values(gt: DataFrame, hist: DataFrame, n_boot: int = 1000, seed: int = 0, by=(),
                      groups: Optional[DataFrame] = None) -> DataFrame:
     """CPM of each replicate, ``by..., b, cpm``, from ``volume_histograms``. All groups (a short list)
-    see the same draws, so their differences are paired."""
+    see the same draws, so their differences are paired.
+
+    A volume meets the list of the replicates that drew it once, and its histogram is added to theirs as vectors; rows of
+    (replicate, volume, bin) are never made.
+    """
+    by = list(by)
     keys = [*by, "b"]
     per_gt = gt.groupBy("public_id").agg(F.count(F.lit(1)).alias("_n"))
-    w = materialize(draws(gt, n_boot, seed))
-    sizes = w.join(per_gt, "public_id").groupBy("b").agg(
-        F.sum("weight").alias("n_vol"), F.sum(F.col("weight") * F.col("_n")).alias("n_gt"))
+    idx, d = _drawn(gt, n_boot, seed)
+    lists = d.groupBy("i").agg(F.collect_list(F.col("b").cast("int")).alias("bs"))  # n_boot on average
+    h = hist.join(idx, "public_id").groupBy("i").agg(F.collect_list(F.struct(*by, "bin", "tp", "fp")).alias("_h"))
+    drawn = lists.join(idx.join(per_gt, "public_id").drop("public_id"), "i").join(h, "i", "left").select(
+        "bs", "_n", *[F.col(f"_h.{c}").alias(c) for c in (*by, "bin", "tp", "fp")])
+    tasks = 2 * gt.sparkSession.sparkContext.defaultParallelism  # each sends one row per (group, bin, replicate)
+    kinds = {f.name: f.dataType.simpleString() for f in hist.schema}
+    sums = materialize(_replicate_sums(drawn.coalesce(tasks), n_boot, by, kinds).groupBy(*keys, "bin").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp")))
+    sizes = sums.where("bin = -1").select("b", F.col("tp").alias("n_vol"), F.col("fp").alias("n_gt"))
     if groups is not None:
         sizes = groups.crossJoin(sizes)  # short list x replicates
-    bins = w.join(hist, "public_id").groupBy(*keys, "bin").agg(
-        F.sum(F.col("weight") * F.col("tp")).alias("tp"), F.sum(F.col("weight") * F.col("fp")).alias("fp"))
+    bins = sums.where("bin >= 0")
     return _key_points(curve_from_bins(bins, sizes, keys), C.KEY_FP, keys).select(*keys, "cpm")
 
 
