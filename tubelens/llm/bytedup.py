@@ -52,11 +52,11 @@ def ordered_pieces(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndar
     rank[order] = np.arange(len(ids))
     left = at[row + 1] - start  # bytes up to the end of the surrounding
     common = np.zeros(len(ids), dtype=np.int64)
-    padded = np.concatenate([buf, np.zeros(WINDOW, dtype=np.uint8)])
-    step = 50_000
+    ahead = np.lib.stride_tricks.sliding_window_view(np.concatenate([buf, np.zeros(WINDOW, dtype=np.uint8)]), WINDOW)
+    step = 10_000
     for i in range(1, len(order), step):
         a, b = order[i - 1:min(i - 1 + step, len(order) - 1)], order[i:i + step]
-        x = padded[start[a][:, None] + np.arange(WINDOW)] != padded[start[b][:, None] + np.arange(WINDOW)]
+        x = ahead[start[a]] != ahead[start[b]]
         n = np.where(x.any(1), x.argmax(1), WINDOW)
         common[i:i + len(b)] = np.minimum(n, np.minimum(left[a], left[b]))
     return start, rank, common

@@ -29,7 +29,8 @@ from tubelens.llm.common import stored
 from tubelens.llm.kernels import Words, _BYTE, chunks, mix, pieces, prefix, ranges, rolling, span_hash, winnow
 
 HOT = 1000
-UNPACK_BYTES = 1 << 24  # texts decompressed at a time, or one longer text
+UNPACK_BYTES = 1 << 22  # texts packed or unpacked at a time, or one longer text
+MEET_BYTES = 1 << 18  # surroundings compared at a time, or those of one longer anchor: the rule's arrays are some hundred times as large
 U = np.uint64
 
 
@@ -97,8 +98,8 @@ def packed(docs: DataFrame) -> DataFrame:
     """``doc_id, th, z``: text hash and the compressed text."""
     def run(batches):
         c = zstandard.ZstdCompressor(level=3)
-        for b in batches:
-            z = [c.compress(t.encode()) for t in b.column("text").to_pylist()]
+        for b, buf, at in chunks(batches, limit=UNPACK_BYTES):
+            z = [c.compress(buf[i:j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(z, pa.binary())], ["doc_id", "th", "z"])
 
     return docs.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th long, z binary")
@@ -268,8 +269,8 @@ def _met(texts: DataFrame, kind: Kind, resolve: Callable, same_doc: bool) -> Dat
             off = np.frombuffer(t.column("around").buffers()[1], dtype=np.int32)[t.column("around").offset:][:len(h) + 1]
             size = (off[1:] - off[0]).astype(np.int64)
         bounds, begin = [0], 0
-        for e in heads[1:].tolist():  # whole anchors, about a megabyte at a time
-            if size[e - 1] - begin > 1 << 20:
+        for e in heads[1:].tolist():  # whole anchors
+            if size[e - 1] - begin > MEET_BYTES:
                 bounds.append(e)
                 begin = size[e - 1]
         bounds.append(len(h))
