@@ -4,7 +4,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tubelens.session import materialize, stage_path
+from tubelens.session import materialize, stored
 
 __all__ = ["documents", "table", "materialize", "stored", "train_row", "held_out", "id_bit", "id_filter", "in_filter", "FILTER_BITS", "HOLD"]
 
@@ -19,13 +19,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder as Parquet and read it back: lineage is cut, columns stay prunable."""
-    path = stage_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 FILTER_BITS = 1 << 24
 
 

@@ -2,10 +2,13 @@
 
 Small groups run as an array rule, many per Python call. Larger groups are distributed:
 
-1. leader rounds: a row that is the best of every grid cell it touches is final, since a better rival would share a
+1. tiles: rows go once to the few tiles, several boxes wide, that they touch, and a task runs the array rule there. A row inside one
+   tile meets all its rivals there, so it is final unless a better rival is open; a row on a border is open, but can be removed.
+   Tiles with more than TILE_LIMIT rows decide nothing. What is final leaves; the rest is a share of the rows, or lies in crowded places;
+2. leader rounds: a row that is the best of every grid cell it touches is final, since a better rival would share a
    cell with it. It removes what it conflicts with. A stack of any height collapses in one such round, at one
    comparison per row and cell. They go on while they remove a tenth of the rows;
-2. the conflicts of what is left are listed once by the grid join and settled in rounds on that narrow list: every
+3. the conflicts of what is left are listed once by the grid join and settled in rounds on that narrow list: every
    row without a better live rival is final, and its rivals go. The number of rounds is the depth of the
    longest chain of conflicts; it doesn't depend on the number of rows.
 
@@ -13,6 +16,7 @@ Cells are about as large as the boxes of the table, so neighbours are few.
 """
 from __future__ import annotations
 
+import math
 from typing import Callable
 
 import numpy as np
@@ -21,9 +25,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tubelens.operators import spatial as S
 from tubelens.operators.grouped import per_group, split_by_size
 from tubelens.operators.prefix import union_all
-from tubelens.session import materialize
+from tubelens.session import materialize, stored
 
 GROUP_LIMIT = 20_000   # the grouped form compares a kept row with all rows left in its group
+TILE_LIMIT = 20_000    # rows of a tile that are settled in one call
+TILE = 16              # cells a side of a tile
 
 
 class _Ops:
@@ -105,11 +111,45 @@ def _suppress_grouped(df: DataFrame, keys, prio, row_id, needed, rule) -> DataFr
     return per_group(ranked, keys, ["_worse", row_id], [row_id, *needed], keep, [*keys, row_id])
 
 
-def _cell_side(df: DataFrame, axes) -> float:
-    """Nine boxes in ten fit a cell."""
+def _cell_side(df: DataFrame, axes) -> tuple[float, list[float]]:
+    """Cells that nine boxes in ten fit, and the least corner of the table."""
     side = F.greatest(*[F.col(hi) - F.col(lo) for lo, hi in axes]) if len(axes) > 1 else F.col(axes[0][1]) - F.col(axes[0][0])
-    got = df.agg(F.percentile_approx(side, 0.9)).first()[0]
-    return float(got) if got and got > 0 else 1.0
+    got = df.agg(F.percentile_approx(side, 0.9).alias("side"), *[F.min(lo).alias(f"o{i}") for i, (lo, _) in enumerate(axes)]).first()
+    ok = lambda x: x is not None and math.isfinite(x)
+    return (float(got["side"]) if ok(got["side"]) and got["side"] > 0 else 1.0,
+            [float(got[f"o{i}"]) if ok(got[f"o{i}"]) else 0.0 for i in range(len(axes))])
+
+
+def _settle_tiles(live: DataFrame, keys, needed, rule, axes, side: float, origin: list[float]) -> DataFrame:
+    """``keys, _id, _state`` of rows that a tile decides: 1 kept, with all it removes, 2 removed. A row may come from several tiles."""
+    tiles, inner = [f"_tile{i}" for i in range(len(axes))], F.lit(True)
+    placed = live
+    for t, (lo, hi), o in zip(tiles, axes, origin):
+        first, last = (S.cell_of(c - F.lit(o), side) for c in (F.col(lo), F.greatest(lo, hi)))
+        inner = inner & (first == last)
+        placed = placed.withColumn(t, F.sequence(first, last))
+    placed = placed.select(*keys, "_id", "_p", *needed, inner.alias("_inner"), *tiles)
+    for t in tiles:
+        placed = placed.withColumn(t, F.explode(t))
+
+    def settle(g):
+        n = len(g["_inner"])
+        state, blocked, inside = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool), g["_inner"]
+        col = {c: g[c].astype(float) for c in needed}
+        for i in range(n):  # best first, so all that can remove or block a row came before it
+            if state[i]:
+                continue
+            rest = np.flatnonzero(state[i + 1:] == 0) + i + 1
+            hit = rest[np.broadcast_to(rule(lambda c: col[c][i], lambda c: col[c][rest], _NUMPY), rest.shape)]
+            if inside[i] and not blocked[i]:
+                state[i] = 1
+                state[hit] = 2
+            else:
+                blocked[hit] = True
+        return state > 0, state
+
+    small, _ = split_by_size(placed, [*keys, *tiles], TILE_LIMIT)
+    return per_group(small, [*keys, *tiles], ["_p", "_id"], ["_inner", *needed], settle, [*keys, "_id"], "_state")
 
 
 def _suppress_rounds(df: DataFrame, keys, prio, row_id, needed, rule, axes) -> DataFrame:
@@ -117,10 +157,13 @@ def _suppress_rounds(df: DataFrame, keys, prio, row_id, needed, rule, axes) -> D
     one = [*keys, "_id"]
     cells = [f"_cell{i}" for i in range(len(axes))]
     cols = list(dict.fromkeys(needed + [c for ax in axes for c in ax]))
-    live = materialize(df.select(*keys, F.col(row_id).alias("_id"), F.struct((-prio).alias("p"), F.col(row_id).alias("i")).alias("_rank"), *cols))
-    cell = _cell_side(live, axes)
+    rows = stored(df.select(*keys, F.col(row_id).alias("_id"), (-prio).alias("_p"), *cols), "rows")
+    cell, origin = _cell_side(rows, axes)
+    done = stored(_settle_tiles(rows, keys, needed, rule, axes, cell * TILE, origin), "settled")
     at = lambda p: (lambda c: F.col(p + c))
-    gone, n = [], live.count()
+    gone = [done.where("_state = 2").select(*one).distinct()]
+    live = materialize(rows.join(done.select(*one), one, "left_anti").select(*keys, "_id", F.struct(F.col("_p").alias("p"), F.col("_id").alias("i")).alias("_rank"), *cols))
+    n = live.count()
     while n:
         placed = S.explode_cells(live, axes, cell)
         best = placed.groupBy(*keys, *cells).agg(F.min("_rank").alias("_top"))
@@ -150,8 +193,7 @@ def _suppress_rounds(df: DataFrame, keys, prio, row_id, needed, rule, axes) -> D
                             .join(lost.withColumnRenamed("_id", "v"), [*keys, "v"], "left_anti"))
         if len(gone) >= 20:
             gone = [materialize(union_all(gone))]
-    out = union_all(gone) if gone else live.select(*one)
-    return out.withColumnRenamed("_id", row_id)
+    return union_all(gone).withColumnRenamed("_id", row_id)
 
 
 def suppress(df: DataFrame, keys: list[str], prio: Column, row_id: str, needed: list[str],
@@ -198,7 +240,7 @@ def nms_3d(cands: DataFrame, t, row_id: str = "cand_seq", keys=("public_id",), s
     decides where the IoU is ``t`` itself."""
     if t is None:
         return cands
-    with_box = materialize(S.with_corners(cands))
+    with_box = S.with_corners(stored(cands, "boxes"))
     out = suppress(with_box, list(keys), F.col(score), row_id, _3D, iou_3d_at(t), S.AXES_3D, limit, all_conflict=t <= 0)
     return out.select(*cands.columns)
 
@@ -211,7 +253,7 @@ def dedup_by_distance(cands: DataFrame, radius: float, key: str, row_id: str = "
         return cands
     # a little more than half the radius, so that no pair at the radius is lost to rounding; the rule decides
     half = lambda c: F.lit(radius / 2.0 * (1 + 1e-9)) + F.abs(F.col(c)) * 1e-12
-    spread = materialize(cands).withColumns({f"_{s}{i}": F.col(c) + (half(c) if s == "hi" else -half(c))
+    spread = stored(cands, "points").withColumns({f"_{s}{i}": F.col(c) + (half(c) if s == "hi" else -half(c))
                                 for i, c in enumerate(cols) for s in ("lo", "hi")})
     axes = [(f"_lo{i}", f"_hi{i}") for i in range(len(cols))]
     out = suppress(spread, list(keys), F.col(key).cast("double"), row_id, list(cols),

@@ -19,12 +19,15 @@ BIN = "_bin"
 def split_by_size(df: DataFrame, keys: list[str], limit: int) -> tuple[DataFrame, Optional[DataFrame]]:
     """``(small, large)``: groups up to ``limit`` rows with a bin number, and the other rows or None.
 
-    One count per group decides; only its maximum and total reach the driver. Large keys are
-    joined back, never listed.
+    One count per group decides; only its extremes and total reach the driver. Large keys are
+    joined back, never listed; when all groups are large there is nothing to join.
     """
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    s = sizes.agg(F.max("_n").alias("top"), F.sum("_n").alias("total")).first()
+    no_key = F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False))  # joins would lose it: it counts as small
+    s = sizes.agg(F.min("_n").alias("least"), F.max("_n").alias("top"), F.sum("_n").alias("total"), F.max(no_key).alias("odd")).first()
     large = None
+    if s["least"] is not None and s["least"] > limit and not s["odd"]:
+        return df.where(F.lit(False)).withColumn(BIN, F.lit(0).cast("long")), df
     if (s["top"] or 0) > limit:
         big = sizes.where(F.col("_n") > limit).select(*keys)
         large = df.join(big, keys, "left_semi")
