@@ -13,12 +13,14 @@ from tubelens.functions import boxes as B
 from tubelens.operators import spatial as S
 from tubelens.operators.grouped import per_bin, per_group, split_by_size
 from tubelens.operators.prefix import union_all
-from tubelens.session import materialize
+from tubelens.session import materialize, stored
 
 POINT_LIMIT = 20_000
 EDGE_LIMIT = 500_000
 RUN_LIMIT = 200_000
 MAX_ROUNDS = 200
+TILE = 32              # radii a side of a tile of points
+PAIRS_AT_ONCE = 512    # points whose distances are one matrix
 
 
 # ---------------------------------------------------------------- components
@@ -96,10 +98,25 @@ def _distance(cols, a: str = "a_", b: str = "b_") -> Column:
     return F.sqrt(d2)
 
 
-def _linkage_grouped(df: DataFrame, by, row_id, cols, radius) -> DataFrame:
+def _flood(cols, row_id, radius):
+    """Rule that labels each point of a group, sorted by id, with the least id it is chained to."""
+    def matrix(xyz, ids):
+        d2 = sum((x[:, None] - x) ** 2 for x in xyz.T)
+        u, v = np.nonzero(np.sqrt(d2) <= radius)
+        label = np.arange(len(ids))
+        while True:
+            new = label.copy()
+            np.minimum.at(new, u, label[v])
+            new = np.minimum(new, new[new])
+            if np.array_equal(new, label):
+                return ids[label]
+            label = new
+
     def flood(g):
         xyz = np.stack([g[c].astype(float) for c in cols], axis=1)
         ids = g[row_id]
+        if len(ids) <= PAIRS_AT_ONCE:
+            return np.ones(len(ids), dtype=bool), matrix(xyz, ids)
         label = np.full(len(ids), -1, dtype=np.int64)
         done = np.zeros(len(ids), dtype=bool)
         for start in range(len(ids)):
@@ -113,7 +130,42 @@ def _linkage_grouped(df: DataFrame, by, row_id, cols, radius) -> DataFrame:
                 todo.extend(near.tolist())
         return np.ones(len(ids), dtype=bool), label
 
-    return per_group(df, by, [row_id], [row_id, *cols], flood, [*by, row_id], "cluster")
+    return flood
+
+
+def _linkage_grouped(df: DataFrame, by, row_id, cols, radius) -> DataFrame:
+    return per_group(df, by, [row_id], [row_id, *cols], _flood(cols, row_id, radius), [*by, row_id], "cluster")
+
+
+def _linkage_tiles(df: DataFrame, by, row_id, cols, radius, limit: int = POINT_LIMIT) -> DataFrame:
+    """Points go to their tile, many radii wide, and to those within a radius of them, so each link lies whole in some tile. A tile is labelled as
+    arrays; what tiles say of the points that they share unites their labels. Points of tiles with more than ``limit`` rows are labelled
+    by cells, and that counts as one more tile."""
+    side, wide = radius * TILE, radius * (1 + 1e-9)
+    tiles = [f"_tile{i}" for i in range(len(cols))]
+    rows = stored(df.select(*by, F.col(row_id).alias("_id"), *[F.col(c).cast("double").alias(c) for c in cols]), "points")
+    least = rows.agg(*[F.min(c).alias(c) for c in cols]).first()
+    placed, border, home = rows, F.lit(False), F.lit(True)
+    for t, c in zip(tiles, cols):
+        origin = least[c] - 2 * radius if least[c] is not None and math.isfinite(least[c]) else 0.0
+        first, own, last = (S.cell_of(F.col(c) + F.lit(d) - F.lit(origin), side) for d in (-wide, 0.0, wide))
+        border, home = border | F.coalesce(first != last, F.lit(False)), home & F.coalesce(F.col(t) == own, F.lit(True))
+        placed = placed.withColumn(t, F.coalesce(F.sequence(first, last), F.array(F.lit(0).cast("long"))))  # without a coordinate: linked to nothing
+    placed = placed.withColumn("_border", border)
+    for t in tiles:
+        placed = placed.withColumn(t, F.explode(t))
+    placed = placed.withColumn("_home", home)
+    small, large = split_by_size(placed, [*by, *tiles], limit)
+    said = [*by, "_id", "_border", "_home"]
+    lab = per_group(small, [*by, *tiles], ["_id"], ["_id", *cols], _flood(cols, "_id", radius), said, "_label")
+    if large is not None:
+        crowd = materialize(large.groupBy(*by, "_id", *cols).agg(F.max("_border").alias("_border"), F.max("_home").alias("_home")))
+        cells = _linkage_grid(crowd, by, "_id", cols, radius).withColumnRenamed("cluster", "_label")
+        lab = lab.unionByName(crowd.join(cells, by + ["_id"]).select(*said, "_label"))
+    lab = stored(lab, "labels")
+    comp = connected_components(lab.where("_border").select(*by, F.col("_id").alias("u"), F.col("_label").alias("v")), by)
+    out = lab.where("_home").join(comp.withColumnRenamed("node", "_label"), by + ["_label"], "left")
+    return out.select(*by, F.col("_id").alias(row_id), F.coalesce("comp", "_label").alias("cluster"))
 
 
 def _box_bounds(cols, a: str, b: str) -> tuple[Column, Column]:
@@ -202,7 +254,8 @@ def single_linkage(df: DataFrame, radius: float, by: list[str], row_id: str = "c
     small, large = split_by_size(df, by, limit)
     out = _linkage_grouped(small, by, row_id, cols, radius)
     if large is not None:
-        out = out.unionByName(_linkage_grid(large, by, row_id, cols, radius))
+        apart = _linkage_tiles if radius > 0 else _linkage_grid
+        out = out.unionByName(apart(large, by, row_id, cols, radius))
     return out
 
 
