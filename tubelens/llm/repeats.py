@@ -139,9 +139,12 @@ def repeated(docs: DataFrame, kind: Kind, resolve: Callable, same_doc: bool) ->
     counts = rows.groupBy("h").agg(shared.alias("n"), F.sum("c").alias("places")).where("n > 1").select("h", (F.col("places") > HOT).alias("hot"))
     mine = rows.select("h", "doc_id").join(counts, "h").groupBy("doc_id").agg(
         F.collect_list("h").alias("hs"), F.collect_list(F.when(F.col("hot"), F.col("h"))).alias("hot"))  # of one document
-    texts = stored(mine.join(packed(docs), "doc_id").join(part, ["doc_id", "th"], "left_semi"), "texts")
-    copies, follow = _parted(texts.where(F.size("hot") > 0), kind, same_doc)
-    met = _met(texts.join(follow, "doc_id", "left"), kind, resolve, same_doc)
+    mine = mine.join(part.withColumnRenamed("th", "_th"), "doc_id")  # all by id, so that texts are shuffled once
+    texts = stored(mine.join(packed(docs), "doc_id").where("th = _th").drop("_th"), "texts")
+    common = texts.where(F.size("hot") > 0)
+    copies, follow = _parted(common, kind, same_doc)
+    plain = texts.where(F.size("hot") == 0).withColumn("clips", F.array().cast("array<long>"))
+    met = _met(plain.unionByName(common.join(follow, "doc_id", "left")), kind, resolve, same_doc)
     return part, texts.select("doc_id", "th", "z"), met.unionByName(copies)
 
 
