@@ -102,13 +102,13 @@ def iso_to_native(zoom: Column, p: str = "") -> dict[str, Column]:
     return {n: half_even((_c(p, n) + 0.5) / zoom[int(n[-1])] - 0.5) for n in STORAGE}
 
 
-def hull_to_iso() -> dict[str, Column]:
-    """Aggregates: boxes of one tube -> one inclusive storage box."""
+def hull_to_iso(least=F.min, most=F.max) -> dict[str, Column]:
+    """Boxes of one tube -> one inclusive storage box, as aggregates or from columns that hold their least and greatest values."""
     return {
-        "min_d0": half_even(F.min("y1")), "min_d1": half_even(F.min("x1")),
-        "min_d2": F.min("slice_z").cast("long"),
-        "max_d0": half_even(F.max("y2")) - 1, "max_d1": half_even(F.max("x2")) - 1,
-        "max_d2": F.max("slice_z").cast("long"),
+        "min_d0": half_even(least("y1")), "min_d1": half_even(least("x1")),
+        "min_d2": least("slice_z").cast("long"),
+        "max_d0": half_even(most("y2")) - 1, "max_d1": half_even(most("x2")) - 1,
+        "max_d2": most("slice_z").cast("long"),
     }
 
 

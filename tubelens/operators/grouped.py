@@ -58,7 +58,18 @@ def per_bin(df: DataFrame, keys: list[str], order: list[str], cols: list[str], r
     ``starts[i]`` to ``starts[i + 1]``."""
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
     schema = ", ".join(f"{c} {kinds[c]}" for c in out) + (f", {value} long" if value else "")
-    need = list(dict.fromkeys([*keys, *order, *cols, *out]))
+
+    def pick(g: dict, starts: np.ndarray) -> pd.DataFrame:
+        mask, values = rule({c: g[c] for c in dict.fromkeys([*keys, *cols])}, starts)
+        res = pd.DataFrame({c: g[c][mask] for c in out})
+        return res if value is None else res.assign(**{value: values[mask]})
+
+    return frame_per_bin(df, keys, order, [*cols, *out], pick, schema)
+
+
+def frame_per_bin(df: DataFrame, keys: list[str], order: list[str], cols: list[str], rule: Callable, schema: str) -> DataFrame:
+    """As ``per_bin``, but ``rule(arrays, starts)`` gives the frame that is returned, in the columns of ``schema``."""
+    need = list(dict.fromkeys([*keys, *order, *cols]))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         cols_of = {c: pdf[c].to_numpy() for c in need}
@@ -69,10 +80,7 @@ def per_bin(df: DataFrame, keys: list[str], order: list[str], cols: list[str], r
         for a in sortable[:len(keys)]:
             v = a[at]
             new[1:] |= v[1:] != v[:-1]
-        starts = np.append(np.flatnonzero(new), len(at))
-        mask, values = rule({c: cols_of[c][at] for c in dict.fromkeys([*keys, *cols])}, starts)
-        res = pd.DataFrame({c: cols_of[c][at[mask]] for c in out})
-        return res if value is None else res.assign(**{value: values[mask]})
+        return rule({c: a[at] for c, a in cols_of.items()}, np.append(np.flatnonzero(new), len(at)))
 
     # the work per byte is high, so the number of tasks is set here and not merged by size
     spark = df.sparkSession

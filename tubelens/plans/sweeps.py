@@ -9,11 +9,13 @@ from tubelens.functions import boxes as B
 from tubelens.operators import greedy as G
 from tubelens.operators import link as L
 from tubelens.operators import match as M
+from tubelens.operators import prefix as P
 from tubelens.operators import ranking as R
+from tubelens.operators import spatial as S
 from tubelens.operators.prefix import union_all
 from tubelens.plans import froc as FR
 from tubelens.plans import stats as ST
-from tubelens.session import materialize
+from tubelens.session import materialize, stored
 
 def one_at_a_time(base: LinkConfig, grid: dict) -> list[LinkConfig]:
     """The base and each single-knob variation of it."""
@@ -116,28 +118,57 @@ def threshold_probe(det, meta, gt, base: LinkConfig, thresholds, limit: int = L.
 def calibrate(det, meta, gt, base: LinkConfig, thresholds, seeds, limit: int = L.LINK_LIMIT):
     """Threshold sweep for every seed's detections: ``(per-seed rows, mean and std over seeds)``.
 
-    ``det`` carries ``seed``; all (seed, threshold) pairs run in one job because a seed's boxes of
-    one volume form their own group.
+    ``det`` carries ``seed``. Nothing is copied per threshold: a box is linked for all thresholds in one place, a tube that several
+    thresholds in a row share is one row with their range, and meets ground truth once. Ranges become thresholds where counts are made.
     """
-    spark = det.sparkSession
-    det = G.containment_suppress(det, base.containment, ("seed", "volume_id", "slice_z"))  # commutes with the score filter
-    pairs = [(i, s, float(t)) for i, (s, t) in enumerate((s, t) for s in seeds for t in thresholds)]
-    table = spark.createDataFrame(pairs, "config_id long, seed long, thresh double")
-    fan = det.join(F.broadcast(table), "seed").where(F.col("score") >= F.col("thresh")).select(
-        "config_id", "volume_id", *L.MEMBER)
-    by = ["config_id", "volume_id"]
-    cfgs = [base.but(op_score=t, containment=1.0) for _, _, t in pairs]
-    f = L.tube_features(L.link_tubes(fan, cfgs, by, limit), meta, by).withColumnRenamed("volume_id", "public_id")
-    f = f.where(F.col("score_max") >= base.score_floor)
-    pool = G.nms_3d(materialize(M.best_iou_per_row(f, ["config_id", "tube_id"], gt)), base.nms_iou, "tube_id", ("config_id", "public_id"))
-    pool = materialize(pool)
-    vols = config_volumes(table.select("config_id"), meta.select(F.col("volume_id").alias("public_id")))
-    rec = ST.linked_recall(pool, vols, ["config_id"])
-    rows = rec.join(sweep_curves(pool, gt, table.select("config_id")), "config_id").join(table, "config_id")
+    spark, seeds, thresholds = det.sparkSession, list(seeds), list(thresholds)
+    det = G.containment_suppress(det.where(F.col("seed").isin(seeds)), base.containment, ("seed", "volume_id", "slice_z"))  # commutes with the score filter
+    steps = sorted({float(t) for t in thresholds}, reverse=True)
+    pairs = [(i, s, float(t), steps.index(float(t))) for i, (s, t) in enumerate((s, t) for s in seeds for t in thresholds)]
+    table = spark.createDataFrame(pairs, "config_id long, seed long, thresh double, step int")
+    meta, gt = stored(meta.select("volume_id", "zoom_factors"), "meta"), stored(gt.select("public_id", "label_id", *B.CENTRE, *B.EXTENT), "gt")  # read several times
+    tubes = L.official_boxes(L.threshold_tubes(det, base, steps, ["seed", "volume_id"], limit), meta).withColumnRenamed("volume_id", "public_id")
+    pool = stored(tubes.where(F.col("score_max") >= base.score_floor).select(
+        "seed", "public_id", "tube_id", "first", "last", "score_max", *B.CENTRE, *B.EXTENT), "pool")
+    if base.nms_iou is not None:
+        one = pool.withColumn("first", F.explode(F.sequence("first", "last"))).withColumn("last", F.col("first"))
+        pool = stored(G.nms_3d(one, base.nms_iou, "tube_id", ("seed", "first", "public_id")), "pool")
+    counts = _range_counts(pool, gt, ["seed"])
+    got = table.join(counts, ["seed", "step"], "left")
+    n_vol = F.col("n_vol")
+    rec = P.attach(got.groupBy("config_id").agg(F.coalesce(F.sum("n_hit"), F.lit(0)).alias("n_hit"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")),
+                   meta.agg(F.count(F.lit(1)).alias("n_vol"))).where(n_vol > 0).select(
+        "config_id", (F.col("n_hit") / n_vol).alias("recall"), (F.col("n") / n_vol).alias("pool_mean"))
+    bins = got.where("bin is not null").select("config_id", "bin", "tp", "fp")
+    curve = FR.curve_from_bins(bins, FR.group_sizes(gt, table.select("config_id")), ["config_id"])
+    rows = rec.join(FR.froc_summary(curve, by=["config_id"]).select("config_id", "cpm", "ceiling"), "config_id").join(table, "config_id")
     rows = rows.select("seed", "thresh", "recall", "cpm", "ceiling", "pool_mean")
     return rows, ST.over_seeds(rows, ["thresh"], ["recall", "cpm", "ceiling", "pool_mean"])
 
 
+def _range_counts(pool: DataFrame, gt: DataFrame, by: list[str], hit_iou: float = C.HIT_IOU) -> DataFrame:
+    """``by..., step, bin, n, n_hit, tp, fp`` of tubes that stand for the steps ``first`` to ``last``: tubes, volumes hit (at bin 0), and the
+    counts of ``froc.volume_histograms`` summed over volumes. 200 rows per group and step at most."""
+    box = [*B.CENTRE, *B.EXTENT]
+    row = ["public_id", *by, "tube_id", "first", "last"]
+    steps = F.explode(F.sequence("first", "last")).alias("step")
+    pool = pool.withColumn("bin", FR.threshold_bin(B.clamp_prob(F.col("score_max"))))
+    near = S.volume_pairs(pool.select(*row, "bin", *box), gt.select("public_id", "label_id", *box), ["public_id"]).where(F.col("iou") > hit_iou)
+    best = near.groupBy("public_id", *[F.col("a_" + c).alias(c) for c in row[1:]]).agg(
+        F.max("a_bin").alias("bin"), F.max(F.struct("iou", (-F.col("b_label_id")).alias("l")))["l"].alias("_l"))
+    hits = stored(best.select("public_id", *by, "first", "last", "bin", (-F.col("_l")).alias("hit_label")), "hits")
+    # one move by box; its steps are spread out behind it
+    per_box = hits.repartition(*by, "public_id", "hit_label").select(*by, "public_id", "hit_label", "bin", steps).groupBy(
+        *by, "public_id", "hit_label", "step").agg(F.max("bin").alias("bin"))
+    zero = F.lit(0).cast("long")
+    kinds = ("n", "n_hit", "tp", "fp")
+    count = lambda df, **at: df.groupBy(*by, "step", "bin").agg(F.count(F.lit(1)).alias("_n")).select(
+        *by, "step", "bin", *[(F.col("_n") * at[k] if k in at else zero).alias(k) for k in kinds])
+    vols = hits.select(*by, "public_id", steps).distinct().withColumn("bin", F.lit(0))
+    return stored(P.union_all([count(pool.select(*by, steps, "bin"), n=1, fp=1), count(hits.select(*by, steps, "bin"), fp=-1), count(per_box, tp=1),
+                               count(vols, n_hit=1)]).groupBy(*by, "step", "bin").agg(*[F.sum(k).alias(k) for k in kinds]), "counts")
+
+
 def evaluate_epochs(det, meta, gt, base: LinkConfig, epochs, limit: int = L.LINK_LIMIT) -> DataFrame:
     """Linked CPM, ceiling, recall and pool for every checkpoint; ``det`` carries ``epoch``."""
     spark = det.sparkSession
