@@ -126,7 +126,8 @@ def calibrate(det, meta, gt, base: LinkConfig, thresholds, seeds, limit: int = L
     steps = sorted({float(t) for t in thresholds}, reverse=True)
     pairs = [(i, s, float(t), steps.index(float(t))) for i, (s, t) in enumerate((s, t) for s in seeds for t in thresholds)]
     table = spark.createDataFrame(pairs, "config_id long, seed long, thresh double, step int")
-    meta, gt = stored(meta.select("volume_id", "zoom_factors"), "meta"), stored(gt.select("public_id", "label_id", *B.CENTRE, *B.EXTENT), "gt")  # read several times
+    # read several times. Not as Parquet: files of so few distinct values are so small that joins would broadcast them at any number of rows
+    meta, gt = materialize(meta.select("volume_id", "zoom_factors")), materialize(gt.select("public_id", "label_id", *B.CENTRE, *B.EXTENT))
     tubes = L.official_boxes(L.threshold_tubes(det, base, steps, ["seed", "volume_id"], limit), meta).withColumnRenamed("volume_id", "public_id")
     pool = stored(tubes.where(F.col("score_max") >= base.score_floor).select(
         "seed", "public_id", "tube_id", "first", "last", "score_max", *B.CENTRE, *B.EXTENT), "pool")
